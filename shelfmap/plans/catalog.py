@@ -132,3 +132,76 @@ SELECT src_sha, sha, title, author, ratings_count, rk FROM (
 WHERE n = 1""")
 def similar_books_same_cell(spark, root):
     return serve.similar_books(st.bookparts(spark, root), max_cells=st.GRID_ROWS * st.GRID_COLS)
+
+
+# --- group A5 / F: extraction and text ------------------------------------------
+
+from shelfmap.functions import text as tx  # noqa: E402
+from shelfmap.operators import text as txo  # noqa: E402
+from shelfmap.plans import sqltext as sq  # noqa: E402
+
+TOKENS_CTE = f""",
+docs AS (SELECT sha, {sq.doc_text_sql()} AS text FROM training),
+toks AS (SELECT sha, {sq.word_tokens_sql('text')} AS tokens FROM docs)"""
+
+
+def _training_tokens(spark, root):
+    docs = st.training_docs(spark, root).select("sha", tx.doc_text().alias("text"))
+    return txo.tokenize(docs, "text", "tokens")
+
+
+@register("training_extract", f"WITH {st.TRAINING_SQL} SELECT sha, title, summary FROM training")
+def training_extract(spark, root):
+    return st.training_docs(spark, root)
+
+
+@register("doc_text", f"WITH {st.TRAINING_SQL} SELECT sha, {sq.doc_text_sql()} AS text FROM training")
+def doc_text(spark, root):
+    return st.training_docs(spark, root).select("sha", tx.doc_text().alias("text"))
+
+
+@register("clean_text", f"WITH {st.BOOKDOCS_SQL} SELECT sha, {sq.clean_sql('summary')} AS clean FROM bookdocs")
+def clean_text(spark, root):
+    return st.bookdocs(spark, root).select("sha", tx.clean_text(F.col("summary")).alias("clean"))
+
+
+@register("word_df_min2", f"""WITH {st.TRAINING_SQL}{TOKENS_CTE}
+SELECT term, count(DISTINCT sha) AS df FROM (SELECT sha, unnest(tokens) AS term FROM toks)
+GROUP BY term HAVING count(DISTINCT sha) >= 2""")
+def word_df_min2(spark, root):
+    return txo.doc_freq(_training_tokens(spark, root), "sha", "tokens", min_df=2)
+
+
+@register("bigram_totals_min10", f"""WITH {st.TRAINING_SQL}{TOKENS_CTE},
+bg AS (SELECT sha, unnest({sq.bigrams_sql('tokens')}) AS term FROM toks)
+SELECT term, count(DISTINCT sha) AS df, CAST(count(*) AS BIGINT) AS total FROM bg
+GROUP BY term HAVING count(DISTINCT sha) >= 10""")
+def bigram_totals_min10(spark, root):
+    bg = txo.add_bigrams(_training_tokens(spark, root), "tokens", "bigrams")
+    return txo.vocabulary(bg, "sha", "bigrams", min_df=10).select("term", "df", "total")
+
+
+@register("dict_prune", f"""WITH {st.TRAINING_SQL},
+toks AS (SELECT sha, {sq.alpha_tokens_sql(sq.doc_text_sql())} AS tokens FROM training),
+stats AS (SELECT term, count(DISTINCT sha) AS df FROM (SELECT sha, unnest(tokens) AS term FROM toks)
+          GROUP BY term)
+SELECT term, df FROM stats
+WHERE df >= 2 AND df <= CAST(floor(0.85 * (SELECT count(*) FROM training)) AS BIGINT)
+ORDER BY df DESC, term LIMIT 100000""")
+def dict_prune(spark, root):
+    docs = st.training_docs(spark, root).select("sha", tx.doc_text().alias("text"))
+    toks = txo.tokenize(docs, "text", "tokens", stop=False, alpha=True)
+    stats = txo.doc_freq(toks, "sha", "tokens")
+    return txo.prune_dictionary(stats, docs.count(), 2, 0.85, 100_000).select("term", "df")
+
+
+@register("bag_of_words", f"""WITH {st.TRAINING_SQL}{TOKENS_CTE},
+bag AS (SELECT sha, term, count(*) AS n FROM (SELECT sha, unnest(tokens) AS term FROM toks)
+        GROUP BY sha, term),
+vocab AS (SELECT term FROM bag GROUP BY term HAVING count(*) >= 2)
+SELECT sha, term, n FROM bag WHERE term IN (SELECT term FROM vocab)""")
+def bag_of_words(spark, root):
+    toks = _training_tokens(spark, root)
+    vocab = txo.doc_freq(toks, "sha", "tokens", min_df=2)
+    return (txo.bag_of_words(toks, "sha", "tokens", vocab)
+            .select(F.col("doc").alias("sha"), "term", "n"))
