@@ -205,3 +205,120 @@ def bag_of_words(spark, root):
     vocab = txo.doc_freq(toks, "sha", "tokens", min_df=2)
     return (txo.bag_of_words(toks, "sha", "tokens", vocab)
             .select(F.col("doc").alias("sha"), "term", "n"))
+
+
+# --- group G: similarity and map placement ----------------------------------------
+
+from shelfmap.operators import similarity as sim  # noqa: E402
+from shelfmap.operators import som  # noqa: E402
+
+JS_SQL = """sqrt(greatest(list_sum(list_transform(range(1, len(a) + 1), lambda i:
+    CASE WHEN a[i] > 0 THEN a[i] * ln(a[i] / ((a[i] + b[i]) / 2)) ELSE 0 END
+  + CASE WHEN b[i] > 0 THEN b[i] * ln(b[i] / ((a[i] + b[i]) / 2)) ELSE 0 END)) / 2, 0))"""
+
+CENTROID_SQL = """,
+pe AS (SELECT label, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS v FROM dist),
+cen AS (SELECT label AS qid, list(v ORDER BY i) AS q FROM
+        (SELECT label, i, avg(v) AS v FROM pe GROUP BY label, i) GROUP BY label),
+pairs AS (SELECT qid, sha, JS AS d FROM (
+  SELECT c.qid, t.sha,
+         list_transform(c.q, lambda x: x / list_sum(c.q)) AS b,
+         list_transform(t.p, lambda x: x / list_sum(t.p)) AS a
+  FROM cen c CROSS JOIN dist t))""".replace("JS", JS_SQL)
+
+
+def _knn(spark, root, drop_zero):
+    dist = st.dist(spark, root)
+    out = sim.js_knn(dist, sim.label_centroids(dist), k=10, drop_zero=drop_zero)
+    return out.select("qid", "sha", F.round("d", 6).alias("d"), F.col("rank").cast("int").alias("rank"))
+
+
+@register("js_knn", f"""WITH {st.DIST_SQL}{CENTROID_SQL}
+SELECT qid, sha, round(d, 6) AS d, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, sha) AS rank FROM pairs)
+WHERE rank <= 10""")
+def js_knn(spark, root):
+    return _knn(spark, root, False)
+
+
+@register("js_knn_nonzero", f"""WITH {st.DIST_SQL}{CENTROID_SQL}
+SELECT qid, sha, round(d, 6) AS d, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, sha) AS rank FROM pairs
+  WHERE d > 1e-9) WHERE rank <= 10""")
+def js_knn_nonzero(spark, root):
+    return _knn(spark, root, True)
+
+
+BMU_SQL = f"""WITH {st.VECTORS_SQL}, {st.CODEBOOK_SQL},
+dd AS (SELECT v.sha, c.unit, c.col, c."row", list_distance(v.x, c.w) AS d
+       FROM vectors v CROSS JOIN codebook c),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY d, unit) AS rank FROM dd)"""
+
+
+def _assign(spark, root, top_n=1):
+    return som.assign_bmu(st.vectors(spark, root), st.codebook(spark, root), "sha", "x", top_n)
+
+
+@register("bmu_assign", BMU_SQL + """
+SELECT sha, unit, col AS bmu_col, "row" AS bmu_row, round(d, 6) AS d FROM ranked WHERE rank = 1""")
+def bmu_assign(spark, root):
+    return _assign(spark, root).select("sha", "unit", "bmu_col", "bmu_row", F.round("d", 6).alias("d"))
+
+
+@register("bmu_top3", BMU_SQL + """
+SELECT sha, CAST(rank AS INTEGER) AS rank, unit, round(d, 6) AS d FROM ranked WHERE rank <= 3""")
+def bmu_top3(spark, root):
+    return _assign(spark, root, 3).select("sha", "rank", "unit", F.round("d", 6).alias("d"))
+
+
+@register("umatrix", f"""WITH {st.CODEBOOK_SQL},
+offs AS (SELECT dr, dc FROM range(-1, 2) a(dr), range(-1, 2) b(dc) WHERE NOT (dr = 0 AND dc = 0)),
+nb AS (SELECT DISTINCT c.unit, o.unit AS nunit FROM codebook c, offs
+       JOIN codebook o ON o."row" = ((c."row" + dr) % {st.GRID_ROWS} + {st.GRID_ROWS}) % {st.GRID_ROWS}
+                      AND o.col = ((c.col + dc) % {st.GRID_COLS} + {st.GRID_COLS}) % {st.GRID_COLS}
+       WHERE o.unit <> c.unit)
+SELECT c.unit, c."row", c.col, round(avg(list_distance(c.w, o.w)), 6) AS u
+FROM nb JOIN codebook c ON c.unit = nb.unit JOIN codebook o ON o.unit = nb.nunit
+GROUP BY c.unit, c."row", c.col""")
+def umatrix(spark, root):
+    u = som.umatrix(st.codebook(spark, root), st.GRID_ROWS, st.GRID_COLS)
+    return u.select("unit", "row", "col", F.round("u", 6).alias("u"))
+
+
+CELLS_SQL = BMU_SQL + f""",
+assign AS (SELECT sha, col AS bmu_col, "row" AS bmu_row FROM ranked WHERE rank = 1),
+grid AS (SELECT CAST(i % {st.GRID_COLS} AS INTEGER) AS bmu_col, CAST(i // {st.GRID_COLS} AS INTEGER) AS bmu_row
+         FROM range({st.GRID_ROWS * st.GRID_COLS}) t(i)),
+members AS (SELECT g.bmu_col, g.bmu_row, a.sha FROM grid g LEFT JOIN assign a
+            ON a.bmu_col = g.bmu_col AND a.bmu_row = g.bmu_row)"""
+
+
+def _members(spark, root):
+    a = _assign(spark, root).select("sha", "bmu_col", "bmu_row")
+    return som.cell_members(a, spark, st.GRID_ROWS, st.GRID_COLS)
+
+
+@register("cell_members", CELLS_SQL + "\nSELECT bmu_col, bmu_row, sha FROM members")
+def cell_members(spark, root):
+    return _members(spark, root)
+
+
+@register("members_to_books", CELLS_SQL + """
+SELECT e.vec_id AS sha, e.label, m.bmu_col, m.bmu_row FROM embeddings e
+LEFT JOIN members m ON m.sha = e.vec_id""")
+def members_to_books(spark, root):
+    from shelfmap.sources.tables import read_table
+    books = read_table(spark, root, "embeddings").select(F.col("vec_id").alias("sha"), "label")
+    return som.members_to_books(books, _members(spark, root))
+
+
+@register("cell_set_add", CELLS_SQL + f""",
+{st.BOOKPARTS_SQL}
+SELECT DISTINCT u.bmu_col, u.bmu_row, u.sha FROM (
+  SELECT bmu_col, bmu_row, sha FROM bookparts
+  UNION ALL SELECT bmu_col, bmu_row, sha FROM members WHERE sha IS NOT NULL) u
+WHERE EXISTS (SELECT 1 FROM grid g WHERE g.bmu_col = u.bmu_col AND g.bmu_row = u.bmu_row)""")
+def cell_set_add(spark, root):
+    old = st.bookparts(spark, root).select("bmu_col", "bmu_row", "sha")
+    new = _members(spark, root).where(F.col("sha").isNotNull())
+    return som.cell_set_add(old, new, spark, st.GRID_ROWS, st.GRID_COLS)
