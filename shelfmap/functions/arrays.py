@@ -8,13 +8,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn`` as a lambda variable.
+
+    Catalyst inlines a sub-expression used inside a lambda, so e.g. the sum
+    in ``transform(a, x -> x / sum(a))`` would be recomputed per element; a
+    one-element ``transform`` binds it once instead.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def arr_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
 def normalize_sum(a: Column) -> Column:
     """Scale an array to sum 1."""
-    return F.transform(a, lambda x: x / arr_sum(a))
+    return let(a, lambda v: let(arr_sum(v), lambda t: F.transform(v, lambda x: x / t)))
 
 
 def js_distance(a: Column, b: Column) -> Column:
@@ -31,31 +41,47 @@ def js_distance(a: Column, b: Column) -> Column:
 
 def minmax_scale(a: Column) -> Column:
     """``(x - min) / (max - min)``; a constant array becomes zeros."""
-    lo, hi = F.array_min(a), F.array_max(a)
-    return F.when(hi == lo, F.transform(a, lambda x: F.lit(0.0))).otherwise(
-        F.transform(a, lambda x: (x - lo) / (hi - lo)))
+    def scale(v):
+        return let(F.struct(F.array_min(v).alias("lo"), F.array_max(v).alias("hi")), lambda m: F.when(
+            m["hi"] == m["lo"], F.transform(v, lambda x: F.lit(0.0))).otherwise(
+            F.transform(v, lambda x: (x - m["lo"]) / (m["hi"] - m["lo"]))))
+    return let(a, scale)
+
 
+def gaussian_weights(fwhm: float = 2.0, truncate: float = 4.0, normalized: bool = True) -> list[float]:
+    """F7 kernel: sigma from the full width at half maximum, radius ``int(truncate*sigma+0.5)``.
 
-def gaussian_weights(fwhm: float = 2.0, truncate: float = 4.0) -> list[float]:
-    """F7 kernel: sigma from the full width at half maximum, radius ``int(truncate*sigma+0.5)``."""
+    ``exp(-k^2 / (2 sigma^2))`` equals ``2 ** (-4 k^2 / fwhm^2)``; written that
+    way the FWHM-2 kernel is exactly ``1, 1/2, 1/16, 1/512`` in binary.
+    """
     sigma = fwhm / (2.0 * math.sqrt(2.0 * math.log(2.0)))
     radius = int(truncate * sigma + 0.5)
-    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    raw = [2.0 ** (-4.0 * k * k / (fwhm * fwhm)) for k in range(-radius, radius + 1)]
+    if not normalized:
+        return raw
     total = sum(raw)
     return [w / total for w in raw]
 
 
-def gaussian_blur(a: Column, fwhm: float = 2.0) -> Column:
-    """1-D Gaussian filter over the flat array, edges mirrored (``d c b a | a b c d``)."""
-    weights = gaussian_weights(fwhm)
+def gaussian_blur(a: Column, fwhm: float = 2.0, normalized: bool = True) -> Column:
+    """1-D Gaussian filter over the flat array, edges mirrored (``d c b a | a b c d``).
+
+    ``normalized=False`` skips the division by the kernel sum; use it when a
+    scale-invariant step (min-max) follows, so sums of integer counts stay exact.
+    """
+    weights = gaussian_weights(fwhm, normalized=normalized)
     r = len(weights) // 2
-    n = F.size(a)
     w = F.array(*[F.lit(x) for x in weights])
 
-    def reflect(j):
-        m = F.pmod(j, 2 * n)
-        return F.when(m < n, m).otherwise(2 * n - 1 - m)
+    def blur(v):
+        n = F.size(v)
+
+        def reflect(j):
+            m = F.pmod(j, 2 * n)
+            return F.when(m < n, m).otherwise(2 * n - 1 - m)
+
+        return F.transform(v, lambda _, i: F.aggregate(
+            F.sequence(F.lit(-r), F.lit(r)), F.lit(0.0),
+            lambda s, k: s + F.element_at(w, k + r + 1) * F.element_at(v, reflect(i + k) + 1)))
 
-    return F.transform(a, lambda _, i: F.aggregate(
-        F.sequence(F.lit(-r), F.lit(r)), F.lit(0.0),
-        lambda s, k: s + F.element_at(w, k + r + 1) * F.element_at(a, reflect(i + k) + 1)))
+    return let(a, blur)

@@ -322,3 +322,121 @@ def cell_set_add(spark, root):
     old = st.bookparts(spark, root).select("bmu_col", "bmu_row", "sha")
     new = _members(spark, root).where(F.col("sha").isNotNull())
     return som.cell_set_add(old, new, spark, st.GRID_ROWS, st.GRID_COLS)
+
+
+# --- group F: word map features -------------------------------------------------
+
+from shelfmap.functions.arrays import gaussian_weights  # noqa: E402
+from shelfmap.operators import words as wo  # noqa: E402
+
+ORACLE_DIMS = 8
+
+
+def _word_vocab(spark, root):
+    toks = _training_tokens(spark, root)
+    return toks, txo.doc_freq(toks, "sha", "tokens", min_df=10)
+
+
+def _bigram_totals(toks):
+    bg = txo.add_bigrams(toks, "tokens", "bigrams")
+    return txo.vocabulary(bg, "sha", "bigrams", min_df=10).select("term", "total")
+
+
+def _long(df, key, col, name="v"):
+    """Arrays as ``(key, i, v)`` rows; values here are exact, so no rounding."""
+    return df.select(key, F.posexplode(col).alias("i", name))
+
+
+WORDS_SQL = f"""WITH {st.TRAINING_SQL}{TOKENS_CTE},
+vocab AS (SELECT term AS word FROM (SELECT DISTINCT sha, unnest(tokens) AS term FROM toks)
+          GROUP BY term HAVING count(*) >= 10),
+wv AS (SELECT word, CAST(i AS INTEGER) AS i,
+              ('0x' || substr(md5(word || '#' || CAST(i AS VARCHAR)), 1, 8))::UBIGINT / 4294967296.0 AS v
+       FROM vocab, range(0, {ORACLE_DIMS}) t(i)),
+bgall AS (SELECT sha, unnest({sq.bigrams_sql('tokens')}) AS term FROM toks),
+bigrams AS (SELECT term, count(*) AS total FROM bgall GROUP BY term HAVING count(DISTINCT sha) >= 10),
+bg AS (SELECT split_part(term, ' ', 1) AS w1, split_part(term, ' ', 2) AS w2, total FROM bigrams),
+side AS (
+  SELECT w1 AS word, 0 AS half, w2 AS other, total FROM bg
+  UNION ALL SELECT w2 AS word, 1 AS half, w1 AS other, total FROM bg),
+den AS (SELECT word, half, sum(total) AS den FROM side GROUP BY word, half),
+num AS (SELECT s.word, s.half, v.i, sum(s.total * v.v) AS num FROM side s JOIN wv v ON v.word = s.other
+        GROUP BY s.word, s.half, v.i),
+enc AS (
+  SELECT w.word, CAST(h.half * {ORACLE_DIMS} + d.i AS INTEGER) AS i,
+         CASE WHEN den.den > 0 THEN coalesce(num.num, 0) / den.den ELSE 0 END AS v
+  FROM vocab w CROSS JOIN (SELECT 0 AS half UNION ALL SELECT 1) h CROSS JOIN range(0, {ORACLE_DIMS}) d(i)
+  LEFT JOIN den ON den.word = w.word AND den.half = h.half
+  LEFT JOIN num ON num.word = w.word AND num.half = h.half AND num.i = d.i)"""
+
+
+@register("word_vectors", WORDS_SQL + "\nSELECT word, i, v FROM wv")
+def word_vectors(spark, root):
+    _, vocab = _word_vocab(spark, root)
+    return _long(wo.word_vectors(vocab, "term", ORACLE_DIMS), "word", "vec")
+
+
+def _encoding(spark, root):
+    toks, vocab = _word_vocab(spark, root)
+    vecs = wo.word_vectors(vocab, "term", ORACLE_DIMS)
+    return wo.context_encoding(vecs, _bigram_totals(toks), ORACLE_DIMS)
+
+
+@register("kaski_encoding", WORDS_SQL + "\nSELECT word, i, v FROM enc")
+def kaski_encoding(spark, root):
+    return _long(_encoding(spark, root), "word", "enc")
+
+
+@register("word_minmax", WORDS_SQL + """,
+mm AS (SELECT word, min(v) AS lo, max(v) AS hi FROM enc GROUP BY word)
+SELECT e.word, e.i, CASE WHEN mm.hi = mm.lo THEN 0 ELSE (e.v - mm.lo) / (mm.hi - mm.lo) END AS v
+FROM enc e JOIN mm ON mm.word = e.word""")
+def word_minmax(spark, root):
+    return _long(wo.word_minmax(_encoding(spark, root)), "word", "scaled")
+
+
+HIST_UNITS = st.HIST_ROWS * st.HIST_COLS
+_W = gaussian_weights(normalized=False)
+_R = len(_W) // 2
+HIST_SQL = f"""WITH {st.TRAINING_SQL}{TOKENS_CTE},
+bag AS (SELECT sha, term, count(*) AS n FROM (SELECT sha, unnest(tokens) AS term FROM toks) GROUP BY sha, term),
+vocab AS (SELECT term FROM bag GROUP BY term HAVING count(*) >= 10),
+cells AS (SELECT term, CAST((('0x' || substr(md5(term), 1, 8))::UBIGINT % {HIST_UNITS}) AS INTEGER) AS idx FROM vocab),
+hits AS (SELECT b.sha, c.idx, CAST(sum(b.n) AS BIGINT) AS n FROM bag b JOIN cells c ON c.term = b.term
+         GROUP BY b.sha, c.idx),
+dense AS (SELECT t.sha, CAST(r.i AS INTEGER) AS i, coalesce(h.n, 0)::DOUBLE AS h
+          FROM training t CROSS JOIN range(0, {HIST_UNITS}) r(i)
+          LEFT JOIN hits h ON h.sha = t.sha AND h.idx = r.i),
+kern AS (SELECT * FROM (VALUES {", ".join(f"({k - _R}, {w!r})" for k, w in enumerate(_W))}) kv(k, w)),
+blur AS (SELECT d.sha, d.i, sum(kern.w * s.h) AS b FROM dense d CROSS JOIN kern
+         JOIN dense s ON s.sha = d.sha AND s.i = CASE
+           WHEN ((d.i + kern.k) % {2 * HIST_UNITS} + {2 * HIST_UNITS}) % {2 * HIST_UNITS} < {HIST_UNITS}
+           THEN ((d.i + kern.k) % {2 * HIST_UNITS} + {2 * HIST_UNITS}) % {2 * HIST_UNITS}
+           ELSE {2 * HIST_UNITS - 1} - ((d.i + kern.k) % {2 * HIST_UNITS} + {2 * HIST_UNITS}) % {2 * HIST_UNITS} END
+         GROUP BY d.sha, d.i),
+mm AS (SELECT sha, min(b) AS lo, max(b) AS hi FROM blur GROUP BY sha)"""
+
+
+def _hits(spark, root):
+    toks = _training_tokens(spark, root)
+    counts = txo.term_counts(toks, "sha", "tokens")
+    vocab = txo.term_stats(counts).where(F.col("df") >= 10).select("term")
+    cells = vocab.select("term", wo.md5_cell(F.col("term"), HIST_UNITS).alias("u")).select(
+        "term", (F.col("u") % st.HIST_COLS).alias("bmu_col"), (F.col("u") / st.HIST_COLS).cast("int").alias("bmu_row"))
+    return toks, wo.hit_counts(counts, cells, st.HIST_COLS)
+
+
+@register("hit_histogram", HIST_SQL + "\nSELECT sha, idx, n FROM hits")
+def hit_histogram(spark, root):
+    _, hits = _hits(spark, root)
+    return hits.select(F.col("doc").alias("sha"), "idx", "n")
+
+
+@register("hit_histogram_blur", HIST_SQL + """
+SELECT b.sha, b.i, CASE WHEN mm.hi = mm.lo THEN 0 ELSE (b.b - mm.lo) / (mm.hi - mm.lo) END AS v
+FROM blur b JOIN mm ON mm.sha = b.sha""")
+def hit_histogram_blur(spark, root):
+    toks, hits = _hits(spark, root)
+    dense = wo.dense_histogram(toks.select(F.col("sha").alias("doc")), hits, HIST_UNITS)
+    out = wo.blurred_histogram(dense)
+    return _long(out.select(F.col("doc").alias("sha"), "h"), "sha", "h")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmap.functions.arrays import normalize_sum
 from shelfmap.sources.tables import read_table
 
 GRID_ROWS, GRID_COLS = 10, 12          # codebook stand-in: 120 units
@@ -73,9 +74,7 @@ def dist(spark: SparkSession, root: str) -> DataFrame:
     """``embeddings`` squared and normalised: a probability vector per row."""
     e = read_table(spark, root, "embeddings")
     sq = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * x)
-    total = F.aggregate(sq, F.lit(0.0), lambda a, x: a + x)
-    return e.select(F.col("vec_id").alias("sha"), "label",
-                    F.transform(sq, lambda x: x / total).alias("p"))
+    return e.select(F.col("vec_id").alias("sha"), "label", normalize_sum(sq).alias("p"))
 
 
 DIST_SQL = """dist AS (
