@@ -440,3 +440,41 @@ def hit_histogram_blur(spark, root):
     dense = wo.dense_histogram(toks.select(F.col("sha").alias("doc")), hits, HIST_UNITS)
     out = wo.blurred_histogram(dense)
     return _long(out.select(F.col("doc").alias("sha"), "h"), "sha", "h")
+
+
+# --- group G: models (no SQL oracle; invariants in tests) -------------------------
+
+from shelfmap.operators import topics as tp  # noqa: E402
+
+MAP_EPOCHS = 10
+
+
+def _topic_model(spark, root):
+    docs = st.training_docs(spark, root).select("sha", tx.doc_text().alias("text"))
+    return docs, tp.fit_topics(docs, "text")
+
+
+@register("lda_topics")
+def lda_topics(spark, root):
+    docs, model = _topic_model(spark, root)
+    return tp.topic_distribution(model, docs, "sha", "text")
+
+
+@register("som_train")
+def som_train(spark, root):
+    data = st.dist(spark, root)
+    W, errors = som.train_som(data, "p", st.GRID_ROWS, st.GRID_COLS, epochs=MAP_EPOCHS)
+    cb = som.codebook_frame(spark, W, st.GRID_ROWS, st.GRID_COLS)
+    err = spark.createDataFrame([(i, float(e)) for i, e in enumerate(errors)], "epoch int, qe double")
+    return cb.crossJoin(F.broadcast(err.where(F.col("epoch") == len(errors) - 1))).drop("epoch")
+
+
+@register("place_texts")
+def place_texts(spark, root):
+    from shelfmap.sources.tables import read_table
+    docs, model = _topic_model(spark, root)
+    dist = tp.topic_distribution(model, docs, "sha", "text")
+    W, _ = som.train_som(dist, "p", st.GRID_ROWS, st.GRID_COLS, epochs=MAP_EPOCHS)
+    cb = som.codebook_frame(spark, W, st.GRID_ROWS, st.GRID_COLS)
+    texts = read_table(spark, root, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return tp.place_texts(texts, model, cb, "id", "text")
