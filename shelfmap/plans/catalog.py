@@ -478,3 +478,51 @@ def place_texts(spark, root):
     cb = som.codebook_frame(spark, W, st.GRID_ROWS, st.GRID_COLS)
     texts = read_table(spark, root, "benchmark").select(F.col("item_id").alias("id"), "text")
     return tp.place_texts(texts, model, cb, "id", "text")
+
+
+# --- A16 / H: upsert and streaming -----------------------------------------------
+
+from shelfmap.operators import upsert as up  # noqa: E402
+from shelfmap.sources.tables import read_table  # noqa: E402
+from shelfmap.streaming import placement as sp  # noqa: E402
+
+CUT = "2024-01-16 00:00:00"
+
+
+def _partial_events(spark, root):
+    e = read_table(spark, root, "events")
+    return e.select("user_id", F.col("event_id").alias("sha"), "ts", "event_id",
+                    F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("event_type"),
+                    "value", "props")
+
+
+@register("upsert_latest", """
+SELECT user_id, min(event_id) AS sha,
+       arg_max(event_type, (ts, event_id)) FILTER (WHERE event_id % 3 <> 0 AND event_type IS NOT NULL) AS event_type,
+       arg_max(value, (ts, event_id)) FILTER (WHERE value IS NOT NULL) AS value,
+       arg_max(props, (ts, event_id)) FILTER (WHERE props IS NOT NULL) AS props,
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS ts
+FROM events GROUP BY user_id""")
+def upsert_latest(spark, root):
+    ev = _partial_events(spark, root)
+    order = ["ts", "event_id"]
+    stored = up.merge_batch(ev.where(F.col("ts") < F.lit(CUT).cast("timestamp_ntz")), "user_id", order)
+    batch = ev.where(F.col("ts") >= F.lit(CUT).cast("timestamp_ntz"))
+    out = up.upsert(stored, batch, "user_id", order)
+    return out.select("user_id", "sha", "event_type", "value", "props",
+                      F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+
+
+@register("stream_place", BMU_SQL + """
+SELECT sha, unit, col AS bmu_col, "row" AS bmu_row, round(d, 6) AS d FROM ranked WHERE rank = 1""")
+def stream_place(spark, root):
+    path = f"{root.rstrip('/')}/[e]mbeddings.parquet"     # glob: the file source lists a folder
+    schema = read_table(spark, root, "embeddings").schema
+    cb = st.codebook(spark, root)
+
+    def place(batch):
+        vecs = batch.select(F.col("vec_id").alias("sha"), F.col("embedding").cast("array<double>").alias("x"))
+        return som.assign_bmu(vecs, cb, "sha", "x").drop("rank")
+
+    out = sp.stream_place_folder(spark, path, schema, place)
+    return out.select("sha", "unit", "bmu_col", "bmu_row", F.round("d", 6).alias("d"))
