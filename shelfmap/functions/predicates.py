@@ -104,7 +104,7 @@ def relative_cutoff(spec: str, now: datetime) -> datetime | None:
 
 def relative_cutoff_col(spec: Column, now: Column) -> Column:
     """Column form of ``relative_cutoff`` for a table of specs."""
-    n = F.try_cast(F.regexp_extract(spec, r"^(\d+)([smMyhdw])$", 1), "long")
+    n = (F.regexp_extract(spec, r"^(\d+)([smMyhdw])$", 1)).try_cast("long")
     unit = F.regexp_extract(spec, r"^(\d+)([smMyhdw])$", 2)
     secs = F.coalesce(*[F.when(unit == F.lit(u), F.lit(s)) for u, s in UNIT_SECONDS.items()])
     return F.when(n.isNotNull(), F.date_trunc("hour", F.timestamp_seconds(F.unix_timestamp(now) - n * secs)))
@@ -119,9 +119,9 @@ def query_param(url: Column, key: str, kind: str = "string") -> Column:
         low = F.lower(raw)
         return F.when(low == "true", True).when(low == "false", False)
     if kind == "year":
-        y = F.try_cast(raw, "int")
+        y = (raw).try_cast("int")
         return F.when((y >= 0) & (y <= 9999), y)
-    return raw if kind == "string" else F.try_cast(raw, kind)
+    return raw if kind == "string" else (raw).try_cast(kind)
 
 
 def conditional_key_match(left_year: Column, right_year: Column) -> Column:

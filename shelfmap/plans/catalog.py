@@ -526,3 +526,208 @@ def stream_place(spark, root):
 
     out = sp.stream_place_folder(spark, path, schema, place)
     return out.select("sha", "unit", "bmu_col", "bmu_row", F.round("d", 6).alias("d"))
+
+
+# --- group A / S: extraction and scalar functions ------------------------------------
+
+from shelfmap.functions import scalars as sc  # noqa: E402
+from shelfmap.functions.predicates import path_label, query_param  # noqa: E402
+from shelfmap.schema import SHOP_LINK_COLUMNS, SHOP_NAMES  # noqa: E402
+from shelfmap.sources import extract as ex  # noqa: E402
+
+STRIP_SQL = "regexp_replace(replace(replace({e}, chr(10), ''), chr(9), ''), '^[{sp}]+|[{sp}]+$', '', 'g')"
+
+
+def _strip_sql(e: str) -> str:
+    return STRIP_SQL.format(e=e, sp=sq.SP)
+
+
+@register("page_fields", f"""
+SELECT page_id,
+       nullif({_strip_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS page_title,
+       nullif(regexp_extract(html, '(?is)<html[^>]*\\slang="([^"]*)"', 1), '') AS lang,
+       NULL::VARCHAR AS author, NULL::VARCHAR AS title, NULL::VARCHAR AS language
+FROM pages WHERE NOT regexp_matches(html, '(?is)<table[^>]*bibrec')""")
+def page_fields(spark, root):
+    pages = read_table(spark, root, "pages")
+    fields = ex.html_table_fields(pages)
+    return (pages.select("page_id", ex.page_title(F.col("html")).alias("page_title"),
+                         ex.page_lang(F.col("html")).alias("lang"))
+            .join(fields.select("page_id", "author", "title", "language"), "page_id"))
+
+
+PATH_RULES = [("/en/", "english"), ("/fr/", "french"), ("/de/", "german"), ("/es/", "spanish")]
+
+
+@register("url_parts", f"""
+SELECT page_id, host, path, query,
+       TRY_CAST(nullif(regexp_extract(query, '(?:^|&)page=([^&]*)', 1), '') AS INTEGER) AS page,
+       nullif(regexp_extract(query, '(?:^|&)utm_source=([^&]*)', 1), '') AS utm_source,
+       split_part(url, '/', -1) AS last_segment,
+       CASE {" ".join(f"WHEN contains(path, '{a}') THEN '{b}'" for a, b in PATH_RULES)} END AS section,
+       'https://www.example.org/book/' || CAST(page_id AS VARCHAR) AS book_url
+FROM (SELECT page_id, url,
+             regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host,
+             regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+             CASE WHEN contains(url, '?') THEN regexp_extract(url, '\\?([^#]*)', 1) END AS query
+      FROM pages)""")
+def url_parts(spark, root):
+    p = read_table(spark, root, "pages")
+    path = F.try_parse_url(F.col("url"), F.lit("PATH"))
+    return p.select(
+        "page_id",
+        F.try_parse_url(F.col("url"), F.lit("HOST")).alias("host"),
+        path.alias("path"),
+        F.try_parse_url(F.col("url"), F.lit("QUERY")).alias("query"),
+        query_param(F.col("url"), "page", "int").alias("page"),
+        query_param(F.col("url"), "utm_source").alias("utm_source"),
+        sc.last_segment(F.col("url")).alias("last_segment"),
+        path_label(path, PATH_RULES).alias("section"),
+        sc.page_url("https://www.example.org/book/", F.col("page_id")).alias("book_url"))
+
+
+@register("affiliate_links", """
+SELECT page_id, NULL::VARCHAR AS link_page,
+       'http://' || host || '/gp/product/B' || CAST(page_id AS VARCHAR) || '/ref=nosim?tag=t-20' AS link_gp,
+       'http://' || host || '/dp/' || CAST(page_id AS VARCHAR) || '/ref=nosim?tag=t-20' AS link_dp
+FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages)""")
+def affiliate_links(spark, root):
+    p = read_table(spark, root, "pages")
+    host = F.try_parse_url(F.col("url"), F.lit("HOST"))
+    gp = F.concat(F.lit("https://"), host, F.lit("/gp/product/B"), F.col("page_id").cast("string"), F.lit("/ref=x?y=1"))
+    dp = F.concat(F.lit("https://"), host, F.lit("/dp/"), F.col("page_id").cast("string"))
+    return p.select("page_id", sc.affiliate_link(F.col("url"), "t-20").alias("link_page"),
+                    sc.affiliate_link(gp, "t-20").alias("link_gp"),
+                    sc.affiliate_link(dp, "t-20").alias("link_dp"))
+
+
+@register("date_parsers", """
+SELECT event_id, strftime(ts, '%b %-d, %Y') AS s5_in,
+       strftime(strptime(strftime(ts, '%b %-d, %Y'), '%b %-d, %Y'), '%Y-%m-%d') AS s5,
+       strftime(ts, '%Y') || '-01-01' AS s6, strftime(ts, '%Y') AS s2,
+       CASE WHEN CAST(round(value * 1000) AS BIGINT) <> 0 THEN CAST(round(value * 1000) AS BIGINT) END AS s4_ms
+FROM events""")
+def date_parsers(spark, root):
+    e = read_table(spark, root, "events")
+    s5_in = F.date_format("ts", "MMM d, yyyy")
+    iso = F.date_format("ts", "yyyy-MM-dd")
+    ms = F.round(F.col("value") * 1000).cast("long")
+    return e.select("event_id", s5_in.alias("s5_in"),
+                    F.date_format(sc.parse_month_day_year(s5_in), "yyyy-MM-dd").alias("s5"),
+                    F.date_format(sc.free_year(iso), "yyyy-MM-dd").alias("s6"),
+                    sc.year_prefix(iso).alias("s2"),
+                    F.unix_millis(sc.millis_to_ts(ms)).alias("s4_ms"))
+
+
+def _metadata_json(spark, root):
+    b = st.bookdocs(spark, root)
+    md = F.struct(F.col("sha").cast("string").alias("identifier"), F.col("title"),
+                  F.array("spider", "language").alias("creator"), F.col("summary").alias("description"),
+                  F.array("language").alias("subject"), F.col("language"),
+                  F.lit(None).cast("string").alias("isbn"), F.col("spider").alias("publisher"))
+    return b.select("sha", F.to_json(F.struct(md.alias("metadata"))).alias("json"))
+
+
+@register("json_metadata", f"""WITH {st.BOOKDOCS_SQL}
+SELECT sha, CAST(sha AS VARCHAR) AS book_id, 'http://archive.org/details/' || CAST(sha AS VARCHAR) AS url,
+       nullif({_strip_sql('title')}, '') AS title, nullif({_strip_sql("spider || ' ' || language")}, '') AS author,
+       nullif({_strip_sql('summary')}, '') AS summary, nullif({_strip_sql('language')}, '') AS subject,
+       nullif({_strip_sql('language')}, '') AS language, NULL::VARCHAR AS isbn_10,
+       nullif({_strip_sql('spider')}, '') AS editor
+FROM bookdocs""")
+def json_metadata(spark, root):
+    out = ex.metadata_fields(_metadata_json(spark, root))
+    return out.select("sha", "book_id", "url", "title", "author", "summary", "subject", "language",
+                      "isbn_10", "editor")
+
+
+@register("first_isbn", f"""WITH {st.BOOKDOCS_SQL}
+SELECT sha, CASE WHEN language = 'en' THEN lpad(CAST(sha AS VARCHAR), 10, '0') END AS isbn_10,
+       'https://archive.org/download/' || CAST(sha AS VARCHAR) || '/' || CAST(sha AS VARCHAR) || '_djvu.txt' AS text_url
+FROM bookdocs""")
+def first_isbn(spark, root):
+    b = st.bookdocs(spark, root)
+    ident = lambda t, v: F.struct(F.lit(t).alias("type"), v.alias("identifier"))
+    ids13 = F.array(ident("ISBN_13", F.concat(F.lit("978"), F.col("sha").cast("string"))))
+    ids = F.when(F.col("language") == "en", F.concat(
+        ids13, F.array(ident("ISBN_10", F.lpad(F.col("sha").cast("string"), 10, "0"))))).otherwise(ids13)
+    items = F.array(F.struct(F.struct(F.array().cast("array<struct<type:string,identifier:string>>")
+                                      .alias("industryIdentifiers")).alias("volumeInfo")),
+                    F.struct(F.struct(ids.alias("industryIdentifiers")).alias("volumeInfo")))
+    sha = F.col("sha").cast("string")
+    files = F.array(F.struct(F.concat(sha, F.lit(".pdf")).alias("name"), F.lit("Text PDF").alias("format")),
+                    F.struct(F.concat(sha, F.lit("_djvu.txt")).alias("name"), F.lit("DjVuTXT").alias("format")))
+    j = b.select("sha", F.to_json(F.struct(items.alias("items"))).alias("vol"),
+                 F.to_json(F.struct(files.alias("files"))).alias("files"))
+    return j.select("sha", ex.first_isbn10(F.col("vol")).alias("isbn_10"),
+                    ex.first_file_url(F.col("files"), F.col("sha").cast("string")).alias("text_url"))
+
+
+SHOPS = list(SHOP_NAMES)
+
+
+def _shop_of(h):
+    names = F.array(*[F.lit(n) for n in SHOPS])
+    i = (F.conv(F.substring(F.md5(h), 1, 8), 16, 10).cast("long") % len(SHOPS)).cast("int")
+    return F.element_at(names, i + 1)
+
+
+def _goodreads_pages(spark, root):
+    p = read_table(spark, root, "pages")
+    hrefs = F.regexp_extract_all(F.col("html"), F.lit(r'<li><a href="([^"]*)"'), 1)
+    kind = F.when(F.substring(F.md5(F.col("url")), 1, 1) < "8", "KindleLink").otherwise("AmazonLink")
+    link = lambda t, n, u: F.struct(t.alias("__typename"), n.alias("name"), u.alias("url"))
+    book = F.struct(ex.page_title(F.col("html")).alias("title"),
+                    F.struct(F.concat(F.lit("Contributor:kca://author/"), F.col("page_id").cast("string")).alias("__ref"))
+                    .alias("node").alias("primaryContributorEdge"),
+                    F.struct(link(kind, F.lit("Amazon"), F.col("url")).alias("primaryAffiliateLink"),
+                             F.transform(hrefs, lambda h: link(F.lit("Link"), _shop_of(h), h))
+                             .alias("secondaryAffiliateLinks")).alias("links({})"))
+    book = F.struct(book["title"].alias("title"),
+                    F.struct(F.struct(F.concat(F.lit("Contributor:kca://author/"), F.col("page_id").cast("string"))
+                                      .alias("__ref")).alias("node")).alias("primaryContributorEdge"),
+                    book["links({})"].alias("links({})"))
+    work = F.struct(F.struct((F.col("page_id") * 86400000).alias("publicationTime")).alias("details"),
+                    F.struct(F.col("page_id").alias("ratingsCount"),
+                             F.array(F.lit(0), F.col("page_id"), F.lit(2), F.lit(3), F.lit(4)).alias("ratingsCountDist"))
+                    .alias("stats"))
+    author = F.struct(ex.page_lang(F.col("html")).alias("name"))
+    pid = F.col("page_id").cast("string")
+    js = F.concat(F.lit('{"props":{"pageProps":{"apolloState":{"Work:kca://work/'), pid, F.lit('":'), F.to_json(work),
+                  F.lit(',"Book:kca://book/'), pid, F.lit('":'), F.to_json(book),
+                  F.lit(',"Contributor:kca://author/'), pid, F.lit('":'), F.to_json(author), F.lit("}}}}"))
+    html = F.concat(F.lit('<html><body><script id="__NEXT_DATA__" type="application/json">'), js,
+                    F.lit("</script></body></html>"))
+    return p.select("page_id", F.concat(F.lit("https://www.example.org/book/show/"), pid).alias("url"),
+                    html.alias("html"))
+
+
+def _shop_sql():
+    names = "[" + ", ".join(f"'{n}'" for n in SHOPS) + "]"
+    shop = f"list_element({names}, CAST((('0x' || substr(md5(h), 1, 8))::UBIGINT % {len(SHOPS)}) AS INTEGER) + 1)"
+    cols = []
+    for name, column in SHOP_NAMES.items():
+        first = f"list_filter(hrefs, lambda h: {shop} = '{name}')[1]"
+        if column == "amazon_link":
+            cols.append(f"coalesce(CASE WHEN kind <> 'KindleLink' THEN url END, {first}) AS amazon_link")
+        else:
+            cols.append(f"{first} AS {column}")
+    return ",\n       ".join(cols)
+
+
+@register("shop_links", f"""
+SELECT page_id, 'gr_' || CAST(page_id AS VARCHAR) AS book_id,
+       nullif({_strip_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS title,
+       nullif(regexp_extract(html, '(?is)<html[^>]*\\slang="([^"]*)"', 1), '') AS author,
+       CASE WHEN page_id > 0 THEN page_id END AS ratings_count,
+       CASE WHEN page_id > 0 THEN page_id END AS rating_two_count,
+       CAST(4 AS BIGINT) AS rating_five_count,
+       CASE WHEN kind = 'KindleLink' THEN url END AS kindle_link,
+       {_shop_sql()}
+FROM (SELECT page_id, html, url, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS hrefs,
+             CASE WHEN substr(md5(url), 1, 1) < '8' THEN 'KindleLink' ELSE 'AmazonLink' END AS kind
+      FROM pages)""")
+def shop_links(spark, root):
+    out = ex.page_json_fields(_goodreads_pages(spark, root))
+    return out.select("page_id", "book_id", "title", "author", "ratings_count", "rating_two_count",
+                      "rating_five_count", *SHOP_LINK_COLUMNS)
