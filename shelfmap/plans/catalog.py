@@ -731,3 +731,57 @@ def shop_links(spark, root):
     out = ex.page_json_fields(_goodreads_pages(spark, root))
     return out.select("page_id", "book_id", "title", "author", "ratings_count", "rating_two_count",
                       "rating_five_count", *SHOP_LINK_COLUMNS)
+
+
+# --- A19 / A23-A26: sitemap and work lists ------------------------------------------------
+
+from shelfmap.sources import sitemap as sm  # noqa: E402
+
+SITE = "https://www.example.org/"
+STATIC = [(SITE, "1.00"), (SITE + "about", "0.80"), (SITE + "legal", "0.80"), (SITE + "impressum", "0.80")]
+LASTMOD = "2024-01-01"
+SITEMAP_CHUNK = 500
+
+SITEMAP_SQL = f"""WITH {st.BOOKPARTS_SQL},
+statics AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{u}', '{p}')" for i, (u, p) in enumerate(STATIC))})
+            s(pos, loc, priority)),
+books AS (SELECT row_number() OVER (ORDER BY md5(CAST(sha AS VARCHAR) || '#42'), sha) + {len(STATIC) - 1} AS pos,
+                 '{SITE}book/' || CAST(sha AS VARCHAR) AS loc, '0.80' AS priority FROM bookparts),
+entries AS (SELECT CAST(floor(pos / {SITEMAP_CHUNK}) + 1 AS INTEGER) AS file_num, pos, loc, priority
+            FROM (SELECT * FROM statics UNION ALL SELECT * FROM books))"""
+
+
+def _entries(spark, root):
+    return sm.sitemap_entries(spark, st.bookparts(spark, root), SITE + "book/", STATIC, LASTMOD, SITEMAP_CHUNK)
+
+
+@register("sitemap_chunks", SITEMAP_SQL + f"""
+SELECT file_num, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<urlset xmlns="{sm.XMLNS}">' || chr(10)
+  || string_agg('  <url>' || chr(10) || '    <loc>' || loc || '</loc>' || chr(10) || '    <lastmod>{LASTMOD}</lastmod>'
+     || chr(10) || '    <priority>' || priority || '</priority>' || chr(10) || '  </url>' || chr(10), '' ORDER BY pos)
+  || '</urlset>' || chr(10) AS xml
+FROM entries GROUP BY file_num""")
+def sitemap_chunks(spark, root):
+    return sm.sitemap_files(_entries(spark, root))
+
+
+@register("sitemap_index", SITEMAP_SQL + f"""
+SELECT DISTINCT file_num, '{SITE}sitemap_books_' || CAST(file_num AS VARCHAR) || '.xml' AS loc,
+       '{LASTMOD}' AS lastmod FROM entries""")
+def sitemap_index(spark, root):
+    return sm.sitemap_index(_entries(spark, root), SITE, LASTMOD)
+
+
+@register("work_lists", f"""WITH {st.BOOKDOCS_SQL}, {st.BOOKPARTS_SQL}
+SELECT 'repair' AS kind, sha AS id, '{SITE}book/show/' || CAST(sha AS VARCHAR) AS url FROM bookdocs
+WHERE spider = 'src3' AND nullif(title, '') IS NULL
+UNION ALL
+SELECT 'crawl' AS kind, i AS id, '{SITE}book/show/' || CAST(i AS VARCHAR) AS url
+FROM range(1, (SELECT max(sha) + 1 FROM bookparts)) t(i)""")
+def work_lists(spark, root):
+    repair = sm.repair_list(st.bookdocs(spark, root), "src3", SITE + "book/show/").select(
+        F.lit("repair").alias("kind"), F.col("book_id").alias("id"), "url")
+    top = st.bookparts(spark, root).agg(F.max("sha").alias("m")).first()["m"]
+    crawl = sm.crawl_list(spark, 1, int(top) + 1, SITE + "book/show/%d").select(
+        F.lit("crawl").alias("kind"), "id", "url")
+    return repair.unionByName(crawl)
