@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters folded for phrase search, and their bases.
+# Accented letters folded for phrase search.
 ACCENTED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįłñńňòóôõöøōőŕřśšşťùúûüūůűųýÿźżž"
-UNACCENTED = "aaaaaaaaacccdeeeeeeeeiiiiiilnnnooooooooorrsssttuuuuuuuuyyzzz"
+# Base letters by rule: first code point of the canonical decomposition
+# (two letters without one are mapped explicitly).
+UNACCENTED = "".join({"ł": "l", "ø": "o"}.get(c, unicodedata.normalize("NFD", c)[0]) for c in ACCENTED)
 
 OPERATORS = ("in", "exists", "contains", "lt", "lte", "gt", "gte", "ne", "length_gte", "all")
 
