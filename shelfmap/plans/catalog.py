@@ -202,8 +202,7 @@ vocab AS (SELECT term FROM bag GROUP BY term HAVING count(*) >= 2)
 SELECT sha, term, n FROM bag WHERE term IN (SELECT term FROM vocab)""")
 def bag_of_words(spark, root):
     toks = _training_tokens(spark, root)
-    vocab = txo.doc_freq(toks, "sha", "tokens", min_df=2)
-    return (txo.bag_of_words(toks, "sha", "tokens", vocab)
+    return (txo.bag_with_vocabulary(toks, "sha", "tokens", min_df=2)
             .select(F.col("doc").alias("sha"), "term", "n"))
 
 
