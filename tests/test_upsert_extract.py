@@ -121,3 +121,26 @@ def test_dense_index(spark):
     idx = sm.dense_index(df, [F.col("k")])
     assert sorted(r.rn for r in idx.collect()) == list(range(1, 1001))
     assert all(r.rn == r.k + 1 for r in idx.collect())
+
+
+def test_stream_ingest_upserts_once(spark):
+    from shelfmap.streaming import placement as sp
+    src = tempfile.mkdtemp(prefix="shelfmap-stage-")
+    schema = "book_id string, sha string, title string, o int"
+    spark.createDataFrame([("k1", "s1", "T", 1)], schema).write.mode("append").parquet(src)
+    table = up.VersionedTable(spark, tempfile.mkdtemp(prefix="shelfmap-vt-"), "book_id", ["o"], buckets=2)
+    ckpt = tempfile.mkdtemp(prefix="shelfmap-ck-")
+    sp.run_ingest(sp.staged_stream(spark, src, schema), table, ckpt)
+    spark.createDataFrame([("k1", "s9", "T2", 2)], schema).write.mode("append").parquet(src)
+    sp.run_ingest(sp.staged_stream(spark, src, schema), table, ckpt)
+    sp.run_ingest(sp.staged_stream(spark, src, schema), table, ckpt)      # nothing new: no change
+    assert [(r.book_id, r.sha, r.title) for r in table.read().collect()] == [("k1", "s1", "T2")]
+    assert table.manifest()["version"] == 2
+
+
+def test_cell_lookup(spark):
+    from shelfmap.operators import som
+    members = spark.createDataFrame([(0, 0, "a"), (0, 0, "b"), (1, 0, "c"), (1, 1, None)],
+                                    "bmu_col int, bmu_row int, sha string")
+    books = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "sha string, title string")
+    assert sorted(r.sha for r in som.cell_lookup(members, books, 0, 0).collect()) == ["a", "b"]
