@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmap.functions.arrays import js_distance  # noqa: F401  (column form, re-exported)
+from shelfmap.functions.arrays import explode_indexed, js_distance  # noqa: F401  (js: column form)
 
 MAX_QUERIES = 20_000        # query vectors per broadcast pass
 ZERO = 1e-9                 # distances at or below count as exact copies
@@ -112,7 +112,7 @@ def _scan(books, bq, k, drop_zero, id_col, vec_col, qid_col, qtype):
 
 def label_centroids(dist: DataFrame, label: str = "label", vec_col: str = "p") -> DataFrame:
     """Mean distribution per label: ``(qid, q)`` - partial/final per (label, dim)."""
-    per_dim = (dist.select(F.col(label).alias("qid"), F.posexplode(vec_col).alias("i", "v"))
+    per_dim = (dist.select(F.col(label).alias("qid"), explode_indexed(F.col(vec_col)))
                .groupBy("qid", "i").agg(F.avg("v").alias("v")))
     return (per_dim.groupBy("qid")
             .agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("iv"))

@@ -38,23 +38,24 @@ def context_encoding(words: DataFrame, bigrams: DataFrame, dims: int) -> DataFra
     """
     parts = F.split(F.col("term"), " ")
     bg = bigrams.select(parts.getItem(0).alias("w1"), parts.getItem(1).alias("w2"), "total")
+    # both sides stacked: (word, half, other word, total) -> one join, one aggregate
+    sides = (bg.select(F.col("w1").alias("word"), F.lit(0).alias("half"), F.col("w2").alias("other"), "total")
+             .unionByName(bg.select(F.col("w2").alias("word"), F.lit(1).alias("half"),
+                                    F.col("w1").alias("other"), "total")))
     vec = words.select(F.col("word").alias("other"), F.col("vec").alias("ovec"))
-
-    def side(key: str, other: str) -> DataFrame:
-        den = bg.groupBy(F.col(key).alias("word")).agg(F.sum("total").alias("den"))
-        num = (bg.join(vec, F.col(other) == F.col("other"))
-               .groupBy(F.col(key).alias("word"))
-               .agg(F.array(*[F.sum(F.col("total") * F.col("ovec")[i]) for i in range(dims)]).alias("num")))
-        return den.join(num, "word", "left")
-
+    agg = (sides.join(vec, "other", "left")
+           .groupBy("word", "half")
+           .agg(F.sum("total").alias("den"),
+                F.array(*[F.sum(F.col("total") * F.coalesce(F.col("ovec")[i], F.lit(0.0)))
+                          for i in range(dims)]).alias("num")))
     zeros = F.array_repeat(F.lit(0.0), dims)
 
     def mean(prefix: str):
         return F.when(F.col(f"{prefix}.den") > 0,
-                      F.transform(F.coalesce(F.col(f"{prefix}.num"), zeros),
-                                  lambda x: x / F.col(f"{prefix}.den"))).otherwise(zeros)
+                      F.transform(F.col(f"{prefix}.num"), lambda x: x / F.col(f"{prefix}.den"))).otherwise(zeros)
 
-    first, last = side("w1", "w2").alias("f"), side("w2", "w1").alias("l")
+    first = agg.where(F.col("half") == 0).alias("f")
+    last = agg.where(F.col("half") == 1).alias("l")
     return (words.select("word").alias("v")
             .join(first, F.col("v.word") == F.col("f.word"), "left")
             .join(last, F.col("v.word") == F.col("l.word"), "left")
@@ -111,3 +112,34 @@ def blurred_histogram(hist: DataFrame, col: str = "h", out: str = "h") -> DataFr
     integer counts and the dyadic FWHM-2 kernel every sum is exact.
     """
     return hist.withColumn(out, minmax_scale(gaussian_blur(F.col(col), normalized=False)))
+
+
+WORD_MAP = (15, 21)       # fixed values: word-category map rows x cols
+WORD_MIN_DF = 10
+
+
+def word_category_map(counts: DataFrame, bigram_totals: DataFrame, dims: int = WORD_DIMS,
+                      rows: int = WORD_MAP[0], cols: int = WORD_MAP[1], epochs: int = 10,
+                      min_df: int = WORD_MIN_DF):
+    """F3-F6 + G7 + G9: train the word map on context encodings; return ``(W, word_cells)``.
+
+    ``counts``: ``(doc, term, n)``; ``bigram_totals``: ``(term, total)``.
+    ``word_cells`` is ``(term, bmu_col, bmu_row)`` for every vocabulary word.
+    """
+    from shelfmap.operators.som import assign_bmu, codebook_frame, train_som
+    from shelfmap.operators.text import term_stats
+    vocab = term_stats(counts).where(F.col("df") >= min_df).select("term")
+    enc = word_minmax(context_encoding(word_vectors(vocab, "term", dims), bigram_totals, dims))
+    enc = enc.select("word", "scaled").checkpoint(eager=True)     # reused by training and placement
+    spark = counts.sparkSession
+    W, _ = train_som(enc, "scaled", rows, cols, epochs=epochs)
+    cells = assign_bmu(enc.select(F.col("word").alias("term"), "scaled"),
+                       codebook_frame(spark, W, rows, cols), "term", "scaled")
+    return W, cells.select("term", "bmu_col", "bmu_row")
+
+
+def document_histograms(docs: DataFrame, counts: DataFrame, word_cells: DataFrame,
+                        rows: int = WORD_MAP[0], cols: int = WORD_MAP[1], doc: str = "doc") -> DataFrame:
+    """blurred, min-max scaled hit histogram of every document, keyed by ``doc``."""
+    hits = hit_counts(counts, word_cells, cols)
+    return blurred_histogram(dense_histogram(docs.select(doc), hits, rows * cols, doc))

@@ -325,7 +325,7 @@ def cell_set_add(spark, root):
 
 # --- group F: word map features -------------------------------------------------
 
-from shelfmap.functions.arrays import gaussian_weights  # noqa: E402
+from shelfmap.functions.arrays import explode_indexed, gaussian_weights  # noqa: E402
 from shelfmap.operators import words as wo  # noqa: E402
 
 ORACLE_DIMS = 8
@@ -343,7 +343,7 @@ def _bigram_totals(toks):
 
 def _long(df, key, col, name="v"):
     """Arrays as ``(key, i, v)`` rows; values here are exact, so no rounding."""
-    return df.select(key, F.posexplode(col).alias("i", name))
+    return df.select(key, explode_indexed(F.col(col), "i", name))
 
 
 WORDS_SQL = f"""WITH {st.TRAINING_SQL}{TOKENS_CTE},
@@ -482,7 +482,7 @@ def place_texts(spark, root):
 # --- A16 / H: upsert and streaming -----------------------------------------------
 
 from shelfmap.operators import upsert as up  # noqa: E402
-from shelfmap.sources.tables import read_table  # noqa: E402
+from shelfmap.sources.tables import read_table, spread  # noqa: E402
 from shelfmap.streaming import placement as sp  # noqa: E402
 
 CUT = "2024-01-16 00:00:00"
@@ -548,7 +548,7 @@ SELECT page_id,
        NULL::VARCHAR AS author, NULL::VARCHAR AS title, NULL::VARCHAR AS language
 FROM pages WHERE NOT regexp_matches(html, '(?is)<table[^>]*bibrec')""")
 def page_fields(spark, root):
-    pages = read_table(spark, root, "pages")
+    pages = spread(read_table(spark, root, "pages"))
     fields = ex.html_table_fields(pages)
     return (pages.select("page_id", ex.page_title(F.col("html")).alias("page_title"),
                          ex.page_lang(F.col("html")).alias("lang"))
@@ -571,7 +571,7 @@ FROM (SELECT page_id, url,
              CASE WHEN contains(url, '?') THEN regexp_extract(url, '\\?([^#]*)', 1) END AS query
       FROM pages)""")
 def url_parts(spark, root):
-    p = read_table(spark, root, "pages")
+    p = spread(read_table(spark, root, "pages"))
     path = F.try_parse_url(F.col("url"), F.lit("PATH"))
     return p.select(
         "page_id",
@@ -591,7 +591,7 @@ SELECT page_id, NULL::VARCHAR AS link_page,
        'http://' || host || '/dp/' || CAST(page_id AS VARCHAR) || '/ref=nosim?tag=t-20' AS link_dp
 FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages)""")
 def affiliate_links(spark, root):
-    p = read_table(spark, root, "pages")
+    p = spread(read_table(spark, root, "pages"))
     host = F.try_parse_url(F.col("url"), F.lit("HOST"))
     gp = F.concat(F.lit("https://"), host, F.lit("/gp/product/B"), F.col("page_id").cast("string"), F.lit("/ref=x?y=1"))
     dp = F.concat(F.lit("https://"), host, F.lit("/dp/"), F.col("page_id").cast("string"))
@@ -672,7 +672,7 @@ def _shop_of(h):
 
 
 def _goodreads_pages(spark, root):
-    p = read_table(spark, root, "pages")
+    p = spread(read_table(spark, root, "pages"))
     hrefs = F.regexp_extract_all(F.col("html"), F.lit(r'<li><a href="([^"]*)"'), 1)
     kind = F.when(F.substring(F.md5(F.col("url")), 1, 1) < "8", "KindleLink").otherwise("AmazonLink")
     link = lambda t, n, u: F.struct(t.alias("__typename"), n.alias("name"), u.alias("url"))
@@ -784,3 +784,12 @@ def work_lists(spark, root):
     crawl = sm.crawl_list(spark, 1, int(top) + 1, SITE + "book/show/%d").select(
         F.lit("crawl").alias("kind"), "id", "url")
     return repair.unionByName(crawl)
+
+
+@register("websom_histograms")
+def websom_histograms(spark, root):
+    toks = _training_tokens(spark, root)
+    counts = txo.term_counts(toks, "sha", "tokens").checkpoint(eager=True)   # read three times below
+    _, cells = wo.word_category_map(counts, _bigram_totals(toks), epochs=MAP_EPOCHS)
+    docs = toks.select(F.col("sha").alias("doc"))
+    return wo.document_histograms(docs, counts, cells).select(F.col("doc").alias("sha"), "h")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmap.functions.arrays import normalize_sum
-from shelfmap.sources.tables import read_table
+from shelfmap.sources.tables import read_table, spread
 
 GRID_ROWS, GRID_COLS = 10, 12          # codebook stand-in: 120 units
 HIST_ROWS, HIST_COLS = 15, 21          # word-map grid for hit histograms
@@ -18,7 +18,7 @@ HIST_ROWS, HIST_COLS = 15, 21          # word-map grid for hit histograms
 
 def bookdocs(spark: SparkSession, root: str) -> DataFrame:
     """``documents`` as books: title = first line, summary = whole text."""
-    d = read_table(spark, root, "documents")
+    d = spread(read_table(spark, root, "documents"))
     return d.select(
         F.col("doc_id").alias("sha"),
         F.trim(F.substring_index("text", "\n", 1)).alias("title"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmap.functions.arrays import explode_values
 from shelfmap.functions.scalars import free_year, join_words, last_segment, parse_month_day_year
 from shelfmap.functions.text import strip_ws
 from shelfmap.schema import SHOP_NAMES
@@ -245,6 +246,6 @@ SEARCH = "struct<items:array<struct<identifier:string>>,cursor:string>"
 def search_expansion(responses: DataFrame, json_col: str = "json") -> DataFrame:
     """One metadata URL per item of a stored search-result page."""
     items = F.from_json(F.col(json_col), SEARCH)["items"]
-    return (responses.select(F.explode(items).alias("it"))
+    return (responses.select(explode_values(items, "it"))
             .select(F.col("it.identifier").alias("identifier"),
                     F.concat(F.lit("https://archive.org/metadata/"), F.col("it.identifier")).alias("url")))

@@ -40,3 +40,14 @@ def debug_lookup(books: DataFrame, ids: DataFrame, key: str = "sha") -> DataFram
     return (books.join(ids.select(key).distinct(), key, "left_semi")
             .where(F.col("summary").isNotNull())
             .select("book_id", "title", "author", "summary"))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when a plan has fewer partitions than the cluster has cores.
+
+    Small inputs (one file, one row group) otherwise run CPU-heavy text work
+    in a single task; at scale the scan already has enough splits and this
+    is a no-op (planning only, no job).
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
