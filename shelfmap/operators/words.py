@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from shelfmap.session import reliable_checkpoint
 
 from shelfmap.functions.arrays import gaussian_blur, minmax_scale
 
@@ -130,7 +131,7 @@ def word_category_map(counts: DataFrame, bigram_totals: DataFrame, dims: int = W
     from shelfmap.operators.text import term_stats
     vocab = term_stats(counts).where(F.col("df") >= min_df).select("term")
     enc = word_minmax(context_encoding(word_vectors(vocab, "term", dims), bigram_totals, dims))
-    enc = enc.select("word", "scaled").checkpoint(eager=True)     # reused by training and placement
+    enc = reliable_checkpoint(enc.select("word", "scaled"))     # reused by training and placement
     spark = counts.sparkSession
     W, _ = train_som(enc, "scaled", rows, cols, epochs=epochs)
     cells = assign_bmu(enc.select(F.col("word").alias("term"), "scaled"),

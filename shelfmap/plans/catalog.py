@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from shelfmap.operators import serve
 from shelfmap.functions.predicates import build_predicate
 from shelfmap.plans import standins as st
+from shelfmap.session import reliable_checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -789,7 +790,7 @@ def work_lists(spark, root):
 @register("websom_histograms")
 def websom_histograms(spark, root):
     toks = _training_tokens(spark, root)
-    counts = txo.term_counts(toks, "sha", "tokens").checkpoint(eager=True)   # read three times below
+    counts = reliable_checkpoint(txo.term_counts(toks, "sha", "tokens"))   # read three times below
     _, cells = wo.word_category_map(counts, _bigram_totals(toks), epochs=MAP_EPOCHS)
     docs = toks.select(F.col("sha").alias("doc"))
     return wo.document_histograms(docs, counts, cells).select(F.col("doc").alias("sha"), "h")

@@ -49,12 +49,20 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="shelfmap-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return sc.getCheckpointDir() or root
 
 
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` into the shared checkpoint folder (set up first if needed).
+
+    A reliable checkpoint survives executor loss; ``localCheckpoint`` would not.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused path under the shared checkpoint root."""
     root = checkpoint_root(spark).rstrip("/")

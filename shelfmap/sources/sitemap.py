@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmap.operators.serve import hash_order
+from shelfmap.session import reliable_checkpoint
 
 CHUNK = 25_000                    # fixed value: URLs per sitemap file
 XMLNS = "http://www.sitemaps.org/schemas/sitemap/0.9"
@@ -23,7 +24,7 @@ LOW_BITS = (1 << 33) - 1
 def dense_index(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     """1-based dense row number over a total order, without a single-task window."""
     spark = df.sparkSession
-    tagged = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    tagged = reliable_checkpoint(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_mid"), 33)
     counts = tagged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n")).collect()
     offsets, total = [], 0
