@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from shelfmap.session import reliable_checkpoint
 
-from shelfmap.functions.arrays import gaussian_blur, minmax_scale
+from shelfmap.functions.arrays import explode_indexed, gaussian_blur, minmax_scale
 
 WORD_DIMS = 90            # fixed value: random vector length of the word map
 
