@@ -84,6 +84,16 @@ def build_predicate(filters: dict | None) -> Column:
     return functools.reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def search_args(title: str | None = None, summary: str | None = None, filters: dict | None = None) -> dict:
+    """Top-level ``title`` / ``summary`` arguments become phrase searches on their own column."""
+    out = dict(filters or {})
+    if title is not None:
+        out["title__contains"] = title
+    if summary is not None:
+        out["summary__contains"] = summary
+    return out
+
+
 def array_has_all(col: Column, values: list) -> Column:
     """B8 for an array field: every provided value is present."""
     return F.size(F.array_except(F.array(*[F.lit(v) for v in values]), col)) == 0

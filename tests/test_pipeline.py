@@ -86,3 +86,12 @@ def test_corpus_and_stages(spark):
     sroot = tempfile.mkdtemp(prefix="shelfmap-stage-")
     assert stages.stage(spark, "s", make, root=sroot).count() == 3
     assert stages.stage(spark, "s", make, root=sroot).count() == 3 and len(calls) == 1
+
+
+def test_second_topic_variant(spark):
+    docs = st.training_docs(spark, SF_SMALL).select("sha", F.concat_ws(" ", "title", "summary").alias("text"))
+    model = tp.fit_topics(docs, "text", k=4, max_iter=2, alpha=True)
+    n = docs.count()
+    assert 0 < len(model.vectorizer.vocabulary) <= 100_000
+    sums = [sum(r.p) for r in tp.topic_distribution(model, docs, "sha", "text").collect()]
+    assert len(sums) == n and all(abs(s - 1) < 1e-9 for s in sums)

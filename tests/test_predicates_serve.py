@@ -73,3 +73,9 @@ def test_similar_books(spark):
     assert (2, 1) in out and (2, 3) in out                                # 'B ' differs from 'B' before trim
     assert not any(s == 6 for s, _ in out)                                # unplaced source
     assert {(5, o) for s, o in out if s == 5} == set()                    # only itself in its cell
+
+
+def test_search_args(spark):
+    df = spark.createDataFrame([("Red Widget", "a tale"), ("blue", "red widget story")], "title string, summary string")
+    assert df.where(pr.build_predicate(pr.search_args(title="red widget"))).count() == 1
+    assert df.where(pr.build_predicate(pr.search_args(summary="widget story"))).first().title == "blue"
