@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfmap.functions.arrays import explode_indexed, js_distance  # noqa: F401  (js: column form)
 
-MAX_QUERIES = 20_000        # query vectors per broadcast pass
+MAX_QUERIES = 2_000         # query vectors per broadcast pass
 ZERO = 1e-9                 # distances at or below count as exact copies
 CHUNK_CELLS = 4_000_000     # rows x queries x dims per numpy block
 
@@ -91,21 +91,24 @@ def _scan(books, bq, k, drop_zero, id_col, vec_col, qid_col, qtype):
             pdf = pdf[pdf[vec_col].notna()]
             if pdf.empty or len(qids) == 0:
                 continue
-            ids = pdf[id_col].to_numpy()
-            P = _normalize(np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]]))
-            D = _js_matrix(P, Q)
-            if drop_zero:
-                D = np.where(D > ZERO, D, np.inf)
-            out_q, out_id, out_d = [], [], []
-            for j in range(len(qids)):
-                col = D[:, j]
-                sel = _topk_rows(ids, col, k)
-                sel = sel[np.isfinite(col[sel])]
-                out_q.append(np.repeat(qids[j:j + 1], len(sel)))
-                out_id.append(ids[sel])
-                out_d.append(col[sel])
-            yield pd.DataFrame({qid_col: np.concatenate(out_q), id_col: np.concatenate(out_id),
-                                "d": np.concatenate(out_d)})
+            step = max(k, CHUNK_CELLS // max(1, len(qids)))      # rows per distance block
+            for s in range(0, len(pdf), step):
+                part = pdf.iloc[s:s + step]
+                ids = part[id_col].to_numpy()
+                P = _normalize(np.stack([np.asarray(v, dtype=np.float64) for v in part[vec_col]]))
+                D = _js_matrix(P, Q)
+                if drop_zero:
+                    D = np.where(D > ZERO, D, np.inf)
+                out_q, out_id, out_d = [], [], []
+                for j in range(len(qids)):
+                    col = D[:, j]
+                    sel = _topk_rows(ids, col, k)
+                    sel = sel[np.isfinite(col[sel])]
+                    out_q.append(np.repeat(qids[j:j + 1], len(sel)))
+                    out_id.append(ids[sel])
+                    out_d.append(col[sel])
+                yield pd.DataFrame({qid_col: np.concatenate(out_q), id_col: np.concatenate(out_id),
+                                    "d": np.concatenate(out_d)})
 
     return books.select(id_col, vec_col).mapInPandas(run, schema)
 
