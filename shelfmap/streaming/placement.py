@@ -60,3 +60,31 @@ def stream_place_folder(spark: SparkSession, path: str, schema, place, where=Non
     sink, ckpt = scratch_path(spark, "placed"), scratch_path(spark, "placed-ckpt")
     run_placement(staged_stream(spark, path, schema, max_files), place, sink, ckpt, where)
     return placed(spark, sink).drop("batch_id")
+
+
+def run_placement_updates(stream: DataFrame, place: Callable[[DataFrame], DataFrame], books,
+                          members_log: str, checkpoint: str, where=None, key: str = "sha") -> None:
+    """H1-H3: place each micro-batch, then the two keyed updates.
+
+    1. the book's cell: upsert ``(key, bmu_col, bmu_row)`` into ``books`` (a
+       ``VersionedTable``), skipped when the batch id was applied already;
+    2. the cell's member set: the batch's ``(bmu_col, bmu_row, key)`` rows under
+       ``members_log/batch_id=<id>`` (overwrite, so a replay rewrites the same rows).
+    Cell sets are the distinct rows of the log (``cell_set_add`` semantics).
+    """
+    src = stream.where(where) if where is not None else stream
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        placed = place(batch).select(key, "bmu_col", "bmu_row").persist()
+        placed.write.mode("overwrite").parquet(f"{members_log}/batch_id={batch_id}")
+        books.upsert(placed.withColumn("batch_id", F.lit(batch_id)), batch_id)
+        placed.unpersist()
+
+    q = (src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def cell_sets(spark: SparkSession, members_log: str, key: str = "sha") -> DataFrame:
+    """Distinct ``(bmu_col, bmu_row, key)`` of a member log: the cells' member sets."""
+    return spark.read.parquet(members_log).select("bmu_col", "bmu_row", key).distinct()

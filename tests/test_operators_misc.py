@@ -97,3 +97,21 @@ def test_placement_replay_changes_nothing(spark):
     first = sorted((r.sha, r.unit) for r in sp.placed(spark, sink).collect())
     sp.run_placement(stream(), place, sink, ckpt)          # replay: no new files, no new batch
     assert sorted((r.sha, r.unit) for r in sp.placed(spark, sink).collect()) == first == [(1, 0), (2, 1)]
+
+
+def test_placement_with_keyed_updates(spark):
+    from shelfmap.streaming import placement as sp
+    src = tempfile.mkdtemp(prefix="shelfmap-src-") + "/staging"
+    schema = "sha int, x array<double>"
+    spark.createDataFrame([(1, [0.0, 0.1]), (2, [1.9, 0.0])], schema).write.parquet(src)
+    cb = spark.createDataFrame([(0, 0, 0, [0.0, 0.0]), (1, 0, 1, [2.0, 0.0])], "unit int, row int, col int, w array<double>")
+    books = up.VersionedTable(spark, tempfile.mkdtemp(prefix="shelfmap-books-"), "sha", ["batch_id"], buckets=2)
+    log, ckpt = tempfile.mkdtemp(prefix="shelfmap-log-"), tempfile.mkdtemp(prefix="shelfmap-ck-")
+    place = lambda b: som.assign_bmu(b, cb)
+    sp.run_placement_updates(sp.staged_stream(spark, src, schema), place, books, log, ckpt)
+    spark.createDataFrame([(3, [2.1, 0.0])], schema).write.mode("append").parquet(src)
+    sp.run_placement_updates(sp.staged_stream(spark, src, schema), place, books, log, ckpt)
+    cells = sorted((r.bmu_col, r.sha) for r in sp.cell_sets(spark, log).collect())
+    assert cells == [(0, 1), (1, 2), (1, 3)]
+    placed = sorted((r.sha, r.bmu_col) for r in books.read().collect())
+    assert placed == [(1, 0), (2, 1), (3, 1)] and books.manifest()["batch_id"] == 1
