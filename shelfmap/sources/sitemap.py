@@ -17,6 +17,7 @@ from shelfmap.operators.serve import hash_order
 from shelfmap.session import reliable_checkpoint
 
 CHUNK = 25_000                    # fixed value: URLs per sitemap file
+INDEX_LIMIT = 50_000              # sitemap protocol: entries per index document
 XMLNS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 LOW_BITS = (1 << 33) - 1
 
@@ -70,14 +71,15 @@ def sitemap_index(entries: DataFrame, site: str, lastmod: str) -> DataFrame:
                                          F.lit(".xml")).alias("loc"), F.lit(lastmod).alias("lastmod")))
 
 
-def index_xml(index: DataFrame) -> DataFrame:
-    """The index document (one row; the index has one line per file, files = URLs / chunk)."""
+def index_xml(index: DataFrame, per_index: int = INDEX_LIMIT) -> DataFrame:
+    """Index documents ``(index_num, xml)``, at most ``per_index`` files each (protocol limit)."""
     item = F.concat(F.lit("  <sitemap>\n    <loc>"), F.col("loc"), F.lit("</loc>\n    <lastmod>"), F.col("lastmod"),
                     F.lit("</lastmod>\n  </sitemap>\n"))
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="{XMLNS}">\n'
-    return index.agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(
-        F.collect_list(F.struct("file_num", item.alias("x")))), lambda s: s["x"]), ""),
-        F.lit("</sitemapindex>\n")).alias("xml"))
+    grouped = (index.withColumn("index_num", (F.floor((F.col("file_num") - 1) / per_index) + 1).cast("int"))
+               .groupBy("index_num").agg(F.array_sort(F.collect_list(F.struct("file_num", item.alias("x")))).alias("u")))
+    return grouped.select("index_num", F.concat(F.lit(head), F.array_join(F.transform("u", lambda s: s["x"]), ""),
+                                                F.lit("</sitemapindex>\n")).alias("xml"))
 
 
 def write_sitemaps(files: DataFrame, out_dir: str) -> None:

@@ -25,8 +25,9 @@ def test_cells_cover_every_book_once(spark):
     placed = members.where(F.col("sha").isNotNull())
     assert placed.count() == 50 and placed.select("sha").distinct().count() == 50
     assert members.select("bmu_col", "bmu_row").distinct().count() == 4        # empty cell kept
-    lists = som.cell_member_lists(members, buckets=3)
+    lists = som.cell_member_lists(members, max_list=5)
     assert lists.select(F.sum(F.size("matched_list"))).first()[0] == 50
+    assert lists.select(F.max(F.size("matched_list"))).first()[0] <= 15      # hash buckets of ~5
 
 
 def test_cell_set_add_no_duplicates(spark):
