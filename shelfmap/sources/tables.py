@@ -42,12 +42,27 @@ def debug_lookup(books: DataFrame, ids: DataFrame, key: str = "sha") -> DataFram
             .select("book_id", "title", "author", "summary"))
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when a plan has fewer partitions than the cluster has cores.
+SPREAD_MAX_BYTES = 2 << 30     # only inputs this small are ever re-spread
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (no job)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
+    """Round-robin repartition of a small input read in fewer partitions than there are cores.
 
     Small inputs (one file, one row group) otherwise run CPU-heavy text work
-    in a single task; at scale the scan already has enough splits and this
-    is a no-op (planning only, no job).
+    in a single task.  Large inputs are never shuffled here: the guard also
+    requires Catalyst's size estimate to be below ``max_bytes``, and at scale
+    the scan has enough splits anyway (planning only, no job).
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    try:
+        small = estimated_bytes(df) <= max_bytes
+    except Exception:  # noqa: BLE001  (no statistics: leave the plan alone)
+        small = False
+    return df.repartition(want) if small else df

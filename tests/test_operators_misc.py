@@ -115,3 +115,10 @@ def test_placement_with_keyed_updates(spark):
     assert cells == [(0, 1), (1, 2), (1, 3)]
     placed = sorted((r.sha, r.bmu_col) for r in books.read().collect())
     assert placed == [(1, 0), (2, 1), (3, 1)] and books.manifest()["batch_id"] == 1
+
+
+def test_spread_only_small_inputs(spark):
+    df = spark.range(0, 1000).coalesce(1)
+    assert tables.spread(df, min_partitions=4).rdd.getNumPartitions() == 4
+    assert tables.spread(df, min_partitions=4, max_bytes=1).rdd.getNumPartitions() == 1
+    assert tables.spread(spark.range(0, 10, numPartitions=4), min_partitions=4).rdd.getNumPartitions() == 4
