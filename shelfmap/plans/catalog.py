@@ -542,12 +542,30 @@ def _strip_sql(e: str) -> str:
     return STRIP_SQL.format(e=e, sp=sq.SP)
 
 
+ROW_SQL = r"(?is)<tr[^>]*>\s*<th[^>]*>(.*?)</th>\s*<td[^>]*>(.*?)</td>"
+TABLE_SQL = r'(?is)<table[^>]*class="[^"]*bibrec[^"]*"[^>]*>(.*?)</table>'
+
+
+def _first_text_sql(e: str) -> str:
+    return f"nullif({_strip_sql(f'regexp_extract({e}, ' + chr(39) + '(?s)^([^<]*)' + chr(39) + ', 1)')}, '')"
+
+
+def _pick_sql(word: str, value: str) -> str:
+    return (f"list_filter(list_transform(range(1, len(hs) + 1), lambda i: CASE WHEN contains(hs[i], '{word}') "
+            f"THEN {value} END), lambda v: v IS NOT NULL)[1]")
+
+
 @register("page_fields", f"""
 SELECT page_id,
        nullif({_strip_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS page_title,
        nullif(regexp_extract(html, '(?is)<html[^>]*\\slang="([^"]*)"', 1), '') AS lang,
-       NULL::VARCHAR AS author, NULL::VARCHAR AS title, NULL::VARCHAR AS language
-FROM pages WHERE NOT regexp_matches(html, '(?is)<table[^>]*bibrec')""")
+       {_pick_sql('Author', _first_text_sql("regexp_extract(ds[i], '(?is)<a[^>]*>(.*?)</a>', 1)"))} AS author,
+       {_pick_sql('Title', _first_text_sql('ds[i]'))} AS title,
+       {_pick_sql('Language', _first_text_sql('ds[i]'))} AS language
+FROM (SELECT page_id, html,
+             regexp_extract_all(regexp_extract(html, '{TABLE_SQL}', 1), '{ROW_SQL}', 1) AS hs,
+             regexp_extract_all(regexp_extract(html, '{TABLE_SQL}', 1), '{ROW_SQL}', 2) AS ds
+      FROM pages)""")
 def page_fields(spark, root):
     pages = spread(read_table(spark, root, "pages"))
     fields = ex.html_table_fields(pages)
