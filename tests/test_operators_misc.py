@@ -122,3 +122,19 @@ def test_spread_only_small_inputs(spark):
     assert tables.spread(df, min_partitions=4).rdd.getNumPartitions() == 4
     assert tables.spread(df, min_partitions=4, max_bytes=1).rdd.getNumPartitions() == 1
     assert tables.spread(spark.range(0, 10, numPartitions=4), min_partitions=4).rdd.getNumPartitions() == 4
+
+
+def test_topk_and_pushdown_plans(spark):
+    from shelfmap.plans import catalog
+    from conftest import SF_SMALL
+
+    def formatted(df):
+        return df._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+    sim = formatted(catalog.QUERIES["similar_books_same_cell"](spark, SF_SMALL))
+    assert sim.count("WindowGroupLimit") >= 2                      # partial + final around the shuffle
+    knn = formatted(catalog.QUERIES["js_knn"](spark, SF_SMALL))
+    assert knn.count("WindowGroupLimit") >= 2 and "CartesianProduct" not in knn
+    flt = formatted(catalog.QUERIES["filter_summary_length"](spark, SF_SMALL))
+    assert "EqualTo(lang,en)" in flt and "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in flt
