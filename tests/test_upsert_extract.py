@@ -146,3 +146,13 @@ def test_cell_lookup(spark):
                                     "bmu_col int, bmu_row int, sha string")
     books = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "sha string, title string")
     assert sorted(r.sha for r in som.cell_lookup(members, books, 0, 0).collect()) == ["a", "b"]
+
+
+def test_catalogue_table_all_fields(spark):
+    html = ('<table class="bibrec"><tr><th>Summary</th><td>\tA short one. <i>x</i></td></tr>'
+            '<tr><th>Credits</th><td>Team</td></tr><tr><th>Editor</th><td></td></tr>'
+            '<tr><th>Editor</th><td>Ed Smith</td></tr><tr><th>Original Language</th><td>French</td></tr>'
+            '<tr><th>Release Date</th><td>bad date</td></tr></table>')
+    r = ex.html_table_fields(spark.createDataFrame([(1, html)], "page_id int, html string")).first()
+    assert (r.summary, r.credits, r.editor, r.language) == ("A short one.", "Team", "Ed Smith", "French")
+    assert r.release is None and r.author is None and r.author_url is None
