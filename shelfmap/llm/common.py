@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
+# Members of a regular expression class: Unicode white space, as tokenizer patterns see it.
+UNICODE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Rows per Arrow batch: texts may be long, so batches are kept short.
 BATCH_ROWS = "256"
 
@@ -68,3 +72,45 @@ class TwoGenerations:
 def slices(rows: list, size: int) -> Iterator[list]:
     for i in range(0, len(rows), size):
         yield rows[i:i + size]
+
+
+def per_text(schema: str, make, *columns: Column) -> Column:
+    """A struct column computed from text columns in Arrow batches.
+
+    ``make()`` runs once per task and returns a function from lists (one per column,
+    nulls as None) to a pandas DataFrame with the fields of ``schema``.  The function is
+    marked non-deterministic so that Spark evaluates it once per row, also under filters.
+    """
+    def run(batches):
+        work = make()
+        for batch in batches:
+            series = batch if isinstance(batch, tuple) else (batch,)
+            yield work(*[[None if v is None or v != v else v for v in s] for s in series])
+
+    if len(columns) == 1:
+        def one(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            yield from run(batches)
+        fn = one
+    else:
+        def many(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+            yield from run(batches)
+        fn = many
+    # String annotations are not resolvable here, so the types are set as objects.
+    fn.__annotations__ = {"batches": Iterator[pd.Series] if len(columns) == 1 else Iterator[tuple[pd.Series, ...]],
+                          "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(fn, schema).asNondeterministic()(*columns)
+
+
+def held_out(ident: Column | str) -> Column:
+    """Whether crc32 of the identifier's text is divisible by 5; a null identifier is never held out."""
+    ident = F.col(ident) if isinstance(ident, str) else ident
+    return F.coalesce(F.crc32(F.encode(ident.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
+
+
+def bounded_sample(df: DataFrame, key: Column, most: int, rows: int | None = None) -> DataFrame:
+    """At most ``most`` rows, chosen by the hash of ``key`` (all rows if there are fewer)."""
+    rows = df.count() if rows is None else rows
+    if rows <= most:
+        return df
+    cut = int((most / rows) * (1 << 31))
+    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 31)) < cut).limit(most)

@@ -2,25 +2,64 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
-from .common import documents
+from . import exact_dedup, mixing, pieces, quality_pu, quality_trees, records, token_prefix
+from .common import documents, held_out, table, text_or_empty
+
+LIMIT = 2048
+
+
+def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = records.token_records(documents(spark, sf_dir), public_tokenizers.path(records.TOKENIZER))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_pieces(documents(spark, sf_dir), public_tokenizers.path(pieces.MODEL))
+    plain = F.replace(text_or_empty("text"), F.lit(pieces.SPACE), F.lit(" "))
+    return coded.select("doc_id", "n_pieces", "ids_crc32", F.length("decoded").cast("long").alias("decoded_chars"),
+                        (F.col("decoded") == plain).alias("round_trip"))
+
+
+def op6_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_pu.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_pu.score_quality(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op7_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_trees.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_trees.judge_quality(docs, model).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_prefix.token_counts(documents(spark, sf_dir), public_tokenizers.path(token_prefix.TOKENIZER))
+    return counted.select("doc_id", F.octet_length(text_or_empty("text")).cast("long").alias("n_bytes"), "n_tokens",
+                          (F.col("n_tokens") > LIMIT).alias("over_limit"))
+
+
 QUERIES = {
+    "op1_token_records": op1_token_records,
     "op4_mixing": op4_mixing,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_quality_pu": op6_quality_pu,
+    "op7_quality_trees": op7_quality_trees,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_token_prefix": op10_token_prefix,
 }
 
 ORACLES = {
