@@ -8,7 +8,7 @@ among the unlabelled rows.  Then the non-negative unbiased risk
 
     prior * loss+(positives) + max(0, loss-(unlabelled) - prior * loss-(positives))
 
-is minimised.  The model is additive over quantile bins of the document statistics, so a
+is minimised and the bias set so that the unlabelled rows' mean score is the prior.  The model is additive over quantile bins of the document statistics, so a
 score is one table look-up per statistic.
 
 Fitting takes bounded samples (``MAX_POSITIVES``, ``MAX_UNLABELLED`` rows, chosen by
@@ -28,10 +28,10 @@ from . import docstats
 from .common import bounded_sample, free_name, held_out, per_text, short_batches
 
 MAX_POSITIVES = 8_000
-MAX_UNLABELLED = 16_000
+MAX_UNLABELLED = 12_000
 BINS = 24
-STEPS = 400
-RATE = 0.05
+STEPS = 1000
+RATE = 0.08
 DECAY = 1e-4
 THRESHOLD = 0.3
 
@@ -115,6 +115,13 @@ def fit_pu(pos: np.ndarray, unl: np.ndarray) -> BinnedModel:
     prior = estimate_prior(first.raw(bp[1::2]), first.raw(bu[1::2])) if len(pos) > 1 and len(unl) > 1 else 0.5
     model = BinnedModel(edges, blank, float(np.log(prior / (1 - prior))), prior)
     _descend(model, bp, bu, prior, STEPS)
+    # The clamp stops the descent before unlikely rows are sure: move the bias until the mean score of
+    # the unlabelled rows is the prior, as it is for calibrated scores.
+    raw, low, high = model.raw(bu), -30.0, 30.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if (1 / (1 + np.exp(-np.clip(raw + mid, -30, 30)))).mean() > prior else (mid, high)
+    model.bias += low
     return model
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pieces, quality_pu, quality_trees, records, token_prefix
+from . import exact_dedup, mixing, omh, pieces, quality_pu, quality_trees, records, token_prefix
 from .common import documents, held_out, table, text_or_empty
 
 LIMIT = 2048
@@ -46,6 +46,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.near_classes(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "class_id", "class_size",
+                                                             F.col("class_kept").alias("kept"))
+
+
 def op10_token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_prefix.token_counts(documents(spark, sf_dir), public_tokenizers.path(token_prefix.TOKENIZER))
     return counted.select("doc_id", F.octet_length(text_or_empty("text")).cast("long").alias("n_bytes"), "n_tokens",
@@ -59,6 +64,7 @@ QUERIES = {
     "op6_quality_pu": op6_quality_pu,
     "op7_quality_trees": op7_quality_trees,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_order_minhash": op9_order_minhash,
     "op10_token_prefix": op10_token_prefix,
 }
 
