@@ -244,3 +244,8 @@ def token_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text") ->
     s = free_name(df.columns, "counted")
     out = df.withColumn(s, per_text("prefix_steps binary, step_width int, n_tokens long", make, F.col(text_col)))
     return out.select(*[F.col(f"`{c}`") for c in df.columns], f"{s}.prefix_steps", f"{s}.step_width", f"{s}.n_tokens")
+
+
+def byte_of_letter() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for."""
+    return {c: b for b, c in _LETTERS.items()}
