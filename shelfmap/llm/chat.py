@@ -64,10 +64,9 @@ class ChatCoder:
     def assemble(self, roles: list[str], texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Ids (u16 little-endian) and loss mask (one byte per id) of each turn of a batch."""
         segments, lengths, starts = [], [], []
-        for role, text in zip(roles, texts):
-            parts = [np.array([self.turn]), np.frombuffer(self.units.encode(escape(role)), dtype=self.units.dtype),
-                     np.array([self.body]), np.frombuffer(self.units.encode(escape(text)), dtype=self.units.dtype),
-                     np.array([self.end])]
+        coded = [np.frombuffer(b, dtype=self.units.dtype) for b in self.units.encode_all([escape(t) for t in [*roles, *texts]])]
+        for role, text in zip(coded, coded[len(roles):]):
+            parts = [np.array([self.turn]), role, np.array([self.body]), text, np.array([self.end])]
             starts.append(len(lengths))
             segments.extend(parts)
             lengths.extend(map(len, parts))

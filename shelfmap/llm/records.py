@@ -87,30 +87,58 @@ class UnitEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = "<u2" if size <= 1 << 16 else "<u4"
         self.cache = TwoGenerations(CACHE_UNITS)
+        # Bytes of text that each token stands for: a byte-level vocabulary has one letter per byte.
+        self.size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
 
     def _encode(self, units: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
-
-    def _join(self, units: list[str]) -> bytes:
+        """Ids of each unit, from one call: units are laid end to end and cut by their tokens' bytes.
+
+        A unit that starts with the space before its word, or with a word behind a line end,
+        borders on a piece of its own there; white space units are encoded by themselves.
+        """
+        out: dict[str, bytes] = {}
+        blank = [u for u in units if u.isspace()]
+        for u, e in zip(blank, self.tokenizer.encode_batch_fast(blank, add_special_tokens=False)):
+            out[u] = np.array(e.ids, dtype=self.dtype).tobytes()
+        words = [u for u in units if not u.isspace()]
+        laid = [u if u[0] == " " else "\n" + u for u in words]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(laid)], add_special_tokens=False)[0].ids, dtype=np.int64)
+        ends = np.cumsum([len(u.encode("utf-8", "replace")) for u in laid])
+        cuts = np.searchsorted(np.cumsum(self.size[ids]), ends, side="left") + 1 if len(laid) else ends
+        data, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+        start = 0
+        for u, text, end in zip(words, laid, cuts.tolist()):
+            out[u] = data[(start + (text is not u)) * width:end * width]
+            start = end
+        return [out[u] for u in units]
+
+    def _join(self, texts: list[list[str]]) -> list[bytes]:
         known = self.cache.room()
-        try:
-            return b"".join([known[u] for u in units])
-        except KeyError:
-            pass
-        fresh = [u for u in dict.fromkeys(units) if u not in known and self.cache.promote(u) is None]
+        missing = set().union(*texts).difference(known)
+        fresh = [u for u in missing if self.cache.promote(u) is None]
         new = dict(zip(fresh, self._encode(fresh)))
         known.update((u, b) for u, b in new.items() if len(u) <= CACHED_CHARS)
-        return b"".join([new[u] if u in new else known[u] for u in units])
+        out = []
+        for units in texts:
+            try:
+                out.append(b"".join([known[u] for u in units]))
+            except KeyError:
+                out.append(b"".join([known[u] if u in known else new[u] for u in units]))
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; very long texts by stretches of units."""
+        short = [t for t in texts if len(t) <= LONG_TEXT]
+        done = iter(self._join([_UNITS.findall(t) for t in short]))
+        return [next(done) if len(t) <= LONG_TEXT else self._stretches(t) for t in texts]
 
-    def encode(self, text: str) -> bytes:
-        if len(text) <= LONG_TEXT:
-            return self._join(_UNITS.findall(text))
+    def _stretches(self, text: str) -> bytes:
         units, out = (m.group() for m in _UNITS.finditer(text)), []
         while part := list(islice(units, UNITS_AT_ONCE)):
-            out.append(self._join(part))
+            out.extend(self._join([part]))
         return b"".join(out)
 
 
@@ -156,9 +184,9 @@ def write_records(df: DataFrame, root: str, tokenizer_path: str, id_col: str = "
         records = tokens = offset = 0
         with fs.open_output_stream(name + ".rec") as rec, fs.open_output_stream(name + ".idx") as idx:
             for pdf in batches:
-                for i, t in zip(pdf["doc_id"], pdf["text"]):
+                for i, ids in zip(pdf["doc_id"], coder.encode_all(list(pdf["text"]))):
                     null = i is None or i != i
-                    ids = coder.encode(t) + end
+                    ids += end
                     flags = (NULL_ID if null else 0) | (WIDE_IDS if width == 4 else 0)
                     data = frame(struct.pack(BODY, flags, 0 if null else int(i)) + ids)
                     idx.write(struct.pack(ENTRY, 0 if null else int(i), offset, len(ids) // width))
