@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, omh, pieces, quality_pu, quality_trees, records, token_prefix
+from . import chat, exact_dedup, mixing, omh, pieces, quality_pu, quality_trees, records, token_prefix, toxicity
 from .common import documents, held_out, table, text_or_empty
 
 LIMIT = 2048
@@ -26,6 +26,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_conversations(turns, public_tokenizers.path(chat.TOKENIZER))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,6 +75,7 @@ def op10_token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_chat_format": op2_chat_format,
+    "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality_pu": op6_quality_pu,
