@@ -2,7 +2,7 @@
 
 Trusted positives (label 1) and unlabelled web text are enough: no row labelled 0 is
 used as a negative.  The class prior is estimated first by a classifier of positives
-against unlabelled rows: on the other half of the rows, the least ratio of the share of
+against unlabelled rows: on the half it was not fitted on, the least ratio of the share of
 unlabelled rows to the share of positives above a score bounds the share of positives
 among the unlabelled rows.  Then the non-negative unbiased risk
 
@@ -33,6 +33,8 @@ BINS = 24
 STEPS = 1000
 RATE = 0.08
 DECAY = 1e-4
+PRIOR_STEPS = 200
+PRIOR_DECAY = 3e-3
 THRESHOLD = 0.3
 
 
@@ -59,7 +61,7 @@ def quantile_edges(x: np.ndarray, bins: int = BINS) -> np.ndarray:
     return np.quantile(x, np.arange(1, bins) / bins, axis=0).T.copy()
 
 
-def _descend(model: BinnedModel, pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int) -> None:
+def _descend(model: BinnedModel, pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int, decay: float) -> None:
     """Adam on the non-negative risk; with ``prior`` None, plain logistic loss of positives against unlabelled."""
     shape = model.weights.shape
     cells = np.arange(shape[0]) * shape[1]
@@ -84,7 +86,7 @@ def _descend(model: BinnedModel, pos: np.ndarray, unl: np.ndarray, prior: float
             negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
             rest = spread(flat_unl, su / len(su)) - prior * spread(flat_pos, sp / len(sp))
             grad = prior * spread(flat_pos, (sp - 1) / len(sp)) + rest if negative >= 0 else -rest
-        grad[:-1] += DECAY * theta[:-1]
+        grad[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
         theta = theta - RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     model.weights, model.bias = theta[:-1].reshape(shape), float(theta[-1])
@@ -106,15 +108,19 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
 
 
 def fit_pu(pos: np.ndarray, unl: np.ndarray) -> BinnedModel:
-    """Estimate the prior on half the rows, then minimise the non-negative risk on all."""
+    """Estimate the prior by cross-fitting on halves, then minimise the non-negative risk on all."""
     edges = quantile_edges(np.concatenate([pos, unl]))
     blank = np.zeros((edges.shape[0], BINS))
-    first = BinnedModel(edges, blank.copy(), 0.0, 0.5)
-    bp, bu = first.bins(pos), first.bins(unl)
-    _descend(first, bp[::2], bu[::2], None, STEPS // 2)
-    prior = estimate_prior(first.raw(bp[1::2]), first.raw(bu[1::2])) if len(pos) > 1 and len(unl) > 1 else 0.5
+    model = BinnedModel(edges, blank, 0.0, 0.5)
+    bp, bu = model.bins(pos), model.bins(unl)
+    raw_pos, raw_unl = np.zeros(len(bp)), np.zeros(len(bu))
+    for part in (0, 1):                       # each half is scored by the classifier of the other half
+        first = BinnedModel(edges, blank.copy(), 0.0, 0.5)
+        _descend(first, bp[part::2], bu[part::2], None, PRIOR_STEPS, PRIOR_DECAY)
+        raw_pos[1 - part::2], raw_unl[1 - part::2] = first.raw(bp[1 - part::2]), first.raw(bu[1 - part::2])
+    prior = estimate_prior(raw_pos, raw_unl) if len(pos) > 1 and len(unl) > 1 else 0.5
     model = BinnedModel(edges, blank, float(np.log(prior / (1 - prior))), prior)
-    _descend(model, bp, bu, prior, STEPS)
+    _descend(model, bp, bu, prior, STEPS, DECAY)
     # The clamp stops the descent before unlikely rows are sure: move the bias until the mean score of
     # the unlabelled rows is the prior, as it is for calibrated scores.
     raw, low, high = model.raw(bu), -30.0, 30.0
