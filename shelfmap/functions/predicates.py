@@ -12,7 +12,7 @@ import re
 import unicodedata
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accented letters folded for phrase search.
@@ -142,6 +142,61 @@ def conditional_key_match(left_year: Column, right_year: Column) -> Column:
     return left_year.isNull() | (F.substring(left_year, 1, 4) == F.substring(right_year, 1, 4))
 
 
+# Query-string parameter -> (filter key, kind), in the reference's order.
+URL_FILTERS = {
+    "book_id": ("book_id_in", "string"), "is_active": ("is_active", "boolean"), "bl": ("location", "string"),
+    "title": ("title_contains", "string"), "ami": ("square_meter_gt", "int"), "ama": ("square_meter_lt", "int"),
+    "pma": ("price_lt", "int"), "pmi": ("price_gt", "int"), "cma": ("cashflow_lt", "int"), "cmi": ("cashflow_gt", "int"),
+    "roima": ("roi_lt", "double"), "roimi": ("roi_gt", "double"),
+    "psqma": ("price_per_square_meter_lt", "int"), "psqmi": ("price_per_square_meter_gt", "int"),
+    "crma": ("rent_price_lt", "int"), "crmi": ("rent_price_gt", "int"),
+    "rsqma": ("rent_per_square_meter_lt", "int"), "rsqmi": ("rent_per_square_meter_gt", "int"),
+    "yma": ("year_of_construction_lt", "year"), "ymi": ("year_of_construction_gt", "year"),
+    "upmi": ("uptime_date_gt", "relative"), "datemi": ("date_gt", "relative"),
+    "price_has_changed": ("price_has_changed", "boolean"), "price_has_increased": ("price_has_increased", "boolean"),
+    "pbmv": ("price_below_market_value", "boolean"), "permvmi": ("som_model_percentage_gt", "double"),
+    "permvma": ("som_model_percentage_lt", "double"), "spider": ("spider", "string"),
+    "is_foreclosure": ("is_foreclosure", "boolean"), "is_erbbaurecht": ("is_erbbaurecht", "boolean"),
+}
+
+
+def url_filters(url: Column, now: Column, spec: dict[str, tuple[str, str]] = URL_FILTERS) -> list[Column]:
+    """One typed column per filter key of a request URL, NULL where absent or bad.
+
+    A year of 0 counts as absent and a year bound is January 1; a relative time counts back
+    from ``now``; ``is_active`` is true unless the URL says otherwise.
+    """
+    out = []
+    for param, (key, kind) in spec.items():
+        if kind == "relative":
+            value = relative_cutoff_col(query_param(url, param), now)
+        elif kind == "year":
+            value = F.make_date(F.nullif(query_param(url, param, "year"), F.lit(0)), F.lit(1), F.lit(1))
+        else:
+            value = query_param(url, param, kind)
+        if key == "is_active":
+            value = F.coalesce(value, F.when(F.try_parse_url(url, F.lit("QUERY"), F.lit(param)).isNull(), F.lit(True)))
+        out.append(value.alias(key))
+    return out
+
+
+def conditional_match(left: DataFrame, right: DataFrame, keys: list[str], year: str) -> DataFrame:
+    """Rows of ``left`` and ``right`` with equal keys and, where the left year is known, equal years.
+
+    The equal keys make it a hash or sort-merge join; the year is its extra condition.
+    Columns of ``right`` get the prefix ``r_``.
+    """
+    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    on = [F.col(k) == F.col(f"r_{k}") for k in keys]
+    return left.join(r, [*on, conditional_key_match(F.col(year).cast("string"), F.col(f"r_{year}").cast("string"))])
+
+
+def in_list(df: DataFrame, field: str, values: DataFrame) -> DataFrame:
+    """B2 for long lists: rows whose field is in the one-column table ``values`` (semi join)."""
+    v = values.columns[0]
+    return df.join(values.select(F.col(v).alias("_in")).distinct(), df[field] == F.col("_in"), "left_semi")
+
+
 def path_label(path: Column, rules: list[tuple[str, str]]) -> Column:
     """First rule whose segment occurs in the path gives the label, else NULL."""
     out = F.lit(None).cast("string")

@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from shelfmap.functions.text import strip_ws  # noqa: F401  (S3)
 
 
+def url_authority(url: Column) -> Column:
+    """Authority of a URL as written (user, host and port), '' when it has none."""
+    return F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)
+
+
+def url_path(url: Column) -> Column:
+    """Path of a URL as written; blanks and other unescaped characters are kept."""
+    return F.regexp_extract(url, r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+
+
 def affiliate_link(url: Column, tag: str) -> Column:
     """``/gp/product/ID`` or ``/dp/ID`` -> ``http://host/<prefix>/ID/ref=nosim?tag=<tag>``, else NULL."""
-    path = F.try_parse_url(url, F.lit("PATH"))
-    host = F.try_parse_url(url, F.lit("HOST"))
-    gp = F.regexp_extract(path, r"/gp/product/([^/]*)", 1)
-    dp = F.regexp_extract(path, r"/dp/([^/]*)", 1)
-    return (F.when(F.coalesce(gp, F.lit("")) != "",
-                   F.concat(F.lit("http://"), host, F.lit("/gp/product/"), gp, F.lit(f"/ref=nosim?tag={tag}")))
-             .when(F.coalesce(dp, F.lit("")) != "",
-                   F.concat(F.lit("http://"), host, F.lit("/dp/"), dp, F.lit(f"/ref=nosim?tag={tag}"))))
+    path, host = url_path(url), url_authority(url)
+
+    def link(prefix: str) -> Column:
+        product = F.regexp_extract(path, rf"(?s){prefix}([^/]*)", 1)
+        return F.concat(F.lit("http://"), host, F.lit(prefix), product, F.lit(f"/ref=nosim?tag={tag}"))
+
+    return (F.when(F.contains(path, F.lit("/gp/product/")), link("/gp/product/"))
+             .when(F.contains(path, F.lit("/dp/")), link("/dp/")))
 
 
 def year_prefix(d: Column) -> Column:
@@ -56,14 +66,6 @@ def join_words(v: Column) -> Column:
     return F.array_join(v, " ")
 
 
-def typed_param(raw: Column, kind: str) -> Column:
-    """Typed parameter, NULL on a bad cast; ``true``/``false`` -> boolean."""
-    if kind == "boolean":
-        low = F.lower(raw)
-        return F.when(low == "true", True).when(low == "false", False)
-    return (raw).try_cast(kind)
-
-
 def series_fields(series: Column) -> tuple[Column, Column]:
-    """User position in the first series and whether there is any series."""
-    return F.get(series, 0)["userPosition"], F.coalesce(F.size(series) > 0, F.lit(False))
+    """User position in the first series and whether there is any series; absent when empty."""
+    return F.nullif(F.get(series, 0)["userPosition"], F.lit("")), F.when(F.size(series) > 0, True)

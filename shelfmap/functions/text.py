@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 # and RE2's \s miss some of them, so the class is spelled out.
 PY_SPACE = r"\t\n\x0b\x0c\r\x1c-\x1f "
 WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"          # same matches as Python's (?u)\b\w\w+\b
+# Everything Python's str.strip() removes.
+STRIP_SPACE = PY_SPACE + r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ALPHA_TOKEN = r"[\p{L}\p{Nl}\p{No}_]+"     # Python \w without decimal digits
 
 
@@ -30,7 +32,7 @@ def clean_text(col: Column) -> Column:
     out = F.regexp_replace(out, "_", "")
     out = F.lower(out)
     out = F.regexp_replace(out, rf"[^{PY_SPACE}]+@[^{PY_SPACE}]+", "")
-    out = F.regexp_replace(out, rf"http[^{PY_SPACE}]*|www[^{PY_SPACE}]*", "")
+    out = F.regexp_replace(out, rf"http[^{PY_SPACE}]+|www[^{PY_SPACE}]+", "")
     return F.regexp_replace(out, rf"^[{PY_SPACE}]+|[{PY_SPACE}]+$", "")
 
 
@@ -53,6 +55,12 @@ def alpha_tokens(col: Column, min_len: int = 2, max_len: int = 15) -> Column:
                     & ~t.startswith("_"))
 
 
+def strip(col: Column | str) -> Column:
+    """White space cut off both ends, as Python's ``str.strip`` does."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.regexp_replace(col, rf"^[{STRIP_SPACE}]+|[{STRIP_SPACE}]+$", "")
+
+
 def strip_ws(col: Column) -> Column:
     """S3: drop newlines and tabs, then strip surrounding whitespace."""
     return F.regexp_replace(F.translate(col, "\n\t", ""), rf"^[{PY_SPACE}]+|[{PY_SPACE}]+$", "")

@@ -43,7 +43,7 @@ BOOK_FIELDS = [
     ("ratings_count", L, True), ("rating_one_count", L, True),
     ("rating_two_count", L, True), ("rating_three_count", L, True),
     ("rating_four_count", L, True), ("rating_five_count", L, True),
-    ("text_reviews_count", L, True), ("publisher", S, True),
+    ("text_reviews_count", L, True),
 ] + [(name, S, True) for name in SHOP_LINK_COLUMNS] + [
     ("url", S, True), ("sha", S, True), ("project", S, True),
     ("spider", S, True), ("server", S, True), ("bmu_col", I, True),

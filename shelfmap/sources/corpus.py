@@ -26,8 +26,12 @@ def sample_corpus(corpus: DataFrame, max_documents: int | None = None, seed: int
 
 
 def with_stem(corpus: DataFrame) -> DataFrame:
-    """A2: add the file stem (name without extension) as ``stem``."""
-    return corpus.withColumn("stem", F.regexp_extract(F.col("path"), r"([^/]+)\.[^./]*$", 1))
+    """A2: add the file stem (decoded name without extension) as ``stem``.
+
+    Spark gives paths URL-encoded, with a plus sign as it is.
+    """
+    plain = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    return corpus.withColumn("stem", F.regexp_extract(plain, r"([^/]+)\.[^./]*$", 1))
 
 
 def corpus_books(corpus: DataFrame, marker: str = "gutenberg_books", prefix: str = "gb_") -> DataFrame:

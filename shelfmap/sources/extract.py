@@ -7,13 +7,16 @@ inside whole-stage code on the executors, one row at a time, whole texts.
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmap.functions.arrays import explode_values
-from shelfmap.functions.scalars import free_year, join_words, last_segment, parse_month_day_year
-from shelfmap.functions.text import strip_ws
+from shelfmap.functions.scalars import free_year, join_words, last_segment, parse_month_day_year, series_fields
+from shelfmap.functions.text import strip, strip_ws
 from shelfmap.schema import SHOP_NAMES
 
 # Catalogue-table header word -> book field (header *contains* it).
@@ -29,10 +32,22 @@ def first_text(fragment: Column) -> Column:
     return F.nullif(strip_ws(F.regexp_extract(fragment, r"(?s)^([^<]*)", 1)), F.lit(""))
 
 
-def html_table_fields(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
+def unescape(col: Column) -> Column:
+    """Character references (``&amp;``, ``&#233;``) decoded; only texts with one reach Python."""
+    decode = F.pandas_udf(_unescaped, "string")
+    return F.when(F.contains(col, F.lit("&")), decode(F.when(F.contains(col, F.lit("&")), col))).otherwise(col)
+
+
+def html_table_fields(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
+                      keep: tuple[str, ...] = ()) -> DataFrame:
     """Catalogue-table rows -> typed fields, first non-empty value per field.
 
-    Output: ``id, author, author_url, title, summary, credits, language, editor, release``.
+    Output: ``id, author, author_url, title, summary, credits, language, editor, release``,
+    then the input columns named in ``keep``.  Character references are decoded.
     Pages without a table give NULL fields.  Work is per page (rows of one page).
     """
     table = F.regexp_extract(F.col(html_col), r"(?is)<table[^>]*class=\"[^\"]*bibrec[^\"]*\"[^>]*>(.*?)</table>", 1)
@@ -47,19 +62,19 @@ def html_table_fields(pages: DataFrame, id_col: str = "page_id", html_col: str =
     anchor_text = lambda d: first_text(F.regexp_extract(d, r"(?is)<a[^>]*>(.*?)</a>", 1))
     anchor_href = lambda d: F.nullif(F.regexp_extract(d, r"(?is)<a[^>]*href=\"([^\"]*)\"", 1), F.lit(""))
     cols = [F.col(id_col),
-            pick("Author", anchor_text).alias("author"),
-            F.concat(F.lit("https://gutenberg.org"), pick("Author", anchor_href)).alias("author_url")]
+            unescape(pick("Author", anchor_text)).alias("author"),
+            F.concat(F.lit("https://gutenberg.org"), unescape(pick("Author", anchor_href))).alias("author_url")]
     for word, field in TABLE_FIELDS[1:]:
         if field == "release":
             cols.append(pick(word, lambda d: parse_month_day_year(first_text(d))).alias(field))
         else:
-            cols.append(pick(word, first_text).alias(field))
-    return pages.select(*cols)
+            cols.append(unescape(pick(word, first_text)).alias(field))
+    return pages.select(*cols, *[F.col(c) for c in keep])
 
 
 def page_title(html: Column) -> Column:
-    """``<title>`` text of a page, whitespace-stripped."""
-    return F.nullif(strip_ws(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    """``<title>`` text of a page, decoded and whitespace-stripped."""
+    return F.nullif(strip_ws(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
 
 
 def page_lang(html: Column) -> Column:
@@ -133,6 +148,7 @@ def page_json_fields(pages: DataFrame, id_col: str = "page_id", html_col: str =
     links = F.col("b").getField("links({})")
     positive = lambda c: F.when(c > 0, c)  # noqa: E731  (falsy values are never stored)
     nonempty = lambda c: F.nullif(c, F.lit(""))
+    series_position, is_series = series_fields(F.col("b.bookSeries"))
     return df.select(
         id_col,
         F.concat(F.lit("gr_"), last_segment(F.col("url"))).alias("book_id"),
@@ -148,11 +164,12 @@ def page_json_fields(pages: DataFrame, id_col: str = "page_id", html_col: str =
         positive(F.get(dist, 3)).alias("rating_four_count"),
         positive(F.get(dist, 4)).alias("rating_five_count"),
         positive(F.col("w.stats.textReviewsCount")).alias("text_reviews_count"),
-        F.get(F.col("b.bookSeries"), 0)["userPosition"].alias("series_position"),
-        F.when(F.size(F.col("b.bookSeries")) > 0, True).alias("is_series"),
-        F.transform(F.col("b.bookGenres"), lambda g: g["genre"]["webUrl"]).alias("genres"),
+        nonempty(F.col("w.details.webUrl")).alias("web_url"),
+        series_position.alias("series_position"),
+        is_series.alias("is_series"),
+        F.when(F.size("b.bookGenres") > 0, F.transform(F.col("b.bookGenres"), lambda g: g["genre"]["webUrl"])).alias("genres"),
         positive(F.col("b.details.numPages")).alias("num_pages"),
-        nonempty(F.col("b.details.publisher")).alias("publisher"),
+        nonempty(F.col("b.details.publisher")).alias("editor"),
         nonempty(F.col("b.details.language.name")).alias("language"),
         nonempty(F.col("b.details.format")).alias("format"),
         nonempty(author["name"]).alias("author"),
@@ -215,7 +232,7 @@ def front_matter(df: DataFrame, text_col: str = "text") -> DataFrame:
     for label in FRONT_LABELS:
         name = label.lower().replace(" ", "_")
         vals = F.regexp_extract_all(F.col(text_col), F.lit(rf"(?m)^{label}:(.*?)(?={label}:|$)"), 1)
-        out = out.withColumn(f"fm_{name}", F.nullif(F.trim(F.try_element_at(vals, F.lit(-1))), F.lit("")))
+        out = out.withColumn(f"fm_{name}", F.nullif(strip(F.try_element_at(vals, F.lit(-1))), F.lit("")))
     return out
 
 
