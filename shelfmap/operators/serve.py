@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmap.functions.predicates import build_predicate, phrase_match
+from shelfmap.functions.text import strip
 
 MAX_ROWS = 50          # fixed value: rows per page / query at most
 DEFAULT_TIE = "sha"
@@ -89,10 +90,11 @@ def best_per_title(df: DataFrame, ignore_title: str | Column | None = None,
     """C8/E-9: one row per trimmed title, the most-rated (NULL loses, first seen wins ties).
 
     ``pos`` is the input order; without it the order is ``rating desc, tie``.
-    Rows with a NULL title or a title equal to ``ignore_title`` (before trimming)
-    are dropped.  Output keeps the input columns plus ``title_key``; the winner's
-    order key gives first-appearance order.  Aggregation is partial/final, so a
-    hot title never sits whole in one task.
+    Rows with a NULL title or a title equal to ``ignore_title`` (before stripping)
+    are dropped.  Output keeps the input columns plus ``title_key`` and, with ``pos``,
+    ``first_pos``: the first position of any row with that title, by which results
+    come in order of first appearance.  Aggregation is partial/final, so a hot title
+    never sits whole in one task.
     """
     keep = F.col("title").isNotNull()
     if ignore_title is not None:
@@ -105,11 +107,12 @@ def best_per_title(df: DataFrame, ignore_title: str | Column | None = None,
         F.col(tie).alias("k3"),
     )
     cols = df.columns
+    first = [F.min(pos).alias("first_pos")] if pos else []
     winners = (df.where(keep)
-               .withColumn("title_key", F.trim("title"))
+               .withColumn("title_key", strip("title"))
                .groupBy("title_key")
-               .agg(F.min_by(F.struct(*cols), order_key).alias("w")))
-    return winners.select("title_key", *[F.col(f"w.{c}").alias(c) for c in cols])
+               .agg(F.min_by(F.struct(*cols), order_key).alias("w"), *first))
+    return winners.select("title_key", *[F.col(f"w.{c}").alias(c) for c in cols], *(["first_pos"] if pos else []))
 
 
 def cell_top(books: DataFrame, k: int = MAX_ROWS, rating: str = "ratings_count",
@@ -125,26 +128,26 @@ def cell_top(books: DataFrame, k: int = MAX_ROWS, rating: str = "ratings_count",
 
 
 def similar_books(books: DataFrame, sources: DataFrame | None = None, k: int = MAX_ROWS,
-                  max_cells: int | None = None, broadcast_rows: int = 2_000_000,
                   columns=("sha", "title", "author", "ratings_count")) -> DataFrame:
     """D1 + C8: for each source book, the best edition per title among the top ``k`` of its cell.
 
-    ``sources``: books to answer for (default: every placed book).  The cell's
-    top-k list has at most ``k * max_cells`` rows - bounded by the map grid, not
-    by the data - and is broadcast when that bound is below ``broadcast_rows``;
-    otherwise it is a shuffle join that AQE's skew handling splits on hot cells.
+    ``sources``: books to answer for (default: every placed book).  Each cell's top ``k``
+    become one array, so a source row meets one row of its cell, and title choice
+    happens inside that row: no pair is shuffled.  The join carries no hint: Spark
+    broadcasts the arrays when their measured size allows, and otherwise joins by
+    cell, where adaptive skew handling splits a hot cell's sources.
     Output: ``src_sha, sha, title, author, ratings_count, rk`` with ``rk`` the
     first-appearance position in the cell list (NULL-cell sources give no rows).
     """
     src = (sources if sources is not None else books).select(
         F.col("sha").alias("src_sha"), F.col("title").alias("src_title"), "bmu_col", "bmu_row"
     ).where(F.col("bmu_col").isNotNull() & F.col("bmu_row").isNotNull())
-    top = cell_top(books, k).select("bmu_col", "bmu_row", "rk", *columns)
-    if max_cells is not None and max_cells * k <= broadcast_rows:
-        top = F.broadcast(top)
-    pairs = src.join(top, ["bmu_col", "bmu_row"])
-    keep = F.col("title").isNotNull() & ~F.col("title").eqNullSafe(F.col("src_title"))
-    w = Window.partitionBy("src_sha", F.trim("title")).orderBy("rk")
-    return (pairs.where(keep)
-            .withColumn("n", F.row_number().over(w)).where("n = 1")
+    entry = F.struct("rk", *columns, strip("title").alias("title_key"))
+    lists = (cell_top(books, k).groupBy("bmu_col", "bmu_row")
+             .agg(F.array_sort(F.collect_list(entry)).alias("top")))
+    pairs = src.join(lists, ["bmu_col", "bmu_row"])
+    fit = F.filter("top", lambda b: b["title"].isNotNull() & ~b["title"].eqNullSafe(F.col("src_title")))
+    pairs = pairs.select("src_sha", fit.alias("fit"), F.transform(fit, lambda b: b["title_key"]).alias("keys"))
+    best = F.filter("fit", lambda b, i: F.array_position(F.col("keys"), b["title_key"]) == i + 1)
+    return (pairs.select("src_sha", F.inline(best))
             .select("src_sha", *columns, "rk"))

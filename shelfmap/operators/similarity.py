@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmap.session import reliable_checkpoint
 from shelfmap.functions.arrays import explode_indexed, js_distance  # noqa: F401  (js: column form)
 
 MAX_QUERIES = 2_000         # query vectors per broadcast pass
@@ -61,6 +62,7 @@ def js_knn(books: DataFrame, queries: DataFrame, k: int = 10, drop_zero: bool =
     ``max_queries``; a larger query set is processed in hash chunks of that size.
     """
     spark = books.sparkSession
+    queries = reliable_checkpoint(queries.select(qid_col, qvec_col))      # computed once, counted, then read in blocks
     n_q = queries.count()
     n_chunks = max(1, -(-n_q // max_queries))
     parts = []

@@ -6,18 +6,20 @@ partial/final ``max_by`` / ``min_by`` aggregates, so a key that holds a third
 of the batch is combined map-side.  ``upsert`` applies that to a stored table
 with one full outer join on the key (both sides unique per key).
 
-``VersionedTable`` stores the result as ``root/v=<n>/bucket=<b>`` parquet and
-rewrites only touched buckets; a small manifest maps each bucket to the
-version that holds it and records the last applied ``batch_id``, so a replayed
+``VersionedTable`` keeps such a table as parquet: a base, one delta per batch and a
+manifest per version that records the last applied ``batch_id``, so a replayed
 micro-batch is skipped and readers never see a half-written version.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def merge_batch(batch: DataFrame, key: str, order: list[str], frozen: tuple[str, ...] = ("sha",)) -> DataFrame:
@@ -54,75 +56,117 @@ def upsert(stored: DataFrame, batch: DataFrame, key: str, order: list[str],
     return out.select(*sel)
 
 
-def bucket_of(key: str, buckets: int):
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+class VersionedTable:
+    """Keyed parquet table of one base and small deltas, one manifest file per version.
 
+    An upsert writes only its own folded batch, into a folder that no other attempt uses,
+    and then a manifest of the next version; the highest manifest counts.  So a crashed
+    attempt leaves a folder that no manifest names, a retry writes anew, and a reader sees
+    either the old version or the new one.  Reading folds base and deltas per key: latest
+    non-NULL value per field, frozen fields from the first version.  After ``max_deltas``
+    deltas the table is compacted into a new base of ``buckets`` files.
 
-class VersionedTable:
-    """Bucketed parquet table with copy-on-write versions and a manifest pointer."""
+    ``schema`` declares the columns that ``read`` returns; without it, the table has every
+    column that any batch had, in order of appearance.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, key: str, order: list[str],
-                 buckets: int = 64, frozen: tuple[str, ...] = ("sha",)):
+    def __init__(self, spark: SparkSession, root: str, key: str, order: list[str], buckets: int = 64,
+                 frozen: tuple[str, ...] = ("sha",), schema: T.StructType | None = None, max_deltas: int = 16):
         self.spark, self.root, self.key, self.order = spark, root.rstrip("/"), key, order
-        self.buckets, self.frozen = buckets, frozen
+        self.buckets, self.frozen, self.schema, self.max_deltas = buckets, frozen, schema, max_deltas
 
-    # manifest I/O through the Hadoop file system of the session
+    # manifest files through the Hadoop file system of the session
     def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict:
-        p, fs = self._fs(f"{self.root}/_manifest.json")
+    def versions(self) -> list[int]:
+        """Complete versions, ascending."""
+        p, fs = self._fs(f"{self.root}/_manifests")
         if not fs.exists(p):
-            return {"version": 0, "batch_id": None, "buckets": {}}
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        return sorted(int(n[:-len(".json")]) for n in names if n.endswith(".json"))
+
+    def manifest(self) -> dict:
+        """The highest version's manifest."""
+        known = self.versions()
+        if not known:
+            return {"version": 0, "batch_id": None, "parts": [], "columns": []}
+        p, fs = self._fs(f"{self.root}/_manifests/{known[-1]:012d}.json")
         stream = fs.open(p)
         try:
-            reader = self.spark.sparkContext._jvm.java.io.BufferedReader(
-                self.spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            return json.loads(reader.readLine())
+            jvm = self.spark.sparkContext._jvm
+            return json.loads(jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine())
         finally:
             stream.close()
 
-    def _write_manifest(self, m: dict) -> None:
-        tmp, fs = self._fs(f"{self.root}/_manifest.json.{m['version']}.tmp")
+    def _commit(self, manifest: dict) -> None:
+        """Write the manifest under another name and rename it, which readers see at once or not at all."""
+        name = f"{self.root}/_manifests/{manifest['version']:012d}.json"
+        tmp, fs = self._fs(f"{name}.{uuid.uuid4().hex}.tmp")
         out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(m).encode("utf-8")))
+        out.write(bytearray(json.dumps(manifest).encode("utf-8")))
         out.close()
-        final, _ = self._fs(f"{self.root}/_manifest.json")
-        if fs.exists(final):
-            fs.delete(final, False)
-        fs.rename(tmp, final)
+        final, _ = self._fs(name)
+        if fs.exists(final) or not fs.rename(tmp, final):
+            raise RuntimeError(f"version {manifest['version']} was written by another process")
+
+    def _folded(self, manifest: dict) -> DataFrame | None:
+        parts = [self.spark.read.parquet(f"{self.root}/{p['path']}").withColumn("_version", F.lit(p["version"]))
+                 for p in manifest["parts"]]
+        if not parts:
+            return None
+        if len(parts) == 1:
+            return parts[0].drop("_version")
+        rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return merge_batch(rows, self.key, ["_version"], self.frozen).drop("_version")
 
-    def read(self, schema=None) -> DataFrame | None:
+    def read(self) -> DataFrame | None:
+        """The current rows, one per key; None for a table without any batch."""
         m = self.manifest()
-        paths = [f"{self.root}/v={v}/bucket={b}" for b, v in sorted(m["buckets"].items())]
-        if not paths:
+        rows = self._folded(m)
+        if rows is None:
             return None
-        return self.spark.read.parquet(*paths)
+        if self.schema is None:
+            return rows.select(*m["columns"])
+        return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                             for f in self.schema.fields])
+
+    def _write(self, rows: DataFrame, manifest: dict, parts: list[dict], batch_id: int | None) -> None:
+        version = manifest["version"] + 1
+        path = f"data/{version:012d}-{uuid.uuid4().hex}"
+        rows.write.mode("errorifexists").parquet(f"{self.root}/{path}")
+        columns = [*manifest["columns"], *[c for c in rows.columns if c not in manifest["columns"]]]
+        last = batch_id if batch_id is not None else manifest["batch_id"]
+        self._commit({"version": version, "batch_id": last, "columns": columns,
+                      "parts": [*parts, {"path": path, "version": version}]})
 
     def upsert(self, batch: DataFrame, batch_id: int | None = None) -> bool:
-        """Apply one batch; returns False when ``batch_id`` was applied already."""
+        """Apply one batch; returns False when ``batch_id`` was applied already.
+
+        A batch without an id leaves the last id as it is.
+        """
         m = self.manifest()
         if batch_id is not None and m["batch_id"] is not None and batch_id <= m["batch_id"]:
             return False
-        new = merge_batch(batch, self.key, self.order, self.frozen).withColumn(
-            "bucket", bucket_of(self.key, self.buckets)).persist()
-        touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # <= buckets rows
-        version = m["version"] + 1
-        old_paths = [f"{self.root}/v={m['buckets'][str(b)]}/bucket={b}"
-                     for b in touched if str(b) in m["buckets"]]
-        if old_paths:
-            stored = self.spark.read.parquet(*old_paths)
-            merged = upsert(stored.drop("bucket"), new.drop("bucket"), self.key, self.order,
-                            self.frozen, merged=True)
-        else:
-            merged = new.drop("bucket")
-        (merged.withColumn("bucket", bucket_of(self.key, self.buckets))
-         .write.mode("errorifexists").partitionBy("bucket").parquet(f"{self.root}/v={version}"))
-        new.unpersist()
-        buckets = dict(m["buckets"])
-        for b in touched:
-            buckets[str(b)] = version
-        self._write_manifest({"version": version, "batch_id": batch_id, "buckets": buckets})
+        self._write(merge_batch(batch, self.key, self.order, self.frozen), m, m["parts"], batch_id)
+        if len(m["parts"]) >= self.max_deltas:
+            self.compact()
         return True
+
+    def compact(self) -> None:
+        """Fold base and deltas into a new base; older versions stay readable until ``vacuum``."""
+        m = self.manifest()
+        if len(m["parts"]) > 1:
+            self._write(self._folded(m).select(*m["columns"]).repartition(self.buckets, self.key), m, [], None)
+
+    def vacuum(self) -> None:
+        """Remove data folders and manifests that the current version does not name."""
+        m = self.manifest()
+        used = {p["path"].split("/")[1] for p in m["parts"]}
+        for folder, keep in (("data", used), ("_manifests", {f"{m['version']:012d}.json"})):
+            p, fs = self._fs(f"{self.root}/{folder}")
+            for f in fs.listStatus(p) if fs.exists(p) else []:
+                if f.getPath().getName() not in keep:
+                    fs.delete(f.getPath(), True)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from shelfmap.operators.som import EPOCHS
 from shelfmap.session import reliable_checkpoint
 
 from shelfmap.functions.arrays import gaussian_blur, minmax_scale
@@ -120,7 +121,7 @@ WORD_MIN_DF = 10
 
 
 def word_category_map(counts: DataFrame, bigram_totals: DataFrame, dims: int = WORD_DIMS,
-                      rows: int = WORD_MAP[0], cols: int = WORD_MAP[1], epochs: int = 10,
+                      rows: int = WORD_MAP[0], cols: int = WORD_MAP[1], epochs: int = EPOCHS,
                       min_df: int = WORD_MIN_DF):
     """F3-F6 + G7 + G9: train the word map on context encodings; return ``(W, word_cells)``.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -34,21 +35,47 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_root(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application (a zip of its files)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shelfmap_shipped", False):
+        return
+    folder = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(folder):                  # else this copy was itself shipped
+        target = os.path.join(tempfile.mkdtemp(prefix="shelfmap-ship-"), "shelfmap.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for base, _, files in os.walk(folder):
+                for f in sorted(files):
+                    if not f.endswith(".pyc"):
+                        full = os.path.join(base, f)
+                        z.write(full, os.path.join("shelfmap", os.path.relpath(full, folder)))
+        sc.addPyFile(target)
+    sc._shelfmap_shipped = True
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and stage tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a private folder under the system temp dir is created.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a local
+    master gets a private temporary folder, and a cluster a fresh folder on the
+    session's default file system; a default file system that is local to each machine
+    is refused there.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
+    if not root and sc.master.startswith("local"):
         root = tempfile.mkdtemp(prefix="shelfmap-ckpt-")
+    if not root:
+        home = sc._jvm.org.apache.hadoop.fs.FileSystem.get(sc._jsc.hadoopConfiguration()).getHomeDirectory().toString()
+        if home.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{home}/shelfmap-{uuid.uuid4().hex}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return sc.getCheckpointDir() or root
@@ -69,11 +96,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for driver-side file checks in local mode."""
-    return path[5:] if path.startswith("file:") else path
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, through the Hadoop file system of the session."""
     jvm = spark.sparkContext._jvm
@@ -82,5 +104,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-def env_cpus(default: int = 8) -> int:
-    return int(os.environ.get("BENCH_CPUS", default))
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty marker file, through the Hadoop file system of the session."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hpath, True).close()

@@ -64,9 +64,15 @@ def sitemap_files(entries: DataFrame) -> DataFrame:
                                                 F.lit("</urlset>\n")).alias("xml"))
 
 
-def sitemap_index(entries: DataFrame, site: str, lastmod: str) -> DataFrame:
-    """Index rows for the files that exist (deviation V6): ``(file_num, loc, lastmod)``."""
-    return (entries.select("file_num").distinct()
+def sitemap_index(books: DataFrame, static_urls: list[tuple[str, str]], site: str, lastmod: str,
+                  chunk: int = CHUNK) -> DataFrame:
+    """Index rows for the files that exist (deviation V6): ``(file_num, loc, lastmod)``.
+
+    Positions are dense, so the files follow from the number of books: one count, no sort.
+    """
+    files = F.ceil((F.count(F.lit(1)) + F.lit(len(static_urls))) / F.lit(chunk)).cast("int")
+    return (books.agg(files.alias("files")).where("files > 0")
+            .select(F.explode(F.sequence(F.lit(1), F.col("files"))).alias("file_num"))
             .select("file_num", F.concat(F.lit(site), F.lit("sitemap_books_"), F.col("file_num").cast("string"),
                                          F.lit(".xml")).alias("loc"), F.lit(lastmod).alias("lastmod")))
 

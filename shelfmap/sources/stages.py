@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmap.session import checkpoint_root, exists
+from shelfmap.session import checkpoint_root, exists, touch
 
 
 def stage(spark: SparkSession, name: str, compute: Callable[[], DataFrame], reuse: bool = True,
@@ -27,11 +27,19 @@ def stage(spark: SparkSession, name: str, compute: Callable[[], DataFrame], reus
 
 def model_stage(spark: SparkSession, name: str, fit: Callable[[], object], loader, reuse: bool = True,
                 root: str | None = None):
-    """Same for an ML model: ``loader.load(path)`` when stored, else fit and save."""
+    """Same for a model: ``loader.load(path)`` when stored, else fit and save.
+
+    A model with its own ``save`` (a topic model) is stored by that, an ML model by its
+    writer; a marker file written last tells that the model is complete.
+    """
     base = (root or checkpoint_root(spark)).rstrip("/")
     path = f"{base}/{name}"
-    if reuse and exists(spark, f"{path}/metadata/_SUCCESS"):
+    if reuse and exists(spark, f"{path}/_STORED"):
         return loader.load(path)
     model = fit()
-    model.write().overwrite().save(path)
+    if hasattr(model, "write"):
+        model.write().overwrite().save(path)
+    else:
+        model.save(path)
+    touch(spark, f"{path}/_STORED")
     return model

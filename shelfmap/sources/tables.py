@@ -42,27 +42,11 @@ def debug_lookup(books: DataFrame, ids: DataFrame, key: str = "sha") -> DataFram
             .select("book_id", "title", "author", "summary"))
 
 
-SPREAD_MAX_BYTES = 2 << 30     # only inputs this small are ever re-spread
+def dealt(df: DataFrame, setting: str = "spark.shelfmap.textPartitions") -> DataFrame:
+    """Rows dealt over the number of partitions that the session names; unchanged when it names none.
 
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (no job)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
-    """Round-robin repartition of a small input read in fewer partitions than there are cores.
-
-    Small inputs (one file, one row group) otherwise run CPU-heavy text work
-    in a single task.  Large inputs are never shuffled here: the guard also
-    requires Catalyst's size estimate to be below ``max_bytes``, and at scale
-    the scan has enough splits anyway (planning only, no job).
+    For tables stored as one small file, whose scan is a single task.  Tables of many
+    splits need no setting: the reader splits files by ``spark.sql.files.maxPartitionBytes``.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    try:
-        small = estimated_bytes(df) <= max_bytes
-    except Exception:  # noqa: BLE001  (no statistics: leave the plan alone)
-        small = False
-    return df.repartition(want) if small else df
+    n = df.sparkSession.conf.get(setting, None)
+    return df.repartition(int(n)) if n else df

@@ -63,20 +63,24 @@ def stream_place_folder(spark: SparkSession, path: str, schema, place, where=Non
 
 
 def run_placement_updates(stream: DataFrame, place: Callable[[DataFrame], DataFrame], books,
-                          members_log: str, checkpoint: str, where=None, key: str = "sha") -> None:
+                          members_log: str, checkpoint: str, where=None, key: str = "sha",
+                          cells: DataFrame | None = None) -> None:
     """H1-H3: place each micro-batch, then the two keyed updates.
 
     1. the book's cell: upsert ``(key, bmu_col, bmu_row)`` into ``books`` (a
        ``VersionedTable``), skipped when the batch id was applied already;
     2. the cell's member set: the batch's ``(bmu_col, bmu_row, key)`` rows under
        ``members_log/batch_id=<id>`` (overwrite, so a replay rewrites the same rows).
-    Cell sets are the distinct rows of the log (``cell_set_add`` semantics).
+    Cell sets are the distinct rows of the log (``cell_set_add`` semantics).  With ``cells``
+    ``(bmu_col, bmu_row)``, only members of those existing cells are logged; the book keeps its
+    cell either way.
     """
     src = stream.where(where) if where is not None else stream
 
     def each(batch: DataFrame, batch_id: int) -> None:
         placed = place(batch).select(key, "bmu_col", "bmu_row").persist()
-        placed.write.mode("overwrite").parquet(f"{members_log}/batch_id={batch_id}")
+        listed = placed.join(cells, ["bmu_col", "bmu_row"], "left_semi") if cells is not None else placed
+        listed.write.mode("overwrite").parquet(f"{members_log}/batch_id={batch_id}")
         books.upsert(placed.withColumn("batch_id", F.lit(batch_id)), batch_id)
         placed.unpersist()
 
