@@ -18,7 +18,7 @@ def clean_sql(e: str) -> str:
     out = f"regexp_replace({out}, '_', '', 'g')"
     out = f"lower({out})"
     out = f"regexp_replace({out}, '[^{SP}]+@[^{SP}]+', '', 'g')"
-    out = f"regexp_replace({out}, 'http[^{SP}]*|www[^{SP}]*', '', 'g')"
+    out = f"regexp_replace({out}, 'http[^{SP}]+|www[^{SP}]+', '', 'g')"
     return f"regexp_replace({out}, '^[{SP}]+|[{SP}]+$', '', 'g')"
 
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmap.functions.arrays import normalize_sum
-from shelfmap.sources.tables import read_table, spread
+from shelfmap.functions.arrays import explode_indexed, normalize_sum
+from shelfmap.sources.tables import dealt, read_table
 
 GRID_ROWS, GRID_COLS = 10, 12          # codebook stand-in: 120 units
 HIST_ROWS, HIST_COLS = 15, 21          # word-map grid for hit histograms
@@ -18,7 +18,7 @@ HIST_ROWS, HIST_COLS = 15, 21          # word-map grid for hit histograms
 
 def bookdocs(spark: SparkSession, root: str) -> DataFrame:
     """``documents`` as books: title = first line, summary = whole text."""
-    d = spread(read_table(spark, root, "documents"))
+    d = dealt(read_table(spark, root, "documents"))
     return d.select(
         F.col("doc_id").alias("sha"),
         F.trim(F.substring_index("text", "\n", 1)).alias("title"),
@@ -85,22 +85,25 @@ DIST_SQL = """dist AS (
 
 
 def codebook(spark: SparkSession, root: str, rows: int = GRID_ROWS, cols: int = GRID_COLS) -> DataFrame:
-    """The ``rows*cols`` embeddings with lowest ``vec_id`` as a fixed codebook."""
-    e = read_table(spark, root, "embeddings").orderBy("vec_id").limit(rows * cols)
-    from pyspark.sql import Window
-    w = Window.orderBy("vec_id")     # at most rows*cols rows: one small task
-    return (e.withColumn("unit", (F.row_number().over(w) - 1).cast("int"))
+    """A fixed codebook from all ``embeddings``: unit ``vec_id % units`` holds the mean of its rows."""
+    e = read_table(spark, root, "embeddings")
+    unit = (F.col("vec_id") % (rows * cols)).cast("int")
+    mean = (e.select(unit.alias("unit"), explode_indexed(F.col("embedding").cast("array<double>")))
+            .groupBy("unit", "i").agg(F.round(F.avg("v"), 9).alias("v")))
+    return (mean.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("iv"))
             .select("unit",
                     (F.col("unit") / cols).cast("int").alias("row"),
                     (F.col("unit") % cols).cast("int").alias("col"),
-                    F.col("embedding").cast("array<double>").alias("w")))
+                    F.transform("iv", lambda s: s["v"]).alias("w")))
 
 
 CODEBOOK_SQL = f"""codebook AS (
-  SELECT CAST(unit AS INTEGER) AS unit, CAST(unit // {GRID_COLS} AS INTEGER) AS "row",
-         CAST(unit % {GRID_COLS} AS INTEGER) AS col, w
-  FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS unit, CAST(embedding AS DOUBLE[]) AS w
-        FROM embeddings) WHERE unit < {GRID_ROWS * GRID_COLS})"""
+  SELECT unit, CAST(unit // {GRID_COLS} AS INTEGER) AS "row", CAST(unit % {GRID_COLS} AS INTEGER) AS col,
+         list(v ORDER BY i) AS w
+  FROM (SELECT unit, i, round(avg(v), 9) AS v
+        FROM (SELECT CAST(vec_id % {GRID_ROWS * GRID_COLS} AS INTEGER) AS unit, unnest(CAST(embedding AS DOUBLE[])) AS v,
+                     generate_subscripts(embedding, 1) AS i FROM embeddings)
+        GROUP BY unit, i) GROUP BY unit)"""
 
 
 def vectors(spark: SparkSession, root: str) -> DataFrame:

@@ -117,11 +117,12 @@ def test_placement_with_keyed_updates(spark):
     assert placed == [(1, 0), (2, 1), (3, 1)] and books.manifest()["batch_id"] == 1
 
 
-def test_spread_only_small_inputs(spark):
+def test_dealt_only_by_setting(spark):
     df = spark.range(0, 1000).coalesce(1)
-    assert tables.spread(df, min_partitions=4).rdd.getNumPartitions() == 4
-    assert tables.spread(df, min_partitions=4, max_bytes=1).rdd.getNumPartitions() == 1
-    assert tables.spread(spark.range(0, 10, numPartitions=4), min_partitions=4).rdd.getNumPartitions() == 4
+    assert tables.dealt(df).rdd.getNumPartitions() == 1
+    spark.conf.set("spark.shelfmap.textPartitions", "3")
+    assert tables.dealt(df).rdd.getNumPartitions() == 3
+    spark.conf.unset("spark.shelfmap.textPartitions")
 
 
 def test_topk_and_pushdown_plans(spark):

@@ -68,7 +68,7 @@ def test_similar_books(spark):
         [(1, "A", 10, 0, 0), (2, "B", 5, 0, 0), (3, "B ", 7, 0, 0), (4, "A", 1, 0, 0), (5, "X", 3, 1, 1),
          (6, "Z", 2, None, None)],
         "sha int, title string, ratings_count int, bmu_col int, bmu_row int").withColumn("author", F.lit("a"))
-    out = {(r.src_sha, r.sha) for r in serve.similar_books(books, max_cells=4).collect()}
+    out = {(r.src_sha, r.sha) for r in serve.similar_books(books).collect()}
     assert (1, 3) in out and (1, 1) not in out and (1, 4) not in out   # own title ignored
     assert (2, 1) in out and (2, 3) in out                                # 'B ' differs from 'B' before trim
     assert not any(s == 6 for s, _ in out)                                # unplaced source

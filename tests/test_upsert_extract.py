@@ -111,8 +111,8 @@ def test_sitemap_chunks(spark, n_books, sizes):
     e = sm.sitemap_entries(spark, books, "b/", static, "2024-01-01", chunk=5)
     got = {r.file_num: r.n for r in e.groupBy("file_num").agg(F.count("*").alias("n")).collect()}
     assert got == sizes
-    assert sorted(r.file_num for r in sm.sitemap_index(e, "x/", "d").collect()) == sorted(sizes)
-    idx = sm.index_xml(sm.sitemap_index(e, "x/", "d"), per_index=1).collect()
+    assert sorted(r.file_num for r in sm.sitemap_index(books, static, "x/", "d", chunk=5).collect()) == sorted(sizes)
+    idx = sm.index_xml(sm.sitemap_index(books, static, "x/", "d", chunk=5), per_index=1).collect()
     assert len(idx) == len(sizes) and all(r.xml.count("<sitemap>") == 1 for r in idx)
     xml = {r.file_num: r.xml for r in sm.sitemap_files(e).collect()}
     assert xml[1].count("<url>") == 5 and xml[1].index("s0") < xml[1].index("s3")
