@@ -12,21 +12,21 @@ def connected_components(links: DataFrame) -> DataFrame:
     """``node, label`` for every end of a link ``(a, b)``; the label is the component's least node.
 
     Each round gives a node the least label among itself and its neighbours (a partial and a
-    final minimum per node), then the label of that label.  Rounds end when no label changes;
-    every round is cut off by a reliable checkpoint.
+    final minimum per node), then the label that this label had before.  Rounds end when no
+    label changes; every round is one job, cut off by a reliable checkpoint.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = reliable_checkpoint(both)
+    both = reliable_checkpoint(
+        links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = reliable_checkpoint(both.groupBy("a").agg(F.min("b").alias("least"))
                                  .select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least"))
-        step = (labels.join(near, labels["node"] == near["a"])
-                .select("node", F.col("label").alias("was"), F.least("label", "least").alias("label")))
-        step = reliable_checkpoint(step)
-        jump = step.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        jumped = reliable_checkpoint(step.join(jump, step["label"] == jump["via"], "left")
-                                     .select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label")))
-        labels = jumped.select("node", "label")
-        if jumped.where("label != was").limit(1).count() == 0:
+        near = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
+        step = (near.withColumn("was", F.lit(None).cast(labels.schema["label"].dataType))
+                .union(labels.select("node", "label", F.col("label").alias("was")))
+                .groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was")))
+        far = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
+        step = reliable_checkpoint(step.join(far, step["label"] == far["via"])
+                                   .select("node", "was", F.least("label", "far").alias("label")))
+        labels = step.select("node", "label")
+        if step.where("label != was").isEmpty():
             return labels

@@ -8,9 +8,9 @@ similarity), not only of common content.
 
 Texts with equal normalised words are one node.  Nodes that share a sketch meet in a
 bucket.  No bucket is expanded into pairs: every member is compared with the bucket's hub,
-the member that shares most sketches with others, and, while members of a bucket lie in
-different components, in ``ROUNDS`` further rounds with a random member of each bucket and
-with the hub of those left over.  A compared pair is a link if a banded alignment of the two
+the member that shares most sketches with others, and, where members of a bucket then lie
+in different components, in a second round with ``CHANCES`` random members of each bucket
+and with the hub of those left over.  A compared pair is a link if a banded alignment of the two
 word sequences matches at least 0.8 of the words of both together (words matched in order,
 over words of either).  Classes are the connected components of the links.
 """
@@ -34,7 +34,7 @@ SHINGLE = 5
 SKETCHES = 24
 ORDERED = 2
 SIMILARITY = 0.8
-ROUNDS = 2
+CHANCES = 3
 HOT_SHARE = 512
 LEADER_SPREAD = 64
 CACHE_WORDS = 400_000
@@ -235,27 +235,27 @@ def _verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
         .mapInPandas(verify, "a binary, b binary")
 
 
-def _candidates(members: DataFrame, labels: DataFrame | None, round_no: int) -> DataFrame:
-    """Pairs of a member and a leader of its bucket that lie in different components and can be alike."""
-    if labels is None:
-        m = members.withColumn("label", F.col("node"))
-    else:
-        known = labels.select("node", "label")
-        m = members.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = m.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-        m = reliable_checkpoint(m.join(open_, "bucket", "left_semi"))
+def _candidates(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs of a member and a leader of its bucket that lie in different components and can be alike.
+
+    Without ``labels`` the leader is the bucket's hub; with them, the leaders are CHANCES
+    random members of the bucket and the hub of those outside the first hub's component.
+    """
     hub = F.max(F.struct("popular", "node", "label", "n_words")).alias("hub")
     if labels is None:
-        leaders = m.groupBy("bucket").agg(hub)
+        m = members.withColumn("label", F.col("node"))
+        leaders = m.groupBy("bucket").agg(hub).select("bucket", "hub.node", "hub.label", "hub.n_words")
     else:
-        chance = F.max(F.struct(F.xxhash64("node", "bucket", F.lit(round_no)).alias("r"), "node", "label", "n_words")).alias("any")
-        first = m.groupBy("bucket").agg(hub, chance)
+        m = members.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        m = reliable_checkpoint(m)
+        chance = [F.max(F.struct(F.xxhash64("node", "bucket", F.lit(i)).alias("r"), "node", "label", "n_words")).alias(f"any{i}")
+                  for i in range(CHANCES)]
+        first = m.groupBy("bucket").agg(hub, *chance)
         rest = (m.join(first.select("bucket", F.col("hub.label").alias("main")), "bucket").where("label != main")
-                .groupBy("bucket").agg(hub))
-        leaders = (first.select("bucket", F.struct("any.node", "any.label", "any.n_words").alias("hub"))
-                   .union(rest.select("bucket", F.struct("hub.node", "hub.label", "hub.n_words").alias("hub"))))
-    lead = leaders.select("bucket", F.col("hub.node").alias("b"), F.col("hub.label").alias("b_label"),
-                          F.col("hub.n_words").alias("b_words"))
+                .groupBy("bucket").agg(hub).select("bucket", "hub.node", "hub.label", "hub.n_words"))
+        any_ = F.array(*[F.struct(f"any{i}.node", f"any{i}.label", f"any{i}.n_words") for i in range(CHANCES)])
+        leaders = first.select("bucket", F.inline(any_)).union(rest)
+    lead = leaders.select("bucket", F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("n_words").alias("b_words"))
     near = F.least("n_words", "b_words") >= F.lit(SIMILARITY) * F.greatest("n_words", "b_words")
     return (m.join(lead, "bucket").where(F.col("label") != F.col("b_label")).where(near)
             .select(F.col("node").alias("a"), "b").distinct())
@@ -290,15 +290,11 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
              .select(F.col("node").alias("want"), _seqs_udf(F.col("t")).alias("s")))
     seqs = reliable_checkpoint(texts.where(F.col("want") == F.col("s.node")).select("s.node", "s.seq").dropDuplicates(["node"]))
 
-    links = reliable_checkpoint(_verified(reliable_checkpoint(_candidates(members, None, 0)), seqs))
+    links = reliable_checkpoint(_verified(reliable_checkpoint(_candidates(members, None)), seqs))
     labels = connected_components(links)
-    for round_no in range(1, ROUNDS + 1):
-        pairs = reliable_checkpoint(_candidates(members, labels, round_no))
-        found = reliable_checkpoint(_verified(pairs, seqs))
-        if found.limit(1).count() == 0:
-            break
-        links = links.union(found)
-        labels = connected_components(links)
+    found = reliable_checkpoint(_verified(reliable_checkpoint(_candidates(members, labels)), seqs))
+    if not found.isEmpty():
+        labels = connected_components(links.union(found))
 
     classed = reliable_checkpoint(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     classes = classed.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("rows").alias("class_size"))
