@@ -860,3 +860,163 @@ def websom_histograms(spark, root):
     _, cells = wo.word_category_map(counts, _bigram_totals(toks), epochs=MAP_EPOCHS)
     docs = toks.select(F.col("sha").alias("doc"))
     return wo.document_histograms(docs, counts, cells).select(F.col("doc").alias("sha"), "h")
+
+
+# --- operators over derived tables ----------------------------------------------------
+
+from shelfmap.functions.predicates import array_has_all, conditional_match, in_list, relative_cutoff_col, url_filters  # noqa: E402
+from shelfmap.session import scratch_path  # noqa: E402
+
+FRONT = ("title", "author", "release_date", "language", "produced_by")
+
+
+@register("front_matter_fields", """
+SELECT doc_id AS sha, 'Second ' || source AS fm_title, source AS fm_author,
+       CASE WHEN doc_id % 2 = 0 THEN 'May ' || CAST(doc_id AS VARCHAR) END AS fm_release_date, lang AS fm_language,
+       NULL::VARCHAR AS fm_produced_by FROM documents""")
+def front_matter_fields(spark, root):
+    """The last label wins, a repeated label cuts the value, tabs and blanks go."""
+    d = read_table(spark, root, "documents")
+    day = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Release Date: May "), F.col("doc_id").cast("string")))
+    text = F.concat(F.lit("Title: First\nAuthor:\t"), F.col("source"), F.lit("\t\nTitle:  Second "), F.col("source"),
+                    F.lit(" Title: again\n"), F.coalesce(day, F.lit("Release Date:  ")), F.lit("\nLanguage: "),
+                    F.col("lang"), F.lit("\n\nBody Language"))
+    out = ex.front_matter(d.select(F.col("doc_id").alias("sha"), text.alias("text")))
+    return out.select("sha", *[f"fm_{f}" for f in FRONT])
+
+
+@register("search_items", """
+SELECT 'd' || CAST(doc_id AS VARCHAR) || s AS identifier, 'https://archive.org/metadata/d' || CAST(doc_id AS VARCHAR) || s AS url
+FROM documents, (VALUES ('a'), ('b')) t(s) WHERE doc_id % 3 <> 0""")
+def search_items(spark, root):
+    """One row per item of a stored search page; pages without items give none."""
+    key = F.col("doc_id").cast("string")
+    full = F.concat(F.lit('{"items":[{"identifier":"d'), key, F.lit('a"},{"identifier":"d'), key, F.lit('b"}],"cursor":"x"}'))
+    pages = read_table(spark, root, "documents").select(
+        F.when(F.col("doc_id") % 3 == 0, F.lit('{"items":[]}')).otherwise(full).alias("json"))
+    return ex.search_expansion(pages)
+
+
+@register("cover_rows", f"""WITH {st.BOOKDOCS_SQL}
+SELECT sha, 'https://img.example.org/' || CAST(sha AS VARCHAR) AS image_url FROM bookdocs WHERE spider = 'src3' AND sha % 3 <> 0""")
+def cover_rows(spark, root):
+    """Images of one spider's books."""
+    image = F.when(F.col("sha") % 3 != 0, F.concat(F.lit("https://img.example.org/"), F.col("sha").cast("string")))
+    return sm.cover_list(st.bookdocs(spark, root).withColumn("image_url", image), "src3")
+
+
+@register("filter_all_of", f"""WITH {st.BOOKDOCS_SQL}
+SELECT sha, title FROM bookdocs WHERE language = 'en' AND spider = 'src3'""")
+def filter_all_of(spark, root):
+    """Every listed value equals the scalar field, and is in the array field."""
+    books = st.bookdocs(spark, root).withColumn("genres", F.array("language", "spider"))
+    return (books.where(build_predicate({"spider__all": ["src3", "src3"]}))
+            .where(array_has_all(F.col("genres"), ["en", "src3"])).select("sha", "title"))
+
+
+@register("relative_times", """
+SELECT event_id, spec, CAST(CASE WHEN spec <> 'bad' THEN date_trunc('hour', ts - to_seconds(CASE spec WHEN '3h' THEN 10800
+  WHEN '2d' THEN 172800 WHEN '1w' THEN 604800 WHEN '1m' THEN 2592000 WHEN '90M' THEN 5400 WHEN '1y' THEN 31536000 END)) END AS VARCHAR) AS cut
+FROM (SELECT event_id, date_trunc('second', ts) AS ts, ['3h', '2d', '1w', '1m', '90M', '1y', 'bad'][event_id % 7 + 1] AS spec FROM events)""")
+def relative_times(spark, root):
+    """Relative specs against each event's time."""
+    e = read_table(spark, root, "events")
+    specs = F.array(*[F.lit(x) for x in ("3h", "2d", "1w", "1m", "90M", "1y", "bad")])
+    spec = F.get(specs, (F.col("event_id") % 7).cast("int"))
+    cut = relative_cutoff_col(F.col("spec"), F.date_trunc("second", F.col("ts")).cast("timestamp"))
+    return e.withColumn("spec", spec).select("event_id", "spec", F.date_format(cut, "yyyy-MM-dd HH:mm:ss").alias("cut"))
+
+
+@register("url_filter_columns", """
+SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN CAST(doc_id AS INTEGER) END AS square_meter_gt, doc_id / 2.0 AS roi_lt,
+  CAST(make_date(CAST(nullif(doc_id % 2100, 0) AS INTEGER), 1, 1) AS VARCHAR) AS year_of_construction_gt,
+  doc_id % 3 = 0 AS is_active, source AS spider FROM documents""")
+def url_filter_columns(spark, root):
+    """Request URLs to typed filters; bad numbers and year 0 are absent."""
+    d = read_table(spark, root, "documents")
+    key = F.col("doc_id").cast("string")
+    url = F.concat(F.lit("https://x.example.org/s?ami="), F.when(F.col("doc_id") % 4 == 0, "x1").otherwise(key), F.lit("&roima="),
+                   (F.col("doc_id") / 2).cast("string"), F.lit("&ymi="), (F.col("doc_id") % 2100).cast("string"),
+                   F.lit("&is_active="), F.when(F.col("doc_id") % 3 == 0, "true").otherwise("false"), F.lit("&spider="), F.col("source"))
+    out = d.select("doc_id", *url_filters(url, F.lit("2024-01-01").cast("timestamp")))
+    return out.select("doc_id", "square_meter_gt", "roi_lt", F.col("year_of_construction_gt").cast("string").alias("year_of_construction_gt"),
+                      "is_active", "spider")
+
+
+@register("conditional_matches", """
+WITH b AS (SELECT p_partkey AS id, p_brand AS brand, p_size AS size, p_type AS kind,
+  CASE WHEN p_partkey % 3 <> 0 THEN CAST(1990 + p_partkey % 4 AS VARCHAR) || '-05-01' END AS built FROM part)
+SELECT l.id, r.id AS r_id FROM b l JOIN b r ON l.brand = r.brand AND l.size = r.size AND l.kind = r.kind
+WHERE l.built IS NULL OR substr(l.built, 1, 4) = substr(r.built, 1, 4)""")
+def conditional_matches(spark, root):
+    """Equal keys, and equal years where the left year is known."""
+    year = F.when(F.col("p_partkey") % 3 != 0, F.concat((1990 + F.col("p_partkey") % 4).cast("string"), F.lit("-05-01")))
+    b = read_table(spark, root, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"),
+                                               F.col("p_size").alias("size"), F.col("p_type").alias("kind"), year.alias("built"))
+    return conditional_match(b, b, ["brand", "size", "kind"], "built").select("id", "r_id")
+
+
+@register("book_details", f"""WITH {st.BOOKPARTS_SQL}
+SELECT sha, title, author FROM bookparts WHERE sha IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)""")
+def book_details(spark, root):
+    """B2 and C10 for a long list of keys: one row per key, by semi join; C2 drops the other fields."""
+    lines = read_table(spark, root, "lineitem")
+    keys = lines.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)).select(F.col("l_partkey").alias("sha"))
+    books = in_list(st.bookparts(spark, root), "sha", keys)
+    return serve.drop_fields(serve.book_detail(books, keys), ["ratings_count", "bmu_col", "bmu_row"])
+
+
+@register("cell_books", CELLS_SQL + """
+SELECT e.vec_id AS sha, e.label FROM embeddings e JOIN members m ON m.sha = e.vec_id WHERE m.bmu_col = 3 AND m.bmu_row = 2""")
+def cell_books(spark, root):
+    """The books of one chosen cell."""
+    books = read_table(spark, root, "embeddings").select(F.col("vec_id").alias("sha"), "label")
+    return som.cell_lookup(_members(spark, root), books, 3, 2)
+
+
+@register("cell_lists", CELLS_SQL + """
+SELECT bmu_col, bmu_row, 0 AS bucket, list(sha ORDER BY sha) AS matched_list FROM members WHERE sha IS NOT NULL GROUP BY 1, 2""")
+def cell_lists(spark, root):
+    """E-7: members as one array per cell and bucket."""
+    return som.cell_member_lists(_members(spark, root))
+
+
+@register("bag_of_frequent_words", f"""WITH {st.TRAINING_SQL}{TOKENS_CTE},
+bag AS (SELECT sha, term, count(*) AS n FROM (SELECT sha, unnest(tokens) AS term FROM toks) GROUP BY sha, term),
+vocab AS (SELECT term FROM bag GROUP BY term HAVING count(*) >= 25)
+SELECT sha, term, n FROM bag WHERE term IN (SELECT term FROM vocab)""")
+def bag_of_frequent_words(spark, root):
+    """F3d: counts restricted to a given vocabulary, unknown terms ignored."""
+    toks = _training_tokens(spark, root)
+    vocab = txo.doc_freq(toks, "sha", "tokens", min_df=25)
+    return txo.bag_of_words(toks, "sha", "tokens", vocab).select(F.col("doc").alias("sha"), "term", "n")
+
+
+@register("stored_upserts", ORACLES["upsert_latest"])
+def stored_upserts(spark, root):
+    """The versioned table, written in two batches, replayed once and read back."""
+    t = up.VersionedTable(spark, scratch_path(spark, "events"), "user_id", ["ts", "event_id"])
+    ev, cut = _partial_events(spark, root), F.lit(CUT).cast("timestamp_ntz")
+    for batch_id, rows in ((0, ev.where(F.col("ts") < cut)), (1, ev.where(F.col("ts") >= cut)), (1, ev)):
+        t.upsert(rows, batch_id)
+    return t.read().select("user_id", "sha", "event_type", "value", "props",
+                           F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+
+
+@register("stream_cell_sets", CELLS_SQL + """
+SELECT bmu_col, bmu_row, sha FROM members WHERE sha IS NOT NULL AND (bmu_col + bmu_row) % 2 = 0""")
+def stream_cell_sets(spark, root):
+    """H3: streamed placements added to the member sets of the cells that exist (here every other one)."""
+    path = f"{root.rstrip('/')}/[e]mbeddings.parquet"
+    cb = st.codebook(spark, root)
+    cells = som.grid(spark, st.GRID_ROWS, st.GRID_COLS).where((F.col("bmu_col") + F.col("bmu_row")) % 2 == 0)
+
+    def place(batch):
+        vecs = batch.select(F.col("vec_id").alias("sha"), F.col("embedding").cast("array<double>").alias("x"))
+        return som.assign_bmu(vecs, cb, "sha", "x")
+
+    log = scratch_path(spark, "members")
+    books = up.VersionedTable(spark, scratch_path(spark, "placed"), "sha", ["batch_id"])
+    sp.run_placement_updates(sp.staged_stream(spark, path, read_table(spark, root, "embeddings").schema), place, books, log,
+                             scratch_path(spark, "placed-ckpt"), cells=cells)
+    return sp.cell_sets(spark, log)
