@@ -9,8 +9,8 @@ windows.  Kernel values to ``LANDMARKS`` strings give Nyström features, on whic
 support vector machine is trained.  A sentence counts as its most toxic string, a document by
 its TOP most toxic strings, and a logistic curve turns their margins into a score.
 
-The labels mark documents, so training finds the guilty strings itself: first those whose
-letter runs occur in far more toxic documents than expected, then, with each machine,
+The labels mark documents, so training finds the guilty strings itself: first those that, as a whole or by
+a letter run, occur in far more toxic documents than expected, then, with each machine,
 the string of each toxic document with the greatest margin, and harmless strings with
 high margins join the negatives.  Copies of the guilty strings with a letter put in join
 the positives, which teaches the machine to bear them.
@@ -50,7 +50,10 @@ MAX_NEGATIVES = 8_000
 MAX_HARMLESS = 100_000
 PURITY = 8.0
 GUILT = 8.0
+SURE_WEIGHT = 0.25
 LEAST_SURPLUS = 1.4
+SURE_SURPLUS = 2.2
+SURE_SHARE = 0.03
 NO_STRING = -1.0
 TOP = 3
 VARIANTS = 4
@@ -188,8 +191,12 @@ def _kernel(parts: list[str], code: Letters, column: np.ndarray, land: np.ndarra
                            for i in range(0, len(parts), 512)]) if parts else np.zeros((0, len(land)), dtype=np.float32)
 
 
-def _guilty(toxic: list[list[str]], clean: list[list[str]]) -> list[str | None]:
-    """Per toxic document the string that, as a whole or by a letter run in it, marks toxic documents most; None if none does."""
+def _guilty(toxic: list[list[str]], clean: list[list[str]]) -> tuple[list[str | None], dict[str, int]]:
+    """Per toxic document the string that marks toxic documents most (None if none does), and common sure ones.
+
+    A string marks them as a whole or by a letter run in it.  Sure are those that at least
+    SURE_SHARE of the toxic documents hold and hardly any clean one; they come with their number.
+    """
     def grams(p: str) -> set[str]:
         return {p[i:i + GRAM] for i in range(max(1, len(p) - GRAM + 1))}
 
@@ -207,7 +214,9 @@ def _guilty(toxic: list[list[str]], clean: list[list[str]]) -> list[str | None]:
         return max(_surplus(whole[p], whole_misses[p], len(toxic), len(clean)), max(worth[g] for g in grams(p)))
 
     best = [max(((value(p), p) for p in parts), default=(0.0, None)) for parts in toxic]
-    return [p if v >= LEAST_SURPLUS else None for v, p in best]
+    sure = {p: n for p, n in whole.items() if n >= SURE_SHARE * len(toxic)
+            and _surplus(n, whole_misses[p], len(toxic), len(clean)) >= SURE_SURPLUS}
+    return [p if v >= LEAST_SURPLUS else None for v, p in best], sure
 
 
 def _surplus(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
@@ -234,7 +243,7 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray,
 def fit_strings(toxic: list[list[str]], clean: list[list[str]], share: float) -> ToxicModel | None:
     """Train on the window lists of toxic and clean documents; ``share`` of all labelled ones are toxic."""
     rng = np.random.default_rng(7)
-    guilty = _guilty(toxic, clean)
+    guilty, sure = _guilty(toxic, clean)
     misses = Counter(p for parts in clean for p in parts)
     harmless = sorted(misses)
     if len(harmless) > MAX_HARMLESS:
@@ -249,6 +258,7 @@ def fit_strings(toxic: list[list[str]], clean: list[list[str]], share: float) ->
         if not any(guilty):
             break
         count = Counter(p for p in guilty if p)
+        count.update({p: SURE_WEIGHT * n for p, n in sure.items() if p not in count})
         for p in sorted(count):                 # the same strings with a letter put in, or one doubled
             known = sorted(code.code)
             for _ in range(VARIANTS):
