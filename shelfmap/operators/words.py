@@ -7,12 +7,16 @@ work is linear in the number of bigrams.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from shelfmap.operators.som import EPOCHS
 from shelfmap.session import reliable_checkpoint
 
-from shelfmap.functions.arrays import gaussian_blur, minmax_scale
+from shelfmap.functions.arrays import gaussian_weights, minmax_scale
 
 WORD_DIMS = 90            # fixed value: random vector length of the word map
 
@@ -107,13 +111,38 @@ def dense_histogram(docs: DataFrame, hits: DataFrame, units: int, doc: str = "do
                     .otherwise(dense).alias("h")))
 
 
+def blur_matrix(n: int, fwhm: float = 2.0) -> np.ndarray:
+    """The unnormalised Gaussian filter with mirrored edges as an ``n x n`` matrix."""
+    weights = gaussian_weights(fwhm, normalized=False)
+    r, k = len(weights) // 2, np.zeros((n, n))
+    for i in range(n):
+        for d, w in enumerate(weights, -r):
+            m = (i + d) % (2 * n)
+            k[m if m < n else 2 * n - 1 - m, i] += w
+    return k
+
+
 def blurred_histogram(hist: DataFrame, col: str = "h", out: str = "h") -> DataFrame:
-    """F7 + F8: Gaussian blur (FWHM 2) then min-max, per document.
+    """F7 + F8: Gaussian blur (FWHM 2) then min-max, per document; one matrix product per Arrow batch.
 
-    Min-max is scale-invariant, so the kernel is applied unnormalised: with
-    integer counts and the dyadic FWHM-2 kernel every sum is exact.
+    Min-max is scale-invariant, so the kernel is applied unnormalised: with integer
+    counts and the dyadic FWHM-2 kernel every sum is exact.  Histograms have one length.
     """
-    return hist.withColumn(out, minmax_scale(gaussian_blur(F.col(col), normalized=False)))
+    def scaled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kernel = None
+        for rows in batches:
+            if not len(rows):
+                yield rows
+                continue
+            h = np.stack(rows.to_numpy())
+            if kernel is None or len(kernel) != h.shape[1]:
+                kernel = blur_matrix(h.shape[1])
+            h = h @ kernel
+            low, span = h.min(axis=1, keepdims=True), np.ptp(h, axis=1)[:, None]
+            yield pd.Series(list(np.divide(h - low, span, out=np.zeros_like(h), where=span != 0)))
+
+    scaled.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return hist.withColumn(out, F.pandas_udf(scaled, "array<double>")(F.col(col)))
 
 
 WORD_MAP = (15, 21)       # fixed values: word-category map rows x cols

@@ -481,8 +481,7 @@ def som_train(spark, root):
     data = st.dist(spark, root)
     W, errors = som.train_som(data, "p", st.GRID_ROWS, st.GRID_COLS, epochs=MAP_EPOCHS)
     cb = som.codebook_frame(spark, W, st.GRID_ROWS, st.GRID_COLS)
-    err = spark.createDataFrame([(i, float(e)) for i, e in enumerate(errors)], "epoch int, qe double")
-    return cb.crossJoin(F.broadcast(err.where(F.col("epoch") == len(errors) - 1))).drop("epoch")
+    return cb.withColumn("qe", F.lit(float(errors[-1])))
 
 
 @register("place_texts")
