@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import free_name, per_text, short_batches, text_or_empty
+from .common import free_name, kept, per_text, short_batches, text_or_empty
 from .records import UnitEncoder
 from .token_prefix import byte_of_letter
 
@@ -95,13 +95,8 @@ class ChatCoder:
         return unescape(self.text(a[1:body])), unescape(self.text(a[body + 1:-1])), loss, len(self.text(a))
 
 
-_CODERS: dict[str, ChatCoder] = {}
-
-
 def coder(path: str) -> ChatCoder:
-    if path not in _CODERS:
-        _CODERS[path] = ChatCoder(path)
-    return _CODERS[path]
+    return kept(("chat", path), lambda: ChatCoder(path))
 
 
 def format_turns(df: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -49,6 +49,20 @@ def free_name(columns: list[str], wish: str) -> str:
     return wish
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """State that a Python worker keeps over its tasks, such as a tokenizer and its cache.
+
+    A worker holds the state of one operator at a time: another operator's is let go first.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 class TwoGenerations:
     """A bounded cache: at most ``2 * size`` entries, the least recently filled half goes first."""
 
@@ -69,11 +83,6 @@ class TwoGenerations:
         return value
 
 
-def slices(rows: list, size: int) -> Iterator[list]:
-    for i in range(0, len(rows), size):
-        yield rows[i:i + size]
-
-
 def per_text(schema: str, make, *columns: Column) -> Column:
     """A struct column computed from text columns in Arrow batches.
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
-from .common import TwoGenerations, free_name, per_text, short_batches
+from .common import TwoGenerations, free_name, kept, per_text, short_batches
 from .components import connected_components
 
 SHINGLE = 5
@@ -37,7 +37,7 @@ SIMILARITY = 0.8
 CHANCES = 3
 HOT_SHARE = 512
 LEADER_SPREAD = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 ROWS_AT_ONCE = 1 << 16
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,13 +65,8 @@ class WordHasher:
         return np.array([known[w] for w in words], dtype=np.uint64)
 
 
-_HASHER: list[WordHasher] = []
-
-
 def hasher() -> WordHasher:
-    if not _HASHER:
-        _HASHER.append(WordHasher())
-    return _HASHER[0]
+    return kept("words", WordHasher)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -220,8 +215,8 @@ def _sketch_udf(text: Column) -> Column:
 def _verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose sequences are alike; ``b`` may be the leader of very many pairs."""
     spread = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / LEADER_SPREAD).cast("int").alias("copies"))
-    left = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a")
-    left = left.join(spread, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
+    left = pairs.join(spread, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
+    left = left.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a")
     right = (spread.join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b")
              .select("b", "seq_b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")))
 

@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
 from .bpe_paths import PairRules, WordTable
-from .common import TwoGenerations, free_name, per_text, short_batches
+from .common import TwoGenerations, free_name, kept, per_text, short_batches
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK_CHARS = 32_768
 FAN = 256
-CACHE_UNITS = 300_000
+CACHE_UNITS = 200_000
 CACHED_CHARS = 64
 
 # A unit starts at the first of a run of space marks, or is a line end; both are checked against the vocabulary.
@@ -190,13 +190,8 @@ class PieceCoder:
         raise ValueError("no path between the chosen states")
 
 
-_CODERS: dict[str, PieceCoder] = {}
-
-
 def coder(path: str) -> PieceCoder:
-    if path not in _CODERS:
-        _CODERS[path] = PieceCoder(path)
-    return _CODERS[path]
+    return kept(("pieces", path), lambda: PieceCoder(path))
 
 
 def multiply(a: Matrix, b: Matrix) -> Matrix:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import UNICODE_SPACE, TwoGenerations, short_batches, text_or_empty
+from .common import UNICODE_SPACE, TwoGenerations, kept, short_batches, text_or_empty
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -142,14 +142,9 @@ class UnitEncoder:
         return b"".join(out)
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
-    """One encoder per Python worker and tokenizer file, kept over tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    """The Python worker's encoder of a tokenizer file."""
+    return kept(("records", path), lambda: UnitEncoder(path))
 
 
 def _ids(payload: bytes) -> tuple[int | None, np.ndarray]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_paths import END, PairRules, WordTable
-from .common import UNICODE_SPACE, TwoGenerations, free_name, per_text, short_batches
+from .common import UNICODE_SPACE, TwoGenerations, free_name, kept, per_text, short_batches
 
 TOKENIZER = "word_bpe_49k.json"
 CACHE_PARTS = 300_000
@@ -190,13 +190,8 @@ class PrefixCounter:
         return out
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
+    return kept(("prefix", path), lambda: PrefixCounter(path))
 
 
 def _counts(steps: bytes, width: int) -> np.ndarray:
