@@ -15,6 +15,9 @@ from shelfmap.llm import exact_dedup, mixing, omh, pieces, quality_pu
 from shelfmap.llm.common import documents, table
 from shelfmap.session import scratch_path
 
+# The workers of five stages share an executor, so the last stage's cache is kept small.
+CACHE_UNITS = 50_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the quality classifier accepts; it is fitted on this stage's own input."""
@@ -35,7 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = pieces.encode_pieces(docs, public_tokenizers.path(pieces.MODEL))
+    coded = pieces.encode_pieces(docs, public_tokenizers.path(pieces.MODEL), cache_units=CACHE_UNITS)
     return coded.select("doc_id", "source", "n_pieces", "ids", "ids_crc32", F.length("decoded").cast("long").alias("decoded_chars"))
 
 

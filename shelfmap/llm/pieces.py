@@ -47,7 +47,7 @@ Matrix = dict[tuple[State, State], int]
 class PieceCoder:
     """Ids and texts of one SentencePiece BPE model."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_units: int = CACHE_UNITS):
         import sentencepiece
         sp = self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(sp.vocab_size())
@@ -66,7 +66,7 @@ class PieceCoder:
             shown[i] = bytes([b])
         shown[self.unknown] = b" \xe2\x81\x87 "
         self.shown = shown
-        self.cache = TwoGenerations(CACHE_UNITS)
+        self.cache = TwoGenerations(cache_units)
         self.table = WordTable(self.rules)
         self.numbers = np.array([self.ids[p] for p in self.table.names], dtype=self.dtype)
 
@@ -190,8 +190,8 @@ class PieceCoder:
         raise ValueError("no path between the chosen states")
 
 
-def coder(path: str) -> PieceCoder:
-    return kept(("pieces", path), lambda: PieceCoder(path))
+def coder(path: str, cache_units: int = CACHE_UNITS) -> PieceCoder:
+    return kept(("pieces", path, cache_units), lambda: PieceCoder(path, cache_units))
 
 
 def multiply(a: Matrix, b: Matrix) -> Matrix:
@@ -282,13 +282,14 @@ def _scan(mats: DataFrame, most: int) -> DataFrame:
     return joined.groupBy("k", "block").applyInPandas(down, f"k long, no long, ahead {MATRIX}, behind {MATRIX}")
 
 
-def encode_giants(giant: DataFrame, key: str, text: str, model_path: str, chunk: int = CHUNK_CHARS) -> DataFrame:
+def encode_giants(giant: DataFrame, key: str, text: str, model_path: str, chunk: int = CHUNK_CHARS,
+                  cache_units: int = CACHE_UNITS) -> DataFrame:
     """``k, ids`` of texts longer than a chunk; ``key`` must be unique."""
     context = 64
     parts = reliable_checkpoint(_chunks(giant, key, text, chunk, context))
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = coder(model_path)
+        code = coder(model_path, cache_units)
         if code.rules.longest > context:
             raise ValueError("pieces longer than the chunks' context")
         for pdf in batches:
@@ -301,7 +302,7 @@ def encode_giants(giant: DataFrame, key: str, text: str, model_path: str, chunk:
     full = parts.join(ends, ["k", "no"]).join(mats, ["k", "no"])
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = coder(model_path)
+        code = coder(model_path, cache_units)
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
@@ -328,12 +329,13 @@ def _finish(code: PieceCoder, ids: bytes) -> tuple:
     return len(a), wide, zlib.crc32(wide), code.decode(a)
 
 
-def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", chunk: int = CHUNK_CHARS) -> DataFrame:
+def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", chunk: int = CHUNK_CHARS,
+                  cache_units: int = CACHE_UNITS) -> DataFrame:
     """All input rows and columns plus ``n_pieces``, ``ids`` (u32 little-endian), ``ids_crc32``, ``decoded``.
 
     Null and empty texts: no pieces and an empty decoded text; empty input: no rows;
     repeated rows are encoded alike; input columns named like a result column are
-    replaced.  A decoded text equals the input, except that a space mark in it becomes a space.
+    replaced.  ``cache_units`` bounds the distinct units a Python worker keeps (twice).  A decoded text equals the input, except that a space mark in it becomes a space.
     """
     spark = df.sparkSession
     short_batches(spark)
@@ -344,17 +346,17 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", chunk:
     is_giant = F.coalesce(F.length(F.col(text_col)) >= chunk, F.lit(False))
 
     def make():
-        code = coder(model_path)
+        code = coder(model_path, cache_units)
         return lambda texts: pd.DataFrame([_finish(code, b) for b in code.encode([t or "" for t in texts])], columns=fields)
 
     def make_back():
-        code = coder(model_path)
+        code = coder(model_path, cache_units)
         return lambda ids: pd.DataFrame([_finish(code, i) for i in ids], columns=fields)
 
     short = df.where(~is_giant).withColumn(s, per_text(RESULT, make, F.col(text_col)))
     # Numbered once and kept, so that the numbers survive the loss of an executor.
     giant = reliable_checkpoint(df.where(is_giant).withColumn(key, F.monotonically_increasing_id()))
-    ids = encode_giants(giant, key, text_col, model_path, chunk)
+    ids = encode_giants(giant, key, text_col, model_path, chunk, cache_units)
     long = giant.join(ids, giant[key] == ids["k"]).withColumn(s, per_text(RESULT, make_back, F.col("ids")))
     pick = [F.col(f"{s}.{f}").alias(f) for f in fields]
     return short.select(*names, *pick).unionByName(long.select(*names, *pick))
