@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from ..session import reliable_checkpoint
 
 
+def _measured_anew(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, without its estimated size.
+
+    A checkpoint keeps the estimate of the plan before it, and a join multiplies estimates:
+    carried through the rounds, they would double their digits in each one.
+    """
+    spark, saved = df.sparkSession, reliable_checkpoint(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(saved.queryExecution().toRdd(), saved.schema(), False), spark)
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``node, label`` for every end of a link ``(a, b)``; the label is the component's least node.
 
@@ -15,18 +25,18 @@ def connected_components(links: DataFrame) -> DataFrame:
     final minimum per node), then the label that this label had before.  Rounds end when no
     label changes; every round is one job, cut off by a reliable checkpoint.
     """
-    both = reliable_checkpoint(
+    both = _measured_anew(
         links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = reliable_checkpoint(both.groupBy("a").agg(F.min("b").alias("least"))
-                                 .select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
+    labels = _measured_anew(both.groupBy("a").agg(F.min("b").alias("least"))
+                            .select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
         step = (near.withColumn("was", F.lit(None).cast(labels.schema["label"].dataType))
                 .union(labels.select("node", "label", F.col("label").alias("was")))
                 .groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was")))
         far = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        step = reliable_checkpoint(step.join(far, step["label"] == far["via"])
-                                   .select("node", "was", F.least("label", "far").alias("label")))
+        step = _measured_anew(step.join(far, step["label"] == far["via"])
+                              .select("node", "was", F.least("label", "far").alias("label")))
         labels = step.select("node", "label")
         if step.where("label != was").isEmpty():
             return labels

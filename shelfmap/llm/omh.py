@@ -7,12 +7,15 @@ order in the text, so that equal sketches tell of equal k-mers in equal order (e
 similarity), not only of common content.
 
 Texts with equal normalised words are one node.  Nodes that share a sketch meet in a
-bucket.  No bucket is expanded into pairs: every member is compared with the bucket's hub,
-the member that shares most sketches with others, and, where members of a bucket then lie
-in different components, in a second round with ``CHANCES`` random members of each bucket
-and with the hub of those left over.  A compared pair is a link if a banded alignment of the two
+bucket.  Two cheap rounds join most of what belongs together: every member is compared with
+the bucket's hub, the member that shares most sketches with others, and, where members of a
+bucket then lie in different components, with ``CHANCES`` random members of each bucket and
+with the hub of those left over.  A last round compares every pair of a bucket that still
+lies in different components: the bucket is split into blocks by length and hash, and block
+meets block as rows, never as pairs.  A compared pair is a link if a banded alignment of the two
 word sequences matches at least 0.8 of the words of both together (words matched in order,
-over words of either).  Classes are the connected components of the links.
+over words of either).  Classes are the connected components of the links: those of all
+pairs that share a bucket.
 """
 
 from __future__ import annotations
@@ -37,6 +40,10 @@ SIMILARITY = 0.8
 CHANCES = 3
 HOT_SHARE = 512
 LEADER_SPREAD = 64
+BLOCK_ROWS = 128
+BLOCK_WORDS = 1 << 18
+LENGTH_STEP = 1.26            # above 1 / SIMILARITY: alike texts are at most one length class apart
+COLUMNS_AT_ONCE = 4096
 CACHE_WORDS = 200_000
 ROWS_AT_ONCE = 1 << 16
 
@@ -87,7 +94,7 @@ def kmers(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
         first = np.maximum.accumulate(np.where(same, 0, at))
         seen = np.zeros(n, dtype=np.uint64)
         seen[order] = (at - first).astype(np.uint64)
-        h = _mix(h + seen * _ODD)
+        h = np.where(seen > 0, _mix(h + seen * _ODD), h)      # a first occurrence is labelled alike in every text
     return h
 
 
@@ -145,6 +152,25 @@ def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return banded_matches(a.tolist(), b.tolist(), len(a) + len(b) - 2 * need) >= need
 
 
+def common_words(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Words that each left and each right sequence share, in any order: no alignment matches more."""
+    grams = [kmers(w, 1) for w in (*left, *right)]          # the words, labelled by occurrence
+    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    _, column, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    many = times[column] > 1
+    owner, column = owner[many], column[many]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    column = np.cumsum(np.diff(column, prepend=column[:1]) != 0)
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS_AT_ONCE):
+        i, j = np.searchsorted(column, [start, start + COLUMNS_AT_ONCE])
+        held = np.zeros((len(grams), COLUMNS_AT_ONCE), dtype=np.float32)
+        held[owner[i:j], column[i:j] - start] = 1
+        out += held[:len(left)] @ held[len(left):].T
+    return out
+
+
 def banded_matches(a: list[int], b: list[int], band: int) -> int:
     """Most words matched in order within ``band`` diagonals of the main one."""
     block, n, m = max(1024, band), len(a), len(b)
@@ -230,6 +256,11 @@ def _verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
         .mapInPandas(verify, "a binary, b binary")
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    m = members.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return reliable_checkpoint(m)
+
+
 def _candidates(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Pairs of a member and a leader of its bucket that lie in different components and can be alike.
 
@@ -241,8 +272,7 @@ def _candidates(members: DataFrame, labels: DataFrame | None) -> DataFrame:
         m = members.withColumn("label", F.col("node"))
         leaders = m.groupBy("bucket").agg(hub).select("bucket", "hub.node", "hub.label", "hub.n_words")
     else:
-        m = members.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        m = reliable_checkpoint(m)
+        m = _labelled(members, labels)
         chance = [F.max(F.struct(F.xxhash64("node", "bucket", F.lit(i)).alias("r"), "node", "label", "n_words")).alias(f"any{i}")
                   for i in range(CHANCES)]
         first = m.groupBy("bucket").agg(hub, *chance)
@@ -256,6 +286,103 @@ def _candidates(members: DataFrame, labels: DataFrame | None) -> DataFrame:
             .select(F.col("node").alias("a"), "b").distinct())
 
 
+def _block_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets with several components, once per pair of blocks they belong to.
+
+    A block holds members of one length class, dealt by hash into about BLOCK_ROWS members or
+    BLOCK_WORDS words.  The bucket's largest component (``main``) has blocks of its own, which
+    do not meet each other.  ``x`` and ``y`` number the two blocks, ``far`` marks members of ``y``.
+    """
+    m = _labelled(members, labels)
+    several = (m.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+               .groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+               .where("labels > 1").select("bucket", "main"))
+    step = F.floor(F.log("n_words") / F.lit(float(np.log(LENGTH_STEP)))).cast("long")
+    m = reliable_checkpoint(m.join(several, "bucket").select("bucket", "node", "label", "n_words", step.alias("step"),
+                                                             (F.col("label") != F.col("main")).cast("int").alias("rest")))
+
+    def blocks(rest: int) -> Column:
+        mine = F.col("rest") == rest
+        return F.ceil(F.greatest(F.sum(mine.cast("int")) / BLOCK_ROWS,
+                                 F.sum(F.when(mine, F.col("n_words")).otherwise(0)) / BLOCK_WORDS)).cast("int")
+
+    sizes = m.groupBy("bucket", "step").agg(blocks(0).alias("main"), blocks(1).alias("others"), F.sum("rest").alias("n_rest"))
+    shape = sizes.groupBy("bucket").agg(F.collect_list(F.struct("step", "main", "others", "n_rest")).alias("sizes"))
+
+    def number(step_: Column, rest, salt: Column) -> Column:
+        return (step_ * 2 + rest) * F.lit(1 << 32) + salt
+
+    def numbers(z: Column, rest: int, count: Column) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0), count), lambda i: i < count), lambda i: number(z["step"], F.lit(rest), i))
+
+    def partners(z: Column) -> Column:
+        alone = (z["step"] == F.col("step")) & (F.col("rest") == 1) & (z["n_rest"] == 1)
+        return F.concat(numbers(z, 1, F.when(alone, 0).otherwise(z["others"])),
+                        numbers(z, 0, F.when(F.col("rest") == 1, z["main"]).otherwise(0)))
+
+    here = F.filter("sizes", lambda z: z["step"] == F.col("step"))[0]
+    salt = F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("rest") == 1, here["others"]).otherwise(here["main"]))
+    near = F.filter("sizes", lambda z: F.abs(z["step"] - F.col("step")) <= 1)
+    return (m.join(shape, "bucket").withColumn("own", number(F.col("step"), F.col("rest"), salt))
+            .withColumn("other", F.explode(F.flatten(F.transform(near, partners))))
+            .select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
+                    (F.col("own") > F.col("other")).alias("far"), "node", "label"))
+
+
+def block_links(bucket: int, rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """Links that join the components of ``(far, node, label, seq, buckets)`` rows; a pair is compared in its least bucket."""
+    left, right = [r for r in rows if not r[0]], [r for r in rows if r[0]]
+    inner = not right
+    right = right or left
+    if len(left) < 1 or len({r[2] for r in rows}) < 2:
+        return []
+    a, b = ([np.frombuffer(r[3], dtype=np.uint64) for r in side] for side in (left, right))
+    shared = common_words(a, b)
+    na, nb = (np.array([len(w) for w in side]) for side in (a, b))
+    share = shared / np.maximum(na[:, None] + nb[None, :] - shared, 1)
+    ok = share >= SIMILARITY - 1e-9
+    if inner:
+        ok &= np.triu(np.ones(ok.shape, dtype=bool), 1)
+    i, j = np.nonzero(ok)
+    up: dict[bytes, bytes] = {}
+
+    def find(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    out = []
+    for at in np.argsort(-share[i, j], kind="stable"):
+        p, q = left[i[at]], right[j[at]]
+        x, y = find(p[2]), find(q[2])
+        if x != y and min(set(p[4]) & set(q[4])) == bucket and alike(a[i[at]], b[j[at]]):
+            up[x] = y
+            out.append((p[1], q[1]))
+    return out
+
+
+def _rest_links(members: DataFrame, labels: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Links among all pairs that share a bucket and lie in different components."""
+    meet = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    rows = (reliable_checkpoint(_block_rows(members, labels)).join(seqs, "node").join(meet, "node")
+            .select("bucket", "x", "y", "far", "node", "label", "seq", "buckets")
+            .repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False, name=None):
+                if row[:3] != key:
+                    out += block_links(key[0], held) if held else []
+                    key, held = row[:3], []
+                held.append(row[3:])
+            yield pd.DataFrame(out, columns=["a", "b"])
+        yield pd.DataFrame(block_links(key[0], held) if held else [], columns=["a", "b"])
+
+    return rows.mapInPandas(compare, "a binary, b binary")
+
+
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id, node, class_id, class_size, class_kept``.
 
@@ -288,6 +415,10 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = reliable_checkpoint(_verified(reliable_checkpoint(_candidates(members, None)), seqs))
     labels = connected_components(links)
     found = reliable_checkpoint(_verified(reliable_checkpoint(_candidates(members, labels)), seqs))
+    if not found.isEmpty():
+        links = links.union(found)
+        labels = connected_components(links)
+    found = reliable_checkpoint(_rest_links(members, labels, seqs))
     if not found.isEmpty():
         labels = connected_components(links.union(found))
 

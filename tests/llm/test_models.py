@@ -215,6 +215,51 @@ def test_near_classes(spark):
     assert omh.near_classes(df.limit(0)).count() == 0 and omh.drop_near_copies(df.limit(0)).count() == 0
 
 
+def test_near_classes_of_many_distant_copies(spark):
+    """Pairs near 0.8, a few partners among a thousand: every pair that shares a bucket counts."""
+    rng = np.random.default_rng(11)
+    n, words = 1_100, 200
+    texts = [[f"w{i}" for i in range(words)] for _ in range(n)]
+    for t, w in enumerate(texts):
+        for k in rng.choice(words, rng.integers(13, 16), replace=False):
+            w[k] = f"x{t}y{k}"
+    seqs = [omh.hasher().hashes(" ".join(w)) for w in texts]
+    grid, keys = np.stack(seqs), np.stack([omh.sketches(omh.kmers(w)) for w in seqs])
+    up = list(range(n))
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for i in range(n):                                  # words are only replaced, so they match in place
+        match = (grid[:i] == grid[i]).sum(axis=1)
+        for j in np.flatnonzero((match / (2 * words - match) >= 0.8) & (keys[:i] == keys[i]).any(axis=1)):
+            up[find(i)] = find(j)
+    want = Counter(find(i) for i in range(n))
+    assert 50 < n - len(want) and len(want) > 100       # neither all one class nor all alone
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    by = defaultdict(set)
+    for r in omh.near_classes(df).collect():
+        by[r.class_id].add(r.id)
+    groups = defaultdict(set)
+    for i in range(n):
+        groups[find(i)].add(i)
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_common_words_bounds_the_alignment():
+    rng = np.random.default_rng(12)
+    side = [rng.integers(0, 30, rng.integers(1, 60)).astype(np.uint64) for _ in range(12)]
+    got = omh.common_words(side[:5], side[5:])
+    assert (got == [[sum((Counter(a.tolist()) & Counter(b.tolist())).values()) for b in side[5:]] for a in side[:5]]).all()
+
+
+def test_repeated_kmers_keep_the_other_sketches():
+    words = np.arange(1, 300, dtype=np.uint64)
+    again = np.concatenate([words, words[:6]])          # two k-mers occur twice
+    same = omh.sketches(omh.kmers(words)) == omh.sketches(omh.kmers(again))
+    assert same.mean() > 0.7
+
+
 def test_near_classes_of_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     got = queries.op9_order_minhash(spark, SF_SMALL).collect()
