@@ -345,8 +345,6 @@ def cell_set_add(spark, root):
 from shelfmap.functions.arrays import explode_indexed, gaussian_weights  # noqa: E402
 from shelfmap.operators import words as wo  # noqa: E402
 
-ORACLE_DIMS = 8
-
 
 def _word_vocab(spark, root):
     toks = _training_tokens(spark, root)
@@ -368,7 +366,7 @@ vocab AS (SELECT term AS word FROM (SELECT DISTINCT sha, unnest(tokens) AS term
           GROUP BY term HAVING count(*) >= 10),
 wv AS (SELECT word, CAST(i AS INTEGER) AS i,
               ('0x' || substr(md5(word || '#' || CAST(i AS VARCHAR)), 1, 8))::UBIGINT / 4294967296.0 AS v
-       FROM vocab, range(0, {ORACLE_DIMS}) t(i)),
+       FROM vocab, range(0, {wo.WORD_DIMS}) t(i)),
 bgall AS (SELECT sha, unnest({sq.bigrams_sql('tokens')}) AS term FROM toks),
 bigrams AS (SELECT term, count(*) AS total FROM bgall GROUP BY term HAVING count(DISTINCT sha) >= 10),
 bg AS (SELECT split_part(term, ' ', 1) AS w1, split_part(term, ' ', 2) AS w2, total FROM bigrams),
@@ -379,9 +377,9 @@ den AS (SELECT word, half, sum(total) AS den FROM side GROUP BY word, half),
 num AS (SELECT s.word, s.half, v.i, sum(s.total * v.v) AS num FROM side s JOIN wv v ON v.word = s.other
         GROUP BY s.word, s.half, v.i),
 enc AS (
-  SELECT w.word, CAST(h.half * {ORACLE_DIMS} + d.i AS INTEGER) AS i,
+  SELECT w.word, CAST(h.half * {wo.WORD_DIMS} + d.i AS INTEGER) AS i,
          CASE WHEN den.den > 0 THEN coalesce(num.num, 0) / den.den ELSE 0 END AS v
-  FROM vocab w CROSS JOIN (SELECT 0 AS half UNION ALL SELECT 1) h CROSS JOIN range(0, {ORACLE_DIMS}) d(i)
+  FROM vocab w CROSS JOIN (SELECT 0 AS half UNION ALL SELECT 1) h CROSS JOIN range(0, {wo.WORD_DIMS}) d(i)
   LEFT JOIN den ON den.word = w.word AND den.half = h.half
   LEFT JOIN num ON num.word = w.word AND num.half = h.half AND num.i = d.i)"""
 
@@ -389,13 +387,13 @@ enc AS (
 @register("word_vectors", WORDS_SQL + "\nSELECT word, i, v FROM wv")
 def word_vectors(spark, root):
     _, vocab = _word_vocab(spark, root)
-    return _long(wo.word_vectors(vocab, "term", ORACLE_DIMS), "word", "vec")
+    return _long(wo.word_vectors(vocab, "term", wo.WORD_DIMS), "word", "vec")
 
 
 def _encoding(spark, root):
     toks, vocab = _word_vocab(spark, root)
-    vecs = wo.word_vectors(vocab, "term", ORACLE_DIMS)
-    return wo.context_encoding(vecs, _bigram_totals(toks), ORACLE_DIMS)
+    vecs = wo.word_vectors(vocab, "term", wo.WORD_DIMS)
+    return wo.context_encoding(vecs, _bigram_totals(toks), wo.WORD_DIMS)
 
 
 @register("kaski_encoding", WORDS_SQL + "\nSELECT word, i, v FROM enc")

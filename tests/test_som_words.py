@@ -81,3 +81,14 @@ def test_word_vector_value(spark):
     df = spark.createDataFrame([("word",)], "term string")
     vec = wo.word_vectors(df, "term", 8).first().vec
     assert vec[7] == pytest.approx(0.6707447289954871, abs=1e-15)
+
+
+def test_registered_word_queries_have_all_dimensions(spark):
+    from conftest import SF_SMALL
+    from shelfmap.plans import catalog
+    vecs, encs, scaled = (f(spark, SF_SMALL).groupBy("word").agg(F.count("i").alias("n"), F.countDistinct("i").alias("d"),
+                                                                 F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+                          for f in (catalog.word_vectors, catalog.kaski_encoding, catalog.word_minmax))
+    assert vecs and all(r.n == r.d == 90 for r in vecs)
+    assert encs and all(r.n == r.d == 180 for r in encs)
+    assert all(r.n == r.d == 180 and (r.lo, r.hi) in ((0, 1), (0, 0)) for r in scaled)
