@@ -40,7 +40,7 @@ SIMILARITY = 0.8
 CHANCES = 3
 HOT_SHARE = 512
 LEADER_SPREAD = 64
-BLOCK_ROWS = 128
+BLOCK_ROWS = 512
 BLOCK_WORDS = 1 << 18
 LENGTH_STEP = 1.26            # above 1 / SIMILARITY: alike texts are at most one length class apart
 COLUMNS_AT_ONCE = 4096
@@ -291,15 +291,17 @@ def _block_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
 
     A block holds members of one length class, dealt by hash into about BLOCK_ROWS members or
     BLOCK_WORDS words.  The bucket's largest component (``main``) has blocks of its own, which
-    do not meet each other.  ``x`` and ``y`` number the two blocks, ``far`` marks members of ``y``.
+    do not meet each other; a bucket that fits one block is one.  ``x`` and ``y`` number the two blocks, ``far`` marks members of ``y``.
     """
     m = _labelled(members, labels)
-    several = (m.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-               .groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-               .where("labels > 1").select("bucket", "main"))
+    several = (m.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
+               .groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"),
+                                      ((F.sum("n") <= BLOCK_ROWS) & (F.sum("words") <= BLOCK_WORDS)).alias("whole"))
+               .where("labels > 1").select("bucket", "main", "whole"))
     step = F.floor(F.log("n_words") / F.lit(float(np.log(LENGTH_STEP)))).cast("long")
-    m = reliable_checkpoint(m.join(several, "bucket").select("bucket", "node", "label", "n_words", step.alias("step"),
-                                                             (F.col("label") != F.col("main")).cast("int").alias("rest")))
+    m = reliable_checkpoint(m.join(several, "bucket").select(
+        "bucket", "node", "label", "n_words", F.when(F.col("whole"), F.lit(0)).otherwise(step).alias("step"),
+        (F.col("whole") | (F.col("label") != F.col("main"))).cast("int").alias("rest")))
 
     def blocks(rest: int) -> Column:
         mine = F.col("rest") == rest
