@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, omh, pieces, quality_pu, quality_trees, records, token_prefix, toxicity
+from . import chat, divergence, exact_dedup, mixing, omh, pieces, quality_pu, quality_trees, records, token_prefix, toxicity
 from .common import documents, held_out, table, text_or_empty
 
 LIMIT = 2048
@@ -72,6 +72,10 @@ def op10_token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("n_tokens") > LIMIT).alias("over_limit"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_chat_format": op2_chat_format,
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_order_minhash": op9_order_minhash,
     "op10_token_prefix": op10_token_prefix,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES = {
@@ -140,4 +145,32 @@ WITH n AS (
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
        row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
 FROM n""",
+    "op13_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(lang_n)::HUGEINT AS lang_total FROM k GROUP BY lang),
+s AS (SELECT g.lang, g.source, coalesce(v.v, 0)::HUGEINT AS v, coalesce(v.lang_total, 0)::HUGEINT AS lang_total,
+        coalesce((SELECT sum(n) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0)::HUGEINT AS total
+      FROM g LEFT JOIN v ON v.lang = g.lang),
+m AS (  -- the whole matrix of shares
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.total + s.v) AS p,
+    1 + (1000000000::HUGEINT * (k.lang_n + 1)) // (s.lang_total + s.v) AS q
+  FROM s JOIN k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+    coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // y.p) FROM m x JOIN m y ON x.term = y.term
+              WHERE x.lang = a.lang AND x.source = a.source AND y.lang = b.lang AND y.source = b.source), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+found AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM m WHERE n > 0 AND p > q),
+u AS (SELECT * FROM pairs UNION ALL SELECT * FROM found),
+w AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM w WHERE part = 'pair' OR rank <= 200""",
 }
