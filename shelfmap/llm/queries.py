@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, divergence, exact_dedup, mixing, omh, pieces, quality_pu, quality_trees, records, token_prefix, toxicity
+from . import chat, collocations, divergence, exact_dedup, mixing, omh, pieces, quality_pu, quality_trees, records, token_prefix, toxicity
 from .common import documents, held_out, table, text_or_empty
 
 LIMIT = 2048
@@ -72,6 +72,10 @@ def op10_token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("n_tokens") > LIMIT).alias("over_limit"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(documents(spark, sf_dir))
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_order_minhash": op9_order_minhash,
     "op10_token_prefix": op10_token_prefix,
+    "op12_collocations": op12_collocations,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -145,6 +150,33 @@ WITH n AS (
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
        row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
 FROM n""",
+    "op12_collocations": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+p AS (SELECT lang, unnest(pieces) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+s AS (SELECT lang, words, unnest(generate_series(1, len(words))) AS i FROM w WHERE len(words) > 0),
+u AS (SELECT lang, words, i, unnest(generate_series(1, least(5, len(words) - i + 1))) AS size FROM s),
+f AS (SELECT lang, array_to_string(words[i:i + size - 1], ' ') AS phrase, size, count(*)::HUGEINT AS n
+      FROM u GROUP BY ALL HAVING count(*) >= 100),
+t AS (SELECT lang, sum(len(words))::HUGEINT AS total FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, size, n AS a, string_split(phrase, ' ') AS words FROM f WHERE size > 1),
+k AS (SELECT lang, phrase, a, words, unnest(generate_series(1, size - 1)) AS k, size FROM c),
+x AS (
+  SELECT k.lang, k.phrase, k.a, t.total, k.k, l.n AS l, r.n AS r, (1000 * k.a * t.total) // (l.n * r.n) AS score
+  FROM k JOIN t ON t.lang = k.lang JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.words[1:k.k], ' ')
+  JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.words[k.k + 1:k.size], ' ')),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM x),
+z AS (
+  SELECT y.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM y
+  WHERE cut = 1 AND NOT EXISTS (
+    SELECT 1 FROM c o WHERE o.lang = y.lang AND o.phrase <> y.phrase AND o.a >= y.a
+      AND contains(' ' || o.phrase || ' ', ' ' || y.phrase || ' ')))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, total::BIGINT AS n, score::BIGINT AS score
+FROM z WHERE rank <= 2000""",
     "op13_source_divergence": r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
