@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, divergence, exact_dedup, mixing, omh, pieces, quality_pu, quality_trees, records, token_prefix, toxicity
+from . import chat, collocations, divergence, exact_dedup, mixing, omh, pieces, quality_pu, quality_trees, records, repeats, token_prefix, toxicity
 from .common import documents, held_out, table, text_or_empty
 
 LIMIT = 2048
@@ -72,6 +72,11 @@ def op10_token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("n_tokens") > LIMIT).alias("over_limit"))
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.drop_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_order_minhash": op9_order_minhash,
     "op10_token_prefix": op10_token_prefix,
+    "op11_repeated_passages": op11_repeated_passages,
     "op12_collocations": op12_collocations,
     "op13_source_divergence": op13_source_divergence,
 }
@@ -150,6 +156,18 @@ WITH n AS (
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
        row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
 FROM n""",
+    "op11_repeated_passages": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT r, doc_id, words, unnest(generate_series(1, len(words) - 12)) AS i FROM d WHERE len(words) >= 13),
+w AS (SELECT r, doc_id, i, array_to_string(words[i:i + 12], ' ') AS win FROM s),
+m AS (SELECT win, min(doc_id) AS least FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT w.r, w.i FROM w JOIN m ON w.win = m.win WHERE m.least < w.doc_id),
+g AS (SELECT DISTINCT r, i + unnest(range(13)) AS i FROM h),
+u AS (SELECT r, unnest(generate_series(1, len(words))) AS i, unnest(words) AS word FROM d),
+k AS (SELECT u.r, count(g.i) AS n_removed, string_agg(u.word, ' ' ORDER BY u.i) FILTER (g.i IS NULL) AS kept
+      FROM u LEFT JOIN g ON u.r = g.r AND u.i = g.i GROUP BY u.r)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)""",
     "op12_collocations": r"""
 WITH d AS (
   SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
