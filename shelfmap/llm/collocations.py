@@ -87,53 +87,55 @@ def suffixes(numbers: np.ndarray) -> np.ndarray:
     return rows
 
 
-def _prefix_slots(rows: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _prefix_slots(rows: np.ndarray, hashes: np.ndarray, slots: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``(words, hash, slot)`` of the leading 2, 3 ... words of each suffix."""
     h = hashes[rows[:, 0]]
     for d in range(1, LONGEST):
         h = (h ^ (h >> np.uint64(29))) * _ODD + hashes[rows[:, d]]
         x = h * np.uint64(0xBF58476D1CE4E5B9)
-        yield d + 1, h, ((x >> np.uint64(40)) % np.uint64(SLOTS)).astype(np.int64)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``lang, word, depth, slot, n``: counts of words (depth 1), and of leading words by slot."""
-    known: dict[str, Words] = {}
-    held: dict[str, list] = {}
-    slots = np.zeros((LONGEST + 1, SLOTS), dtype=np.int64)
-
-    def sent():
-        for lang, texts in held.items():
-            words, numbers = known[lang], np.concatenate(texts)
-            counts = np.bincount(numbers, minlength=len(words.names))
-            for depth, _, slot in _prefix_slots(suffixes(numbers), np.array(words.hashes, dtype=np.uint64)):
-                if depth < LONGEST:
-                    slots[depth] += np.bincount(slot, minlength=SLOTS)
-            counts[0] = 0
-            met = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(met), pa.string()), pa.array([words.names[i] for i in met], pa.binary()).cast(pa.string()),
-                 pa.array([1] * len(met), pa.int32()), pa.array([0] * len(met), pa.int32()), pa.array(counts[met], pa.int64())],
-                ["lang", "word", "depth", "slot", "n"])
-        held.clear()
-
-    words_held = 0
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-            if lang not in known:
-                known[lang] = Words(lang)
-            numbers = known[lang].numbers(text.as_py())
-            held.setdefault(lang, []).append(np.append(numbers, np.int32(0)))
-            words_held += len(numbers) + 1
-            if words_held >= HELD_ROWS or len(known[lang]) > HELD_WORDS:
-                yield from sent()
-                words_held = 0
-                known = {k: w for k, w in known.items() if len(w) <= HELD_WORDS}
-    yield from sent()
-    depth, slot = np.nonzero(slots)
-    yield pa.RecordBatch.from_arrays(
-        [pa.nulls(len(slot), pa.string()), pa.nulls(len(slot), pa.string()), pa.array(depth, pa.int32()),
-         pa.array(slot, pa.int32()), pa.array(slots[depth, slot], pa.int64())], ["lang", "word", "depth", "slot", "n"])
+        yield d + 1, h, ((x >> np.uint64(40)) % np.uint64(slots)).astype(np.int64)
+
+
+def _count_words(slot_count: int, held_rows: int):
+    """``lang, word, depth, slot, n``: counts of words (depth 1), and of leading words by slot; for mapInArrow."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Words] = {}
+        held: dict[str, list] = {}
+        slots = np.zeros((LONGEST + 1, slot_count), dtype=np.int64)
+
+        def sent():
+            for lang, texts in held.items():
+                words, numbers = known[lang], np.concatenate(texts)
+                counts = np.bincount(numbers, minlength=len(words.names))
+                for depth, _, slot in _prefix_slots(suffixes(numbers), np.array(words.hashes, dtype=np.uint64), slot_count):
+                    if depth < LONGEST:
+                        slots[depth] += np.bincount(slot, minlength=slot_count)
+                counts[0] = 0
+                met = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(met), pa.string()), pa.array([words.names[i] for i in met], pa.binary()).cast(pa.string()),
+                     pa.array([1] * len(met), pa.int32()), pa.array([0] * len(met), pa.int32()), pa.array(counts[met], pa.int64())],
+                    ["lang", "word", "depth", "slot", "n"])
+            held.clear()
+
+        words_held = 0
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                if lang not in known:
+                    known[lang] = Words(lang)
+                numbers = known[lang].numbers(text.as_py())
+                held.setdefault(lang, []).append(np.append(numbers, np.int32(0)))
+                words_held += len(numbers) + 1
+                if words_held >= held_rows or len(known[lang]) > HELD_WORDS:
+                    yield from sent()
+                    words_held = 0
+                    known = {k: w for k, w in known.items() if len(w) <= HELD_WORDS}
+        yield from sent()
+        depth, slot = np.nonzero(slots)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(slot), pa.string()), pa.nulls(len(slot), pa.string()), pa.array(depth, pa.int32()),
+             pa.array(slot, pa.int32()), pa.array(slots[depth, slot], pa.int64())], ["lang", "word", "depth", "slot", "n"])
+    return run
 
 
 def quicksorted(rows: np.ndarray, weights: np.ndarray, least: int, shortest: int = 2) -> list[tuple[tuple[int, ...], int]]:
@@ -204,7 +206,7 @@ def _bucket_phrases(least: int):
     return run
 
 
-def _route_suffixes(sieve: bytes, full: np.ndarray, buckets: int):
+def _route_suffixes(sieve: bytes, full: np.ndarray, buckets: int, held_rows: int):
     """Merged suffixes of each task by bucket: a function for mapInArrow."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(sieve, dtype=np.uint8), bitorder="little").astype(bool)
@@ -216,7 +218,7 @@ def _route_suffixes(sieve: bytes, full: np.ndarray, buckets: int):
                 rows = np.concatenate(parts)
                 rows, weights = _merged(rows, np.ones(len(rows), dtype=np.int64))
                 depth, code = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.uint64)
-                for words, h, slot in _prefix_slots(rows, np.array(known[lang].hashes, dtype=np.uint64)):
+                for words, h, slot in _prefix_slots(rows, np.array(known[lang].hashes, dtype=np.uint64), full.shape[1]):
                     here = (depth == 0) & (~full[words, slot] if words < LONGEST else True)
                     depth[here], code[here] = words, h[here]
                 bucket = ((code * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
@@ -249,7 +251,7 @@ def _route_suffixes(sieve: bytes, full: np.ndarray, buckets: int):
                 if len(rows):
                     held.setdefault(lang, []).append(rows)
                     rows_held += len(rows)
-                if rows_held >= HELD_ROWS or len(known[lang]) > HELD_WORDS:
+                if rows_held >= held_rows or len(known[lang]) > HELD_WORDS:
                     yield from sent()
                     rows_held = 0
                     known = {k: w for k, w in known.items() if len(w) <= HELD_WORDS}
@@ -269,25 +271,26 @@ def _frequent_sieve(words: DataFrame) -> bytes:
 
 
 def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST_COUNT,
-                  bucket_rows: int = BUCKET_ROWS, least_limit: int = LEAST_LIMIT) -> tuple[DataFrame, DataFrame]:
+                  bucket_rows: int = BUCKET_ROWS, least_limit: int = LEAST_LIMIT, slots: int = SLOTS,
+                  held_rows: int = HELD_ROWS) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases ``lang, phrase, n`` of 1 to LONGEST words, and ``lang, total`` of all words."""
     spark = df.sparkSession
     texts = df.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
     counted = reliable_checkpoint(
-        texts.mapInArrow(_count_words, "lang string, word string, depth int, slot int, n long")
+        texts.mapInArrow(_count_words(slots, held_rows), "lang string, word string, depth int, slot int, n long")
         .groupBy("lang", "word", "depth", "slot").agg(F.sum("n").alias("n")))
     every = counted.where("depth = 1").select("lang", "word", "n")
     words = every.where(F.col("n") >= least)
 
-    # LONGEST - 2 times SLOTS rows at most.
-    slots = counted.where("depth > 1").select("depth", "slot", "n").toPandas()
-    positions = int(slots.loc[slots["depth"] == 2, "n"].sum())
+    # LONGEST - 2 times ``slots`` rows at most.
+    leading = counted.where("depth > 1").select("depth", "slot", "n").toPandas()
+    positions = int(leading.loc[leading["depth"] == 2, "n"].sum())
     buckets = max(-(-positions // bucket_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
     limit = max(positions // buckets, least_limit)
-    full = np.zeros((LONGEST + 1, SLOTS), dtype=bool)
-    full[slots["depth"], slots["slot"]] = slots["n"] > limit
+    full = np.zeros((LONGEST + 1, slots), dtype=bool)
+    full[leading["depth"], leading["slot"]] = leading["n"] > limit
 
-    routed = texts.mapInArrow(_route_suffixes(_frequent_sieve(words), full, buckets),
+    routed = texts.mapInArrow(_route_suffixes(_frequent_sieve(words), full, buckets, held_rows),
                               "bucket long, lang string, depth int, words array<binary>, ids binary, weights binary")
     phrases = (routed.repartition("bucket").sortWithinPartitions("bucket", "lang", "depth")
                .mapInArrow(_bucket_phrases(least), "lang string, phrase string, n long")

@@ -271,30 +271,32 @@ def locate(runs: list[tuple[bytes, int, int]]) -> list[list[int | None]]:
     return out
 
 
-def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``route, run, least``: the runs with a window that an earlier document holds; input sorted by route."""
-    held: list[tuple] = []
-    size, last = 0, None
+def _located(shard_windows: int):
+    """``route, run, least`` of the runs with a window that an earlier document holds: a function for rows sorted by route."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, last = 0, None
 
-    def sent():
-        found = locate([row[2:] for row in held])
-        kept = [(row[0], row[1], least) for row, least in zip(held, found)
-                if any(v is not None and v < row[4] for v in least)]
-        columns = zip(*kept) if kept else [[]] * 3
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["route", "run", "least"])
+        def sent():
+            found = locate([row[2:] for row in held])
+            kept = [(row[0], row[1], least) for row, least in zip(held, found)
+                    if any(v is not None and v < row[4] for v in least)]
+            columns = zip(*kept) if kept else [[]] * 3
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["route", "run", "least"])
 
-    for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in ("route", "run", "words", "low", "high"))):
-            if row[0] != last and size >= SHARD_WINDOWS:
-                yield sent()
-                held.clear()
-                size = 0
-            held.append(row)
-            size += row[2].count(b" ") + 2 - WINDOW
-            last = row[0]
-    if held:
-        yield sent()
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in ("route", "run", "words", "low", "high"))):
+                if row[0] != last and size >= shard_windows:
+                    yield sent()
+                    held.clear()
+                    size = 0
+                held.append(row)
+                size += row[2].count(b" ") + 2 - WINDOW
+                last = row[0]
+        if held:
+            yield sent()
+    return run
 
 
 def kept_words(text: bytes, covered: list[int] | None, copy: bool) -> tuple[int, int, bytes]:
@@ -327,7 +329,8 @@ def _judge(names: list[str], result: tuple[str, ...]):
     return run
 
 
-def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_runs: int = HOT_RUNS) -> DataFrame:
+def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_runs: int = HOT_RUNS,
+                 shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """All input rows and columns plus ``n_words``, ``n_removed`` and ``kept_text``.
 
     A word is removed if one of the windows over it also starts in a document with a smaller
@@ -370,7 +373,7 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = (flagged.mapInArrow(_distinct_runs, "route long, run long, words binary, low long, high long")
                 .repartition("route").groupBy("route", "run", "words").agg(F.min("low").alias("low"), F.max("high").alias("high"))
                 .sortWithinPartitions("route"))
-    located = distinct.mapInArrow(_located, "route long, run long, least array<long>")
+    located = distinct.mapInArrow(_located(shard_windows), "route long, run long, least array<long>")
     placed = flagged.mapInArrow(_placed_runs, "route long, run long, code long, key binary, first long, start long")
     gone = F.filter(F.transform("least", lambda v, i: F.when(v < F.col("first"), F.col("start") + i)), lambda v: v.isNotNull())
     covered = (placed.join(located, ["route", "run"]).select("code", "key", gone.alias("gone")).where(F.size("gone") > 0)
