@@ -344,31 +344,27 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     result = ("n_words", "n_removed", "kept_text")
     df = df.drop(*result)
     names = df.columns
-    code, key, place, plain, known, found, least, gone_ = (
-        free_name([*names, *result], n) for n in ("code", "key", "place", "plain", "known", "found", "least_place", "gone"))
-    text = text_or_empty(text_col)
-    keyed = (df.withColumn(plain, text).withColumn(place, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)))
-             .withColumn(code, F.xxhash64(text)).withColumn(key, F.unhex(F.md5(text))))
-    # Every step reads the same exchange of the texts by their hash, which Spark then makes once.
-    held = keyed.select(*(F.col(f"`{c}`") for c in keyed.columns))
-    docs = held.select(F.col(code).alias("code"), F.col(key).alias("key"), F.col(place).alias("place"), F.col(plain).alias("text"))
+    code, key, known, found = (free_name([*names, *result], n) for n in ("code", "key", "known", "found"))
+    text, place = text_or_empty(F.col(f"`{text_col}`")), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))
+    # Every step joins these rows by the texts' hash, on one exchange that Spark makes once (if there are no more columns).
+    keyed = df.withColumn(code, F.xxhash64(text)).withColumn(key, F.unhex(F.md5(text)))
     texts = (keyed.groupBy(F.col(code).alias("code"), F.col(key).alias("key")).agg(F.min(place).alias("first")))
     of_code = texts.groupBy("code").agg(F.collect_list(F.struct("key", "first")).alias("texts"))
 
-    def first(k):
-        return F.filter("texts", lambda t: t["key"] == k)[0]["first"]
+    def standing(side: DataFrame, *more: str) -> DataFrame:
+        """The rows that stand for their text, with the columns ``more`` of ``side``."""
+        name = {c: free_name(keyed.columns, f"{c}_of_side") for c in side.columns}
+        rows = keyed.join(side.withColumnsRenamed(name), F.col(code) == F.col(name["code"]))
+        first = F.filter(name["texts"], lambda t: t["key"] == F.col(key))[0]["first"]
+        return rows.where(place == first).select(F.col(code).alias("code"), F.col(key).alias("key"), first.alias("first"),
+                                                 text.alias("text"), *(F.col(name[c]).alias(c) for c in more))
 
-    def standing(side: DataFrame) -> DataFrame:
-        """The rows that stand for their text, with the columns of ``side``."""
-        return docs.join(side, "code").withColumn("first", first(F.col("key"))).where("place = first")
-
-    sieved = standing(of_code).select("code", "key", "place", "first", "text") \
-        .mapInArrow(_text_anchors, "anchor long, code long, runs int")
+    sieved = standing(of_code).mapInArrow(_text_anchors, "anchor long, code long, runs int")
     shared = (sieved.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("runs").alias("runs"))
               .where("n > 1").select("anchor", (F.col("runs") > hot_runs).alias("hot")))
     flags = (sieved.select("anchor", "code").join(shared, "anchor").groupBy("code")
              .agg(F.collect_set(F.struct("anchor", "hot")).alias("flags")))
-    flagged = standing(of_code.join(flags, "code")).select("code", "key", "place", "first", "text", "flags")
+    flagged = standing(of_code.join(flags, "code"), "flags")
 
     distinct = (flagged.mapInArrow(_distinct_runs, "route long, run long, words binary, low long, high long")
                 .repartition("route").groupBy("route", "run", "words").agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -381,10 +377,11 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                .groupBy("code").agg(F.collect_list(F.struct("key", "gone")).alias("found")))
 
     whole = of_code.join(covered, "code", "left").select(F.col("code").alias(f"{code}_"), F.col("texts").alias(known), F.col("found").alias(found))
-    out = held.join(whole, F.col(code) == F.col(f"{code}_")).select(
-        *(F.col(f"`{c}`") for c in names), plain, place,
-        F.filter(known, lambda t: t["key"] == F.col(key))[0]["first"].alias(least),
-        F.filter(found, lambda t: t["key"] == F.col(key))[0]["gone"].alias(gone_))
+    out = keyed.join(whole, F.col(code) == F.col(f"{code}_")).select(
+        *(F.col(f"`{c}`") for c in names), text, place,
+        F.filter(known, lambda t: t["key"] == F.col(key))[0]["first"],
+        F.filter(found, lambda t: t["key"] == F.col(key))[0]["gone"])
+    out = out.toDF(*names, *(free_name(names, n) for n in ("plain", "place", "least", "gone")))
     fields = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("kept_text", T.StringType())])
     return out.mapInArrow(_judge(names, result), fields)
