@@ -12,8 +12,9 @@ the phrase's count; it is sorted on at the next depth, down to the longest phras
 below the least count is abandoned.  Phrases shorter than their suffixes' routing depth
 gather in several buckets, so Spark adds those up.
 
-Which words are frequent reaches the tasks as a bitmap of ``SIEVE_BITS`` bits, a size that
-does not grow: a rare word that passes it costs time, never a wrong count.
+Two tables of fixed size reach the tasks.  A bitmap of ``SIEVE_BITS`` bits tells which words
+are frequent: a rare word that passes it costs time, never a wrong count.  The ``CODED``
+most frequent words (none longer than ``CODED_BYTES``) have numbers; other words travel as text.
 """
 
 from __future__ import annotations
@@ -38,7 +39,10 @@ BITMAP_BITS = 32768           # bits of one bitmap of Spark's bitmap_construct_a
 BUCKET_ROWS = 500_000         # suffixes a bucket is meant to hold
 LEAST_LIMIT = 1000
 HELD_ROWS = 1_000_000         # words, or suffixes, a task merges at once
-HELD_WORDS = 1_000_000        # distinct words a task remembers
+HELD_WORDS = 300_000          # distinct words a task remembers
+CODED = 1 << 18
+CODED_BYTES = 64
+ID_BITS = 21                  # numbers of CODED words and HELD_WORDS more
 
 BREAK = b"\xff"               # stands for a piece border; never part of UTF-8
 _SPLIT = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b == 0x09 else 0xFF if b in b".,;:!?\x0a\x0b\x0c\x0d" else b
@@ -57,25 +61,38 @@ def word_hash(lang: bytes, word: bytes) -> int:
 
 
 class Words(dict):
-    """Word -> number from 1 in one language; 0 for breaks and for words that ``wanted`` refuses."""
+    """Word -> number in one language; 0 for breaks and for words that ``wanted`` refuses.
 
-    def __init__(self, lang: str, wanted=None):
+    Coded words have their numbers from 1, others the next ones from ``first`` on.
+    """
+
+    def __init__(self, lang: str, coded: dict[bytes, int] | None = None, first: int = 1, wanted=None):
         super().__init__({BREAK: 0})
-        self.lang, self.wanted, self.names, self.hashes = lang.encode(), wanted, [b""], [0]
+        self.lang, self.coded, self.first, self.wanted = lang.encode(), coded or {}, first, wanted
+        self.names: list[bytes] = []
+        self.own: list[int] = []
+        self.of_coded = np.zeros(first, dtype=np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        h = word_hash(self.lang, word)
-        if self.wanted is not None and not self.wanted(h):
-            self[word] = 0
-            return 0
-        self[word] = at = len(self.names)
-        self.names.append(word)
-        self.hashes.append(h)
+        at, h = self.coded.get(word), word_hash(self.lang, word)
+        if at is not None:
+            self.of_coded[at] = h
+        elif self.wanted is not None and not self.wanted(h):
+            at = 0
+        else:
+            at = self.first + len(self.names)
+            self.names.append(word)
+            self.own.append(h)
+        self[word] = at
         return at
 
     def numbers(self, text: bytes) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, tokens(text)), dtype=np.int32)
 
+    def hashes(self) -> np.ndarray:
+        """By number, of the words met so far."""
+        return np.concatenate([self.of_coded, np.array(self.own, dtype=np.uint64)])
+
 
 def suffixes(numbers: np.ndarray) -> np.ndarray:
     """One row per position that starts at least two words: up to LONGEST numbers, then 0."""
@@ -106,14 +123,14 @@ def _count_words(slot_count: int, held_rows: int):
         def sent():
             for lang, texts in held.items():
                 words, numbers = known[lang], np.concatenate(texts)
-                counts = np.bincount(numbers, minlength=len(words.names))
-                for depth, _, slot in _prefix_slots(suffixes(numbers), np.array(words.hashes, dtype=np.uint64), slot_count):
+                counts = np.bincount(numbers, minlength=len(words.names) + 1)
+                for depth, _, slot in _prefix_slots(suffixes(numbers), words.hashes(), slot_count):
                     if depth < LONGEST:
                         slots[depth] += np.bincount(slot, minlength=slot_count)
                 counts[0] = 0
                 met = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(met), pa.string()), pa.array([words.names[i] for i in met], pa.binary()).cast(pa.string()),
+                    [pa.array([lang] * len(met), pa.string()), pa.array([words.names[i - 1] for i in met], pa.binary()).cast(pa.string()),
                      pa.array([1] * len(met), pa.int32()), pa.array([0] * len(met), pa.int32()), pa.array(counts[met], pa.int64())],
                     ["lang", "word", "depth", "slot", "n"])
             held.clear()
@@ -126,10 +143,11 @@ def _count_words(slot_count: int, held_rows: int):
                 numbers = known[lang].numbers(text.as_py())
                 held.setdefault(lang, []).append(np.append(numbers, np.int32(0)))
                 words_held += len(numbers) + 1
-                if words_held >= held_rows or len(known[lang]) > HELD_WORDS:
+                if words_held >= held_rows or len(known[lang].names) >= HELD_WORDS:
                     yield from sent()
                     words_held = 0
-                    known = {k: w for k, w in known.items() if len(w) <= HELD_WORDS}
+                    if sum(map(len, known.values())) > HELD_WORDS:
+                        known = {}
         yield from sent()
         depth, slot = np.nonzero(slots)
         yield pa.RecordBatch.from_arrays(
@@ -169,16 +187,27 @@ def _merged(rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows[first], np.add.reduceat(weights, np.flatnonzero(first)) if len(rows) else weights
 
 
-def _bucket_phrases(least: int):
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as planes of their bytes, which compress well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _bucket_phrases(least: int, coded):
     """Phrases of each bucket's suffixes: a function for mapInArrow over rows sorted by bucket."""
     def phrases(lang: str, depth: int, held: list):
-        names: dict[bytes, int] = {b"": 0}
+        first = len(coded.value[1])
+        names: dict[bytes, int] = {}
         parts, weights = [], []
         for words, ids, weight in held:
-            to = np.array([0, *(names.setdefault(w, len(names)) for w in words)], dtype=np.int32)
-            count = np.frombuffer(weight, dtype=np.uint32).astype(np.int64)
-            kind = np.uint16 if len(ids) == 2 * LONGEST * len(count) else np.uint32
-            parts.append(to[np.frombuffer(ids, dtype=kind)].reshape(-1, LONGEST))
+            rows, count = _numbers(ids), _numbers(weight)
+            if words:
+                own = np.array([names.setdefault(w, len(names)) for w in words]) + first
+                rows = np.where(rows < first, rows, own[np.maximum(rows - first, 0)])
+            parts.append(rows.reshape(LONGEST, -1).T.astype(np.int32))
             weights.append(count)
         rows, weight, names = np.concatenate(parts), np.concatenate(weights), list(names)
         found = quicksorted(rows, weight, least, depth)
@@ -186,9 +215,12 @@ def _bucket_phrases(least: int):
             prefix, total = _merged(rows[:, :words], weight)
             whole = prefix[:, -1] > 0
             found += zip(map(tuple, prefix[whole].tolist()), total[whole].tolist())
+
+        def name(w):
+            return coded.value[1][w] if w < first else names[w - first]
         return pa.RecordBatch.from_arrays(
             [pa.array([lang] * len(found), pa.string()),
-             pa.array([b" ".join([names[w] for w in p]) for p, _ in found], pa.binary()).cast(pa.string()),
+             pa.array([b" ".join(map(name, p)) for p, _ in found], pa.binary()).cast(pa.string()),
              pa.array([n for _, n in found], pa.int64())], ["lang", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,38 +238,50 @@ def _bucket_phrases(least: int):
     return run
 
 
-def _route_suffixes(sieve: bytes, full: np.ndarray, buckets: int, held_rows: int):
+def _route_suffixes(sieve: bytes, coded, full: np.ndarray, buckets: int, held_rows: int):
     """Merged suffixes of each task by bucket: a function for mapInArrow."""
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(sieve, dtype=np.uint8), bitorder="little").astype(bool)
+        first = len(coded.value[1])
         known: dict[str, Words] = {}
         held: dict[str, list] = {}
 
         def sent():
             for lang, parts in held.items():
                 rows = np.concatenate(parts)
-                rows, weights = _merged(rows, np.ones(len(rows), dtype=np.int64))
                 depth, code = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.uint64)
-                for words, h, slot in _prefix_slots(rows, np.array(known[lang].hashes, dtype=np.uint64), full.shape[1]):
+                for words, h, slot in _prefix_slots(rows, known[lang].hashes(), full.shape[1]):
                     here = (depth == 0) & (~full[words, slot] if words < LONGEST else True)
                     depth[here], code[here] = words, h[here]
                 bucket = ((code * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((depth, bucket))
-                rows, weights, depth, bucket = rows[order], weights[order], depth[order], bucket[order]
-                ends = np.flatnonzero(np.concatenate([(np.diff(bucket) != 0) | (np.diff(depth) != 0), [True]])) + 1
-                columns: list[list] = [[] for _ in range(6)]
-                for i, j in zip([0, *ends[:-1]], ends):
-                    used, ids = np.unique(rows[i:j], return_inverse=True)
-                    if used[0] == 0:
-                        used = used[1:]
-                    else:
-                        ids = ids + 1
-                    ids = ids.astype(np.uint16 if len(used) < 65536 else np.uint32)
-                    names = known[lang].names
-                    for column, value in zip(columns, (int(bucket[i]), lang, int(depth[i]), [names[w] for w in used],
-                                                       ids.tobytes(), weights[i:j].astype(np.uint32).tobytes())):
+                place = bucket * (LONGEST + 1) + depth
+                wide = rows.astype(np.int64)
+                if first + len(known[lang].names) < 1 << ID_BITS:
+                    keys = [(wide[:, 3] << ID_BITS) | wide[:, 4], (wide[:, 0] << 2 * ID_BITS) | (wide[:, 1] << ID_BITS) | wide[:, 2], place]
+                else:                                         # one text of very many words
+                    keys = [*wide.T[::-1], place]
+                order = np.lexsort(keys)
+                place, new = place[order], np.zeros(len(order), dtype=bool)
+                new[0] = True
+                for k in keys:
+                    k = k[order]
+                    new[1:] |= k[1:] != k[:-1]
+                at = np.flatnonzero(new)
+                weights, rows, place = np.diff(np.append(at, len(order))), rows[order[at]], place[at]
+                ends = np.flatnonzero(np.concatenate([np.diff(place) != 0, [True]])) + 1
+                columns: list[list] = [[] for _ in kinds]
+                names = known[lang].names
+                for i, j in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                    ids, own = rows[i:j].T.ravel(), []
+                    far = ids >= first
+                    if far.any():
+                        used, number = np.unique(ids[far], return_inverse=True)
+                        own, ids[far] = [names[w - first] for w in used.tolist()], number + first
+                    for column, value in zip(columns, (int(place[i]) // (LONGEST + 1), lang, int(place[i]) % (LONGEST + 1), own,
+                                                       _planes(ids), _planes(weights[i:j]))):
                         column.append(value)
-                kinds = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                                  ["bucket", "lang", "depth", "words", "ids", "weights"])
             held.clear()
@@ -246,19 +290,31 @@ def _route_suffixes(sieve: bytes, full: np.ndarray, buckets: int, held_rows: int
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
                 if lang not in known:
-                    known[lang] = Words(lang, lambda h: bits[h % SIEVE_BITS])
+                    known[lang] = Words(lang, coded.value[0].get(lang), first, lambda h: bits[h % SIEVE_BITS])
                 rows = suffixes(known[lang].numbers(text.as_py()))
                 if len(rows):
                     held.setdefault(lang, []).append(rows)
                     rows_held += len(rows)
-                if rows_held >= held_rows or len(known[lang]) > HELD_WORDS:
+                if rows_held >= held_rows or len(known[lang].names) >= HELD_WORDS:
                     yield from sent()
                     rows_held = 0
-                    known = {k: w for k, w in known.items() if len(w) <= HELD_WORDS}
+                    if sum(map(len, known.values())) > HELD_WORDS:
+                        known = {}
         yield from sent()
     return run
 
 
+def _coded_words(words: DataFrame, most: int) -> tuple[dict[str, dict[bytes, int]], list[bytes]]:
+    """Numbers by language of the ``most`` most frequent words, and the words by number from 1."""
+    top = (words.where(F.octet_length("word") <= CODED_BYTES).orderBy(F.desc("n"), "lang", "word").limit(most)
+           .select("lang", "word").toPandas())
+    names = [b"", *(w.encode() for w in top["word"])]
+    by_lang: dict[str, dict[bytes, int]] = {}
+    for at, lang in enumerate(top["lang"], 1):
+        by_lang.setdefault(lang, {})[names[at]] = at
+    return by_lang, names
+
+
 def _frequent_sieve(words: DataFrame) -> bytes:
     """A bitmap of SIEVE_BITS bits over the hashes of (lang, word); its size is fixed."""
     bit = F.pmod(F.xxhash64(F.concat_ws("\n", "lang", "word")), F.lit(SIEVE_BITS))
@@ -272,7 +328,7 @@ def _frequent_sieve(words: DataFrame) -> bytes:
 
 def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST_COUNT,
                   bucket_rows: int = BUCKET_ROWS, least_limit: int = LEAST_LIMIT, slots: int = SLOTS,
-                  held_rows: int = HELD_ROWS) -> tuple[DataFrame, DataFrame]:
+                  held_rows: int = HELD_ROWS, coded: int = CODED) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases ``lang, phrase, n`` of 1 to LONGEST words, and ``lang, total`` of all words."""
     spark = df.sparkSession
     texts = df.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
@@ -290,10 +346,11 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     full = np.zeros((LONGEST + 1, slots), dtype=bool)
     full[leading["depth"], leading["slot"]] = leading["n"] > limit
 
-    routed = texts.mapInArrow(_route_suffixes(_frequent_sieve(words), full, buckets, held_rows),
+    numbers = spark.sparkContext.broadcast(_coded_words(words, coded))
+    routed = texts.mapInArrow(_route_suffixes(_frequent_sieve(words), numbers, full, buckets, held_rows),
                               "bucket long, lang string, depth int, words array<binary>, ids binary, weights binary")
     phrases = (routed.repartition("bucket").sortWithinPartitions("bucket", "lang", "depth")
-               .mapInArrow(_bucket_phrases(least), "lang string, phrase string, n long")
+               .mapInArrow(_bucket_phrases(least, numbers), "lang string, phrase string, n long")
                .groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     frequent = words.select("lang", F.col("word").alias("phrase"), "n").unionByName(phrases)
     return reliable_checkpoint(frequent), every.groupBy("lang").agg(F.sum("n").alias("total"))

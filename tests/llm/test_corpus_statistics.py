@@ -120,7 +120,7 @@ def brute_collocations(rows, least, top):
 @pytest.mark.parametrize("least, limit, top", [(3, 1000, 2000), (2, 1, 7), (4, 20, 50)])   # a small limit routes by more words
 def test_collocations(spark, least, limit, top):
     rows = [r for r in corpus() if r[0] != 9]
-    got = collocations.collocations(frame(spark, rows), least=least, top=top, bucket_rows=500, least_limit=limit, slots=64, held_rows=3000)
+    got = collocations.collocations(frame(spark, rows), least=least, top=top, bucket_rows=500, least_limit=limit, slots=64, held_rows=3000, coded=1 << 18 if least == 3 else 5)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     want = brute_collocations(rows, least, top)
     assert sorted(map(tuple, got.collect())) == want and len(want) > 10
