@@ -175,7 +175,7 @@ def text_runs(text: bytes, h: np.ndarray, flags: np.ndarray, hot: np.ndarray) ->
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Iterator]]:
     for batch in batches:
-        rows = batch.select(["code", "key", "first"]).to_pylist()
+        rows = batch.select(["code", "first"]).to_pylist()
         flagged = batch.column("flags")
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         for at, h, first in _blocks(texts):
@@ -215,10 +215,10 @@ def _distinct_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _placed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``route, run, code, key, first, start``: where each run stands."""
+    """``route, run, code, first, start``: where each run stands."""
     rows: list[tuple] = []
-    names = ["route", "run", "code", "key", "first", "start"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    names = ["route", "run", "code", "first", "start"]
+    kinds = (pa.int64(),) * 4 + (pa.int32(),)
 
     def sent():
         columns = zip(*rows) if rows else [[]] * len(names)
@@ -226,7 +226,7 @@ def _placed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for row, runs in _runs(batches):
         for route, start, words in runs:
-            rows.append((_signed(route), _signed(xxhash.xxh64_intdigest(words)), row["code"], row["key"], row["first"], start))
+            rows.append((_signed(route), _signed(xxhash.xxh64_intdigest(words)), row["code"], row["first"], start))
         if len(rows) >= HELD_RUNS:
             yield sent()
             rows.clear()
@@ -355,9 +355,9 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """The rows that stand for their text, with the columns ``more`` of ``side``."""
         name = {c: free_name(keyed.columns, f"{c}_of_side") for c in side.columns}
         rows = keyed.join(side.withColumnsRenamed(name), F.col(code) == F.col(name["code"]))
-        first = F.filter(name["texts"], lambda t: t["key"] == F.col(key))[0]["first"]
-        return rows.where(place == first).select(F.col(code).alias("code"), F.col(key).alias("key"), first.alias("first"),
-                                                 text.alias("text"), *(F.col(name[c]).alias(c) for c in more))
+        first = F.get(F.filter(name["texts"], lambda t: t["key"] == F.col(key)), F.lit(0))["first"]
+        return rows.where(place == first).select(F.col(code).alias("code"), first.alias("first"), text.alias("text"),
+                                                 *(F.col(name[c]).alias(c) for c in more))
 
     sieved = standing(of_code).mapInArrow(_text_anchors, "anchor long, code long, runs int")
     shared = (sieved.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("runs").alias("runs"))
@@ -370,17 +370,17 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 .repartition("route").groupBy("route", "run", "words").agg(F.min("low").alias("low"), F.max("high").alias("high"))
                 .sortWithinPartitions("route"))
     located = distinct.mapInArrow(_located(shard_windows), "route long, run long, least array<long>")
-    placed = flagged.mapInArrow(_placed_runs, "route long, run long, code long, key binary, first long, start long")
+    placed = flagged.mapInArrow(_placed_runs, "route long, run long, code long, first long, start int")
     gone = F.filter(F.transform("least", lambda v, i: F.when(v < F.col("first"), F.col("start") + i)), lambda v: v.isNotNull())
-    covered = (placed.join(located, ["route", "run"]).select("code", "key", gone.alias("gone")).where(F.size("gone") > 0)
-               .groupBy("code", "key").agg(F.flatten(F.collect_list("gone")).alias("gone"))
-               .groupBy("code").agg(F.collect_list(F.struct("key", "gone")).alias("found")))
+    covered = (placed.join(located, ["route", "run"]).select("code", F.col("first").alias("place"), gone.alias("gone"))
+               .where(F.size("gone") > 0).groupBy("code", "place").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+               .groupBy("code").agg(F.collect_list(F.struct("place", "gone")).alias("found")))
 
     whole = of_code.join(covered, "code", "left").select(F.col("code").alias(f"{code}_"), F.col("texts").alias(known), F.col("found").alias(found))
     out = keyed.join(whole, F.col(code) == F.col(f"{code}_")).select(
         *(F.col(f"`{c}`") for c in names), text, place,
-        F.filter(known, lambda t: t["key"] == F.col(key))[0]["first"],
-        F.filter(found, lambda t: t["key"] == F.col(key))[0]["gone"])
+        F.get(F.filter(known, lambda t: t["key"] == F.col(key)), F.lit(0))["first"],
+        F.get(F.filter(found, lambda t: t["place"] == place), F.lit(0))["gone"])
     out = out.toDF(*names, *(free_name(names, n) for n in ("plain", "place", "least", "gone")))
     fields = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("kept_text", T.StringType())])
