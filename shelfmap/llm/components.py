@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import reliable_checkpoint
+from ..session import scratch_path
 
 
-def _measured_anew(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed, without its estimated size.
-
-    A checkpoint keeps the estimate of the plan before it, and a join multiplies estimates:
-    carried through the rounds, they would double their digits in each one.
-    """
-    spark, saved = df.sparkSession, reliable_checkpoint(df)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(saved.queryExecution().toRdd(), saved.schema(), False), spark)
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends there, and Spark knows its true size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -23,20 +20,19 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round gives a node the least label among itself and its neighbours (a partial and a
     final minimum per node), then the label that this label had before.  Rounds end when no
-    label changes; every round is one job, cut off by a reliable checkpoint.
+    label changes; every round is one job, written and read again.
     """
-    both = _measured_anew(
-        links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _measured_anew(both.groupBy("a").agg(F.min("b").alias("least"))
-                            .select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
+    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("least"))
+                            .select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
         step = (near.withColumn("was", F.lit(None).cast(labels.schema["label"].dataType))
                 .union(labels.select("node", "label", F.col("label").alias("was")))
                 .groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was")))
         far = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        step = _measured_anew(step.join(far, step["label"] == far["via"])
-                              .select("node", "was", F.least("label", "far").alias("label")))
+        step = stored(step.join(far, step["label"] == far["via"])
+                      .select("node", "was", F.least("label", "far").alias("label")), "labels")
         labels = step.select("node", "label")
         if step.where("label != was").isEmpty():
             return labels

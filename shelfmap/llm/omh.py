@@ -7,13 +7,17 @@ order in the text, so that equal sketches tell of equal k-mers in equal order (e
 similarity), not only of common content.
 
 Texts with equal normalised words are one node.  Nodes that share a sketch meet in a
-bucket.  Two cheap rounds join most of what belongs together: every member is compared with
-the bucket's hub, the member that shares most sketches with others, and, where members of a
-bucket then lie in different components, with ``CHANCES`` random members of each bucket and
-with the hub of those left over.  A last round compares every pair of a bucket that still
-lies in different components: the bucket is split into blocks by length and hash, and block
-meets block as rows, never as pairs.  A compared pair is a link if a banded alignment of the two
-word sequences matches at least 0.8 of the words of both together (words matched in order,
+bucket.  Two rounds join most of what belongs together: each node is compared with one hub,
+the member of its buckets that shares most sketches with others, and then with one hub
+outside that hub's component.  A node gives one candidate a round, so links stay fewer than nodes.
+
+Buckets that still hold several components are searched in full, without pairing their members.
+Each member orders its occurrence-labelled words by how rare they are, and keeps the first few: as many
+as two alike texts can differ in, plus one.  Two alike texts share one of these, so only
+members that do are paired; a passage that all of them share comes last and pairs nobody.
+A pair must also lie in different components, be of like length, and differ little enough in a
+histogram of their words.  What is left is compared by banded alignment of the two word
+sequences: a link matches at least 0.8 of the words of both together (words matched in order,
 over words of either).  Classes are the connected components of the links: those of all
 pairs that share a bucket.
 """
@@ -26,24 +30,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
 from .common import TwoGenerations, free_name, kept, per_text, short_batches
-from .components import connected_components
+from .components import connected_components, stored
 
 SHINGLE = 5
 SKETCHES = 24
 ORDERED = 2
 SIMILARITY = 0.8
-CHANCES = 3
 HOT_SHARE = 512
 LEADER_SPREAD = 64
-BLOCK_ROWS = 512
-BLOCK_WORDS = 1 << 18
-LENGTH_STEP = 1.26            # above 1 / SIMILARITY: alike texts are at most one length class apart
-COLUMNS_AT_ONCE = 4096
+RARITY_SLOTS = 1 << 16
+BINS = 64
+CLASS_ROWS = 20_000           # rows of a bucket that one task pairs; a larger bucket is dealt by words
+FIRST_PAIRS = 4
+PAIRS_AT_ONCE = 1 << 20
 CACHE_WORDS = 200_000
 ROWS_AT_ONCE = 1 << 16
 
@@ -152,25 +156,6 @@ def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return banded_matches(a.tolist(), b.tolist(), len(a) + len(b) - 2 * need) >= need
 
 
-def common_words(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Words that each left and each right sequence share, in any order: no alignment matches more."""
-    grams = [kmers(w, 1) for w in (*left, *right)]          # the words, labelled by occurrence
-    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    _, column, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    many = times[column] > 1
-    owner, column = owner[many], column[many]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    column = np.cumsum(np.diff(column, prepend=column[:1]) != 0)
-    out = np.zeros((len(left), len(right)), dtype=np.float64)
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS_AT_ONCE):
-        i, j = np.searchsorted(column, [start, start + COLUMNS_AT_ONCE])
-        held = np.zeros((len(grams), COLUMNS_AT_ONCE), dtype=np.float32)
-        held[owner[i:j], column[i:j] - start] = 1
-        out += held[:len(left)] @ held[len(left):].T
-    return out
-
-
 def banded_matches(a: list[int], b: list[int], band: int) -> int:
     """Most words matched in order within ``band`` diagonals of the main one."""
     block, n, m = max(1024, band), len(a), len(b)
@@ -256,133 +241,211 @@ def _verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
         .mapInPandas(verify, "a binary, b binary")
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    m = members.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return reliable_checkpoint(m)
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("label", F.col("node"))
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _open_members(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of buckets with several components, with their label and the bucket's size."""
+    m = _labelled(members, labels)
+    several = (m.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
+               .where("low != high").select("bucket", "size"))
+    return m.join(several, "bucket")
 
 
 def _candidates(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs of a member and a leader of its bucket that lie in different components and can be alike.
+    """At most one pair per node: itself and the best hub, of another component, that it can be alike to.
 
-    Without ``labels`` the leader is the bucket's hub; with them, the leaders are CHANCES
-    random members of the bucket and the hub of those outside the first hub's component.
+    A bucket's hub is its most popular member; with ``labels``, the most popular one outside the
+    first hub's component.
     """
+    m = _open_members(members, labels)
     hub = F.max(F.struct("popular", "node", "label", "n_words")).alias("hub")
-    if labels is None:
-        m = members.withColumn("label", F.col("node"))
-        leaders = m.groupBy("bucket").agg(hub).select("bucket", "hub.node", "hub.label", "hub.n_words")
-    else:
-        m = _labelled(members, labels)
-        chance = [F.max(F.struct(F.xxhash64("node", "bucket", F.lit(i)).alias("r"), "node", "label", "n_words")).alias(f"any{i}")
-                  for i in range(CHANCES)]
-        first = m.groupBy("bucket").agg(hub, *chance)
-        rest = (m.join(first.select("bucket", F.col("hub.label").alias("main")), "bucket").where("label != main")
-                .groupBy("bucket").agg(hub).select("bucket", "hub.node", "hub.label", "hub.n_words"))
-        any_ = F.array(*[F.struct(f"any{i}.node", f"any{i}.label", f"any{i}.n_words") for i in range(CHANCES)])
-        leaders = first.select("bucket", F.inline(any_)).union(rest)
-    lead = leaders.select("bucket", F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("n_words").alias("b_words"))
-    near = F.least("n_words", "b_words") >= F.lit(SIMILARITY) * F.greatest("n_words", "b_words")
-    return (m.join(lead, "bucket").where(F.col("label") != F.col("b_label")).where(near)
-            .select(F.col("node").alias("a"), "b").distinct())
-
-
-def _block_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets with several components, once per pair of blocks they belong to.
-
-    A block holds members of one length class, dealt by hash into about BLOCK_ROWS members or
-    BLOCK_WORDS words.  The bucket's largest component (``main``) has blocks of its own, which
-    do not meet each other; a bucket that fits one block is one.  ``x`` and ``y`` number the two blocks, ``far`` marks members of ``y``.
+    hubs = m.groupBy("bucket").agg(hub)
+    if labels is not None:
+        hubs = (m.join(hubs.select("bucket", F.col("hub.label").alias("main")), "bucket").where("label != main")
+                .groupBy("bucket").agg(hub))
+    near = F.least("n_words", "hub.n_words") >= F.lit(SIMILARITY) * F.greatest("n_words", "hub.n_words")
+    return (m.join(hubs, "bucket").where(F.col("label") != F.col("hub.label")).where(near)
+            .groupBy(F.col("node").alias("a")).agg(F.max(F.struct("hub.popular", "hub.node")).alias("best"))
+            .select("a", F.col("best.node").alias("b")))
+
+
+def prefix_sizes(n: int) -> tuple[int, int]:
+    """How many of the first words of a text of ``n`` words an alike text must share one of: the longer one, the shorter one.
+
+    With t the similarity, alike texts share ``t / (1 + t) * (n + m)`` words: at least ``2 t / (1 + t) * n`` if n is
+    the smaller length, and ``t * n`` at any rate.
     """
-    m = _labelled(members, labels)
-    several = (m.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
-               .groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"),
-                                      ((F.sum("n") <= BLOCK_ROWS) & (F.sum("words") <= BLOCK_WORDS)).alias("whole"))
-               .where("labels > 1").select("bucket", "main", "whole"))
-    step = F.floor(F.log("n_words") / F.lit(float(np.log(LENGTH_STEP)))).cast("long")
-    m = reliable_checkpoint(m.join(several, "bucket").select(
-        "bucket", "node", "label", "n_words", F.when(F.col("whole"), F.lit(0)).otherwise(step).alias("step"),
-        (F.col("whole") | (F.col("label") != F.col("main"))).cast("int").alias("rest")))
-
-    def blocks(rest: int) -> Column:
-        mine = F.col("rest") == rest
-        return F.ceil(F.greatest(F.sum(mine.cast("int")) / BLOCK_ROWS,
-                                 F.sum(F.when(mine, F.col("n_words")).otherwise(0)) / BLOCK_WORDS)).cast("int")
-
-    sizes = m.groupBy("bucket", "step").agg(blocks(0).alias("main"), blocks(1).alias("others"), F.sum("rest").alias("n_rest"))
-    shape = sizes.groupBy("bucket").agg(F.collect_list(F.struct("step", "main", "others", "n_rest")).alias("sizes"))
-
-    def number(step_: Column, rest, salt: Column) -> Column:
-        return (step_ * 2 + rest) * F.lit(1 << 32) + salt
-
-    def numbers(z: Column, rest: int, count: Column) -> Column:
-        return F.transform(F.filter(F.sequence(F.lit(0), count), lambda i: i < count), lambda i: number(z["step"], F.lit(rest), i))
-
-    def partners(z: Column) -> Column:
-        alone = (z["step"] == F.col("step")) & (F.col("rest") == 1) & (z["n_rest"] == 1)
-        return F.concat(numbers(z, 1, F.when(alone, 0).otherwise(z["others"])),
-                        numbers(z, 0, F.when(F.col("rest") == 1, z["main"]).otherwise(0)))
-
-    here = F.filter("sizes", lambda z: z["step"] == F.col("step"))[0]
-    salt = F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("rest") == 1, here["others"]).otherwise(here["main"]))
-    near = F.filter("sizes", lambda z: F.abs(z["step"] - F.col("step")) <= 1)
-    return (m.join(shape, "bucket").withColumn("own", number(F.col("step"), F.col("rest"), salt))
-            .withColumn("other", F.explode(F.flatten(F.transform(near, partners))))
-            .select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-                    (F.col("own") > F.col("other")).alias("far"), "node", "label"))
-
-
-def block_links(bucket: int, rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-    """Links that join the components of ``(far, node, label, seq, buckets)`` rows; a pair is compared in its least bucket."""
-    left, right = [r for r in rows if not r[0]], [r for r in rows if r[0]]
-    inner = not right
-    right = right or left
-    if len(left) < 1 or len({r[2] for r in rows}) < 2:
-        return []
-    a, b = ([np.frombuffer(r[3], dtype=np.uint64) for r in side] for side in (left, right))
-    shared = common_words(a, b)
-    na, nb = (np.array([len(w) for w in side]) for side in (a, b))
-    share = shared / np.maximum(na[:, None] + nb[None, :] - shared, 1)
-    ok = share >= SIMILARITY - 1e-9
-    if inner:
-        ok &= np.triu(np.ones(ok.shape, dtype=bool), 1)
-    i, j = np.nonzero(ok)
-    up: dict[bytes, bytes] = {}
-
-    def find(x):
-        while x in up:
-            x = up[x]
-        return x
+    shorter = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * n - 1e-9))
+    longer = int(np.ceil(SIMILARITY * n - 1e-9))
+    return n - shorter + 1, n - longer + 1
+
+
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (_mix(grams) >> np.uint64(48)).astype(np.int64)          # RARITY_SLOTS of them
+
+
+def word_features(seq: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """``(first words, how many of them count for the shorter text, histogram)``.
+
+    Words are labelled by occurrence and ordered by the count of their hash slot, then by
+    hash: one order for all texts, rare words first.
+    """
+    grams = kmers(seq, 1)
+    shorter, longer = prefix_sizes(len(grams))
+    order = np.lexsort((grams, rarity[_slot(grams)]))[:longer]
+    bins = np.bincount((_mix(seq) >> np.uint64(58)).astype(np.int64), minlength=BINS)
+    return grams[order], shorter, np.minimum(bins, 255).astype(np.uint8)
+
+
+def paired(label: np.ndarray, n_words: np.ndarray, shorter: np.ndarray, words: list[np.ndarray], bins: np.ndarray) -> np.ndarray:
+    """Pairs ``(i, j)``, i below j, of members of one bucket that lie in different components and can be alike."""
+    main = np.bincount(label).argmax()
+    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    rank = np.concatenate([np.arange(len(w)) for w in words])
+    word = np.concatenate(words)
+    order = np.argsort(word, kind="stable")
+    word, owner, rank = word[order], owner[order], rank[order]
+    edges = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]]))
+    many = np.flatnonzero(np.diff(edges) > 1)
+    found, held = [], 0
+
+    def sifted(codes):
+        codes = np.unique(np.concatenate(codes))
+        i, j = codes // len(words), codes % len(words)
+        gap = np.zeros(len(i), dtype=np.int64)
+        for at in range(0, len(i), 1 << 16):
+            cut = slice(at, at + (1 << 16))
+            gap[cut] = np.abs(bins[i[cut]].astype(np.int16) - bins[j[cut]].astype(np.int16)).sum(axis=1)
+        total = n_words[i] + n_words[j]
+        ok = gap * (1 + SIMILARITY) <= total * (1 - SIMILARITY) + 1e-6
+        return codes[ok], gap[ok]
 
     out = []
-    for at in np.argsort(-share[i, j], kind="stable"):
-        p, q = left[i[at]], right[j[at]]
-        x, y = find(p[2]), find(q[2])
-        if x != y and min(set(p[4]) & set(q[4])) == bucket and alike(a[i[at]], b[j[at]]):
-            up[x] = y
-            out.append((p[1], q[1]))
+    for at in many.tolist():
+        o, r = owner[edges[at]:edges[at + 1]], rank[edges[at]:edges[at + 1]]
+        rest = label[o] != main
+        if not rest.any():
+            continue
+        counts = shorter[o] > r
+        for k in np.flatnonzero(rest).tolist():               # the rest among themselves once, and each with the main component
+            mate = (label[o] != label[o[k]]) & (~rest | (np.arange(len(o)) > k))
+            a, b = n_words[o[k]], n_words[o]
+            mate &= np.minimum(a, b) >= SIMILARITY * np.maximum(a, b) - 1e-9
+            mate &= np.where(a < b, counts[k], np.where(a > b, counts, counts | counts[k]))
+            x = o[mate]
+            if len(x):
+                found.append(np.minimum(x, o[k]) * len(words) + np.maximum(x, o[k]))
+                held += len(x)
+        if held > PAIRS_AT_ONCE:
+            out.append(sifted(found))
+            found, held = [], 0
+    if found:
+        out.append(sifted(found))
+    if not out:
+        return np.zeros((0, 3), dtype=np.int64)
+    codes, gap = (np.concatenate(x) for x in zip(*out))
+    codes, at = np.unique(codes, return_index=True)
+    return np.stack([codes // len(words), codes % len(words), gap[at]], axis=1)
+
+
+def _rarity(seqs: DataFrame) -> np.ndarray:
+    """Occurrences of labelled words by hash slot: RARITY_SLOTS numbers, however many words there are."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(RARITY_SLOTS, dtype=np.int64)
+        for pdf in batches:
+            for seq in pdf["seq"]:
+                total += np.bincount(_slot(kmers(np.frombuffer(seq, dtype=np.uint64), 1)), minlength=RARITY_SLOTS)
+        slot = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": slot, "n": total[slot]})
+
+    rows = seqs.select("seq").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(RARITY_SLOTS, dtype=np.int64)
+    out[rows["slot"]] = rows["n"]
     return out
 
 
-def _rest_links(members: DataFrame, labels: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Links among all pairs that share a bucket and lie in different components."""
-    meet = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
-    rows = (reliable_checkpoint(_block_rows(members, labels)).join(seqs, "node").join(meet, "node")
-            .select("bucket", "x", "y", "far", "node", "label", "seq", "buckets")
-            .repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y"))
+def _open_pairs(members: DataFrame, labels: DataFrame, seqs: DataFrame, class_rows: int = CLASS_ROWS) -> DataFrame:
+    """Pairs ``a, b, gap`` of nodes that share a bucket, lie in different components and can be alike."""
+    rows = stored(_open_members(members, labels), "open")
+    own = seqs.join(rows.select("node").distinct(), "node", "left_semi")
+    rarity = _rarity(own)
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [word_features(np.frombuffer(s, dtype=np.uint64), rarity) for s in pdf["seq"]]
+            yield pd.DataFrame({"node": pdf["node"], "words": [g[0].view(np.int64) for g in got],
+                                "shorter": [g[1] for g in got], "bins": [g[2].tobytes() for g in got]})
+
+    shaped = own.mapInPandas(features, "node binary, words array<long>, shorter int, bins binary")
+    # A bucket too large for one task is dealt by word: each part holds the members with words of its class.
+    parts = F.when(F.col("size") > class_rows, F.ceil(F.col("size") * F.size("words") / class_rows)).otherwise(1)
+    rows = rows.join(shaped, "node")
+    widest = rows.where(F.col("size") > class_rows).groupBy("bucket").agg(F.max(parts).alias("parts"))
+    rows = rows.join(widest, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long"))
+    part = F.explode(F.array_distinct(F.transform("words", lambda w: F.pmod(w, F.col("parts")))))
+    rows = (rows.withColumn("part", part)
+            .select("bucket", "part", "parts", "node", "label", "n_words", "shorter", "words", "bins")
+            .repartition("bucket", "part").sortWithinPartitions("bucket", "part"))
+
+    def pairs(held: list[tuple]) -> pd.DataFrame:
+        part, parts, node, label, n_words, shorter, words, bins = zip(*held)
+        label = pd.factorize(pd.Series(label))[0]
+        words = [np.asarray(w, dtype=np.int64) for w in words]
+        ranks = np.array(shorter)
+        if parts[0] > 1:                                      # ranks count only the words of this class
+            mine = [w % parts[0] == part[0] for w in words]
+            ranks = np.array([int(m[:s].sum()) for m, s in zip(mine, shorter)])
+            words = [w[m] for w, m in zip(words, mine)]
+        got = paired(label, np.array(n_words), ranks, words, np.stack([np.frombuffer(b, dtype=np.uint8) for b in bins]))
+        a, b = ([node[i] for i in got[:, k]] for k in (0, 1))
+        return pd.DataFrame({"a": [min(x) for x in zip(a, b)], "b": [max(x) for x in zip(a, b)], "gap": got[:, 2]})
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
         for pdf in batches:
-            out = []
             for row in pdf.itertuples(index=False, name=None):
-                if row[:3] != key:
-                    out += block_links(key[0], held) if held else []
-                    key, held = row[:3], []
-                held.append(row[3:])
-            yield pd.DataFrame(out, columns=["a", "b"])
-        yield pd.DataFrame(block_links(key[0], held) if held else [], columns=["a", "b"])
-
-    return rows.mapInPandas(compare, "a binary, b binary")
+                if row[:2] != key:
+                    if len(held) > 1:
+                        yield pairs(held)
+                    key, held = row[:2], []
+                held.append(row[1:])
+        if len(held) > 1:
+            yield pairs(held)
+
+    return rows.mapInPandas(search, "a binary, b binary, gap long").groupBy("a", "b").agg(F.min("gap").alias("gap"))
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, label`` after the links ``a, b`` between nodes of the components ``labels``."""
+    between = links
+    for end in ("a", "b"):
+        between = between.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")), end, "left") \
+            .withColumn(end, F.coalesce(f"{end}_label", end)).drop(f"{end}_label")
+    to = connected_components(between.where("a != b"))
+    every = labels.select("node", "label").unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("label"))) \
+        .unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("label")))
+    # A node that had a label keeps the least one: a label is the least node of its component.
+    every = every.groupBy("node").agg(F.min("label").alias("label"))
+    return stored(every.join(to.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+                  .select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def _searched(pairs: DataFrame, labels: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Labels after all ``pairs`` are compared or found in one component: the likeliest few of each node first."""
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("gap", "b"))
+    pairs = stored(pairs.withColumn("rank", rank), "pairs")
+    for some in (pairs.where(F.col("rank") <= FIRST_PAIRS), pairs.where(F.col("rank") > FIRST_PAIRS)):
+        for end in ("a", "b"):
+            some = some.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
+        apart = some.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+        links = stored(_verified(stored(apart, "apart"), seqs), "links")
+        if not links.isEmpty():
+            labels = _joined(labels, links)
+    return labels
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,15 +477,12 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
              .select(F.col("node").alias("want"), _seqs_udf(F.col("t")).alias("s")))
     seqs = reliable_checkpoint(texts.where(F.col("want") == F.col("s.node")).select("s.node", "s.seq").dropDuplicates(["node"]))
 
-    links = reliable_checkpoint(_verified(reliable_checkpoint(_candidates(members, None)), seqs))
+    links = stored(_verified(stored(_candidates(members, None), "hubs"), seqs), "links")
     labels = connected_components(links)
-    found = reliable_checkpoint(_verified(reliable_checkpoint(_candidates(members, labels)), seqs))
-    if not found.isEmpty():
-        links = links.union(found)
-        labels = connected_components(links)
-    found = reliable_checkpoint(_rest_links(members, labels, seqs))
+    found = stored(_verified(stored(_candidates(members, labels), "hubs"), seqs), "links")
     if not found.isEmpty():
-        labels = connected_components(links.union(found))
+        labels = _joined(labels, found)
+    labels = _searched(_open_pairs(members, labels, seqs), labels, seqs)
 
     classed = reliable_checkpoint(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     classes = classed.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("rows").alias("class_size"))

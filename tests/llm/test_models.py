@@ -246,11 +246,25 @@ def test_near_classes_of_many_distant_copies(spark):
     assert sorted(map(sorted, by.values())) == sorted(map(sorted, groups.values()))
 
 
-def test_common_words_bounds_the_alignment():
+def test_paired_misses_no_alike_pair():
+    """Members of one bucket around 0.8 and far below: every alike pair of different components is among the pairs."""
     rng = np.random.default_rng(12)
-    side = [rng.integers(0, 30, rng.integers(1, 60)).astype(np.uint64) for _ in range(12)]
-    got = omh.common_words(side[:5], side[5:])
-    assert (got == [[sum((Counter(a.tolist()) & Counter(b.tolist())).values()) for b in side[5:]] for a in side[:5]]).all()
+    base = rng.integers(0, 60, 90).astype(np.uint64)
+    seqs = []
+    for _ in range(120):
+        w = base.copy()
+        at = rng.choice(90, rng.integers(0, 30), replace=False)
+        w[at] = rng.integers(0, 5000, len(at))
+        seqs.append(np.delete(w, rng.choice(90, rng.integers(0, 12), replace=False)))
+    rarity = np.zeros(omh.RARITY_SLOTS, dtype=np.int64)
+    for w in seqs:
+        rarity += np.bincount(omh._slot(omh.kmers(w, 1)), minlength=omh.RARITY_SLOTS)
+    label = np.arange(120) % 40
+    got = [omh.word_features(w, rarity) for w in seqs]
+    pairs = omh.paired(label, np.array([len(w) for w in seqs]), np.array([g[1] for g in got]), [g[0] for g in got], np.stack([g[2] for g in got]))
+    assert len({(i, j) for i, j, _ in pairs.tolist()}) == len(pairs)
+    near = {(i, j) for i in range(120) for j in range(i + 1, 120) if label[i] != label[j] and omh.alike(seqs[i], seqs[j])}
+    assert near and near <= {(i, j) for i, j, _ in pairs.tolist()} and len(pairs) < 0.6 * 120 * 119 / 2
 
 
 def test_repeated_kmers_keep_the_other_sketches():
