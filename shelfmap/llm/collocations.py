@@ -36,10 +36,10 @@ TOP = 2000
 SLOTS = 8192
 SIEVE_BITS = 1 << 23
 BITMAP_BITS = 32768           # bits of one bitmap of Spark's bitmap_construct_agg
-BUCKET_ROWS = 500_000         # suffixes a bucket is meant to hold
+BUCKET_ROWS = 300_000         # suffixes a bucket is meant to hold
 LEAST_LIMIT = 1000
-HELD_ROWS = 1_000_000         # words, or suffixes, a task merges at once
-HELD_WORDS = 300_000          # distinct words a task remembers
+HELD_ROWS = 400_000           # words, or suffixes, a task merges at once
+HELD_WORDS = 200_000          # distinct words a task remembers
 CODED = 1 << 18
 CODED_BYTES = 64
 ID_BITS = 21                  # numbers of CODED words and HELD_WORDS more
@@ -98,7 +98,7 @@ def suffixes(numbers: np.ndarray) -> np.ndarray:
     """One row per position that starts at least two words: up to LONGEST numbers, then 0."""
     padded = np.concatenate([numbers, np.zeros(LONGEST, dtype=np.int32)])
     starts = np.flatnonzero((padded[:-1] > 0) & (padded[1:] > 0))
-    rows = padded[starts[:, None] + np.arange(LONGEST)]
+    rows = np.stack([padded[starts + i] for i in range(LONGEST)], axis=1)
     ended = np.logical_or.accumulate(rows == 0, axis=1)
     rows[ended] = 0
     return rows
@@ -193,7 +193,7 @@ def _planes(numbers: np.ndarray) -> bytes:
 
 
 def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 def _bucket_phrases(least: int, coded):
@@ -205,11 +205,11 @@ def _bucket_phrases(least: int, coded):
         for words, ids, weight in held:
             rows, count = _numbers(ids), _numbers(weight)
             if words:
-                own = np.array([names.setdefault(w, len(names)) for w in words]) + first
+                own = np.array([names.setdefault(w, len(names)) for w in words], dtype=np.int32) + first
                 rows = np.where(rows < first, rows, own[np.maximum(rows - first, 0)])
-            parts.append(rows.reshape(LONGEST, -1).T.astype(np.int32))
+            parts.append(rows.reshape(LONGEST, -1).T)
             weights.append(count)
-        rows, weight, names = np.concatenate(parts), np.concatenate(weights), list(names)
+        rows, weight, names = np.concatenate(parts).astype(np.int32), np.concatenate(weights).astype(np.int64), list(names)
         found = quicksorted(rows, weight, least, depth)
         for words in range(2, depth):                         # shared with other buckets: no count is abandoned
             prefix, total = _merged(rows[:, :words], weight)
