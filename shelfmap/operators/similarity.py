@@ -1,9 +1,9 @@
 """Nearest documents by Jensen-Shannon distance.
 
-Every book row is scanned once in Arrow batches against a size-checked set of
-query vectors held in a broadcast; each batch keeps only its own top ``k`` per
-query, so no book x query pair table is ever materialised.  A final window
-group limit merges the per-batch winners.
+Queries and books are dealt into blocks by hash, and each block of queries meets each block
+of books in one task, which keeps only its own top ``k`` per query: no book x query pair
+table is ever materialised, and no vector passes the driver.  A final window group limit
+merges the blocks' winners.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from shelfmap.session import reliable_checkpoint
 from shelfmap.functions.arrays import explode_indexed, js_distance  # noqa: F401  (js: column form)
 
-MAX_QUERIES = 2_000         # query vectors per broadcast pass
+MAX_QUERIES = 4_000         # query vectors of a block
+MAX_BOOKS = 20_000          # book vectors of a block
+LEAST_BOOKS = 500           # a block is not made smaller for the sake of more tasks
 ZERO = 1e-9                 # distances at or below count as exact copies
 CHUNK_CELLS = 4_000_000     # rows x queries x dims per numpy block
 
@@ -54,65 +56,54 @@ def _topk_rows(ids: np.ndarray, d: np.ndarray, k: int):
 
 def js_knn(books: DataFrame, queries: DataFrame, k: int = 10, drop_zero: bool = False,
            id_col: str = "sha", vec_col: str = "p", qid_col: str = "qid", qvec_col: str = "q",
-           max_queries: int = MAX_QUERIES) -> DataFrame:
+           max_queries: int = MAX_QUERIES, max_books: int = MAX_BOOKS) -> DataFrame:
     """``(qid, sha, d, rank)`` - the ``k`` books nearest to each query.
 
-    ``drop_zero`` skips distance 0 (exact copies), as the reference's G5 does.
-    Query vectors are collected only after their count is checked against
-    ``max_queries``; a larger query set is processed in hash chunks of that size.
+    ``drop_zero`` skips distance 0 (exact copies), as the reference's G5 does.  Rows without a
+    vector are left out.  Queries are sent once to each block of books, books once to each
+    block of ``max_queries`` queries; two counts decide how many blocks there are.
     """
     spark = books.sparkSession
-    queries = reliable_checkpoint(queries.select(qid_col, qvec_col))      # computed once, counted, then read in blocks
-    n_q = queries.count()
-    n_chunks = max(1, -(-n_q // max_queries))
-    parts = []
-    for c in range(n_chunks):
-        qsel = queries if n_chunks == 1 else queries.where(
-            F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_chunks)) == c)
-        qpdf = qsel.select(qid_col, qvec_col).toPandas()
-        qids = qpdf[qid_col].to_numpy()
-        Q = _normalize(np.stack([np.asarray(v, dtype=np.float64) for v in qpdf[qvec_col]])) \
-            if len(qpdf) else np.zeros((0, 1))
-        bq = spark.sparkContext.broadcast((qids, Q))
-        qtype = queries.schema[qid_col].dataType.simpleString()
-        parts.append(_scan(books, bq, k, drop_zero, id_col, vec_col, qid_col, qtype))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    queries = reliable_checkpoint(queries.select(qid_col, qvec_col).where(F.col(qvec_col).isNotNull()))
+    books = books.select(id_col, vec_col).where(F.col(vec_col).isNotNull())
+    n_queries, n_books = queries.count(), books.count()
+    q_blocks = max(1, -(-n_queries // max_queries))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    b_blocks = max(1, -(-n_books // max_books), min(tasks, n_books // LEAST_BOOKS))
+
+    def dealt(rows: DataFrame, ident: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        return rows.select(F.pmod(F.xxhash64(ident), F.lit(blocks)).alias(own), "*",
+                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other))
+
+    left = dealt(queries, qid_col, "q_block", q_blocks, "b_block", b_blocks).groupBy("q_block", "b_block")
+    right = dealt(books, id_col, "b_block", b_blocks, "q_block", q_blocks).groupBy("q_block", "b_block")
+    schema = (f"`{qid_col}` {queries.schema[qid_col].dataType.simpleString()}, "
+              f"`{id_col}` {books.schema[id_col].dataType.simpleString()}, d double")
+
+    def nearest(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
+        if qs.empty or bs.empty:
+            return pd.DataFrame({qid_col: qs[qid_col][:0], id_col: bs[id_col][:0], "d": np.zeros(0)})
+        qids, ids = qs[qid_col].to_numpy(), bs[id_col].to_numpy()
+        queries_, books_ = (_normalize(np.stack([np.asarray(v, dtype=np.float64) for v in x]))
+                            for x in (qs[qvec_col], bs[vec_col]))
+        out_q, out_id, out_d = [], [], []
+        step = max(1, CHUNK_CELLS // max(1, len(ids)))               # queries per distance block
+        for s in range(0, len(qids), step):
+            distance = _js_matrix(books_, queries_[s:s + step])
+            if drop_zero:
+                distance = np.where(distance > ZERO, distance, np.inf)
+            for j in range(distance.shape[1]):
+                col = distance[:, j]
+                sel = _topk_rows(ids, col, k)
+                sel = sel[np.isfinite(col[sel])]
+                out_q.append(np.repeat(qids[s + j:s + j + 1], len(sel)))
+                out_id.append(ids[sel])
+                out_d.append(col[sel])
+        return pd.DataFrame({qid_col: np.concatenate(out_q), id_col: np.concatenate(out_id), "d": np.concatenate(out_d)})
+
+    found = left.cogroup(right).applyInPandas(nearest, schema)
     w = Window.partitionBy(qid_col).orderBy("d", id_col)
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-
-
-def _scan(books, bq, k, drop_zero, id_col, vec_col, qid_col, qtype):
-    id_type = books.schema[id_col].dataType.simpleString()
-    schema = f"{qid_col} {qtype}, {id_col} {id_type}, d double"
-
-    def run(batches):
-        qids, Q = bq.value
-        for pdf in batches:
-            pdf = pdf[pdf[vec_col].notna()]
-            if pdf.empty or len(qids) == 0:
-                continue
-            step = max(k, CHUNK_CELLS // max(1, len(qids)))      # rows per distance block
-            for s in range(0, len(pdf), step):
-                part = pdf.iloc[s:s + step]
-                ids = part[id_col].to_numpy()
-                P = _normalize(np.stack([np.asarray(v, dtype=np.float64) for v in part[vec_col]]))
-                D = _js_matrix(P, Q)
-                if drop_zero:
-                    D = np.where(D > ZERO, D, np.inf)
-                out_q, out_id, out_d = [], [], []
-                for j in range(len(qids)):
-                    col = D[:, j]
-                    sel = _topk_rows(ids, col, k)
-                    sel = sel[np.isfinite(col[sel])]
-                    out_q.append(np.repeat(qids[j:j + 1], len(sel)))
-                    out_id.append(ids[sel])
-                    out_d.append(col[sel])
-                yield pd.DataFrame({qid_col: np.concatenate(out_q), id_col: np.concatenate(out_id),
-                                    "d": np.concatenate(out_d)})
-
-    return books.select(id_col, vec_col).mapInPandas(run, schema)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def label_centroids(dist: DataFrame, label: str = "label", vec_col: str = "p") -> DataFrame:

@@ -6,20 +6,20 @@ partial/final ``max_by`` / ``min_by`` aggregates, so a key that holds a third
 of the batch is combined map-side.  ``upsert`` applies that to a stored table
 with one full outer join on the key (both sides unique per key).
 
-``VersionedTable`` keeps such a table as parquet: a base, one delta per batch and a
-manifest per version that records the last applied ``batch_id``, so a replayed
-micro-batch is skipped and readers never see a half-written version.
+A stored table is a folder of folded batches, ``batch_id=<n>`` each: a batch that is replayed
+writes its own folder again, and reading folds the folders per key.  ``latest_per_key`` keeps
+the folded record of each key as streaming state instead.
 """
 
 from __future__ import annotations
 
-import functools
-import json
-import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def merge_batch(batch: DataFrame, key: str, order: list[str], frozen: tuple[str, ...] = ("sha",)) -> DataFrame:
@@ -56,117 +56,63 @@ def upsert(stored: DataFrame, batch: DataFrame, key: str, order: list[str],
     return out.select(*sel)
 
 
-class VersionedTable:
-    """Keyed parquet table of one base and small deltas, one manifest file per version.
+def write_batch(batch: DataFrame, root: str, batch_id: int, key: str, order: list[str],
+                frozen: tuple[str, ...] = ("sha",)) -> None:
+    """Fold a batch per key and store it under its own id; the same id again replaces it."""
+    merge_batch(batch, key, order, frozen).write.mode("overwrite").parquet(f"{root.rstrip('/')}/batch_id={batch_id}")
 
-    An upsert writes only its own folded batch, into a folder that no other attempt uses,
-    and then a manifest of the next version; the highest manifest counts.  So a crashed
-    attempt leaves a folder that no manifest names, a retry writes anew, and a reader sees
-    either the old version or the new one.  Reading folds base and deltas per key: latest
-    non-NULL value per field, frozen fields from the first version.  After ``max_deltas``
-    deltas the table is compacted into a new base of ``buckets`` files.
 
-    ``schema`` declares the columns that ``read`` returns; without it, the table has every
-    column that any batch had, in order of appearance.
+def read_batches(spark: SparkSession, root: str, schema: T.StructType, key: str, frozen: tuple[str, ...] = ("sha",)) -> DataFrame:
+    """The table that the batches under ``root`` make, one row per key, with the columns of ``schema``.
+
+    Later batches win per field, frozen fields come from the first; a column that a batch
+    lacks counts as NULL there.  The fold is one partial and one final aggregate.
+    """
+    stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    rows = spark.read.schema(stored).option("basePath", root).parquet(root)
+    return merge_batch(rows, key, ["batch_id"], frozen).select(*schema.names)
+
+
+def fold_batches(spark: SparkSession, root: str, target: str, schema: T.StructType, key: str,
+                 frozen: tuple[str, ...] = ("sha",)) -> int:
+    """Write the folded batches of ``root`` as the first batch of ``target``; returns its id, the last one folded.
+
+    Later batches then go to ``target``.  ``root`` is left as it is.
     """
+    last = spark.read.option("basePath", root).parquet(root).agg(F.max("batch_id")).first()[0]
+    read_batches(spark, root, schema, key, frozen).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch_id={last}")
+    return last
+
 
-    def __init__(self, spark: SparkSession, root: str, key: str, order: list[str], buckets: int = 64,
-                 frozen: tuple[str, ...] = ("sha",), schema: T.StructType | None = None, max_deltas: int = 16):
-        self.spark, self.root, self.key, self.order = spark, root.rstrip("/"), key, order
-        self.buckets, self.frozen, self.schema, self.max_deltas = buckets, frozen, schema, max_deltas
-
-    # manifest files through the Hadoop file system of the session
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        """Complete versions, ascending."""
-        p, fs = self._fs(f"{self.root}/_manifests")
-        if not fs.exists(p):
-            return []
-        names = [f.getPath().getName() for f in fs.listStatus(p)]
-        return sorted(int(n[:-len(".json")]) for n in names if n.endswith(".json"))
-
-    def manifest(self) -> dict:
-        """The highest version's manifest."""
-        known = self.versions()
-        if not known:
-            return {"version": 0, "batch_id": None, "parts": [], "columns": []}
-        p, fs = self._fs(f"{self.root}/_manifests/{known[-1]:012d}.json")
-        stream = fs.open(p)
-        try:
-            jvm = self.spark.sparkContext._jvm
-            return json.loads(jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine())
-        finally:
-            stream.close()
-
-    def _commit(self, manifest: dict) -> None:
-        """Write the manifest under another name and rename it, which readers see at once or not at all."""
-        name = f"{self.root}/_manifests/{manifest['version']:012d}.json"
-        tmp, fs = self._fs(f"{name}.{uuid.uuid4().hex}.tmp")
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(manifest).encode("utf-8")))
-        out.close()
-        final, _ = self._fs(name)
-        if fs.exists(final) or not fs.rename(tmp, final):
-            raise RuntimeError(f"version {manifest['version']} was written by another process")
-
-    def _folded(self, manifest: dict) -> DataFrame | None:
-        parts = [self.spark.read.parquet(f"{self.root}/{p['path']}").withColumn("_version", F.lit(p["version"]))
-                 for p in manifest["parts"]]
-        if not parts:
-            return None
-        if len(parts) == 1:
-            return parts[0].drop("_version")
-        rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        return merge_batch(rows, self.key, ["_version"], self.frozen).drop("_version")
-
-    def read(self) -> DataFrame | None:
-        """The current rows, one per key; None for a table without any batch."""
-        m = self.manifest()
-        rows = self._folded(m)
-        if rows is None:
-            return None
-        if self.schema is None:
-            return rows.select(*m["columns"])
-        return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                             for f in self.schema.fields])
-
-    def _write(self, rows: DataFrame, manifest: dict, parts: list[dict], batch_id: int | None) -> None:
-        version = manifest["version"] + 1
-        path = f"data/{version:012d}-{uuid.uuid4().hex}"
-        rows.write.mode("errorifexists").parquet(f"{self.root}/{path}")
-        columns = [*manifest["columns"], *[c for c in rows.columns if c not in manifest["columns"]]]
-        last = batch_id if batch_id is not None else manifest["batch_id"]
-        self._commit({"version": version, "batch_id": last, "columns": columns,
-                      "parts": [*parts, {"path": path, "version": version}]})
-
-    def upsert(self, batch: DataFrame, batch_id: int | None = None) -> bool:
-        """Apply one batch; returns False when ``batch_id`` was applied already.
-
-        A batch without an id leaves the last id as it is.
-        """
-        m = self.manifest()
-        if batch_id is not None and m["batch_id"] is not None and batch_id <= m["batch_id"]:
-            return False
-        self._write(merge_batch(batch, self.key, self.order, self.frozen), m, m["parts"], batch_id)
-        if len(m["parts"]) >= self.max_deltas:
-            self.compact()
-        return True
-
-    def compact(self) -> None:
-        """Fold base and deltas into a new base; older versions stay readable until ``vacuum``."""
-        m = self.manifest()
-        if len(m["parts"]) > 1:
-            self._write(self._folded(m).select(*m["columns"]).repartition(self.buckets, self.key), m, [], None)
-
-    def vacuum(self) -> None:
-        """Remove data folders and manifests that the current version does not name."""
-        m = self.manifest()
-        used = {p["path"].split("/")[1] for p in m["parts"]}
-        for folder, keep in (("data", used), ("_manifests", {f"{m['version']:012d}.json"})):
-            p, fs = self._fs(f"{self.root}/{folder}")
-            for f in fs.listStatus(p) if fs.exists(p) else []:
-                if f.getPath().getName() not in keep:
-                    fs.delete(f.getPath(), True)
+def latest_per_key(stream: DataFrame, key: str, order: list[str], frozen: tuple[str, ...] = ("sha",)) -> DataFrame:
+    """H4 as keyed state: the current record of every key that a micro-batch touches.
+
+    The state of a key holds, per field, the value with the greatest order (least for frozen
+    fields) and that order, so records may come late or twice and in any split into
+    batches.  Order columns are numbers or strings; the key itself and order columns keep
+    the greatest values met.  Rows of a key are read in chunks, never as one frame.
+    """
+    fields = [f for f in stream.schema.fields if f.name != key]
+    ranks = [stream.schema[o].dataType for o in order]
+    state = T.StructType([T.StructField(f"{f.name}_{part}", kind) for f in fields
+                          for part, kind in (("value", f.dataType), *((f"order{i}", r) for i, r in enumerate(ranks)))])
+    width = 1 + len(order)
+
+    def fold(at: tuple, pdfs: Iterator[pd.DataFrame], known: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(known.get) if known.exists else [None] * (width * len(fields))
+        for pdf in pdfs:
+            pdf = pdf.sort_values(order, kind="stable")
+            for i, f in enumerate(fields):
+                rows = pdf[pdf[f.name].notna()]
+                if rows.empty:
+                    continue
+                first = f.name in frozen
+                row = rows.iloc[0 if first else -1]
+                now, was = tuple(row[o] for o in order), tuple(held[width * i + 1:width * (i + 1)])
+                if held[width * i] is None or (now < was if first else now >= was):
+                    held[width * i:width * (i + 1)] = [x.item() if hasattr(x, "item") else x for x in (row[f.name], *now)]
+        known.update(tuple(held))
+        yield pd.DataFrame([[at[0], *held[::width]]], columns=[key, *(f.name for f in fields)])
+
+    out = T.StructType([stream.schema[key], *fields])
+    return stream.groupBy(key).applyInPandasWithState(fold, out, state, "update", GroupStateTimeout.NoTimeout)

@@ -503,7 +503,10 @@ CUT = "2024-01-16 00:00:00"
 
 
 def _partial_events(spark, root):
-    e = read_table(spark, root, "events")
+    return _as_partial(read_table(spark, root, "events"))
+
+
+def _as_partial(e):
     return e.select("user_id", F.col("event_id").alias("sha"), "ts", "event_id",
                     F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("event_type"),
                     "value", "props")
@@ -991,13 +994,25 @@ def bag_of_frequent_words(spark, root):
 
 @register("stored_upserts", ORACLES["upsert_latest"])
 def stored_upserts(spark, root):
-    """The versioned table, written in two batches, replayed once and read back."""
-    t = up.VersionedTable(spark, scratch_path(spark, "events"), "user_id", ["ts", "event_id"])
-    ev, cut = _partial_events(spark, root), F.lit(CUT).cast("timestamp_ntz")
-    for batch_id, rows in ((0, ev.where(F.col("ts") < cut)), (1, ev.where(F.col("ts") >= cut)), (1, ev)):
-        t.upsert(rows, batch_id)
-    return t.read().select("user_id", "sha", "event_type", "value", "props",
-                           F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+    """A stored table, written in two batches, one replayed, and read back."""
+    root_, ev, cut = scratch_path(spark, "events"), _partial_events(spark, root), F.lit(CUT).cast("timestamp_ntz")
+    early, late = ev.where(F.col("ts") < cut), ev.where(F.col("ts") >= cut)
+    for batch_id, rows in ((0, early), (1, late), (1, late)):
+        up.write_batch(rows, root_, batch_id, "user_id", ["ts", "event_id"])
+    return up.read_batches(spark, root_, ev.schema, "user_id").select(
+        "user_id", "sha", "event_type", "value", "props", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+
+
+@register("stream_upserts", ORACLES["upsert_latest"])
+def stream_upserts(spark, root):
+    """H4: the events streamed into keyed state, one current record per user."""
+    path, out = f"{root.rstrip('/')}/[e]vents.parquet", scratch_path(spark, "records")
+    stream = sp.staged_stream(spark, path, read_table(spark, root, "events").schema)
+    items = _as_partial(stream).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
+    sp.run_keyed_ingest(items, out, "user_id", ["at", "event_id"], scratch_path(spark, "records-ckpt"))
+    return sp.current_records(spark, out, "user_id").select(
+        "user_id", "sha", "event_type", "value", "props",
+        F.date_format(F.timestamp_micros("at"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
 @register("stream_cell_sets", CELLS_SQL + """
@@ -1013,7 +1028,7 @@ def stream_cell_sets(spark, root):
         return som.assign_bmu(vecs, cb, "sha", "x")
 
     log = scratch_path(spark, "members")
-    books = up.VersionedTable(spark, scratch_path(spark, "placed"), "sha", ["batch_id"])
+    books = scratch_path(spark, "placed")
     sp.run_placement_updates(sp.staged_stream(spark, path, read_table(spark, root, "embeddings").schema), place, books, log,
                              scratch_path(spark, "placed-ckpt"), cells=cells)
     return sp.cell_sets(spark, log)

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmap.operators.upsert import latest_per_key, write_batch
 from shelfmap.session import scratch_path
 
 
@@ -39,16 +40,36 @@ def run_placement(stream: DataFrame, place: Callable[[DataFrame], DataFrame], si
     q.awaitTermination()
 
 
-def run_ingest(stream: DataFrame, table, checkpoint: str) -> None:
-    """H4: continuous ingest of scraped items, each micro-batch upserted once."""
+def run_ingest(stream: DataFrame, root: str, key: str, order: list[str], checkpoint: str,
+               frozen: tuple[str, ...] = ("sha",)) -> None:
+    """H4: continuous ingest of scraped items: each micro-batch folded per key under its own ``batch_id``."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        table.upsert(batch, batch_id)
+        write_batch(batch, root, batch_id, key, order, frozen)
 
     q = (stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def run_keyed_ingest(stream: DataFrame, root: str, key: str, order: list[str], checkpoint: str,
+                     frozen: tuple[str, ...] = ("sha",)) -> None:
+    """H4 with the records held as state: each micro-batch writes the whole current record of the keys it touches."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+
+    q = (latest_per_key(stream, key, order, frozen).writeStream.outputMode("update").foreachBatch(each)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def current_records(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """The last record of each key that ``run_keyed_ingest`` wrote."""
+    rows = spark.read.option("basePath", root).parquet(root)
+    fields = [c for c in rows.columns if c not in (key, "batch_id")]
+    last = F.max_by(F.struct(*fields), "batch_id").alias("last")
+    return rows.groupBy(key).agg(last).select(key, *(F.col(f"last.{c}").alias(c) for c in fields))
+
+
 def placed(spark: SparkSession, sink: str) -> DataFrame:
     """All placements written so far (``batch_id`` kept as a column)."""
     return spark.read.parquet(sink)
@@ -62,13 +83,13 @@ def stream_place_folder(spark: SparkSession, path: str, schema, place, where=Non
     return placed(spark, sink).drop("batch_id")
 
 
-def run_placement_updates(stream: DataFrame, place: Callable[[DataFrame], DataFrame], books,
+def run_placement_updates(stream: DataFrame, place: Callable[[DataFrame], DataFrame], books: str,
                           members_log: str, checkpoint: str, where=None, key: str = "sha",
                           cells: DataFrame | None = None) -> None:
     """H1-H3: place each micro-batch, then the two keyed updates.
 
-    1. the book's cell: upsert ``(key, bmu_col, bmu_row)`` into ``books`` (a
-       ``VersionedTable``), skipped when the batch id was applied already;
+    1. the book's cell: ``(key, bmu_col, bmu_row)`` as a batch of the stored table ``books``
+       (``read_batches``), replaced when the batch id comes again;
     2. the cell's member set: the batch's ``(bmu_col, bmu_row, key)`` rows under
        ``members_log/batch_id=<id>`` (overwrite, so a replay rewrites the same rows).
     Cell sets are the distinct rows of the log (``cell_set_add`` semantics).  With ``cells``
@@ -81,7 +102,7 @@ def run_placement_updates(stream: DataFrame, place: Callable[[DataFrame], DataFr
         placed = place(batch).select(key, "bmu_col", "bmu_row").persist()
         listed = placed.join(cells, ["bmu_col", "bmu_row"], "left_semi") if cells is not None else placed
         listed.write.mode("overwrite").parquet(f"{members_log}/batch_id={batch_id}")
-        books.upsert(placed.withColumn("batch_id", F.lit(batch_id)), batch_id)
+        write_batch(placed.withColumn("arrived", F.lit(batch_id)), books, batch_id, key, ["arrived"], frozen=())
         placed.unpersist()
 
     q = (src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

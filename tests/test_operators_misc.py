@@ -4,6 +4,7 @@ import tempfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmap.functions import predicates as pr
 from shelfmap.operators import serve, som, upsert as up, words as wo
@@ -105,7 +106,7 @@ def test_placement_with_keyed_updates(spark):
     schema = "sha int, x array<double>"
     spark.createDataFrame([(1, [0.0, 0.1]), (2, [1.9, 0.0])], schema).write.parquet(src)
     cb = spark.createDataFrame([(0, 0, 0, [0.0, 0.0]), (1, 0, 1, [2.0, 0.0])], "unit int, row int, col int, w array<double>")
-    books = up.VersionedTable(spark, tempfile.mkdtemp(prefix="shelfmap-books-"), "sha", ["batch_id"], buckets=2)
+    books = tempfile.mkdtemp(prefix="shelfmap-books-")
     log, ckpt = tempfile.mkdtemp(prefix="shelfmap-log-"), tempfile.mkdtemp(prefix="shelfmap-ck-")
     place = lambda b: som.assign_bmu(b, cb)
     sp.run_placement_updates(sp.staged_stream(spark, src, schema), place, books, log, ckpt)
@@ -113,8 +114,9 @@ def test_placement_with_keyed_updates(spark):
     sp.run_placement_updates(sp.staged_stream(spark, src, schema), place, books, log, ckpt)
     cells = sorted((r.bmu_col, r.sha) for r in sp.cell_sets(spark, log).collect())
     assert cells == [(0, 1), (1, 2), (1, 3)]
-    placed = sorted((r.sha, r.bmu_col) for r in books.read().collect())
-    assert placed == [(1, 0), (2, 1), (3, 1)] and books.manifest()["batch_id"] == 1
+    table = T.StructType.fromDDL("sha int, bmu_col int, bmu_row int")
+    placed = sorted((r.sha, r.bmu_col) for r in up.read_batches(spark, books, table, "sha", ()).collect())
+    assert placed == [(1, 0), (2, 1), (3, 1)]
 
 
 def test_dealt_only_by_setting(spark):
@@ -139,3 +141,26 @@ def test_topk_and_pushdown_plans(spark):
     assert knn.count("WindowGroupLimit") >= 2 and "CartesianProduct" not in knn
     flt = formatted(catalog.QUERIES["filter_summary_length"](spark, SF_SMALL))
     assert "EqualTo(lang,en)" in flt and "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in flt
+
+
+def test_knn_in_blocks_is_whole_and_starts_no_job_per_block(spark):
+    import numpy as np
+    from shelfmap.operators import similarity as sim
+    rng = np.random.default_rng(8)
+    vecs = rng.random((300, 6))
+    vecs[7] = vecs[3]
+    books = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)] + [(900, None)], "sha long, p array<double>")
+    queries = books.where("sha < 60 or sha = 900").toDF("qid", "q")
+    d = sim._js_matrix(vecs / vecs.sum(1, keepdims=True), vecs[:60] / vecs[:60].sum(1, keepdims=True))
+    for drop, sizes in ((False, {}), (True, {"max_queries": 7, "max_books": 40})):
+        got = sim.js_knn(books, queries, k=4, drop_zero=drop, **sizes).collect()
+        assert len(got) == 60 * 4
+        for q in range(60):
+            order = [i for i in np.lexsort((np.arange(300), d[:, q])) if not drop or d[i, q] > sim.ZERO][:4]
+            assert [r.sha for r in sorted((r for r in got if r.qid == q), key=lambda r: r["rank"])] == order
+    spark.sparkContext.setJobGroup("knn", "knn")
+    sim.js_knn(books, queries, max_queries=2)                        # 30 blocks of queries
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("knn"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs <= 6                                                 # the queries stored and counted, the books counted
+    assert sim.js_knn(books, queries.limit(0)).count() == 0 and sim.js_knn(books.limit(0), queries).count() == 0

@@ -106,67 +106,6 @@ def test_url_filters_and_conditional_match(spark):
     assert sorted(r.id for r in pr.in_list(left, "id", ids).collect()) == [1, 3]
 
 
-def table(spark, **kw):
-    return up.VersionedTable(spark, tempfile.mkdtemp(prefix="shelfmap-vt-"), "k", ["o"], **kw)
-
-
-BATCH = "k string, sha string, title string, o int"
-
-
-def test_store_survives_a_crash_before_the_manifest(spark):
-    t = table(spark)
-    t.upsert(spark.createDataFrame([("a", "s1", "T", 1)], BATCH), 0)
-    commit, t._commit = t._commit, lambda m: (_ for _ in ()).throw(RuntimeError("lost"))
-    with pytest.raises(RuntimeError):
-        t.upsert(spark.createDataFrame([("a", "s2", "U", 2)], BATCH), 1)
-    assert [(r.sha, r.title) for r in t.read().collect()] == [("s1", "T")]
-    t._commit = commit
-    assert t.upsert(spark.createDataFrame([("a", "s2", "U", 2)], BATCH), 1)
-    assert [(r.sha, r.title) for r in t.read().collect()] == [("s1", "U")]
-    assert not t.upsert(spark.createDataFrame([("a", "s2", "V", 2)], BATCH), 1)
-
-
-def test_store_takes_new_columns_and_manual_batches(spark):
-    t = table(spark)
-    t.upsert(spark.createDataFrame([("a", "s1", "T", 1)], BATCH), 5)
-    t.upsert(spark.createDataFrame([("a", "s2", 12, 2)], "k string, sha string, pages int, o int"))      # no id
-    r = t.read().first()
-    assert (r.sha, r.title, r.pages) == ("s1", "T", 12)
-    assert t.manifest()["batch_id"] == 5 and not t.upsert(spark.createDataFrame([("a", "x", "y", 3)], BATCH), 5)
-    typed = up.VersionedTable(spark, t.root, "k", ["o"], schema=T.StructType([
-        T.StructField("k", T.StringType()), T.StructField("pages", T.LongType()), T.StructField("extra", T.StringType())]))
-    assert tuple(typed.read().first()) == ("a", 12, None)
-
-
-def test_store_writes_deltas_and_compacts(spark):
-    t = table(spark, max_deltas=3, buckets=2)
-    t.upsert(spark.range(500).select(F.col("id").cast("string").alias("k"), F.lit("s").alias("sha"),
-                                     F.lit("T").alias("title"), F.lit(0).alias("o")), 0)
-    first = t.manifest()["parts"]
-    t.upsert(spark.createDataFrame([(str(i), "z", f"n{i}", 1) for i in range(10)], BATCH), 1)
-    parts = t.manifest()["parts"]
-    assert parts[:1] == first and spark.read.parquet(f"{t.root}/{parts[1]['path']}").count() == 10
-    for b in (2, 3):
-        t.upsert(spark.createDataFrame([("0", "z", f"b{b}", b)], BATCH), b)
-    assert len(t.manifest()["parts"]) == 1 and t.read().count() == 500
-    got = {r.k: r.title for r in t.read().where("k in ('0', '9', '77')").collect()}
-    assert got == {"0": "b3", "9": "n9", "77": "T"}
-    t.vacuum()
-    assert t.read().count() == 500 and len(t.versions()) == 1 and t.manifest()["batch_id"] == 3
-
-
-def test_upsert_latest_reads_back_from_the_store(spark):
-    t = up.VersionedTable(spark, tempfile.mkdtemp(prefix="shelfmap-vt-"), "user_id", ["ts", "event_id"])
-    events = catalog._partial_events(spark, SF_SMALL)
-    cut = F.lit(catalog.CUT).cast("timestamp_ntz")
-    t.upsert(events.where(F.col("ts") < cut), 0)
-    t.upsert(events.where(F.col("ts") >= cut), 1)
-    want = catalog.QUERIES["upsert_latest"](spark, SF_SMALL)
-    got = t.read().select("user_id", "sha", "event_type", "value", "props",
-                          F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-
-
 def test_vocabulary_is_whole_or_refused(spark):
     docs = spark.createDataFrame([(i, " ".join(f"term{j}" for j in range(i, i + 60))) for i in range(40)], "sha int, text string")
     toks = txo.tokenize(docs)
@@ -221,12 +160,12 @@ def test_members_only_of_existing_cells(spark):
     src = tempfile.mkdtemp(prefix="shelfmap-src-") + "/staging"
     schema = "sha int, bmu_col int, bmu_row int"
     spark.createDataFrame([(1, 0, 0), (2, 5, 5)], schema).write.parquet(src)
-    books = up.VersionedTable(spark, tempfile.mkdtemp(prefix="shelfmap-books-"), "sha", ["batch_id"])
+    books = tempfile.mkdtemp(prefix="shelfmap-books-")
     log, ckpt = tempfile.mkdtemp(prefix="shelfmap-log-"), tempfile.mkdtemp(prefix="shelfmap-ck-")
     cells = spark.createDataFrame([(0, 0)], "bmu_col int, bmu_row int")
     sp.run_placement_updates(sp.staged_stream(spark, src, schema), lambda b: b, books, log, ckpt, cells=cells)
     assert [(r.bmu_col, r.sha) for r in sp.cell_sets(spark, log).collect()] == [(0, 1)]
-    assert sorted(r.sha for r in books.read().collect()) == [1, 2]
+    assert sorted(r.sha for r in up.read_batches(spark, books, T.StructType.fromDDL("sha int, bmu_col int"), "sha", ()).collect()) == [1, 2]
 
 
 def test_quantization_error_belongs_to_the_returned_map(spark):

@@ -2,6 +2,7 @@ import tempfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmap.functions import scalars as sc
 from shelfmap.operators import upsert as up
@@ -27,17 +28,37 @@ def test_batch_fold_is_per_field(spark):
     assert (r.sha, r.title, r.pages) == ("a", "T", 5)
 
 
-def test_versioned_table_replay(spark):
+ITEMS = "book_id string, sha string, title string, o int"
+
+
+def stored(spark, root, schema=ITEMS):
+    return up.read_batches(spark, root, T.StructType.fromDDL(schema), "book_id")
+
+
+def test_batches_replay(spark):
     root = tempfile.mkdtemp(prefix="shelfmap-vt-")
-    t = up.VersionedTable(spark, root, "book_id", ["o"], buckets=4)
-    b1 = spark.createDataFrame([("k1", "s1", "T", 1)], "book_id string, sha string, title string, o int")
-    b2 = spark.createDataFrame([("k1", "s9", "T2", 2), ("k2", "s2", "U", 3)], "book_id string, sha string, title string, o int")
-    assert t.upsert(b1, 0) and t.upsert(b2, 1)
-    assert not t.upsert(b2, 1)                       # replayed batch is skipped
-    rows = sorted((r.book_id, r.sha, r.title) for r in t.read().collect())
+    b1 = spark.createDataFrame([("k1", "s1", "T", 1)], ITEMS)
+    b2 = spark.createDataFrame([("k1", "s9", "T2", 2), ("k2", "s2", "U", 3)], ITEMS)
+    for batch_id, rows in ((0, b1), (1, b2), (1, b2)):                       # the second batch comes twice
+        up.write_batch(rows, root, batch_id, "book_id", ["o"])
+    rows = sorted((r.book_id, r.sha, r.title) for r in stored(spark, root).collect())
     assert rows == [("k1", "s1", "T2"), ("k2", "s2", "U")]
 
 
+def test_batches_take_new_columns_and_fold(spark):
+    root, folded = tempfile.mkdtemp(prefix="shelfmap-vt-"), tempfile.mkdtemp(prefix="shelfmap-vt-")
+    wide = f"{ITEMS}, pages int"
+    up.write_batch(spark.createDataFrame([("a", "s1", "T", 1)], ITEMS), root, 0, "book_id", ["o"])
+    up.write_batch(spark.createDataFrame([("a", "s2", 12, 2), ("b", "s3", 7, 2)], "book_id string, sha string, pages int, o int"),
+                   root, 1, "book_id", ["o"])
+    want = [("a", "s1", "T", 12), ("b", "s3", None, 7)]
+    pick = lambda where: sorted((r.book_id, r.sha, r.title, r.pages) for r in stored(spark, where, wide).collect())
+    assert pick(root) == want
+    assert up.fold_batches(spark, root, folded, T.StructType.fromDDL(wide), "book_id") == 1 and pick(folded) == want
+    up.write_batch(spark.createDataFrame([("b", "s9", "U", 3)], ITEMS), folded, 2, "book_id", ["o"])
+    assert pick(folded) == [("a", "s1", "T", 12), ("b", "s3", "U", 7)] and pick(root) == want
+
+
 def test_affiliate_links(spark):
     df = spark.createDataFrame([("https://www.shop.com/gp/product/B01/ref=x?y=1",), ("https://www.shop.com/s?k=1",),
                                 (None,)], "u string")
@@ -130,14 +151,32 @@ def test_stream_ingest_upserts_once(spark):
     src = tempfile.mkdtemp(prefix="shelfmap-stage-")
     schema = "book_id string, sha string, title string, o int"
     spark.createDataFrame([("k1", "s1", "T", 1)], schema).write.mode("append").parquet(src)
-    table = up.VersionedTable(spark, tempfile.mkdtemp(prefix="shelfmap-vt-"), "book_id", ["o"], buckets=2)
-    ckpt = tempfile.mkdtemp(prefix="shelfmap-ck-")
-    sp.run_ingest(sp.staged_stream(spark, src, schema), table, ckpt)
+    root, ckpt = tempfile.mkdtemp(prefix="shelfmap-vt-"), tempfile.mkdtemp(prefix="shelfmap-ck-")
+    ingest = lambda: sp.run_ingest(sp.staged_stream(spark, src, schema), root, "book_id", ["o"], ckpt)
+    ingest()
     spark.createDataFrame([("k1", "s9", "T2", 2)], schema).write.mode("append").parquet(src)
-    sp.run_ingest(sp.staged_stream(spark, src, schema), table, ckpt)
-    sp.run_ingest(sp.staged_stream(spark, src, schema), table, ckpt)      # nothing new: no change
-    assert [(r.book_id, r.sha, r.title) for r in table.read().collect()] == [("k1", "s1", "T2")]
-    assert table.manifest()["version"] == 2
+    ingest()
+    ingest()                                                                 # nothing new: no change
+    assert [(r.book_id, r.sha, r.title) for r in stored(spark, root).collect()] == [("k1", "s1", "T2")]
+
+
+def test_keyed_state_takes_late_and_repeated_records(spark):
+    from shelfmap.streaming import placement as sp
+    src, root = tempfile.mkdtemp(prefix="shelfmap-stage-"), tempfile.mkdtemp(prefix="shelfmap-rec-")
+    ckpt = tempfile.mkdtemp(prefix="shelfmap-ck-")
+    batches = [[("k1", "s2", "T2", 5), ("k1", "s3", None, 6), ("k2", None, "U", 1)],
+               [("k1", "s1", "T1", 1), ("k1", "s2", "T2", 5), ("k3", "s7", None, 2)],          # late, repeated, new
+               [("k2", "s4", None, 9), ("k1", None, "T9", 9)]]
+    every = []
+    for rows in batches:
+        every += rows
+        spark.createDataFrame(rows, ITEMS).write.mode("append").parquet(src)
+        for _ in range(2):                                                   # the second run has nothing new
+            sp.run_keyed_ingest(sp.staged_stream(spark, src, ITEMS), root, "book_id", ["o"], ckpt)
+        got = sorted(map(tuple, sp.current_records(spark, root, "book_id").select("book_id", "sha", "title", "o").collect()))
+        want = up.merge_batch(spark.createDataFrame(every, ITEMS), "book_id", ["o"])
+        assert got == sorted(map(tuple, want.select("book_id", "sha", "title", "o").collect()))
+    assert got[0] == ("k1", "s1", "T9", 9)
 
 
 def test_cell_lookup(spark):
