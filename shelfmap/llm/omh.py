@@ -44,7 +44,7 @@ SIMILARITY = 0.8
 HOT_SHARE = 512
 LEADER_SPREAD = 64
 RARITY_SLOTS = 1 << 16
-BINS = 64
+BINS = 256
 CLASS_ROWS = 20_000           # rows of a bucket that one task pairs; a larger bucket is dealt by words
 FIRST_PAIRS = 4
 PAIRS_AT_ONCE = 1 << 20
@@ -297,7 +297,7 @@ def word_features(seq: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, int,
     grams = kmers(seq, 1)
     shorter, longer = prefix_sizes(len(grams))
     order = np.lexsort((grams, rarity[_slot(grams)]))[:longer]
-    bins = np.bincount((_mix(seq) >> np.uint64(58)).astype(np.int64), minlength=BINS)
+    bins = np.bincount((_mix(seq) >> np.uint64(56)).astype(np.int64), minlength=BINS)
     return grams[order], shorter, np.minimum(bins, 255).astype(np.uint8)
 
 
@@ -369,7 +369,10 @@ def _rarity(seqs: DataFrame) -> np.ndarray:
 
 
 def _open_pairs(members: DataFrame, labels: DataFrame, seqs: DataFrame, class_rows: int = CLASS_ROWS) -> DataFrame:
-    """Pairs ``a, b, gap`` of nodes that share a bucket, lie in different components and can be alike."""
+    """Pairs ``a, b, gap`` of nodes that share a bucket, lie in different components and can be alike.
+
+    A pair that shares several open buckets is given by the least of them.
+    """
     rows = stored(_open_members(members, labels), "open")
     own = seqs.join(rows.select("node").distinct(), "node", "left_semi")
     rarity = _rarity(own)
@@ -383,16 +386,16 @@ def _open_pairs(members: DataFrame, labels: DataFrame, seqs: DataFrame, class_ro
     shaped = own.mapInPandas(features, "node binary, words array<long>, shorter int, bins binary")
     # A bucket too large for one task is dealt by word: each part holds the members with words of its class.
     parts = F.when(F.col("size") > class_rows, F.ceil(F.col("size") * F.size("words") / class_rows)).otherwise(1)
-    rows = rows.join(shaped, "node")
+    rows = rows.join(shaped, "node").join(rows.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "node")
     widest = rows.where(F.col("size") > class_rows).groupBy("bucket").agg(F.max(parts).alias("parts"))
     rows = rows.join(widest, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long"))
     part = F.explode(F.array_distinct(F.transform("words", lambda w: F.pmod(w, F.col("parts")))))
     rows = (rows.withColumn("part", part)
-            .select("bucket", "part", "parts", "node", "label", "n_words", "shorter", "words", "bins")
+            .select("bucket", "part", "parts", "node", "label", "n_words", "shorter", "words", "bins", "buckets")
             .repartition("bucket", "part").sortWithinPartitions("bucket", "part"))
 
-    def pairs(held: list[tuple]) -> pd.DataFrame:
-        part, parts, node, label, n_words, shorter, words, bins = zip(*held)
+    def pairs(bucket: int, held: list[tuple]) -> pd.DataFrame:
+        part, parts, node, label, n_words, shorter, words, bins, buckets = zip(*held)
         label = pd.factorize(pd.Series(label))[0]
         words = [np.asarray(w, dtype=np.int64) for w in words]
         ranks = np.array(shorter)
@@ -401,6 +404,8 @@ def _open_pairs(members: DataFrame, labels: DataFrame, seqs: DataFrame, class_ro
             ranks = np.array([int(m[:s].sum()) for m, s in zip(mine, shorter)])
             words = [w[m] for w, m in zip(words, mine)]
         got = paired(label, np.array(n_words), ranks, words, np.stack([np.frombuffer(b, dtype=np.uint8) for b in bins]))
+        buckets = [set(x) for x in buckets]
+        got = got[[min(buckets[i] & buckets[j]) == bucket for i, j in got[:, :2].tolist()]] if len(got) else got
         a, b = ([node[i] for i in got[:, k]] for k in (0, 1))
         return pd.DataFrame({"a": [min(x) for x in zip(a, b)], "b": [max(x) for x in zip(a, b)], "gap": got[:, 2]})
 
@@ -410,11 +415,11 @@ def _open_pairs(members: DataFrame, labels: DataFrame, seqs: DataFrame, class_ro
             for row in pdf.itertuples(index=False, name=None):
                 if row[:2] != key:
                     if len(held) > 1:
-                        yield pairs(held)
+                        yield pairs(key[0], held)
                     key, held = row[:2], []
                 held.append(row[1:])
         if len(held) > 1:
-            yield pairs(held)
+            yield pairs(key[0], held)
 
     return rows.mapInPandas(search, "a binary, b binary, gap long").groupBy("a", "b").agg(F.min("gap").alias("gap"))
 
@@ -473,7 +478,8 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "first_id")
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    texts = (texts.join(wanted, texts["id"].eqNullSafe(wanted["first_id"]))
+    # Sorted at every size: most texts are wanted, so a broadcast of their nodes only pays on small tables.
+    texts = (texts.join(wanted.hint("merge"), texts["id"].eqNullSafe(wanted["first_id"]))
              .select(F.col("node").alias("want"), _seqs_udf(F.col("t")).alias("s")))
     seqs = reliable_checkpoint(texts.where(F.col("want") == F.col("s.node")).select("s.node", "s.seq").dropDuplicates(["node"]))
 
