@@ -460,7 +460,10 @@ def hit_histogram_blur(spark, root):
 
 from shelfmap.operators import topics as tp  # noqa: E402
 
-MAP_EPOCHS = 10
+
+def map_epochs(spark) -> int:
+    """Epochs of the registered maps: the reference's, unless ``spark.shelfmap.mapEpochs`` names another number."""
+    return int(spark.conf.get("spark.shelfmap.mapEpochs", str(som.EPOCHS)))
 
 
 def _topic_model(spark, root):
@@ -477,17 +480,47 @@ def lda_topics(spark, root):
 @register("som_train")
 def som_train(spark, root):
     data = st.dist(spark, root)
-    W, errors = som.train_som(data, "p", st.GRID_ROWS, st.GRID_COLS, epochs=MAP_EPOCHS)
+    W, errors = som.train_som(data, "p", st.GRID_ROWS, st.GRID_COLS, epochs=map_epochs(spark))
     cb = som.codebook_frame(spark, W, st.GRID_ROWS, st.GRID_COLS)
     return cb.withColumn("qe", F.lit(float(errors[-1])))
 
 
+EPOCH_RADIUS = 3.0
+
+
+@register("som_epoch", f"""WITH {st.DIST_SQL},
+{st.CODEBOOK_SQL.replace("embedding AS DOUBLE[]", "p AS DOUBLE[]").replace("generate_subscripts(embedding, 1)", "generate_subscripts(p, 1)")
+ .replace("vec_id", "sha").replace("FROM embeddings", "FROM dist")},
+dd AS (SELECT d.sha, d.p, c.unit, list_distance(d.p, c.w) AS d FROM dist d CROSS JOIN codebook c),
+best AS (SELECT sha, p, unit FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY d, unit) AS rank FROM dd) WHERE rank = 1),
+sums AS (SELECT unit, i, sum(v) AS s, count(*) AS n FROM (SELECT unit, unnest(p) AS v, generate_subscripts(p, 1) - 1 AS i FROM best)
+         GROUP BY unit, i),
+near AS (
+  SELECT a.unit, b.unit AS other,
+    pow(least(abs(a."row" - b."row"), {st.GRID_ROWS} - abs(a."row" - b."row")), 2)
+    + pow(least(abs(a.col - b.col), {st.GRID_COLS} - abs(a.col - b.col)), 2) AS d2
+  FROM codebook a CROSS JOIN codebook b),
+moved AS (
+  SELECT n.unit, s.i, sum(exp(-d2 / {2 * EPOCH_RADIUS ** 2}) * s.s) / sum(exp(-d2 / {2 * EPOCH_RADIUS ** 2}) * s.n) AS w
+  FROM near n JOIN sums s ON s.unit = n.other WHERE sqrt(d2) <= {EPOCH_RADIUS} GROUP BY n.unit, s.i),
+old AS (SELECT unit, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM codebook)
+SELECT old.unit, CAST(old.i AS INTEGER) AS i, round(coalesce(moved.w, old.w), 6) AS w FROM old LEFT JOIN moved USING (unit, i)""")
+def som_epoch(spark, root):
+    """One epoch of the batch rule from a fixed codebook (means of the distributions)."""
+    data = st.dist(spark, root).select(F.col("p").alias("x"), "sha")
+    start = st.codebook(spark, root, rows=st.GRID_ROWS, cols=st.GRID_COLS, vecs=data)
+    W = som.codebook_arrays(start)[3].reshape(st.GRID_ROWS, st.GRID_COLS, -1)
+    W, _ = som.som_epoch(data, W, EPOCH_RADIUS)
+    cb = som.codebook_frame(spark, W, st.GRID_ROWS, st.GRID_COLS)
+    return cb.select("unit", F.posexplode("w").alias("i", "w")).select("unit", "i", F.round("w", 6).alias("w"))
+
+
 @register("place_texts")
 def place_texts(spark, root):
     from shelfmap.sources.tables import read_table
     docs, model = _topic_model(spark, root)
     dist = tp.topic_distribution(model, docs, "sha", "text")
-    W, _ = som.train_som(dist, "p", st.GRID_ROWS, st.GRID_COLS, epochs=MAP_EPOCHS)
+    W, _ = som.train_som(dist, "p", st.GRID_ROWS, st.GRID_COLS, epochs=map_epochs(spark))
     cb = som.codebook_frame(spark, W, st.GRID_ROWS, st.GRID_COLS)
     texts = read_table(spark, root, "benchmark").select(F.col("item_id").alias("id"), "text")
     return tp.place_texts(texts, model, cb, "id", "text")
@@ -591,9 +624,9 @@ FROM (SELECT page_id, html,
       FROM pages)""")
 def page_fields(spark, root):
     pages = dealt(read_table(spark, root, "pages"))
-    fields = ex.html_table_fields(pages, keep=("html",))
-    return fields.select("page_id", ex.page_title(F.col("html")).alias("page_title"),
-                         ex.page_lang(F.col("html")).alias("lang"), "author", "title", "language")
+    pages = pages.withColumn("lang", ex.page_lang(F.col("html")))
+    fields = ex.html_table_fields(pages, keep=("lang",), more={"page_title": F.regexp_extract("html", ex.TITLE_RE, 1)})
+    return fields.select("page_id", "page_title", "lang", "author", "title", "language")
 
 
 @register("catalogue_fields", """
@@ -857,7 +890,7 @@ def work_lists(spark, root):
 def websom_histograms(spark, root):
     toks = _training_tokens(spark, root)
     counts = reliable_checkpoint(txo.term_counts(toks, "sha", "tokens"))   # read three times below
-    _, cells = wo.word_category_map(counts, _bigram_totals(toks), epochs=MAP_EPOCHS)
+    _, cells = wo.word_category_map(counts, _bigram_totals(toks), epochs=map_epochs(spark))
     docs = toks.select(F.col("sha").alias("doc"))
     return wo.document_histograms(docs, counts, cells).select(F.col("doc").alias("sha"), "h")
 

@@ -84,11 +84,11 @@ DIST_SQL = """dist AS (
   FROM embeddings)"""
 
 
-def codebook(spark: SparkSession, root: str, rows: int = GRID_ROWS, cols: int = GRID_COLS) -> DataFrame:
-    """A fixed codebook from all ``embeddings``: unit ``vec_id % units`` holds the mean of its rows."""
-    e = read_table(spark, root, "embeddings")
-    unit = (F.col("vec_id") % (rows * cols)).cast("int")
-    mean = (e.select(unit.alias("unit"), explode_indexed(F.col("embedding").cast("array<double>")))
+def codebook(spark: SparkSession, root: str, rows: int = GRID_ROWS, cols: int = GRID_COLS, vecs: DataFrame | None = None) -> DataFrame:
+    """A fixed codebook from all ``embeddings`` (or ``vecs``): unit ``sha % units`` holds the mean of its rows."""
+    vecs = vectors(spark, root) if vecs is None else vecs
+    unit = (F.col("sha") % (rows * cols)).cast("int")
+    mean = (vecs.select(unit.alias("unit"), explode_indexed(F.col("x")))
             .groupBy("unit", "i").agg(F.round(F.avg("v"), 9).alias("v")))
     return (mean.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("iv"))
             .select("unit",

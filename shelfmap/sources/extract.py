@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmap.functions.arrays import explode_values
+from shelfmap.functions.arrays import explode_values, let
 from shelfmap.functions.scalars import free_year, join_words, last_segment, parse_month_day_year, series_fields
 from shelfmap.functions.text import strip, strip_ws
 from shelfmap.schema import SHOP_NAMES
@@ -27,54 +27,87 @@ TABLE_FIELDS = [("Author", "author"), ("Title", "title"), ("Summary", "summary")
 ROW_RE = r"(?is)<tr[^>]*>\s*<th[^>]*>(.*?)</th>\s*<td[^>]*>(.*?)</td>"
 
 
+def free_name(columns: list[str], wish: str) -> str:
+    while wish in columns:
+        wish += "_"
+    return wish
+
+
 def first_text(fragment: Column) -> Column:
     """Text before the first tag of an HTML fragment (``td/text()`` first node)."""
     return F.nullif(strip_ws(F.regexp_extract(fragment, r"(?s)^([^<]*)", 1)), F.lit(""))
 
 
-def _unescaped(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda row: None if row is None else [None if v is None else html.unescape(v) for v in row])
+
+
+def with_unescaped(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """``rows`` plus text ``fields``, character references (``&amp;``, ``&#233;``) decoded.
+
+    The fields are computed once, as one array, and decoded in one call; only rows with a
+    reference in one of them reach Python.
+    """
+    raw, coded, plain = (free_name(rows.columns, n) for n in ("raw", "coded", "plain"))
+    bound = rows.withColumn(raw, let(F.array(*fields.values()), lambda v: v))
+    coded_rows = F.when(F.exists(raw, lambda v: F.contains(v, F.lit("&"))), F.col(raw))
+    decoded = bound.withColumn(coded, coded_rows).withColumn(plain, F.pandas_udf(_unescaped, "array<string>")(coded))
+    text = F.coalesce(plain, raw)
+    return decoded.select(*rows.columns, *(F.get(text, F.lit(i)).alias(name) for i, name in enumerate(fields)))
 
 
 def unescape(col: Column) -> Column:
-    """Character references (``&amp;``, ``&#233;``) decoded; only texts with one reach Python."""
-    decode = F.pandas_udf(_unescaped, "string")
+    """Character references decoded; only texts with one reach Python."""
+    decode = F.pandas_udf(lambda s: s.map(html.unescape, na_action="ignore"), "string")
     return F.when(F.contains(col, F.lit("&")), decode(F.when(F.contains(col, F.lit("&")), col))).otherwise(col)
 
 
+def table_fields(page: Column) -> Column:
+    """``author, author_url, title, summary, credits, language, editor, release`` of a catalogue table, as written.
+
+    The table and its rows are found once; each field picks its first non-empty value (A14).
+    """
+    table = F.regexp_extract(page, r"(?is)<table[^>]*class=\"[^\"]*bibrec[^\"]*\"[^>]*>(.*?)</table>", 1)
+
+    def picks(rows):
+        def pick(word: str, value) -> Column:
+            # the head of each row is looked at first, so only rows of this field are read further
+            return F.get(F.filter(F.transform(F.filter(rows, lambda r: F.contains(r["h"], F.lit(word))), lambda r: value(r["d"])),
+                                  lambda v: v.isNotNull()), 0)
+
+        anchor_text = lambda d: first_text(F.regexp_extract(d, r"(?is)<a[^>]*>(.*?)</a>", 1))
+        anchor_href = lambda d: F.nullif(F.regexp_extract(d, r"(?is)<a[^>]*href=\"([^\"]*)\"", 1), F.lit(""))
+        return F.struct(pick("Author", anchor_text).alias("author"), pick("Author", anchor_href).alias("author_url"),
+                        *(pick(word, first_text).alias(field) for word, field in TABLE_FIELDS[1:] if field != "release"),
+                        pick("Release Date", lambda d: parse_month_day_year(first_text(d))).alias("release"))
+
+    return let(table, lambda t: let(F.arrays_zip(F.regexp_extract_all(t, F.lit(ROW_RE), 1).alias("h"),
+                                                 F.regexp_extract_all(t, F.lit(ROW_RE), 2).alias("d")), picks))
+
+
 def html_table_fields(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
-                      keep: tuple[str, ...] = ()) -> DataFrame:
+                      keep: tuple[str, ...] = (), more: dict[str, Column] | None = None) -> DataFrame:
     """Catalogue-table rows -> typed fields, first non-empty value per field.
 
     Output: ``id, author, author_url, title, summary, credits, language, editor, release``,
-    then the input columns named in ``keep``.  Character references are decoded.
-    Pages without a table give NULL fields.  Work is per page (rows of one page).
+    then the input columns named in ``keep`` and the text columns ``more``.  Character
+    references are decoded.  Pages without a table give NULL fields.  Work is per page (rows of one page).
     """
-    table = F.regexp_extract(F.col(html_col), r"(?is)<table[^>]*class=\"[^\"]*bibrec[^\"]*\"[^>]*>(.*?)</table>", 1)
-    rows = F.arrays_zip(F.regexp_extract_all(table, F.lit(ROW_RE), 1).alias("h"),
-                        F.regexp_extract_all(table, F.lit(ROW_RE), 2).alias("d"))
-
-    def pick(word: str, value) -> Column:
-        hits = F.filter(F.transform(rows, lambda r: F.when(F.contains(r["h"], F.lit(word)), value(r["d"]))),
-                        lambda v: v.isNotNull())
-        return F.get(hits, 0)
-
-    anchor_text = lambda d: first_text(F.regexp_extract(d, r"(?is)<a[^>]*>(.*?)</a>", 1))
-    anchor_href = lambda d: F.nullif(F.regexp_extract(d, r"(?is)<a[^>]*href=\"([^\"]*)\"", 1), F.lit(""))
-    cols = [F.col(id_col),
-            unescape(pick("Author", anchor_text)).alias("author"),
-            F.concat(F.lit("https://gutenberg.org"), unescape(pick("Author", anchor_href))).alias("author_url")]
-    for word, field in TABLE_FIELDS[1:]:
-        if field == "release":
-            cols.append(pick(word, lambda d: parse_month_day_year(first_text(d))).alias(field))
-        else:
-            cols.append(unescape(pick(word, first_text)).alias(field))
-    return pages.select(*cols, *[F.col(c) for c in keep])
+    more = more or {}
+    found = pages.select(id_col, *keep, table_fields(F.col(html_col)).alias("_found"), *(v.alias(f"_{k}") for k, v in more.items()))
+    texts = ["author", "author_url", *(f for _, f in TABLE_FIELDS[1:] if f != "release")]
+    out = with_unescaped(found, {**{f: F.col("_found")[f] for f in texts}, **{k: F.col(f"_{k}") for k in more}})
+    return out.select(id_col, "author", F.concat(F.lit("https://gutenberg.org"), "author_url").alias("author_url"),
+                      *texts[2:], F.col("_found.release").alias("release"), *keep,
+                      *(F.nullif(strip_ws(F.col(k)), F.lit("")).alias(k) for k in more))
+
+
+TITLE_RE = r"(?is)<title[^>]*>(.*?)</title>"
 
 
 def page_title(html: Column) -> Column:
     """``<title>`` text of a page, decoded and whitespace-stripped."""
-    return F.nullif(strip_ws(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
+    return F.nullif(strip_ws(unescape(F.regexp_extract(html, TITLE_RE, 1))), F.lit(""))
 
 
 def page_lang(html: Column) -> Column:

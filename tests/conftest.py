@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from shelfmap.session import get_session
     s = get_session("local[4]", 4, app_name="shelfmap-tests",
-                    conf={"spark.ui.showConsoleProgress": "false",
+                    conf={"spark.ui.showConsoleProgress": "false", "spark.shelfmap.mapEpochs": "10",
                           "spark.checkpoint.dir": tempfile.mkdtemp(prefix="shelfmap-test-ckpt-")})
     yield s
     s.stop()

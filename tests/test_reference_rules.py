@@ -145,6 +145,9 @@ def test_plans(spark):
     assert plan(spark, "cell_members").count("MapInPandas") <= 2                 # node and its detail
     assert "src_sha" not in "".join(x for x in plan(spark, "similar_books_same_cell").split("\n") if "hashpartitioning" in x)
     assert plan(spark, "page_fields").split("\n\n(1)")[0].count("Scan parquet") == 1
+    for name in ("page_fields", "catalogue_fields"):                            # the table's rows are found once
+        df = catalog.QUERIES[name](spark, SF_SMALL)
+        assert df._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") <= 2
     assert "Sort" not in plan(spark, "sitemap_index") and plan(spark, "sitemap_index").count("SinglePartition") >= 1
 
 

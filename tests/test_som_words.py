@@ -92,3 +92,44 @@ def test_registered_word_queries_have_all_dimensions(spark):
     assert vecs and all(r.n == r.d == 90 for r in vecs)
     assert encs and all(r.n == r.d == 180 for r in encs)
     assert all(r.n == r.d == 180 and (r.lo, r.hi) in ((0, 1), (0, 0)) for r in scaled)
+
+
+def test_training_resumes_from_stored_epochs(spark):
+    import tempfile
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(v.tolist(),) for v in rng.random((90, 3))], "x array<double>").repartition(5)
+    whole, errors = som.train_som(df, "x", 3, 4, epochs=6)
+    state = tempfile.mkdtemp(prefix="shelfmap-map-") + "/map"
+    stopped = som.som_epoch
+
+    def fails_after(n, calls=[0]):  # noqa: B006
+        def epoch(*a, **k):
+            calls[0] += 1
+            if calls[0] > n:
+                raise RuntimeError("lost")
+            return stopped(*a, **k)
+        return epoch
+
+    som.som_epoch = fails_after(4)
+    try:
+        with pytest.raises(RuntimeError):
+            som.train_som(df, "x", 3, 4, epochs=6, state=state, save_every=2)
+    finally:
+        som.som_epoch = stopped
+    again, rest = som.train_som(df, "x", 3, 4, epochs=6, state=state, save_every=2)
+    assert len(rest) == 3 and np.allclose(again, whole) and abs(rest[-1] - errors[-1]) < 1e-9
+    assert np.allclose(som.train_som(df, "x", 3, 4, epochs=6, state=state)[0], whole)       # done: only measured
+
+
+def test_epoch_sums_in_a_tree(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    X, W = rng.random((200, 4)), rng.random((6, 4))
+    df = spark.createDataFrame([(v.tolist(),) for v in X], "x array<double>").repartition(9)
+    monkeypatch.setattr(som, "MAX_SUM_BYTES", 0)                            # two branches
+    S, N, err = som._epoch_sums(spark, df, W)
+    d = np.linalg.norm(X[:, None] - W[None], axis=2)
+    best = d.argmin(axis=1)
+    assert N.tolist() == np.bincount(best, minlength=6).tolist() and abs(err - d.min(axis=1).mean()) < 1e-9
+    assert np.allclose(S, [X[best == u].sum(axis=0) for u in range(6)])
+    S, N, err = som._epoch_sums(spark, df.limit(0), W)
+    assert not S.any() and not N.any() and err == 0.0
