@@ -13,7 +13,6 @@ from __future__ import annotations
 import numpy as np
 
 MOST_PAIRS = 1 << 20
-NEW_PAIRS = 1 << 13
 END = "</w>"
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15            # odd multiplier of the rolling hash
@@ -28,6 +27,7 @@ class PairRules:
                  by_piece: dict[str, float] | None = None, end: str = ""):
         self.pieces, self.by_pair, self.by_piece, self.end = pieces, by_pair, by_piece, end
         self.longest = max((len(self.body(p)) for p in pieces), default=1)
+        self.last_pair: tuple[str, ...] = ()              # what the last merge down to one symbol joined
         self._whole: dict[str, bool] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
 
@@ -56,6 +56,8 @@ class PairRules:
                     best, at = r, i
             if at < 0:
                 return symbols
+            if len(symbols) == 2:
+                self.last_pair = tuple(symbols)
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
             del ranks[at]
             if at < len(ranks):
@@ -123,11 +125,80 @@ class PairRules:
         return out
 
 
+class Splits:
+    """Compatibility of many token pairs at once, by undoing their merges.
+
+    Merges go by rank, so the tokens of a pair are built in the order of their ranks.  Undone
+    latest first, each step bares the two symbols that met at the border for a while: if
+    a rule joins these two and ranks before the merge that was undone last, the encoder
+    would have merged across the border.  At equal ranks the left place goes first.
+
+    This needs tokens whose last merge ranks after the merges of its parts, as trained
+    vocabularies have them; ``odd`` marks those that are built otherwise, or of such parts.
+    """
+
+    def __init__(self, rules: PairRules, names: list[str]):
+        number = {t: i for i, t in enumerate(names)}
+        parts, own = [], []
+        for t in names:
+            symbols = rules.symbols(t)
+            if len(symbols) > 1:
+                rules.merge(symbols)
+                parts.append(rules.last_pair)
+            else:
+                parts.append(None)
+        for p in parts:
+            for t in p or ():
+                if t not in number:                       # a symbol that is no token by itself
+                    number[t] = len(number)
+                    own.append(None)
+        parts += own
+        if rules.by_pair is not None:
+            pairs = ((a, b, r) for (a, b), r in rules.by_pair.items())
+        else:
+            pairs = ((p[:k], p[k:], r) for p, r in rules.by_piece.items() for k in range(1, len(p)))
+        found = [(number[a] << SHIFT | number[b], r) for a, b, r in pairs if a in number and b in number]
+        order = {r: i for i, r in enumerate(sorted({r for _, r in found}))}
+        found = sorted((c, order[r]) for c, r in found)
+        self.codes = np.array([c for c, _ in found], dtype=np.int64)
+        self.ranks = np.array([r for _, r in found], dtype=np.int64)
+        by_code = dict(found)
+        n = len(parts)
+        self.left, self.right, self.rank = np.arange(n), np.arange(n), np.full(n, -1, dtype=np.int64)
+        for i, p in enumerate(parts):
+            if p is not None:
+                self.left[i], self.right[i] = number[p[0]], number[p[1]]
+                self.rank[i] = by_code[number[p[0]] << SHIFT | number[p[1]]]
+        self.odd = (self.rank >= 0) & (self.rank <= np.maximum(self.rank[self.left], self.rank[self.right]))
+        while (more := (self.odd[self.left] | self.odd[self.right]) & ~self.odd).any():
+            self.odd |= more
+
+    def fit(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Whether each token ``after`` may follow the token ``before``."""
+        out = np.ones(len(before), dtype=bool)
+        if not len(self.codes):
+            return out
+        at, x, y = np.arange(len(before)), before.astype(np.int64), after.astype(np.int64)
+        limit = np.full(len(before), np.iinfo(np.int64).max)
+        while len(at):
+            code = (x << SHIFT) | y
+            place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            crosses = (self.codes[place] == code) & (self.ranks[place] < limit)
+            out[at[crosses]] = False
+            rank_x, rank_y = self.rank[x], self.rank[y]
+            goes_on = ~crosses & ((rank_x >= 0) | (rank_y >= 0))
+            at, x, y, rank_x, rank_y = at[goes_on], x[goes_on], y[goes_on], rank_x[goes_on], rank_y[goes_on]
+            undo_left = rank_x > rank_y
+            limit = np.where(undo_left, rank_x, rank_y + 1)
+            x, y = np.where(undo_left, self.right[x], x), np.where(undo_left, y, self.left[y])
+        return out
+
+
 class WordTable:
     """Last tokens of all prefixes of many short words at once.
 
     Tokens are found by a 64-bit rolling hash in one sorted table per token length;
-    compatible pairs are kept in a sorted array that grows as new pairs are met.
+    compatible pairs by their splits.
     """
 
     def __init__(self, rules: PairRules):
@@ -145,8 +216,7 @@ class WordTable:
             ids = np.array([bodies[b] for b in own], dtype=np.int64)[order]
             self.tables[length] = keys[order], ids[:, 0].copy(), ids[:, 1].copy()
         self.powers = np.array([pow(BASE, n, 1 << 64) for n in range(max(self.tables, default=1) + 1)], dtype=np.uint64)
-        self.codes, self.good = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
-        self.new_codes, self.new_good = self.codes, self.good
+        self.splits = Splits(rules, self.names)
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -159,32 +229,14 @@ class WordTable:
         """Whether each pair of token numbers is compatible; ``before`` -1 is a word's start."""
         out = before < 0
         rows = np.flatnonzero(~out)
-        code = (before[rows] << SHIFT) | after[rows]
-        good = np.zeros(len(code), dtype=bool)
-        missing = np.ones(len(code), dtype=bool)
-        for codes, known in ((self.codes, self.good), (self.new_codes, self.new_good)):
-            if len(codes):
-                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                hit = codes[at] == code
-                good |= hit & known[at]
-                missing &= ~hit
-        if missing.any():
-            fresh = np.unique(code[missing])
-            low, names, merge, symbols = (1 << SHIFT) - 1, self.names, self.rules.merge, self.rules.symbols
-            ok = np.zeros(len(fresh), dtype=bool)
-            for i, c in enumerate(fresh.tolist()):
-                a, b = names[c >> SHIFT], names[c & low]
-                ok[i] = merge(symbols(a) + symbols(b)) == [a, b]
-            good[missing] = ok[np.searchsorted(fresh, code[missing])]
-            where = np.searchsorted(self.new_codes, fresh)
-            self.new_codes, self.new_good = np.insert(self.new_codes, where, fresh), np.insert(self.new_good, where, ok)
-            if len(self.new_codes) > NEW_PAIRS:          # keep the array that grows often small
-                if len(self.codes) > MOST_PAIRS:
-                    self.codes, self.good = self.codes[:0], self.good[:0]
-                where = np.searchsorted(self.codes, self.new_codes)
-                self.codes, self.good = np.insert(self.codes, where, self.new_codes), np.insert(self.good, where, self.new_good)
-                self.new_codes, self.new_good = self.new_codes[:0], self.new_good[:0]
-        out[rows] = good
+        if not len(rows):
+            return out
+        code, back = np.unique((before[rows] << SHIFT) | after[rows], return_inverse=True)
+        a, b = code >> SHIFT, code & ((1 << SHIFT) - 1)
+        good = self.splits.fit(a, b)
+        for k in np.flatnonzero(self.splits.odd[a] | self.splits.odd[b]).tolist():
+            good[k] = self.rules.fits(self.names[a[k]], self.names[b[k]])
+        out[rows] = good[back]
         return out
 
     def walk(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -203,22 +255,32 @@ class WordTable:
         last = np.full((n + 1, rows), -1, dtype=np.int64)
         count = np.zeros((n + 1, rows), dtype=np.int64)
         closed = np.zeros((n + 1, rows), dtype=np.int64)
-        marks = bool(self.rules.end)
+        marks, lengths_down = bool(self.rules.end), sorted(self.tables, reverse=True)
         for k in range(1, n + 1):
             live = int(np.searchsorted(-lengths, -k, side="right"))     # rows at least k long come first
-            for length in sorted((m for m in self.tables if m <= k), reverse=True):
+            open_left = np.ones(live, dtype=bool)
+            closed_left = np.full(live, marks)
+            for length in (m for m in lengths_down if m <= k):
                 j, (keys, opens, closes) = k - length, self.tables[length]
-                own = hashes[k, :live] - hashes[j, :live] * self.powers[length]
+                left = open_left | closed_left
+                hit = np.flatnonzero(left & (last[j, :live] >= 0) if j else left)
+                if not len(hit):
+                    continue
+                own = hashes[k, hit] - hashes[j, hit] * self.powers[length]
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                hit = np.flatnonzero((keys[at] == own) & ((last[j, :live] >= 0) | (j == 0)))
+                same = keys[at] == own
+                hit, at = hit[same], at[same]
                 if not len(hit):
                     continue
-                for ids, found in ((opens, last), (closes, closed)) if marks else ((opens, last),):
-                    token = ids[at[hit]]
-                    open_ = (token >= 0) & (found[k, hit] == (-1 if found is last else 0))
+                for ids, found, missing in ((opens, last, open_left), (closes, closed, closed_left)) if marks else ((opens, last, open_left),):
+                    token = ids[at]
+                    open_ = (token >= 0) & missing[hit]
                     at_rows, token = hit[open_], token[open_]
+                    if not len(token):
+                        continue
                     fit = self._fit(last[j, at_rows], token)
                     at_rows, token = at_rows[fit], token[fit]
+                    missing[at_rows] = False
                     if found is last:
                         last[k, at_rows] = token
                         count[k, at_rows] = count[j, at_rows] + 1
@@ -235,13 +297,14 @@ class WordTable:
                 yield part
             low = most
 
-    def closed_counts(self, words: list[str]) -> dict[str, list[int]]:
-        """Per word the token counts of its prefixes, each encoded as a whole word."""
+    def closed_steps(self, words: list[str]) -> dict[str, bytes]:
+        """Per word the signed change of the token count with each character, prefixes encoded as whole words."""
         out = {}
         for part in self.groups(words):
             lengths, _, _, closed = self.walk(part)
-            for w, m, row in zip(part, lengths.tolist(), closed.tolist()):
-                out[w] = row[1:m + 1]
+            data, n = np.diff(closed, axis=1).astype(np.int8).tobytes(), closed.shape[1] - 1
+            for i, (w, m) in enumerate(zip(part, lengths.tolist())):
+                out[w] = data[i * n:i * n + m]
         return out
 
     def encodings(self, words: list[str], numbers: np.ndarray, dtype: str) -> dict[str, bytes]:

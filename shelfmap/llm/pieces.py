@@ -87,17 +87,21 @@ class PieceCoder:
                 out.append(self.unknown)
         return np.array(out, dtype=self.dtype).tobytes()
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode the unseen units of normalised texts together."""
+    def learn(self, units: list[list[str]]) -> None:
+        """Encode the unseen units together."""
         known = self.cache.room()
-        fresh = {u for t in texts for u in _UNITS.findall(t) if u not in known}
+        fresh = set().union(*units).difference(known)
         fresh = [u for u in fresh if len(u) <= CACHED_CHARS and self.cache.promote(u) is None]
         known.update(self.table.encodings(fresh, self.numbers, self.dtype))
 
-    def encode_normal(self, text: str) -> bytes:
-        """Ids of a normalised stretch between two unit borders."""
-        known, out = self.cache.young, []
-        for unit in _UNITS.findall(text):
+    def _joined(self, units: list[str]) -> bytes:
+        known = self.cache.young
+        try:
+            return b"".join([known[u] for u in units])
+        except KeyError:
+            pass
+        out = []
+        for unit in units:
             b = known.get(unit)
             if b is None:
                 b = self.cache.promote(unit)
@@ -108,11 +112,15 @@ class PieceCoder:
             out.append(b)
         return b"".join(out)
 
+    def encode_normal(self, text: str) -> bytes:
+        """Ids of a normalised stretch between two unit borders."""
+        return self._joined(_UNITS.findall(text))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts."""
-        texts = [self.normal(t) for t in texts]
-        self.learn(texts)
-        return [self.encode_normal(t) for t in texts]
+        units = [_UNITS.findall(self.normal(t)) for t in texts]
+        self.learn(units)
+        return [self._joined(u) for u in units]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.shown.__getitem__, ids.tolist())).decode("utf-8", "replace")

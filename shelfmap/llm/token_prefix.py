@@ -15,6 +15,7 @@ prefixes (``bpe_paths``), and one more step ends the word there.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from itertools import accumulate
 
@@ -33,6 +34,11 @@ CACHED_CHARS = 64
 
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{UNICODE_SPACE}\p{{L}}\p{{N}}]+")
 
+# The same for texts in lower case, with the white space between words as matches of its own.
+_WORD_OR_GAP = regex.compile(rf"{_WORD.pattern}|[{UNICODE_SPACE}]+")
+_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r 0-9a-z]+|[\t-\r ]+")
+_SPACE_AT = regex.compile(rf"[{UNICODE_SPACE}]")
+
 
 def _byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
@@ -81,30 +87,37 @@ class PrefixCounter:
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         self.table = WordTable(self.rules)
         self.parts = TwoGenerations(CACHE_PARTS)
-        self.batch: dict[str, list[int]] = {}
 
-    def _learn(self, parts: list[str]) -> dict[str, list[int]]:
-        """Counts at each prefix of all words of plain parts, found together."""
-        words = {m for p in parts if p.isascii() or p.isprintable() for m in _WORD.findall(_lower(p))}
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Signed changes of the count per code point of each lower-cased word, found together."""
         coded = {w: _octets(w) for w in words}
-        found = self.table.closed_counts(list(set(coded.values()) | {"'"}))
+        found = self.table.closed_steps(list(set(coded.values())))
         out = {}
         for w, text in coded.items():
-            counts = found.get(text)
-            if counts is not None:
+            steps = found.get(text)
+            if steps is not None and len(text) == len(w) and w[0] != "'":
+                out[w] = steps
+                continue
+            if steps is None:                                           # a long word
+                counts = self.rules.closed(text, _cuts(w))
+            else:
+                counts = list(accumulate(memoryview(steps).cast("b")))
                 if len(text) > len(w):
                     counts = [counts[k - 1] for k in _cuts(w)]
-                out[w] = counts
+            if len(w) == 3 and w[0] == "'" and w[1].isalpha():          # cut after two: quote and letter part
+                counts = [1, self._last("'") + self._last(w[1]), counts[-1]]
+            steps = [b - a for a, b in zip([0, *counts], counts)]
+            narrow = min(steps) >= -128 and max(steps) <= 127
+            out[w] = bytes([s & 255 for s in steps]) if narrow else np.array(steps, dtype=np.int64)
         return out
 
+    def _last(self, word: str) -> int:
+        return self.rules.closed(_octets(word), _cuts(word))[-1]
+
     def _word(self, word: str) -> list[int]:
         """Token counts of each non-empty prefix of one pre-token."""
-        known = self.batch.get(word)
-        if known is None:
-            known = self.batch[word] = self.rules.closed(_octets(word), _cuts(word))
-        if len(word) == 3 and word[0] == "'" and word[1].isalpha():     # cut after two: quote and letter part
-            return [1, self._word("'")[-1] + self._word(word[1])[-1], known[-1]]
-        return known
+        steps = self.learn([word])[word]
+        return (np.frombuffer(steps, dtype=np.int8) if isinstance(steps, bytes) else steps).cumsum(dtype=np.int64).tolist()
 
     def _plain(self, text: str) -> list[int]:
         """Counts at each prefix of an already normalised text without special strings."""
@@ -156,37 +169,46 @@ class PrefixCounter:
         counts.extend([base + c for c in self._ordinary(part[at:])])
         return counts
 
-    def _steps(self, part: str) -> bytes | np.ndarray:
-        counts = self._part(part)
-        steps = [b - a for a, b in zip([0, *counts], counts)]
-        if not steps or min(steps) >= -128 and max(steps) <= 127:
-            return bytes([s & 255 for s in steps])
-        return np.array(steps, dtype=np.int64)
+    def _words(self, text: str) -> list[str] | None:
+        """The words of a text and the white space between, lower-cased; None where a character's lower case,
+        normal form or a special string needs a closer look."""
+        if "<" in text and self.special is not None and self.special.search(text):
+            return None
+        low = text.lower()
+        if text.isascii():
+            return _ASCII_WORD.findall(low)
+        if len(low) != len(text) or "\u03a3" in text or not unicodedata.is_normalized("NFC", text):   # capital sigma: lower case by place
+            return None
+        return _WORD_OR_GAP.findall(low)
+
+    def _closer(self, text: str) -> np.ndarray:
+        """Changes of a text that ``_words`` refuses, part by part between ASCII white space."""
+        rows = [np.diff(np.array([0, *self._part(p)], dtype=np.int64)) for p in _blanked(text).split(" ")]
+        gap = np.zeros(1, dtype=np.int64)
+        steps = np.concatenate([x for r in rows for x in (r, gap)][:-1])
+        return steps if np.abs(steps).max(initial=0) > 127 else steps.astype(np.int8)
 
     def steps(self, texts: list[str]) -> list[np.ndarray]:
         """Per text one signed change per code point: int8, or int64 if a change does not fit."""
-        known, cut = self.parts.room(), [_blanked(t).split(" ") for t in texts]
-        known[""] = b""
-        missing = set()
-        for parts in cut:
-            missing.update(set(parts).difference(known))
-        fresh = [p for p in missing if self.parts.promote(p) is None]
-        self.batch = self._learn(fresh)
-        new = {p: self._steps(p) for p in fresh}
-        self.batch = {}
-        known.update((p, s) for p, s in new.items() if len(p) <= CACHED_CHARS and isinstance(s, bytes))
+        known, cut = self.parts.room(), [self._words(t) for t in texts]
+        missing = set().union(*(c for c in cut if c is not None)).difference(known)
+        missing = [w for w in missing if self.parts.promote(w) is None]
+        new = {w: bytes(len(w)) for w in missing if _SPACE_AT.match(w)}
+        new |= self.learn([w for w in missing if w not in new])
+        known.update((w, s) for w, s in new.items() if len(w) <= CACHED_CHARS)
         out = []
-        for parts in cut:
+        for text, words in zip(texts, cut):
+            if words is None:
+                out.append(self._closer(text))
+                continue
             try:
-                rows = [known[p] for p in parts]
+                rows = [known[w] for w in words]
             except KeyError:
-                rows = [known[p] if p in known else new[p] for p in parts]
+                rows = [known[w] if w in known else new[w] for w in words]
             try:
-                out.append(np.frombuffer(b"\0".join(rows), dtype=np.int8))
-            except TypeError:                       # a part has wide steps
-                gap = np.zeros(1, dtype=np.int64)
-                wide = [np.frombuffer(r, dtype=np.int8).astype(np.int64) if isinstance(r, bytes) else r for r in rows]
-                out.append(np.concatenate([x for r in wide for x in (r, gap)][:-1]))
+                out.append(np.frombuffer(b"".join(rows), dtype=np.int8))
+            except TypeError:                       # a word has wide steps
+                out.append(np.concatenate([np.frombuffer(r, dtype=np.int8).astype(np.int64) if isinstance(r, bytes) else r for r in rows]))
         return out
 
 
