@@ -485,6 +485,9 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     links = stored(_verified(stored(_candidates(members, None), "hubs"), seqs), "links")
     labels = connected_components(links)
+    # What follows concerns open buckets only, a small part of the members and of the sequences.
+    members = stored(_open_members(members, labels).select(*members.columns), "open")
+    seqs = stored(seqs.join(members.select("node").distinct(), "node", "left_semi"), "seqs")
     found = stored(_verified(stored(_candidates(members, labels), "hubs"), seqs), "links")
     if not found.isEmpty():
         labels = _joined(labels, found)
