@@ -48,6 +48,13 @@ UNITS_AT_ONCE = 100_000
 # word with the one space before it: the tokenizer's own pieces never cross unit borders.
 _UNITS = re.compile(f"[{UNICODE_SPACE}]+(?![^{UNICODE_SPACE}])| ?[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]")
 
+# Texts of these characters alone are cut into the tokenizer's own pieces, of which there are fewer distinct ones:
+# letters, digits, other characters, each with the space before, white space, and the endings of English contractions.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0152\u0153"
+_PLAIN = re.compile(f"[\\x00-\\x7f{_LETTER}]*")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\t-\\r 0-9{_LETTER}]+"
+                     "|[\\t-\\r ]+(?![^\\t-\\r ])|[\\t-\\r ]+")
+
 
 def masked_crc(data: bytes) -> int:
     crc = zlib.crc32(data)
@@ -90,9 +97,14 @@ class UnitEncoder:
         size = self.tokenizer.get_vocab_size()
         self.dtype = "<u2" if size <= 1 << 16 else "<u4"
         self.cache = TwoGenerations(CACHE_UNITS)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Bytes of text that each token stands for: a byte-level vocabulary has one letter per byte.
         self.size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
 
+    def _units(self, text: str) -> re.Pattern:
+        plain = _PLAIN.fullmatch(text) and not any(s in text for s in self.special)
+        return _PIECES if plain else _UNITS
+
     def _encode(self, units: list[str]) -> list[bytes]:
         """Ids of each unit, from one call: units are laid end to end and cut by their tokens' bytes.
 
@@ -132,11 +144,11 @@ class UnitEncoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; very long texts by stretches of units."""
         short = [t for t in texts if len(t) <= LONG_TEXT]
-        done = iter(self._join([_UNITS.findall(t) for t in short]))
+        done = iter(self._join([self._units(t).findall(t) for t in short]))
         return [next(done) if len(t) <= LONG_TEXT else self._stretches(t) for t in texts]
 
     def _stretches(self, text: str) -> bytes:
-        units, out = (m.group() for m in _UNITS.finditer(text)), []
+        units, out = (m.group() for m in self._units(text).finditer(text)), []
         while part := list(islice(units, UNITS_AT_ONCE)):
             out.extend(self._join([part]))
         return b"".join(out)

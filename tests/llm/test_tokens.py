@@ -157,3 +157,30 @@ def test_max_plus_product_is_associative():
     for _ in range(50):
         a, b, c = matrix(3, 4), matrix(4, 3), matrix(3, 2)
         assert pieces.multiply(pieces.multiply(a, b), c) == pieces.multiply(a, pieces.multiply(b, c))
+
+
+def test_record_units_equal_the_library():
+    """Plain texts go by the tokenizer's own pieces, others by white space: both as the library has them."""
+    rng, coder, library = random.Random(3), records.UnitEncoder(BYTES), Tokenizer.from_file(BYTES)
+    bits = [*"ab Zéœ'\n\t.,!?<|>0159-\"sStTdDrRvVeEmMlL\x1c\x0b\x7f", "'re", "'ll", "  ", "\r\n", " '", "<|endoftext|>", "ª", "–", "\xa0"]
+    texts = ["".join(rng.choice(bits[:rng.choice([20, 42, 47])]) for _ in range(rng.randrange(60))) for _ in range(4000)] + ODD
+    for text, ids in zip(texts, coder.encode_all(texts)):
+        assert np.frombuffer(ids, dtype=coder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("make", [lambda: token_prefix.PrefixCounter(WORDS), lambda: pieces.PieceCoder(MODEL)], ids=["words", "pieces"])
+def test_pairs_by_splits_equal_merging(make):
+    """Undoing merges decides like merging the symbols of both tokens, for joined and for random pairs."""
+    from shelfmap.llm import bpe_paths
+    table = make().table
+    rules, names, splits, rng = table.rules, table.names, table.splits, np.random.default_rng(1)
+    before, after = rng.integers(0, len(names), (2, 4000))
+    pick = rng.integers(0, len(splits.codes), 2000)
+    a, b = splits.codes[pick] >> bpe_paths.SHIFT, splits.codes[pick] & ((1 << bpe_paths.SHIFT) - 1)
+    known = (a < len(names)) & (b < len(names))
+    before[:2000][known] = a[known]
+    after[:1000][known[:1000]] = b[:1000][known[:1000]]
+    open_ = np.array([not rules.closes(names[i]) for i in before])
+    before, after = before[open_], after[open_]
+    want = [rules.merge(rules.symbols(names[i]) + rules.symbols(names[j])) == [names[i], names[j]] for i, j in zip(before, after)]
+    assert table._fit(before, after).tolist() == want and 0.1 < np.mean(want) < 0.95
