@@ -1065,3 +1065,200 @@ def stream_cell_sets(spark, root):
     sp.run_placement_updates(sp.staged_stream(spark, path, read_table(spark, root, "embeddings").schema), place, books, log,
                              scratch_path(spark, "placed-ckpt"), cells=cells)
     return sp.cell_sets(spark, log)
+
+
+# --- pages to stored books (A8-A14 into A16) -----------------------------------------------
+
+from shelfmap.schema import STAGING_SCHEMA  # noqa: E402
+from shelfmap.sources import records as rec  # noqa: E402
+
+SHOP_URL = "https://shop.example/"
+
+
+def _site_pages(spark, root):
+    """Documents as responses of three sites: pages with JSON, catalogue tables, metadata JSON; every field is filled."""
+    d = dealt(read_table(spark, root, "documents")).withColumn("k", F.col("doc_id").cast("string"))
+    text = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    mark = F.md5(F.coalesce("text", F.lit("")))
+    shops = F.array(*[F.struct(F.lit("Link").alias("__typename"), F.lit(name).alias("name"),
+                               F.when((F.col("doc_id") + i) % 5 != 0, text(f"{SHOP_URL}{i}/", F.col("k"))).otherwise("").alias("url"))
+                      for i, name in enumerate(SHOPS)])
+    primary = F.struct(F.when(F.col("doc_id") % 2 == 0, "KindleLink").otherwise("AmazonLink").alias("__typename"),
+                       F.lit("Amazon").alias("name"), text(SHOP_URL, "primary/", F.col("k")).alias("url"))
+    genre = lambda c: F.struct(F.struct(text("/genres/", F.col(c)).alias("webUrl"), F.col(c).alias("name")).alias("genre"))
+    book = F.struct(
+        F.when(F.col("doc_id") % 4 != 0, text("Tale ", F.col("source"))).otherwise("").alias("title"), text("About ", mark).alias("description"),
+        text("https://img.example/", F.col("k")).alias("imageUrl"),
+        F.array(F.struct((F.col("doc_id") % 4).cast("string").alias("userPosition"))).alias("bookSeries"),
+        F.array(genre("lang"), genre("source")).alias("bookGenres"),
+        F.struct(F.col("n_chars").alias("numPages"), text("House ", F.col("source")).alias("publisher"),
+                 F.struct(F.col("lang").alias("name")).alias("language"), F.lit("Paperback").alias("format")).alias("details"),
+        F.struct(F.struct(text("Contributor:kca://author/", F.col("k")).alias("__ref")).alias("node")).alias("primaryContributorEdge"),
+        F.struct(primary.alias("primaryAffiliateLink"), shops.alias("secondaryAffiliateLinks")).alias("links({})"))
+    work = F.struct(
+        F.struct(((F.col("doc_id") + 1) * 86400000).alias("publicationTime"), text("Original ", F.col("k")).alias("originalTitle"),
+                 text("https://x.example/work/", F.col("k")).alias("webUrl")).alias("details"),
+        F.struct(((F.col("doc_id") % 50) / 10).alias("averageRating"), F.col("n_chars").alias("ratingsCount"),
+                 F.array(*[F.col("doc_id") % (i + 2) for i in range(5)]).alias("ratingsCountDist"),
+                 (F.col("doc_id") % 7).alias("textReviewsCount")).alias("stats"))
+    author = F.struct(text("Name ", F.col("source")).alias("name"), text("Life ", mark).alias("description"),
+                      text("https://x.example/author/", F.col("k")).alias("webUrl"), text("https://img.example/a/", F.col("k")).alias("profileImageUrl"),
+                      F.struct((F.col("doc_id") % 11).alias("totalCount")).alias("followers"), (F.col("doc_id") % 2 == 0).alias("isGrAuthor"))
+    js = text('{"props":{"pageProps":{"apolloState":{"Work:kca://work/', F.col("k"), '":', F.to_json(work), ',"Book:kca://book/', F.col("k"),
+              '":', F.to_json(book), ',"Contributor:kca://author/', F.col("k"), '":', F.to_json(author), "}}}}")
+    json_pages = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("page_id"), text("https://x.example/book/show/", F.col("k")).alias("url"),
+                                                  text('<script id="__NEXT_DATA__" type="application/json">', js, "</script>").alias("html"))
+    day = F.date_format(F.date_add(F.lit("1999-01-05").cast("date"), (F.col("doc_id") % 300).cast("int")), "MMM d, yyyy")
+    cells = [("Author", text('<a href="/ebooks/author/', F.col("k"), '">', F.col("source"), " &amp; Co</a>")),
+             ("Title", text("Tom &amp; ", mark)), ("Summary", text("&eacute; ", F.col("lang"))), ("Credits", text("Team ", F.col("lang"))),
+             ("Language", F.col("lang")), ("Editor", text("Ed ", F.col("source"))), ("Release Date", day)]
+    table = text('<table class="bibrec">', *[text(f"<tr><th>{h}</th><td>", v, "</td></tr>") for h, v in cells], "</table>")
+    table_pages = d.where("doc_id % 3 = 1").select(F.col("doc_id").alias("page_id"), text("https://x.example/ebooks/", F.col("k")).alias("url"), table.alias("html"))
+    one, two = F.to_json(F.struct(text("By ", F.col("source")).alias("creator"))), F.to_json(F.struct(F.array(F.lit("By"), F.col("source")).alias("creator")))
+    md = F.struct(F.col("k").alias("identifier"), text("Item ", mark).alias("title"), text("About ", F.col("source")).alias("description"),
+                  text("Topic ", F.col("lang")).alias("subject"), F.col("lang").alias("language"), F.lpad("k", 10, "0").alias("isbn"),
+                  text("House ", F.col("source")).alias("publisher"), F.when(F.col("doc_id") % 2 == 0, "1884").otherwise("May 1907").alias("date"))
+    creator = F.regexp_extract(F.when(F.col("doc_id") % 2 == 0, one).otherwise(two), r"^\{(.*)\}$", 1)
+    responses = d.where("doc_id % 3 = 2").select("doc_id", text('{"metadata":', F.regexp_replace(F.to_json(md), r"\}$", ""), ",", creator, "}}").alias("json"))
+    return json_pages, table_pages, responses
+
+
+def _site_sql():
+    mark = "md5(coalesce(text, ''))"
+    site = lambda a, b, c: f"CASE doc_id % 3 WHEN 0 THEN {a} WHEN 1 THEN {b} ELSE {c} END"
+    json_only = lambda a: f"CASE WHEN doc_id % 3 = 0 THEN {a} END"
+    count = lambda e: json_only(f"nullif({e}, 0)")
+    shop = lambda i: f"CASE WHEN (doc_id + {i}) % 5 <> 0 THEN '{SHOP_URL}{i}/' || k END"
+    fields = {
+        "book_id": site("'gr_' || k", "'gb_' || k", "k"),
+        "title": site("CASE WHEN doc_id % 4 <> 0 THEN 'Tale ' || source ELSE 'Original ' || k END", f"'Tom & ' || {mark}", f"'Item ' || {mark}"),
+        "author": site("'Name ' || source", "source || ' & Co'", "'By ' || source"),
+        "author_url": site("'https://x.example/author/' || k", "'https://gutenberg.org/ebooks/author/' || k", "NULL"),
+        "author_image_url": json_only("'https://img.example/a/' || k"), "author_description": json_only(f"'Life ' || {mark}"),
+        "author_follower_count": count("doc_id % 11"), "is_gr_author": json_only("nullif(doc_id % 2 = 0, false)"),
+        "editor": site("'House ' || source", "'Ed ' || source", "'House ' || source"),
+        "credits": "CASE WHEN doc_id % 3 = 1 THEN 'Team ' || lang END", "language": "lang",
+        "summary": site(f"'About ' || {mark}", "'é ' || lang", "'About ' || source"), "image_url": json_only("'https://img.example/' || k"),
+        "genres": json_only("'/genres/' || lang || ',/genres/' || source"), "num_pages": count("n_chars"), "format": json_only("'Paperback'"),
+        "isbn_10": "CASE WHEN doc_id % 3 = 2 THEN lpad(k, 10, '0') END",
+        "release": site("strftime(DATE '1970-01-01' + CAST(doc_id + 1 AS INTEGER), '%Y-%m-%d')",
+                        "strftime(DATE '1999-01-05' + CAST(doc_id % 300 AS INTEGER), '%Y-%m-%d')",
+                        "CASE WHEN doc_id % 2 = 0 THEN '1884-01-01' ELSE '1907-01-01' END"),
+        "subject": "CASE WHEN doc_id % 3 = 2 THEN 'Topic ' || lang END", "web_url": json_only("'https://x.example/work/' || k"),
+        "series_position": json_only("CAST(doc_id % 4 AS VARCHAR)"), "is_series": json_only("true"),
+        "average_rating": json_only("nullif((doc_id % 50) / 10, 0)"), "ratings_count": count("n_chars"),
+        **{f"rating_{n}_count": count(f"doc_id % {i + 2}") for i, n in enumerate(("one", "two", "three", "four", "five"))},
+        "text_reviews_count": count("doc_id % 7"),
+        "kindle_link": json_only(f"CASE WHEN doc_id % 2 = 0 THEN '{SHOP_URL}primary/' || k END"),
+        "amazon_link": json_only(f"coalesce(CASE WHEN doc_id % 2 <> 0 THEN '{SHOP_URL}primary/' || k END, {shop(0)})"),
+        **{column: json_only(shop(i)) for i, column in enumerate(SHOP_NAMES.values()) if column != "amazon_link"},
+        "url": site("'https://www.goodreads.com/book/show/' || k", "'https://www.gutenberg.org/ebooks/' || k", "'http://archive.org/details/' || k"),
+        "sha": "md5(" + site("'gr_' || k", "'gb_' || k", "k") + ")", "project": "'books'",
+        "spider": site("'goodreads'", "'gutenberg'", "'archive'"), "server": "CASE WHEN doc_id % 5 < 4 THEN 'host2' ELSE 'host1' END",
+        "date": "CASE WHEN doc_id % 5 < 4 THEN '2024-01-02' ELSE '2024-01-01' END",
+    }
+    return ",\n       ".join(f"{e} AS {c}" for c, e in fields.items()), list(fields)
+
+
+SITE_SQL, SITE_FIELDS = _site_sql()
+
+
+@register("stored_books", f"SELECT {SITE_SQL}\nFROM (SELECT *, CAST(doc_id AS VARCHAR) AS k FROM documents)")
+def stored_books(spark, root):
+    """Three sites' responses to typed records, stored, and most of them met again a day later."""
+    pages = _site_pages(spark, root)
+
+    def crawl(server, day, met):
+        at = F.lit(day).cast("timestamp")
+        extract = (rec.json_page_records, rec.table_page_records, rec.metadata_records)
+        return rec.all_records(*(f(p.where(met % key), "books", server, at)
+                                 for f, p, key in zip(extract, pages, ("page_id", "page_id", "doc_id"))))
+
+    stored = rec.store_books(spark.createDataFrame([], STAGING_SCHEMA), crawl("host1", "2024-01-01", "%s IS NOT NULL"))
+    out = rec.store_books(stored, crawl("host2", "2024-01-02", "%s %% 5 < 4"))
+    shown = {"genres": F.array_join("genres", ","), "release": F.date_format("release", "yyyy-MM-dd"), "date": F.date_format("date", "yyyy-MM-dd")}
+    return out.select(*(shown[c].alias(c) if c in shown else c for c in SITE_FIELDS))
+
+
+# --- positional index, cell-clustered books, files --------------------------------------------
+
+from shelfmap.operators import phrases as ph  # noqa: E402
+from shelfmap.sources import clustered, corpus, files as fl  # noqa: E402
+
+
+def _title_index(spark, books):
+    """Titles indexed in two batches; in the first, every third title still has another wording."""
+    root = scratch_path(spark, "titles")
+    early = books.withColumn("title", F.when(F.col("sha") % 3 == 0, F.concat(F.lit("Red widget, "), "title")).otherwise(F.col("title")))
+    ph.index_batch(early.where("sha % 4 <> 0"), root, 0)
+    ph.index_batch(books.where("sha % 3 = 0 OR sha % 4 = 0"), root, 1)
+    return root
+
+
+@register("indexed_phrase", ORACLES["filter_phrase"])
+def indexed_phrase(spark, root):
+    """B4 by a positional index kept current over two batches."""
+    books = st.bookparts(spark, root)
+    return ph.indexed_search(books, _title_index(spark, books), "Red  Widget").select("sha", "title")
+
+
+@register("indexed_title_search", ORACLES["title_search_top50"])
+def indexed_title_search(spark, root):
+    """C9 by the index."""
+    books = st.bookparts(spark, root)
+    found = ph.indexed_search(books, _title_index(spark, books), "widget")
+    return found.orderBy(*serve.order_columns("-ratings_count")).limit(serve.capped(None)).select("sha", "title", "author", "ratings_count")
+
+
+@register("summary_search", f"""WITH {st.BOOKDOCS_SQL}
+SELECT sha, length(summary) AS n FROM bookdocs
+WHERE summary IS NOT NULL AND contains(' ' || {_norm_sql('summary')} || ' ', ' of the ')""")
+def summary_search(spark, root):
+    """A phrase in the summaries, by an index over all of them."""
+    books, index = st.bookdocs(spark, root), scratch_path(spark, "summaries")
+    ph.index_batch(books, index, 0, text_col="summary")
+    return ph.indexed_search(books, index, "of the").select("sha", F.length("summary").cast("long").alias("n"))
+
+
+@register("similar_books_clustered", ORACLES["similar_books_same_cell"])
+def similar_books_clustered(spark, root):
+    """D1 over books laid out by cell: no book is exchanged."""
+    return serve.similar_books(clustered.write_by_cell(st.bookparts(spark, root), scratch_path(spark, "by-cell")))
+
+
+@register("sitemap_written", SITEMAP_SQL + f""",
+maps AS (
+  SELECT 'sitemap_books_' || CAST(file_num AS VARCHAR) || '.xml' AS name,
+    '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<urlset xmlns="{sm.XMLNS}">' || chr(10)
+    || string_agg('  <url>' || chr(10) || '    <loc>' || loc || '</loc>' || chr(10) || '    <lastmod>{LASTMOD}</lastmod>'
+       || chr(10) || '    <priority>' || priority || '</priority>' || chr(10) || '  </url>' || chr(10), '' ORDER BY pos)
+    || '</urlset>' || chr(10) AS text
+  FROM entries GROUP BY file_num)
+SELECT name, text, octet_length(encode(text))::BIGINT AS bytes FROM maps
+UNION ALL
+SELECT 'sitemap_1.xml' AS name, text, octet_length(encode(text))::BIGINT AS bytes FROM (
+  SELECT '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<sitemapindex xmlns="{sm.XMLNS}">' || chr(10)
+    || string_agg('  <sitemap>' || chr(10) || '    <loc>{SITE}sitemap_books_' || CAST(file_num AS VARCHAR) || '.xml</loc>' || chr(10)
+       || '    <lastmod>{LASTMOD}</lastmod>' || chr(10) || '  </sitemap>' || chr(10), '' ORDER BY file_num)
+    || '</sitemapindex>' || chr(10) AS text
+  FROM (SELECT DISTINCT file_num FROM entries))""")
+def sitemap_written(spark, root):
+    """Sitemap files and their index written as named files and read back."""
+    out = scratch_path(spark, "sitemaps")
+    index = sm.sitemap_index(st.bookparts(spark, root), STATIC, SITE, LASTMOD, SITEMAP_CHUNK)
+    manifest = sm.write_sitemaps(_entries(spark, root), index, out)
+    return fl.read_files(spark, out, "*.xml").join(manifest, "name").select("name", "text", "bytes")
+
+
+@register("corpus_round_trip", f"""WITH {st.BOOKDOCS_SQL}
+SELECT CASE WHEN sha % 2 = 0 THEN 'gb_' ELSE '' END || 'Bök ' || CAST(sha AS VARCHAR) || '+' || language AS book_id, '' AS title,
+       {sq.clean_sql("coalesce(summary, '')")} AS summary
+FROM bookdocs""")
+def corpus_round_trip(spark, root):
+    """A1-A3, F1: documents written as text files with odd names, scanned recursively, cleaned, keyed by their names."""
+    out, b = scratch_path(spark, "corpus"), st.bookdocs(spark, root)
+    folder = F.when(F.col("sha") % 2 == 0, "gutenberg_books").otherwise("other books")
+    name = F.concat(folder, F.lit("/"), (F.col("sha") % 16).cast("string"), F.lit("/Bök "), F.col("sha").cast("string"), F.lit("+"), F.col("language"), F.lit(".txt"))
+    fl.write_files(b.select(name.alias("name"), F.col("summary").alias("text")), out)
+    return corpus.corpus_books(corpus.sample_corpus(corpus.read_corpus(spark, out)))
+

@@ -169,12 +169,17 @@ def shop_link_columns(primary: Column, secondary: Column) -> list[Column]:
     return cols
 
 
-def page_json_fields(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Book fields from the embedded page JSON; pages without a Work are skipped."""
+def page_json_fields(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
+                     keep: tuple[str, ...] = ()) -> DataFrame:
+    """Book fields from the embedded page JSON; pages without a Work are skipped.
+
+    The input columns named in ``keep`` come last.
+    """
     state = apollo_state(next_data(F.col(html_col)))
     work = F.from_json(_entry(state, "Work"), WORK)
     book = F.from_json(_entry(state, "Book"), BOOK)
-    df = pages.select(id_col, F.col("url"), work.alias("w"), book.alias("b"), state.alias("s")).where(
+    df = pages.select(id_col, F.col("url"), work.alias("w"), book.alias("b"), state.alias("s"),
+                      *(F.col(c).alias(f"kept_{c}") for c in keep)).where(
         F.col("w").isNotNull())
     author = F.from_json(F.try_element_at(F.col("s"), F.col("b.primaryContributorEdge.node.__ref")), AUTHOR)
     dist = F.col("w.stats.ratingsCountDist")
@@ -212,6 +217,7 @@ def page_json_fields(pages: DataFrame, id_col: str = "page_id", html_col: str =
         positive(author["followers"]["totalCount"]).alias("author_follower_count"),
         F.when(author["isGrAuthor"], True).alias("is_gr_author"),
         *shop_link_columns(links["primaryAffiliateLink"], links["secondaryAffiliateLinks"]),
+        *(F.col(f"kept_{c}").alias(c) for c in keep),
     )
 
 
@@ -242,11 +248,12 @@ def metadata_fields(responses: DataFrame, json_col: str = "json") -> DataFrame:
     )
 
 
-def housekeeping(df: DataFrame, project: str, spider: str, server: str, key: str = "book_id") -> DataFrame:
-    """``sha`` (deterministic md5 of the key, deviation V13), project, spider, server, date."""
+def housekeeping(df: DataFrame, project: str, spider: str, server: str, key: str = "book_id",
+                 at: Column | None = None) -> DataFrame:
+    """``sha`` (deterministic md5 of the key, deviation V13), project, spider, server, date (``at``, or now)."""
     return df.withColumns({"sha": F.md5(F.col(key).cast("string")), "project": F.lit(project),
                            "spider": F.lit(spider), "server": F.lit(server),
-                           "date": F.current_timestamp()})
+                           "date": F.current_timestamp() if at is None else at})
 
 
 def take_first(*cols: Column) -> Column:

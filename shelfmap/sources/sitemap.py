@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmap.operators.serve import hash_order
+from shelfmap.sources.files import write_files
 from shelfmap.session import reliable_checkpoint
 
 CHUNK = 25_000                    # fixed value: URLs per sitemap file
@@ -88,9 +89,17 @@ def index_xml(index: DataFrame, per_index: int = INDEX_LIMIT) -> DataFrame:
                                                 F.lit("</sitemapindex>\n")).alias("xml"))
 
 
-def write_sitemaps(files: DataFrame, out_dir: str) -> None:
-    """Write each file's XML as text, one folder per ``file_num``."""
-    files.select("file_num", "xml").write.mode("overwrite").partitionBy("file_num").text(out_dir)
+def write_sitemaps(entries: DataFrame, index: DataFrame, root: str, per_index: int = INDEX_LIMIT) -> DataFrame:
+    """``sitemap_books_<n>.xml`` per file and ``sitemap_<n>.xml`` per index document, as named files under ``root``.
+
+    Returns the manifest (``name, bytes, sha256``), which is written last.
+    """
+    def named(rows: DataFrame, prefix: str, number: str) -> DataFrame:
+        return rows.select(F.concat(F.lit(prefix), F.col(number).cast("string"), F.lit(".xml")).alias("name"), F.col("xml").alias("text"))
+
+    every = named(sitemap_files(entries), "sitemap_books_", "file_num").unionByName(
+        named(index_xml(index, per_index), "sitemap_", "index_num"))
+    return write_files(every, root)
 
 
 # --- work lists ----------------------------------------------------------------------------
