@@ -224,11 +224,14 @@ def _sketch_udf(text: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose sequences are alike; ``b`` may be the leader of very many pairs."""
+    """The pairs ``(a, b)`` whose sequences are alike; ``b`` may be the leader of very many pairs.
+
+    Pairs and leaders are as many as the nodes' share, so the joins are by sorting at every size.
+    """
     spread = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / LEADER_SPREAD).cast("int").alias("copies"))
     left = pairs.join(spread, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
-    left = left.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a")
-    right = (spread.join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b")
+    left = left.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")).hint("merge"), "a")
+    right = (spread.join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")).hint("merge"), "b")
              .select("b", "seq_b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,7 +240,7 @@ def _verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
                   for x, y in zip(pdf["seq_a"], pdf["seq_b"])]
             yield pdf.loc[ok, ["a", "b"]]
 
-    return left.drop("copies").join(right, ["b", "salt"]).select("a", "b", "seq_a", "seq_b") \
+    return left.drop("copies").join(right.hint("merge"), ["b", "salt"]).select("a", "b", "seq_a", "seq_b") \
         .mapInPandas(verify, "a binary, b binary")
 
 
@@ -374,8 +377,7 @@ def _open_pairs(members: DataFrame, labels: DataFrame, seqs: DataFrame, class_ro
     A pair that shares several open buckets is given by the least of them.
     """
     rows = stored(_open_members(members, labels), "open")
-    own = seqs.join(rows.select("node").distinct(), "node", "left_semi")
-    rarity = _rarity(own)
+    rarity = _rarity(seqs)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -383,7 +385,7 @@ def _open_pairs(members: DataFrame, labels: DataFrame, seqs: DataFrame, class_ro
             yield pd.DataFrame({"node": pdf["node"], "words": [g[0].view(np.int64) for g in got],
                                 "shorter": [g[1] for g in got], "bins": [g[2].tobytes() for g in got]})
 
-    shaped = own.mapInPandas(features, "node binary, words array<long>, shorter int, bins binary")
+    shaped = seqs.mapInPandas(features, "node binary, words array<long>, shorter int, bins binary")
     # A bucket too large for one task is dealt by word: each part holds the members with words of its class.
     parts = F.when(F.col("size") > class_rows, F.ceil(F.col("size") * F.size("words") / class_rows)).otherwise(1)
     rows = rows.join(shaped, "node").join(rows.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "node")
@@ -487,7 +489,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     labels = connected_components(links)
     # What follows concerns open buckets only, a small part of the members and of the sequences.
     members = stored(_open_members(members, labels).select(*members.columns), "open")
-    seqs = stored(seqs.join(members.select("node").distinct(), "node", "left_semi"), "seqs")
+    seqs = stored(seqs.join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "seqs")
     found = stored(_verified(stored(_candidates(members, labels), "hubs"), seqs), "links")
     if not found.isEmpty():
         labels = _joined(labels, found)
