@@ -310,3 +310,32 @@ def test_pipeline(spark):
 def test_stages_take_empty_tables(spark, stage):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(0)
     assert stage[1](spark, docs, SF_SMALL).count() == 0
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, copies, ties, repeated rows, columns named like results."""
+    good = " ".join(f"The {w} of the house went to the {w} river and came back with the wind." for w in ("old", "new", "red", "tall", "small"))
+    long = " ".join(f"word{i % 5000}" for i in range(60_000))
+    rows = [(1, good, "en", "a", 1), (1, good, "en", "a", 1), (2, good + "  ", "en", "a", 2), (None, good, None, None, None), (3, None, "en", "a", 0),
+            (4, "", None, "b", 0), (5, " \t\n", "de", None, 3), (6, long, "en", "b", 9), (7, long + " tail", "en", "b", 9), (8, "short text", "fr", "c", 5),
+            (None, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, "s", "k", "z") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, "
+                                 "score string, kept string, class_id string")
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality classifier", "exact dedup", "near-dedup", "mixing"):
+        out = stages[name](spark, docs, SF_SMALL)
+        assert out.columns == docs.columns, name
+        got = Counter((r.doc_id, r.text) for r in out.collect())
+        if name == "exact dedup":
+            assert sum(got.values()) == len({norm(r[1]) for r in rows})
+            assert got[1, good] == 1 and got[2, good + "  "] == 1 and got[3, None] == 1 and got[4, ""] == 0
+        if name == "near-dedup":                        # repeated rows are one document; wordless texts are one class
+            assert got[1, good] == 2 and got[3, None] == 1 and got[6, long] == 1 and got[7, long + " tail"] == 0 and got[8, "short text"] == 1
+            assert sum(got.values()) == 5
+        if name == "mixing":
+            assert all(n <= 3 * sum((r[0], r[1]) == key for r in rows) for key, n in got.items())
+    coded = stages["sentencepiece"](spark, docs, SF_SMALL).collect()
+    assert len(coded) == len(rows) and all(len(r.ids) in (2 * r.n_pieces, 4 * r.n_pieces) for r in coded)
+    assert {r.n_pieces for r in coded if r.doc_id in (3, 4)} == {0}
+
