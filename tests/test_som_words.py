@@ -133,3 +133,30 @@ def test_epoch_sums_in_a_tree(spark, monkeypatch):
     assert np.allclose(S, [X[best == u].sum(axis=0) for u in range(6)])
     S, N, err = som._epoch_sums(spark, df.limit(0), W)
     assert not S.any() and not N.any() and err == 0.0
+
+
+def test_nearest_unit_equals_the_exact_search():
+    rng = np.random.default_rng(4)
+    X, W = rng.random((400, 5)), rng.random((30, 5))
+    X[::3], W[10:20], W[3], X[7] = 0, 0, W[25], W[25]                       # ties between many units, and between two
+    best, d = som.nearest_unit(X, W, np.einsum("ij,ij->i", W, W))
+    every = np.linalg.norm(X[:, None] - W[None], axis=2)
+    assert best.tolist() == every.argmin(axis=1).tolist() and np.allclose(d, every.min(axis=1))
+    assert best[0] == 10 and best[7] == 3
+
+
+def test_training_sends_the_driver_few_sums(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(v.tolist(),) for v in rng.random((400, 4))], "x array<double>").repartition(40)
+    first, seen, sums = rng.random((2, 3, 4)), [], som._epoch_sums
+
+    def watched(spark, data, Wf, parts=None, sent=None):
+        seen.append((data.rdd.getNumPartitions(), parts, sent))
+        return sums(spark, data, Wf, parts, sent)
+
+    whole, errors = som.train_som(df, "x", 2, 3, epochs=4, initial=first)
+    monkeypatch.setattr(som, "_epoch_sums", watched)
+    monkeypatch.setattr(som, "MAX_SENT_BYTES", 3000)                        # 2 x 3 x 4 doubles, five passes: three rows
+    few, again = som.train_som(df, "x", 2, 3, epochs=4, initial=first)
+    assert len(seen) == 5 and all(n == parts == spark.sparkContext.defaultParallelism and sent == 3 for n, parts, sent in seen)
+    assert np.allclose(few, whole) and np.allclose(again, errors)
