@@ -56,16 +56,15 @@ def context_encoding(words: DataFrame, bigrams: DataFrame, dims: int) -> DataFra
                           for i in range(dims)]).alias("num")))
     zeros = F.array_repeat(F.lit(0.0), dims)
 
-    def mean(prefix: str):
-        return F.when(F.col(f"{prefix}.den") > 0,
-                      F.transform(F.col(f"{prefix}.num"), lambda x: x / F.col(f"{prefix}.den"))).otherwise(zeros)
-
-    first = agg.where(F.col("half") == 0).alias("f")
-    last = agg.where(F.col("half") == 1).alias("l")
-    return (words.select("word").alias("v")
-            .join(first, F.col("v.word") == F.col("f.word"), "left")
-            .join(last, F.col("v.word") == F.col("l.word"), "left")
-            .select(F.col("v.word").alias("word"), F.concat(mean("f"), mean("l")).alias("enc")))
+    def mean(half: str):
+        return F.when(F.col(f"{half}.den") > 0,
+                      F.transform(F.col(f"{half}.num"), lambda x: x / F.col(f"{half}.den"))).otherwise(zeros)
+
+    # a word's two halves meet in one row, so that what lies below is computed once
+    both = agg.groupBy("word").agg(*[F.first(F.when(F.col("half") == k, F.struct("den", "num")), ignorenulls=True).alias(name)
+                                     for k, name in enumerate(("front", "back"))])
+    return (words.select("word").join(both, "word", "left")
+            .select("word", F.concat(mean("front"), mean("back")).alias("enc")))
 
 
 def word_minmax(enc: DataFrame, col: str = "enc", out: str = "scaled") -> DataFrame:

@@ -391,9 +391,10 @@ def word_vectors(spark, root):
 
 
 def _encoding(spark, root):
+    # Both are read more than once below and are far smaller than the texts, which are cut into words once for each.
     toks, vocab = _word_vocab(spark, root)
-    vecs = wo.word_vectors(vocab, "term", wo.WORD_DIMS)
-    return wo.context_encoding(vecs, _bigram_totals(toks), wo.WORD_DIMS)
+    vecs = wo.word_vectors(reliable_checkpoint(vocab), "term", wo.WORD_DIMS)
+    return wo.context_encoding(vecs, reliable_checkpoint(_bigram_totals(toks)), wo.WORD_DIMS)
 
 
 @register("kaski_encoding", WORDS_SQL + "\nSELECT word, i, v FROM enc")
