@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from shelfmap.functions.text import clean_text
 from shelfmap.operators.serve import hash_order
 
+TASK_SPLITS = 32           # small files' splits that one task reads at most, ...
+TASKS_PER_CORE = 16        # ... if that leaves so many tasks for each core
+
 
 def read_corpus(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """A1: every matching file below ``path`` (recursively) as ``(path, text)``."""
+    """A1: every matching file below ``path`` (recursively) as ``(path, text)``.
+
+    The reader counts opening a file as 4 MB of reading, so a split holds a few dozen small files
+    at most; TASK_SPLITS of them are read by one task, as far as enough tasks for all cores are left.
+    """
     df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
           .text(path, wholetext=True))
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    df = df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    splits, least = df.rdd.getNumPartitions(), TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    return df.coalesce(max(least, -(-splits // TASK_SPLITS))) if splits > least else df
 
 
 def sample_corpus(corpus: DataFrame, max_documents: int | None = None, seed: int = 42,
