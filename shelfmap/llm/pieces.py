@@ -38,6 +38,7 @@ CACHED_CHARS = 64
 
 # A unit starts at the first of a run of space marks, or is a line end; both are checked against the vocabulary.
 _UNITS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+_BORDER = re.compile(f"(?<=\n)|(?=\n)|(?<!{SPACE})(?={SPACE})")     # where such a unit starts, but at a text's start
 START = ("", 0)          # the state before a document's first and after its last character
 
 State = tuple[str, int]  # the piece, and how many of its characters lie right of the cut
@@ -170,27 +171,38 @@ class PieceCoder:
     @staticmethod
     def _borders(text: str, lo: int, hi: int) -> tuple[int, int] | None:
         """First and last unit border strictly between ``lo`` and ``hi``, if any."""
-        found = [m.start() for m in _UNITS.finditer(text, lo, hi) if m.start() > lo]
-        return (found[0], found[-1]) if found else None
+        found = _BORDER.search(text, lo + 1, hi)
+        if found is None or found.start() >= hi:
+            return None
+        last = hi - 1
+        while not _BORDER.match(text, last):
+            last -= 1
+        return found.start(), last
+
+    def inner(self, text: str, lo: int, hi: int) -> bytes:
+        """Ids between the chunk's outer unit borders, on every path the same."""
+        span = self._borders(text, lo, hi)
+        return self.encode_normal(text[span[0]:span[1]]) if span else b""
 
-    def matrix(self, text: str, lo: int, hi: int, begins: bool, ends: bool) -> Matrix:
+    def matrix(self, text: str, lo: int, hi: int, begins: bool, ends: bool, inner: bytes | None = None) -> Matrix:
         """The chunk's transfer matrix; between its outer unit borders all paths share one stretch."""
         entries = [START] if begins else self.states(text, lo)
         span = self._borders(text, lo, hi)
         if span is None:
             return {(e, x): -self.weight(path) for e in entries for x, path in self._ways(text, lo, hi, e, ends)}
         first, last = span
-        middle = len(self.encode_normal(text[first:last])) // np.dtype(self.dtype).itemsize
+        inner = self.inner(text, lo, hi) if inner is None else inner
+        middle = len(inner) // np.dtype(self.dtype).itemsize
         heads = [(e, self._walk(text, lo + e[1], first, e[0])) for e in entries if lo + e[1] <= first]
         tails = [(x, self.weight(path)) for x, path in self._ways(text, last, hi, START, ends)]
         return {(e, x): -(self.weight(h) + middle + t) for e, h in heads if h is not None for x, t in tails}
 
-    def trace(self, text: str, lo: int, hi: int, entry: State, leave: State, ends: bool) -> bytes:
+    def trace(self, text: str, lo: int, hi: int, entry: State, leave: State, ends: bool, inner: bytes | None = None) -> bytes:
         """Ids of the pieces that start in the chunk, on the path between its two states."""
         span, front = self._borders(text, lo, hi), b""
         if span is not None:
             front = self.token_ids(self._walk(text, lo + entry[1], span[0], entry[0])) \
-                + self.encode_normal(text[span[0]:span[1]])
+                + (self.inner(text, lo, hi) if inner is None else inner)
             lo, entry = span[1], START
         for x, path in self._ways(text, lo, hi, entry, ends):
             if x == leave:
@@ -301,12 +313,13 @@ def encode_giants(giant: DataFrame, key: str, text: str, model_path: str, chunk:
         if code.rules.longest > context:
             raise ValueError("pieces longer than the chunks' context")
         for pdf in batches:
-            m = [_records(code.matrix(r.part, r.lo, r.hi, r.begins, r.ends)) for r in pdf.itertuples()]
-            yield pd.DataFrame({"k": pdf["k"], "no": pdf["no"], "m": m})
+            inner = [code.inner(r.part, r.lo, r.hi) for r in pdf.itertuples()]
+            m = [_records(code.matrix(r.part, r.lo, r.hi, r.begins, r.ends, i)) for r, i in zip(pdf.itertuples(), inner)]
+            yield pd.DataFrame({"k": pdf["k"], "no": pdf["no"], "m": m, "inner": inner})
 
-    mats = reliable_checkpoint(parts.mapInPandas(matrices, f"k long, no long, m {MATRIX}"))
+    mats = reliable_checkpoint(parts.mapInPandas(matrices, f"k long, no long, m {MATRIX}, inner binary"))
     most = mats.agg(F.max("no")).first()[0]
-    ends = _scan(mats, (most or 0) + 1)
+    ends = _scan(mats.drop("inner"), (most or 0) + 1)
     full = parts.join(ends, ["k", "no"]).join(mats, ["k", "no"])
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,7 +331,7 @@ def encode_giants(giant: DataFrame, key: str, text: str, model_path: str, chunk:
                 behind = {x: v for (x, _), v in _unpack(r.behind).items()}
                 own = {s: v + ahead[s[0]] + behind[s[1]] for s, v in _unpack(r.m).items() if s[0] in ahead and s[1] in behind}
                 entry, leave = max(own, key=own.get)
-                out.append(code.trace(r.part, r.lo, r.hi, entry, leave, r.ends))
+                out.append(code.trace(r.part, r.lo, r.hi, entry, leave, r.ends, r.inner))
             yield pd.DataFrame({"k": pdf["k"], "no": pdf["no"], "ids": out})
 
     traced = full.mapInPandas(trace, "k long, no long, ids binary")

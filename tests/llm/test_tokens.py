@@ -150,6 +150,20 @@ def test_pieces_equal_the_library(spark, chunk, monkeypatch):
     assert pieces.encode_pieces(df.limit(0), MODEL, chunk=chunk).count() == 0
 
 
+def test_chunk_interior_is_encoded_once(monkeypatch):
+    """The matrix and the trace of a chunk share the ids between its outer unit borders."""
+    code, text = pieces.PieceCoder(MODEL), pieces.PieceCoder.normal("one  two\n\nthree four five " * 6)
+    for lo, hi in ((0, 20), (7, 61), (30, len(text)), (3, 5)):
+        starts = [m.start() for m in pieces._UNITS.finditer(text, lo, hi) if m.start() > lo]
+        assert code._borders(text, lo, hi) == ((starts[0], starts[-1]) if starts else None)
+    lo, hi = 30, len(text)
+    inner, whole = code.inner(text, lo, hi), code.matrix(text, lo, hi, False, True)
+    traces = {s: code.trace(text, lo, hi, *s, True) for s in whole}
+    monkeypatch.setattr(code, "encode_normal", None)
+    assert code.matrix(text, lo, hi, False, True, inner) == whole
+    assert {s: code.trace(text, lo, hi, *s, True, inner) for s in whole} == traces
+
+
 def test_max_plus_product_is_associative():
     rng = random.Random(3)
     def matrix(n, m):
