@@ -160,3 +160,14 @@ def test_training_sends_the_driver_few_sums(spark, monkeypatch):
     few, again = som.train_som(df, "x", 2, 3, epochs=4, initial=first)
     assert len(seen) == 5 and all(n == parts == spark.sparkContext.defaultParallelism and sent == 3 for n, parts, sent in seen)
     assert np.allclose(few, whole) and np.allclose(again, errors)
+
+
+def test_document_histograms_take_a_row_per_occurrence(spark):
+    docs = spark.createDataFrame([(1,), (2,), (None,)], "doc int")
+    counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (1, "x", 5), (None, "a", 1)], "doc int, term string, n long")
+    rows = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (1, "b", 1), (1, "x", 5), (None, "a", 1)], "doc int, term string, n long")
+    cells = spark.createDataFrame([("a", 0, 0), ("b", 1, 0)], "term string, bmu_col int, bmu_row int")
+    dense = {r.doc: r.h for r in wo.dense_histogram(docs, wo.hit_counts(rows, cells, 2), 2).collect()}
+    assert dense == {1: [2.0, 1.0], 2: [0.0, 0.0], None: [0.0, 0.0]}
+    one, other = ({r.doc: r.h for r in wo.document_histograms(docs, c, cells, 1, 2).collect()} for c in (counts, rows))
+    assert one == other and one[2] == [0.0, 0.0]

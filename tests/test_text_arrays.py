@@ -85,3 +85,15 @@ def test_blur_then_minmax(spark, inp, blur, scaled):
 def test_minmax_constant(spark):
     df = spark.createDataFrame([([3.0, 3.0, 3.0],)], "h array<double>")
     assert df.select(ar.minmax_scale(F.col("h")).alias("s")).first().s == [0.0, 0.0, 0.0]
+
+
+@pytest.mark.parametrize("ids", [[1, 2, 3, 4], [1, 1, None, None]])
+def test_vocabulary_counts_rows_that_share_a_document(spark, ids):
+    tokens = [["a", "b", "a"], ["b", "a", "c"], ["a"], ["c", "c", "a"]]
+    df = spark.createDataFrame(list(zip(ids, tokens)), "sha int, tokens array<string>")
+    got = txo.vocabulary(df, "sha", "tokens", min_df=1)
+    want = {r.term: (r.df, r.total) for r in txo.term_stats(txo.term_counts(df, "sha", "tokens")).collect()}
+    assert {r.term: (r.df, r.total) for r in got.collect()} == want
+    assert {r.term for r in txo.vocabulary(df, "sha", "tokens", min_df=2).collect()} == {t for t, (n, _) in want.items() if n > 1}
+    if ids[0] != ids[1]:                      # terms are summed and exchanged once, not by document first
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
