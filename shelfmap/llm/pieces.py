@@ -35,6 +35,8 @@ CHUNK_CHARS = 32_768
 FAN = 256
 CACHE_UNITS = 200_000
 CACHED_CHARS = 64
+DECODED_AT_ONCE = 1 << 16
+BATCH_BYTES = str(4 << 20)      # of an Arrow batch: a giant text's chunks and ids make long rows
 
 # A unit starts at the first of a run of space marks, or is a line end; both are checked against the vocabulary.
 _UNITS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
@@ -124,7 +126,8 @@ class PieceCoder:
         return [self._joined(u) for u in units]
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.shown.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        runs = (ids[at:at + DECODED_AT_ONCE].tolist() for at in range(0, len(ids), DECODED_AT_ONCE))
+        text = b"".join(b"".join(map(self.shown.__getitem__, run)) for run in runs).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
     # -- chunks: ``text`` is the chunk with context, ``lo`` and ``hi`` its cuts within that
@@ -304,8 +307,9 @@ def _scan(mats: DataFrame, most: int) -> DataFrame:
 
 def encode_giants(giant: DataFrame, key: str, text: str, model_path: str, chunk: int = CHUNK_CHARS,
                   cache_units: int = CACHE_UNITS) -> DataFrame:
-    """``k, ids`` of texts longer than a chunk; ``key`` must be unique."""
+    """``k`` and the result columns of texts longer than a chunk; ``key`` must be unique."""
     context = 64
+    fields = [f.split()[0] for f in RESULT.split(", ")]
     parts = reliable_checkpoint(_chunks(giant, key, text, chunk, context))
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,10 +339,14 @@ def encode_giants(giant: DataFrame, key: str, text: str, model_path: str, chunk:
             yield pd.DataFrame({"k": pdf["k"], "no": pdf["no"], "ids": out})
 
     traced = full.mapInPandas(trace, "k long, no long, ids binary")
-    # One document's chunks meet again here: the document itself was one row before.
-    return traced.groupBy("k").applyInPandas(
-        lambda pdf: pd.DataFrame({"k": [pdf["k"].iloc[0]], "ids": [b"".join(pdf.sort_values("no")["ids"])]}),
-        "k long, ids binary")
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = b"".join(pdf.sort_values("no")["ids"])
+        return pd.DataFrame([(pdf["k"].iloc[0], *_finish(coder(model_path, cache_units), ids))], columns=["k", *fields])
+
+    # One document's chunks meet again here: the document itself was one row before.  What needs Python
+    # is done in this one step, so that a task never keeps two workers with a coder each.
+    return traced.groupBy("k").applyInPandas(finish, f"k long, {RESULT}")
 
 
 RESULT = "n_pieces long, ids binary, ids_crc32 long, decoded string"
@@ -360,6 +368,7 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", chunk:
     """
     spark = df.sparkSession
     short_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     fields = [f.split()[0] for f in RESULT.split(", ")]
     df = df.drop(*fields)
     names = [F.col(f"`{c}`") for c in df.columns]
@@ -370,14 +379,9 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", chunk:
         code = coder(model_path, cache_units)
         return lambda texts: pd.DataFrame([_finish(code, b) for b in code.encode([t or "" for t in texts])], columns=fields)
 
-    def make_back():
-        code = coder(model_path, cache_units)
-        return lambda ids: pd.DataFrame([_finish(code, i) for i in ids], columns=fields)
-
     short = df.where(~is_giant).withColumn(s, per_text(RESULT, make, F.col(text_col)))
     # Numbered once and kept, so that the numbers survive the loss of an executor.
     giant = reliable_checkpoint(df.where(is_giant).withColumn(key, F.monotonically_increasing_id()))
-    ids = encode_giants(giant, key, text_col, model_path, chunk, cache_units)
-    long = giant.join(ids, giant[key] == ids["k"]).withColumn(s, per_text(RESULT, make_back, F.col("ids")))
-    pick = [F.col(f"{s}.{f}").alias(f) for f in fields]
-    return short.select(*names, *pick).unionByName(long.select(*names, *pick))
+    coded = encode_giants(giant, key, text_col, model_path, chunk, cache_units)
+    long = giant.join(coded.withColumnRenamed("k", key), key)
+    return short.select(*names, *[F.col(f"{s}.{f}").alias(f) for f in fields]).unionByName(long.select(*names, *fields))

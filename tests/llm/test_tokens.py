@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,6 +12,8 @@ import sentencepiece
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL
 from shelfmap.llm import chat, pieces, queries, records, token_prefix
 
@@ -150,6 +153,29 @@ def test_pieces_equal_the_library(spark, chunk, monkeypatch):
     assert pieces.encode_pieces(df.limit(0), MODEL, chunk=chunk).count() == 0
 
 
+def test_a_task_of_pieces_keeps_one_python_worker(spark):
+    """No two Python steps share a stage, so a task never keeps two workers with a coder each."""
+    df = frame(spark, ["short", "long " * 20]).withColumn("k", F.lit(7))
+    coded = pieces.encode_pieces(df, MODEL, chunk=50)
+    assert [r.k for r in coded.collect()] == [7] * df.count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = pieces.encode_pieces(df, MODEL, chunk=50)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    above, seen = [], 0                               # depth and kind of the nodes over a line of the plan
+    for line in plan.splitlines():
+        at = re.search(r"[A-Za-z]", line).start()
+        above = [x for x in above if x[0] < at]
+        since = [kind for _, kind in above]
+        since = since[max([i + 1 for i, kind in enumerate(since) if kind == "exchange"], default=0):]
+        kind = "exchange" if "Exchange" in line[:at + 20] else "python" if re.search("Python|InPandas", line[:at + 25]) else "other"
+        assert kind != "python" or "python" not in since, plan
+        seen += kind == "python"
+        above.append((at, kind))
+    assert seen >= 3
+
+
 def test_chunk_interior_is_encoded_once(monkeypatch):
     """The matrix and the trace of a chunk share the ids between its outer unit borders."""
     code, text = pieces.PieceCoder(MODEL), pieces.PieceCoder.normal("one  two\n\nthree four five " * 6)
