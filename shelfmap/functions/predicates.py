@@ -24,10 +24,19 @@ UNACCENTED = "".join({"ł": "l", "ø": "o"}.get(c, unicodedata.normalize("NFD",
 OPERATORS = ("in", "exists", "contains", "lt", "lte", "gt", "gte", "ne", "length_gte", "all")
 
 
+def fold_accents(col: Column) -> Column:
+    """Each accented letter's base letter; a letter stays a letter."""
+    return F.translate(col, ACCENTED, UNACCENTED)
+
+
+def blank_runs(col: Column) -> Column:
+    """Every non-letter/digit run as one blank."""
+    return F.regexp_replace(col, r"[^\p{L}\p{N}]+", " ")
+
+
 def normalize_text(col: Column) -> Column:
     """Lower-case, fold accents, turn every non-letter/digit run into one blank."""
-    folded = F.translate(F.lower(col), ACCENTED, UNACCENTED)
-    return F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " ")
+    return blank_runs(fold_accents(F.lower(col)))
 
 
 def phrase_match(col: Column, phrase: str) -> Column:

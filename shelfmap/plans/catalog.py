@@ -1221,7 +1221,8 @@ def summary_search(spark, root):
     """A phrase in the summaries, by an index over all of them."""
     books, index = st.bookdocs(spark, root), scratch_path(spark, "summaries")
     ph.index_batch(books, index, 0, text_col="summary")
-    return ph.indexed_search(books, index, "of the").select("sha", F.length("summary").cast("long").alias("n"))
+    lengths = books.select("sha", F.length("summary").cast("long").alias("n"))     # the join exchanges no text
+    return ph.indexed_search(lengths, index, "of the")
 
 
 @register("similar_books_clustered", ORACLES["similar_books_same_cell"])

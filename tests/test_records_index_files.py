@@ -3,6 +3,7 @@
 import json
 import tempfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,36 @@ def test_index_search_reads_only_its_terms(spark):
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_index_keeps_a_row_per_term_and_block(spark):
+    texts = [("a", "Red  wídget, RED"), ("b", None), ("c", " ,"), ("d", "widget"), (None, "red ŁÓ 2"), ("a", "red"), ("e", "")]
+    df = spark.createDataFrame(texts, "k string, body string").coalesce(1)
+    rows = [(r.term, r.ids, r.positions) for r in phrases.postings(df, "k", "body").collect()]
+    assert sorted(rows) == [("2", [None], [2]), ("lo", [None], [1]), ("red", ["a", "a", None, "a"], [0, 2, 0, 0]),
+                            ("widget", ["a"], [1]), ("widget", ["d"], [0])]        # wídget and widget are folded after they are gathered
+    assert phrases.postings(df.where("body IS NULL OR k = 'c'"), "k", "body").count() == 0
+
+
+def test_blocks_rows_and_batches_of_an_index_are_bounded(monkeypatch):
+    texts = ["a b a", "", "b " * 9 + "c", "a", "c b a"]
+    batch = pa.RecordBatch.from_pydict({"id": range(5), "text": texts})
+    want = sorted((w, i, p) for i, t in enumerate(texts) for p, w in enumerate(t.split()))
+    for size, most, out in ((1, 2, 3), (12, 1, 1), (1 << 20, 3, 4), (1 << 20, 1 << 16, 1 << 20)):
+        monkeypatch.setattr(phrases, "BLOCK_BYTES", size)
+        monkeypatch.setattr(phrases, "ROW_POSTINGS", most)
+        monkeypatch.setattr(phrases, "BATCH_POSTINGS", out)
+        got = [b.to_pylist() for b in phrases._gather(iter([batch, batch.slice(0, 0)]))]
+        rows = [r for b in got for r in b]
+        assert sorted((r["term"], i, p) for r in rows for i, p in zip(r["ids"], r["positions"], strict=True)) == want
+        assert max(len(r["ids"]) for r in rows) <= most and max(sum(len(r["ids"]) for r in b) for b in got) < out + most
+        assert len(rows) == 3 or most < 1 << 16
+    assert sum(b.num_rows for b in phrases._gather(iter([batch.slice(1, 1)]))) == 0
+
+
+def test_summary_search_exchanges_no_text(spark):
+    plan = catalog.QUERIES["summary_search"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "length(" in plan.split("Join LeftSemi")[1] and "length(" not in plan.split("Join LeftSemi")[0]
+
+
 def test_clustered_books_are_not_exchanged(spark):
     books = catalog.st.bookparts(spark, SF_SMALL)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
