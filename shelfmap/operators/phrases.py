@@ -22,9 +22,10 @@ from shelfmap.functions.predicates import ACCENTED, UNACCENTED, blank_runs, fold
 
 BUCKETS = 64          # folders of an index
 SPLITS = 8            # files that a batch writes per folder at most, so that a common term is no single task
-BLOCK_BYTES = 16 << 20    # text of a block, about
+BLOCK_BYTES = 8 << 20     # text of a block, about
+BATCH_BYTES = 4 << 20     # of an Arrow batch of texts, about
 ROW_POSTINGS = 1 << 16    # postings of a row at most
-BATCH_POSTINGS = 1 << 20  # postings of an Arrow batch given back, about
+BATCH_POSTINGS = 1 << 18  # postings of an Arrow batch given back, about
 
 
 def phrase_words(phrase: str) -> list[str]:
@@ -54,8 +55,10 @@ def _block_postings(block: pa.Table):
     words = pc.split_pattern(texts, " ")
     counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
     coded = words.flatten().dictionary_encode()
+    del texts, words
     n = len(coded)
-    term = coded.indices.to_numpy().astype(np.int64) << 32
+    term = coded.indices.to_numpy().astype(np.int64)
+    term <<= 32
     term |= np.arange(n)
     term.sort()                                               # a term's places come together, in order
     place = term.astype(np.int32)
@@ -84,6 +87,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     The n-th position is one in the n-th id's text.  A term may have several rows in a block.  Accents are
     folded in the terms, not in the texts: folding keeps letters letters, so the words are the same.
     """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)     # read when the plan runs; changes no result
     texts = (docs.where(F.col(text_col).isNotNull())
              .select(F.col(id_col).alias("id"), F.trim(blank_runs(F.lower(F.col(text_col)))).alias("text")))
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("ids", T.ArrayType(texts.schema["id"].dataType)),
