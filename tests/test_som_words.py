@@ -171,3 +171,15 @@ def test_document_histograms_take_a_row_per_occurrence(spark):
     assert dense == {1: [2.0, 1.0], 2: [0.0, 0.0], None: [0.0, 0.0]}
     one, other = ({r.doc: r.h for r in wo.document_histograms(docs, c, cells, 1, 2).collect()} for c in (counts, rows))
     assert one == other and one[2] == [0.0, 0.0]
+
+
+def test_training_passes_make_no_query_plan(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(v.tolist(),) for v in rng.random((300, 4))] + [(None,)], "x array<double>").repartition(5)
+    first, planned, make = rng.random((2, 3, 4)), [], type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda *a, **k: planned.append(1) or make(*a, **k))
+    whole, errors = som.train_som(df, "x", 2, 3, epochs=4, initial=first)
+    assert len(planned) == 1                                                # the vectors are put into blocks once
+    monkeypatch.setattr(som, "MAX_CLOSURE_BYTES", 0)                        # the codebook is broadcast
+    again, same = som.train_som(df, "x", 2, 3, epochs=4, initial=first)
+    assert np.array_equal(again, whole) and same == errors and len(errors) == 5
