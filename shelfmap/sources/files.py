@@ -14,19 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmap.sources.corpus import read_corpus
+from shelfmap.sources.corpus import file_system, read_corpus
 
 MANIFEST = "_manifest"
 
 
-def _file_system(uri: str):
-    """pyarrow's file system and path of a Hadoop-style URI or plain path (local, HDFS, S3, GCS or ABFS)."""
-    from pyarrow import fs
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri[len("file:"):]
-    return (fs.LocalFileSystem(), uri) if "://" not in uri else fs.FileSystem.from_uri(uri)
-
-
 def write_files(files: DataFrame, root: str, name_col: str = "name", text_col: str = "text") -> DataFrame:
     """Write one UTF-8 file ``root/<name>`` per row; returns the manifest ``name, bytes, sha256``.
 
@@ -34,7 +26,7 @@ def write_files(files: DataFrame, root: str, name_col: str = "name", text_col: s
     texts make empty files, rows without a name none.
     """
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, folder = _file_system(root)
+        store, folder = file_system(root)
         made = set()
         for pdf in batches:
             done = []

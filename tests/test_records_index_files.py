@@ -133,3 +133,31 @@ def test_named_files_count_by_their_manifest(spark):
     assert got["a b/ü+1%.txt"] == "line\r\nline\n" and "stray.txt" not in got
     again = files.write_files(spark.createDataFrame([("plain.xml", "new")], "name string, text string"), root)
     assert again.count() == 1 and [r.text for r in files.read_files(spark, root).collect()] == ["new"]
+
+
+def test_corpus_scan_lists_in_tasks_what_sparks_reader_finds(spark, monkeypatch):
+    import os
+    import tempfile
+    from shelfmap.sources import corpus
+    root = tempfile.mkdtemp(prefix="shelfmap scan+%41-") + "/Bök [x"[:4]
+    names = ["a b+%41#.txt", "Bök {q}|^`\"<>~!'()=@&$,;.txt", "n\u00a0bsp\u3000é.txt", "_hidden.txt", ".hidden.txt", "_k=1.txt", "skip.md",
+             "_gone/x.txt", ".gone/x.txt", "_k=2/x.txt", "deep/er/Ö est/z.txt", "deep/empty.txt", "deep/part.txt._COPYING_", "deep.txt/in.txt"]
+    for i, name in enumerate(names):
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        open(f"{root}/{name}", "wb").write(b"" if "empty" in name else b"text \xff\xfe %d\r\n" % i)
+    os.makedirs(f"{root}/no/files")
+    plain = lambda at, glob: (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(at, wholetext=True)
+                              .selectExpr("_metadata.file_path AS path", "value AS text"))
+    own, read = [], type(spark.read).text
+    for at in (root, f"file://{root}", root + "/"):
+        for glob in ("*.txt", "*", "[a-d]*.{txt,md}"):
+            there = sorted((r.path, r.h) for r in plain(at, glob).selectExpr("path", "hex(text) h").collect())
+            with monkeypatch.context() as m:
+                m.setattr(type(spark.read), "text", lambda *a, **k: own.append(1) or read(*a, **k))
+                m.setattr(corpus, "LISTED_ROWS", 2)
+                m.setattr(corpus, "SENT_BYTES", 9)
+                found = corpus.read_corpus(spark, at, glob)
+                assert found.columns == ["path", "text"] and sorted((r.path, r.h) for r in found.selectExpr("path", "hex(text) h").collect()) == there
+            assert there and not own                                           # the driver gets no list of files
+    assert corpus.read_corpus(spark, f"{root}/no").count() == 0
+    assert corpus.read_corpus(spark, f"{root}/deep.txt/*.txt").count() == corpus.read_corpus(spark, f"{root}/deep/er").count() == 1
